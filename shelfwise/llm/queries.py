@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import exact_dedup, sharding, tokens
 
 
 def queries() -> dict:
-    return {"op8_sharding": sharding.op8_sharding}
+    return {
+        "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op4_token_counts": tokens.op4_token_counts,
+        "op8_sharding": sharding.op8_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL}
