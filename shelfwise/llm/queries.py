@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding, tokens
+from . import exact_dedup, language, quality, sharding, tokens
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op4_token_counts": tokens.op4_token_counts,
+        "op7_quality": quality.op7_quality,
         "op8_sharding": sharding.op8_sharding,
+        "op9_language_id": language.op9_language_id,
     }
 
 
