@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, quality, sharding, tokens
+from . import exact_dedup, language, quality, repeats, sharding, tokens
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_repeats": repeats.op2_repeats,
         "op4_token_counts": tokens.op4_token_counts,
         "op7_quality": quality.op7_quality,
         "op8_sharding": sharding.op8_sharding,
