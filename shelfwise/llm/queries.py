@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, quality, repeats, sharding, tokens
+from . import exact_dedup, language, minhash, quality, repeats, sharding, tokens
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_repeats": repeats.op2_repeats,
+        "op3_minhash": minhash.op3_minhash,
         "op4_token_counts": tokens.op4_token_counts,
         "op7_quality": quality.op7_quality,
         "op8_sharding": sharding.op8_sharding,
