@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, minhash, quality, repeats, sharding, tokens
+from . import exact_dedup, language, lm_score, minhash, quality, repeats, sharding, tokens
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op7_quality": quality.op7_quality,
         "op8_sharding": sharding.op8_sharding,
         "op9_language_id": language.op9_language_id,
+        "op10_lm_score": lm_score.op10_lm_score,
     }
 
 
