@@ -53,16 +53,19 @@ def stats_of(b: bytes) -> list[float]:
 
 
 def statistics(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """The columns `keep` of df and one double column per statistic of the whole text (null counts as empty)."""
+    """The columns `keep` of df and one double column per statistic of the whole text (null counts as empty).
+    Columns of df that are named as a statistic's are left out."""
+    keep = [c for c in keep if c not in {f"s_{s}" for s in STATS}]
 
     def run(batches):
         for batch in batches:
-            rows = [stats_of(b) for _, texts in text_chunks(batch.select(["_text"]), "_text") for b in texts]
+            rows = [stats_of(b) for _, texts in text_chunks(batch, "_text" if text_col not in keep else text_col) for b in texts]
             cols = np.array(rows, np.float64).reshape(len(rows), len(STATS)).T
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c) for c in cols)], names=[*keep, *(f"s_{s}" for s in STATS)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(c) for c in cols)], names=[*keep, *(f"s_{s}" for s in STATS)])
 
     head = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, ", ".join(filter(None, [head, *(f"s_{s} double" for s in STATS)])))
+    extra = [] if text_col in keep else [F.col(text_col).alias("_text")]
+    return df.select(*keep, *extra).mapInArrow(run, ", ".join(filter(None, [head, *(f"s_{s} double" for s in STATS)])))
 
 
 Rule = tuple[tuple[int, str, float], ...]
@@ -199,7 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: F.Column, rows: int = TRAI
 
 def score_documents(docs: DataFrame, model: RuleEnsemble, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep` of docs and `score`, 0 to 1, for every row; null and empty texts get the score of empty statistics."""
-    return statistics(docs, text_col, keep).select(*keep, model.column().alias("score"))
+    scored = statistics(docs, text_col, [c for c in keep if c != "score"])
+    return scored.select(*(c for c in scored.columns if c in keep), model.column().alias("score"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

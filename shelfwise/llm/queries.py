@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, lm_score, minhash, quality, repeats, sharding, tokens
+from . import decontaminate, exact_dedup, language, lm_score, minhash, mixing, quality, repeats, sharding, tokens
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_repeats": repeats.op2_repeats,
         "op3_minhash": minhash.op3_minhash,
         "op4_token_counts": tokens.op4_token_counts,
+        "op5_decontaminate": decontaminate.op5_decontaminate,
+        "op6_mixing": mixing.op6_mixing,
         "op7_quality": quality.op7_quality,
         "op8_sharding": sharding.op8_sharding,
         "op9_language_id": language.op9_language_id,
@@ -19,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op6_mixing": mixing.OP6_SQL}

@@ -23,9 +23,9 @@ from .common import documents, materialize, mix64, small, text_chunks
 
 SPAN = 400
 GRAM = 64
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Text of one suffix array, and contexts of one anchor in one of them.
-ARRAY_BYTES = 512 << 10
+ARRAY_BYTES = 256 << 10
 CHUNK = 1000
 ODD = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
