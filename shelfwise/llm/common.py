@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when its measured size stays under this; beyond it the join shuffles.
-BROADCAST_BYTES = 32 << 20
+from ..functions.tables import materialize, shared_dir, small  # noqa: F401 (used by the operators)
+
 #: ASCII white space of the corpus contracts.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -20,28 +17,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="shelfwise-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/shelfwise/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """df with a broadcast hint if rows * row_bytes is within BROADCAST_BYTES; else df, for a shuffled join."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
-
-
 def norm_text(col) -> F.Column:
     """Runs of ASCII white space become one space; null becomes empty. Single spaces are left alone, so few matches."""
     return F.regexp_replace(F.coalesce(col, F.lit("")), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")
@@ -52,7 +27,7 @@ def id_hash(col, mod: int) -> F.Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def text_chunks(batch: pa.RecordBatch, col: str = "text", max_bytes: int = 4 << 20):
+def text_chunks(batch: pa.RecordBatch, col: str = "text", max_bytes: int = 1 << 20):
     """Yield (first row, list of UTF-8 bytes) for slices of a batch; a slice ends once it holds max_bytes."""
     values = batch.column(batch.schema.get_field_index(col))
     if not pa.types.is_binary(values.type) and not pa.types.is_large_binary(values.type):
