@@ -2,13 +2,16 @@
 
 Rows with equal shingle sets are one node. Each node's signature has many universal hash minima; bands of it are bucket
 keys. First every node of a bucket meets the bucket's random pivot only, and the components of the verified links are
-built. Then only nodes of different components that share a bucket are compared, in blocks of bounded size, so large
-groups never make all their pairs and still no candidate is dropped. Every link is confirmed on the full sets.
+built. Then nodes of different components that share a bucket are compared by signature in blocks of bounded size, which
+give a spanning forest of the candidates instead of all pairs. Each tree of that forest is a closed family: its nodes' full
+sets meet in blocks, where all intersections are counted at once, and again only a spanning forest of the links leaves. So
+large groups never make all their pairs, no candidate is dropped, and every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -30,14 +33,39 @@ MUL = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint6
 ADD = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
 ODD = _rng.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POW = np.cumprod(np.concatenate([[np.uint64(1)], np.full(4095, 0x9E3779B97F4A7C15, np.uint64)]), dtype=np.uint64)
 _STEP = (_POW[-1:] * np.uint64(0x9E3779B97F4A7C15))[0]  # the power at 4096
 
 
+PIECE = 1 << 20
+
+
 def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
-    """64-bit hashes of the words (runs of bytes other than ASCII white space, A-Z lowered) of each text, in order."""
+    """64-bit hashes of the words (runs of bytes other than ASCII white space, A-Z lowered) of each text, in order.
+    About PIECE bytes are hashed at a time, longer texts in pieces cut at white space."""
+    out, group, size = [], [], 0
+    for b in texts:
+        if size + len(b) > PIECE and group:
+            out += _hash_group(group)
+            group, size = [], 0
+        if len(b) <= PIECE:
+            group.append(b)
+            size += len(b)
+            continue
+        parts, at = [], 0
+        while at < len(b):
+            cut = SPACE.search(b, min(len(b), at + PIECE))
+            end = cut.end() if cut else len(b)
+            parts += _hash_group([b[at:end]])
+            at = end
+        out.append(np.concatenate(parts))
+    return out + (_hash_group(group) if group else [])
+
+
+def _hash_group(texts: list[bytes]) -> list[np.ndarray]:
     joined = b"\n".join(texts).translate(LOWER)
     buf = np.frombuffer(joined + b"\n", np.uint8)
     space = IS_SPACE[buf]
@@ -167,23 +195,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     work = tasks.select("bucket", "task", "part", "is_major", "node").join(sigs.select("node", "n", "sig"), "node")
     work = work.repartition("bucket", "task").sortWithinPartitions("bucket", "task")
 
-    def compare(frames):
-        held = None
-        for pdf in frames:
-            pdf = pd.concat([held, pdf], ignore_index=True) if held is not None else pdf
-            key = list(zip(pdf["bucket"], pdf["i"], pdf["j"]))
-            cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1])]
-            held = pdf.iloc[cuts[-1] :] if len(pdf) else None  # the last task may go on in the next batch
-            out = [_pairs(pdf.iloc[a:b], percent) for a, b in zip(cuts, cuts[1:])]
-            yield pd.DataFrame([p for x in out for p in x], columns=["a", "b"])
-        if held is not None:
-            yield pd.DataFrame(_pairs(held, percent), columns=["a", "b"])
+    def compare(group: pd.DataFrame) -> list[tuple]:
+        return [(x, y) for x, y in _forest(group["node"].to_numpy(), _candidates(group, percent))]
 
-    pairs = work.select("bucket", "task.i", "task.j", "part", "is_major", "node", "n", "sig").mapInPandas(compare, "a binary, b binary")
-    more = verify(pairs.distinct(), sigs, keyed, shingle, percent)
-    if not more.isEmpty():
-        links = first_links.unionByName(more)
-        roots = materialize(components(links), "roots")
+    trees = by_task(work.select("bucket", "task.i", "task.j", "part", "is_major", "node", "n", "sig"), ["bucket", "i", "j"], compare, "u binary, v binary")
+    trees = materialize(trees, "trees")
+    if not trees.isEmpty():
+        more = family_links(trees, open_rows, sigs, keyed, shingle, percent)
+        roots = materialize(components(first_links.unionByName(more)), "roots")
 
     labelled = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -192,30 +211,100 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _pairs(group: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
-    """Pairs of a task's nodes in different components that neither sizes nor signatures refute. At most 2 * BLOCK rows or so."""
-    group = group.drop_duplicates("node")
-    if len(group) < 2:
-        return []
-    sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(-1, HASHES)
-    part, n, node = group["part"].to_numpy(), group["n"].to_numpy(np.int64), group["node"].to_numpy()
-    part_no = np.unique(part, return_inverse=True)[1]
-    major = group["is_major"].to_numpy()
-    out = []
-    for a in range(len(group)):
-        ok = (part_no != part_no[a]) & (100 * np.minimum(n, n[a]) >= percent * np.maximum(n, n[a]))
-        ok &= major if not major[a] and major.any() else True  # with a major block, only pairs across
-        ok[: a + 1] &= False if major[a] == major.all() else ok[: a + 1]
-        for b in np.flatnonzero(ok):
-            if (sig[a] == sig[b]).mean() >= REFUTE:
-                out.append((min(node[a], node[b]), max(node[a], node[b])))
+def by_task(rows: DataFrame, key: list[str], work, schema: str) -> DataFrame:
+    """work(rows of one key) for every key of rows that are sorted by key in their partitions; it returns tuples of schema."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(frames):
+        held = None
+        for pdf in frames:
+            pdf = pd.concat([held, pdf], ignore_index=True) if held is not None else pdf
+            same = np.ones(max(0, len(pdf) - 1), bool)
+            for c in key:
+                v = pdf[c].to_numpy()
+                same &= v[1:] == v[:-1]
+            cuts = [0, *(np.flatnonzero(~same) + 1).tolist()]
+            held = pdf.iloc[cuts[-1] :] if len(pdf) else None  # the last task may go on in the next batch
+            yield pd.DataFrame([x for a, b in zip(cuts, cuts[1:]) for x in work(pdf.iloc[a:b])], columns=names)
+        if held is not None:
+            yield pd.DataFrame(work(held), columns=names)
+
+    return rows.mapInPandas(run, schema)
+
+
+def _forest(node: np.ndarray, linked: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Edges of a spanning forest of the graph with the boolean matrix `linked`."""
+    fresh, out = np.ones(len(node), bool), []
+    for s in range(len(node)):
+        if not fresh[s]:
+            continue
+        fresh[s], stack = False, [s]
+        while stack:
+            a = stack.pop()
+            near = np.flatnonzero(linked[a] & fresh)
+            fresh[near] = False
+            out += [(node[a], node[b]) for b in near.tolist()]
+            stack += near.tolist()
     return out
 
 
-def verify(pairs: DataFrame, sigs: DataFrame, keyed: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The links (u, v) among pairs (a, b): intersections of the full shingle sets, made anew from the nodes' texts."""
-    pairs = materialize(pairs, "pairs")
-    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sigs, "node").select("node", "k.k1", "k.k2"), "ends")
+def _candidates(group: pd.DataFrame, percent: int) -> np.ndarray:
+    """Which pairs of a task's nodes are of different components and refuted by neither sizes nor signatures."""
+    sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(-1, HASHES)
+    n, major = group["n"].to_numpy(np.int64), group["is_major"].to_numpy()
+    part = np.unique(group["part"].to_numpy(), return_inverse=True)[1]
+    ok = (part[:, None] != part[None]) & (100 * np.minimum(n[:, None], n[None]) >= percent * np.maximum(n[:, None], n[None]))
+    if major.any():  # only across; the rest's own pairs have tasks of their own
+        ok &= major[:, None] != major[None]
+    a, b = np.nonzero(np.triu(ok))
+    for i in range(0, len(a), 1 << 16):
+        x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+        ok[x, y] = (sig[x] == sig[y]).sum(1) >= REFUTE * HASHES
+    return np.triu(ok) | np.triu(ok).T
+
+
+def family_links(trees: DataFrame, open_rows: DataFrame, sigs: DataFrame, keyed: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """A spanning forest of the links (u, v) between different components within each tree's nodes, from their full sets."""
+    roots = components(trees)
+    family = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    parts = open_rows.select("node", "part").distinct()
+    named = materialize(family.join(parts, "node").join(sigs.select("node", "n"), "node"), "families")
+    sizes = named.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)), F.ceil(F.sum("n") * 8 / (8 << 20))).cast("int").alias("blocks"))
+    sizes = materialize(sizes, "family-sizes")
+    tasks = named.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    ends = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, "own").alias("i"), F.greatest(j, "own").alias("j")))
+    tasks = tasks.withColumn("task", F.explode(ends)).select("root", "task.i", "task.j", "part", "node")
+    held = node_sets(named.select("node"), sigs, keyed, shingle)
+    rows = tasks.join(held, "node").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+
+    def link(group: pd.DataFrame) -> list[tuple]:
+        sets = [np.frombuffer(x, np.uint64) for x in group["words"]]
+        size = np.array([len(x) for x in sets], np.float64)
+        _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+        used = times > 1  # shingles of one node only are in no intersection
+        rank = np.cumsum(used) - 1
+        row, col = row[used[col]], rank[col[used[col]]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)  # counts under 2 ** 24 are exact in each step
+        total = np.zeros_like(both, dtype=np.float64)
+        for lo in range(0, int(used.sum()), 4096):
+            a, b = np.searchsorted(col, [lo, lo + 4096])
+            m = np.zeros((len(sets), 4096), np.float32)
+            m[row[a:b], col[a:b] - lo] = 1
+            np.matmul(m, m.T, out=both)
+            total += both
+        part = np.unique(group["part"].to_numpy(), return_inverse=True)[1]
+        ok = (part[:, None] != part[None]) & (100 * total >= percent * (size[:, None] + size[None] - total))
+        return _forest(group["node"].to_numpy(), ok)
+
+    return materialize(by_task(rows.select("root", "i", "j", "part", "node", "words"), ["root", "i", "j"], link, "u binary, v binary"), "family-links")
+
+
+def node_sets(nodes: DataFrame, sigs: DataFrame, keyed: DataFrame, shingle: int) -> DataFrame:
+    """node, words: the full shingle sets, made anew from the nodes' texts."""
+    ends = materialize(nodes.distinct().join(sigs, "node").select("node", "k.k1", "k.k2"), "ends")
 
     def sets(batches):
         for batch in batches:
@@ -224,8 +313,13 @@ def verify(pairs: DataFrame, sigs: DataFrame, keyed: DataFrame, shingle: int, pe
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(got, pa.binary())], names=["node", "words"])
 
     texts = keyed.select("k1", "k2", "_text").join(small(ends, ends.count(), 64), ["k1", "k2"])
-    held = texts.select("node", "_text").mapInArrow(sets, "node binary, words binary").dropDuplicates(["node"])
-    held = materialize(held, "sets")
+    return materialize(texts.select("node", "_text").mapInArrow(sets, "node binary, words binary").dropDuplicates(["node"]), "sets")
+
+
+def verify(pairs: DataFrame, sigs: DataFrame, keyed: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The links (u, v) among pairs (a, b): intersections of the full shingle sets, made anew from the nodes' texts."""
+    pairs = materialize(pairs, "pairs")
+    held = node_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), sigs, keyed, shingle)
 
     def check(batches):
         for batch in batches:
