@@ -25,17 +25,18 @@ from .minhash import word_hashes
 U = np.uint64
 END, BEGIN = U(0xE11D), U(0xBE61)  # hashes of the end token and of the context before the first word
 PRIOR = 20.0
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 #: Tokens for each partition; words over 1 / (HOT * partitions) of all tokens are dealt by the next word too.
-PART_TOKENS = 3_000_000
+PART_TOKENS = 2_000_000
 HOT = 4
 
 
-def pack(texts: list[bytes]) -> tuple[bytes, bytes, bytes, int]:
+def pack(hashed: list[np.ndarray]) -> tuple[bytes, bytes, bytes, int]:
     """(words, lengths, tokens, number of tokens) of a block: words by falling count, texts as places among them."""
-    hashed = [np.append(w, END) for w in word_hashes(texts)]
     lengths = np.array([len(h) for h in hashed], np.int32)
-    words, tokens, count = np.unique(np.concatenate(hashed), return_inverse=True, return_counts=True)
+    flat = np.concatenate(hashed)
+    hashed.clear()
+    words, tokens, count = np.unique(flat, return_inverse=True, return_counts=True)
     order = np.argsort(-count, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
@@ -80,6 +81,33 @@ def dealt_pairs(words, lengths, tokens, train, parts: int, hot: dict[int, tuple[
     return v[order], w[order], count[order], np.searchsorted(part[order].astype(np.int64), np.arange(parts + 1)), rank[where]
 
 
+def shrink(a: np.ndarray) -> bytes:
+    """Counts in the narrowest unsigned type that holds them, after its width."""
+    width = next(k for k in (1, 2, 4, 8) if k == 8 or a.max(initial=0) < 1 << 8 * k)
+    return bytes([width]) + a.astype(f"<u{width}").tobytes()
+
+
+def grown(d: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    width = d[at]
+    return np.frombuffer(d, f"<u{width}", n, at + 1).astype(np.int64), at + 1 + n * width
+
+
+def pairs_message(v: np.ndarray, w: np.ndarray, count: np.ndarray) -> bytes:
+    """Pairs sorted by (v, w): distinct contexts and their sizes, distinct words and places among them, counts."""
+    contexts, sizes = np.unique(v, return_counts=True)
+    words, place = np.unique(w, return_inverse=True)
+    return np.array([len(contexts), len(words), len(w)], "<i8").tobytes() + contexts.tobytes() + words.tobytes() + shrink(sizes) + shrink(place) + shrink(count)
+
+
+def read_pairs(d: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    k, m, n = np.frombuffer(d, "<i8", 3).tolist()
+    at = 24 + 8 * (k + m)
+    sizes, at = grown(d, at, k)
+    place, at = grown(d, at, n)
+    count, _ = grown(d, at, n)
+    return np.repeat(np.frombuffer(d, U, k, 24), sizes), np.frombuffer(d, U, m, 24 + 8 * k)[place], count
+
+
 MESSAGE = "part int, block long, data binary"
 _MESSAGE = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("data", pa.binary())])
 _BLOCK = ("block", "words", "lengths", "tokens", "train")
@@ -107,7 +135,7 @@ def make_blocks(docs: DataFrame, id_col: str, text_col: str, is_train: F.Column)
             for first, part in text_chunks(batch.select(["_text"]), "_text"):
                 ids.append(batch.column(0).slice(first, len(part)))
                 train += flags[first : first + len(part)]
-                texts += part
+                texts += [np.append(w, END) for w in word_hashes(part)]
                 size += sum(map(len, part))
                 if size >= BLOCK_BYTES:
                     yield flush()
@@ -134,16 +162,16 @@ def score_texts(docs: DataFrame, is_train: F.Column, id_col: str = "doc_id", tex
         for batch in batches:
             for row in batch.to_pylist():
                 words, lengths, tokens, train = unpack(row)
-                count = np.bincount(tokens, np.repeat(train, lengths), len(words)).astype("<u4")
+                count = np.bincount(tokens, np.repeat(train, lengths), len(words)).astype(np.int64)
                 order, cuts = dealt_words(words, parts)
                 for p in np.flatnonzero(np.diff(cuts)):
                     own = order[cuts[p] : cuts[p + 1]]
-                    yield pa.RecordBatch.from_pylist([{"part": int(p), "block": row["block"], "data": words[own].tobytes() + count[own].tobytes()}], schema=_MESSAGE)
+                    yield pa.RecordBatch.from_pylist([{"part": int(p), "block": row["block"], "data": len(own).to_bytes(8, "little") + words[own].tobytes() + shrink(count[own])}], schema=_MESSAGE)
 
     def add_words(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = [len(d) // 12 for d in pdf["data"]]
-        words, where = np.unique(np.concatenate([np.frombuffer(d[: 8 * n], U) for d, n in zip(pdf["data"], sizes)]), return_inverse=True)
-        count = np.bincount(where, np.concatenate([np.frombuffer(d[8 * n :], "<u4") for d, n in zip(pdf["data"], sizes)]), len(words)).astype(np.int64)
+        sizes = [int.from_bytes(d[:8], "little") for d in pdf["data"]]
+        words, where = np.unique(np.concatenate([np.frombuffer(d, U, n, 8) for d, n in zip(pdf["data"], sizes)]), return_inverse=True)
+        count = np.bincount(where, np.concatenate([grown(d, 8 + 8 * n, n)[0] for d, n in zip(pdf["data"], sizes)]), len(words)).astype(np.int64)
         answers = [count[w].astype("<i8").tobytes() for w in np.split(where, np.cumsum(sizes)[:-1])]
         tail = np.flatnonzero(count * (HOT * parts) > total)
         often = b"".join((words[tail].tobytes(), count[tail].tobytes()))
@@ -164,35 +192,32 @@ def score_texts(docs: DataFrame, is_train: F.Column, id_col: str = "doc_id", tex
                 v, w, count, cuts, _ = dealt_pairs(*unpack(row), parts, hot)
                 for p in np.flatnonzero(np.diff(cuts)):
                     s = slice(cuts[p], cuts[p + 1])
-                    contexts, n = np.unique(v[s], return_counts=True)
-                    data = np.array([len(contexts), cuts[p + 1] - cuts[p]], "<i8").tobytes() + contexts.tobytes() + w[s].tobytes() + n.astype("<u4").tobytes() + count[s].astype("<u4").tobytes()
-                    yield pa.RecordBatch.from_pylist([{"part": int(p), "block": row["block"], "data": data}], schema=_MESSAGE)
+                    yield pa.RecordBatch.from_pylist([{"part": int(p), "block": row["block"], "data": pairs_message(v[s], w[s], count[s])}], schema=_MESSAGE)
 
     def answer_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        vs, ws, cs = [], [], []
-        for d in pdf["data"]:
-            k, n = np.frombuffer(d, "<i8", 2)
-            sizes = np.frombuffer(d, "<u4", k, 16 + 8 * (k + n))
-            vs.append(np.repeat(np.frombuffer(d, U, k, 16), sizes))
-            ws.append(np.frombuffer(d, U, n, 16 + 8 * k))
-            cs.append(np.frombuffer(d, "<u4", n, 16 + 8 * (k + n) + 4 * k))
-        v, w, c = np.concatenate(vs), np.concatenate(ws), np.concatenate(cs)
-        seen = c > 0
-        order = np.flatnonzero(seen)[np.lexsort((w[seen], v[seen]))]
-        v, w, c = v[order], w[order], c[order].astype(np.int64)
+        got = [read_pairs(d) for d in pdf["data"]]
+        bounds = np.cumsum([len(x[0]) for x in got])[:-1]
+        v, w, c = (np.concatenate(x) for x in zip(*got))
+        del got
+        order = np.lexsort((w, v))
+        v, w = v[order], w[order]
         new = np.ones(len(v), bool)
         new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
         at = np.flatnonzero(new)
-        v, w, c = v[at], w[at], np.add.reduceat(c, at) if len(at) else c
-        contexts, where = np.unique(v, return_inverse=True)
-        base = np.bincount(where, c, len(contexts))
-        for i, x in enumerate(contexts):
+        where = np.empty(len(order), np.int64)  # of each asked pair, its place among the distinct ones
+        where[order] = np.cumsum(new) - 1
+        v, w, c = v[at], w[at], np.add.reduceat(c[order], at)
+        seen = c > 0
+        contexts, own = np.unique(v[seen], return_inverse=True)
+        base = np.bincount(own, c[seen], len(contexts))
+        for i, x in enumerate(contexts if hot else ()):
             if int(x) in hot:
                 base[i] = hot[int(x)][1]
-        trie = BigramTrie.build(v, w, np.log10(c / (base[where] + PRIOR))).mapped()
+        trie = BigramTrie.build(v[seen], w[seen], np.log10(c[seen] / (base[own] + PRIOR))).mapped()
+        codes = trie.lookup(v, w)  # one pass over the trie for the questions of all blocks
         book = np.asarray(trie.book, "<f4").tobytes()
         head = len(book).to_bytes(4, "little") + book
-        return pd.DataFrame({"part": pdf["part"], "block": pdf["block"], "data": [head + trie.lookup(a, b).tobytes() for a, b in zip(vs, ws)]})
+        return pd.DataFrame({"part": pdf["part"], "block": pdf["block"], "data": [head + codes[x].tobytes() for x in np.split(where, bounds)]})
 
     found = blocks.select(*_BLOCK).mapInArrow(send_pairs, MESSAGE).groupBy("part").applyInPandas(answer_pairs, MESSAGE)
     answers = counted.select(F.lit(0).alias("kind"), "part", "block", "data").unionByName(found.select(F.lit(1).alias("kind"), "part", "block", "data"))
