@@ -27,6 +27,21 @@ def id_hash(col, mod: int) -> F.Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores added until no column of df has it."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def bounded_sample(df: DataFrame, key: str, rows: int, seed: int, eligible: int) -> DataFrame:
+    """At most `rows` rows of df in the order of a seeded hash of key (equal keys together). A hash threshold from the number
+    of eligible rows comes first, so tasks send on few rows whatever their number."""
+    share = min(1.0, (1.5 * rows + 1000) / max(eligible, 1))
+    h = F.xxhash64(F.lit(seed), F.col(key))
+    return df.where(h <= min(2**63 - 1, int(share * 2**64) - 2**63)).orderBy(h, key).limit(rows)
+
+
 def text_chunks(batch: pa.RecordBatch, col: str = "text", max_bytes: int = 1 << 20):
     """Yield (first row, list of UTF-8 bytes) for slices of a batch; a slice ends once it holds max_bytes."""
     values = batch.column(batch.schema.get_field_index(col))

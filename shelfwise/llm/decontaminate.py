@@ -10,14 +10,12 @@ over the documents for each slice, so nothing limits their number.
 from __future__ import annotations
 
 import re
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_chunks
+from .common import documents, free_name, text_chunks
 from .repeats import gram_hashes
 
 Q = 8
@@ -138,7 +136,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     keep = [c for c in docs.columns if c not in (text_col, "leaks")]
     head = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     sc = docs.sparkSession.sparkContext
-    frame = docs.select(*keep, F.col(text_col).alias("_text"), F.expr("cast(array() as array<struct<item_id:long,edits:int>>)").alias("leaks"))
+    hidden = free_name(docs, "_text")
+    frame = docs.select(*keep, F.col(text_col).alias(hidden), F.expr("cast(array() as array<struct<item_id:long,edits:int>>)").alias("leaks"))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32())]))
     for s in range(slices):
         rows = usable.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == s).distinct().collect()  # about SLICE_BYTES
@@ -149,7 +148,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             for batch in batches:
                 old = batch.column(batch.schema.get_field_index("leaks"))
                 out = []
-                for first, texts in text_chunks(batch.select(["_text"]), "_text", 1 << 20):
+                for first, texts in text_chunks(batch.select([hidden]), hidden):
                     for i, got in enumerate(index.value.search([reduced(b) for b in texts])):
                         best = {x["item_id"]: x["edits"] for x in old[first + i].as_py()}
                         for x, e in got:
@@ -157,8 +156,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                         out.append([{"item_id": x, "edits": e} for x, e in sorted(best.items())])
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, kind)], names=batch.schema.names)
 
-        frame = frame.mapInArrow(run, head + "_text string, leaks array<struct<item_id:long,edits:int>>")
-    return frame.select(*keep, F.col("_text").alias(text_col), "leaks")
+        frame = frame.mapInArrow(run, head + f"`{hidden}` string, leaks array<struct<item_id:long,edits:int>>")
+    return frame.select(*keep, F.col(hidden).alias(text_col), "leaks")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_hash, text_chunks
+from .common import bounded_sample, documents, free_name, id_hash, text_chunks
 
 #: Bound of the training sample.
 TRAIN_ROWS = 20_000
@@ -56,15 +56,16 @@ def statistics(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """The columns `keep` of df and one double column per statistic of the whole text (null counts as empty).
     Columns of df that are named as a statistic's are left out."""
     keep = [c for c in keep if c not in {f"s_{s}" for s in STATS}]
+    own = text_col if text_col in keep else free_name(df, "_text")
 
     def run(batches):
         for batch in batches:
-            rows = [stats_of(b) for _, texts in text_chunks(batch, "_text" if text_col not in keep else text_col) for b in texts]
+            rows = [stats_of(b) for _, texts in text_chunks(batch, own) for b in texts]
             cols = np.array(rows, np.float64).reshape(len(rows), len(STATS)).T
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(c) for c in cols)], names=[*keep, *(f"s_{s}" for s in STATS)])
 
     head = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    extra = [] if text_col in keep else [F.col(text_col).alias("_text")]
+    extra = [] if text_col in keep else [F.col(text_col).alias(own)]
     return df.select(*keep, *extra).mapInArrow(run, ", ".join(filter(None, [head, *(f"s_{s} double" for s in STATS)])))
 
 
@@ -193,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: F.Column, rows: int = TRAI
     """Fit on at most `rows` labelled rows (doc_id, quality) where `usable` holds on doc_id, in a seeded hash order.
     Null labels and ids are left out; a doc_id that repeats among the labels counts each time, up to the bound."""
     ids = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & usable).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    ids = ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "quality").limit(rows)
+    ids = bounded_sample(ids, "doc_id", rows, seed, ids.count())
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most `rows` ids
     got = statistics(picked, "text", ["doc_id", "quality"]).toPandas().sort_values(["doc_id", "quality"], ignore_index=True).iloc[: 2 * rows]
     x = got[[f"s_{s}" for s in STATS]].to_numpy(np.float64)

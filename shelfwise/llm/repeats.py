@@ -303,8 +303,9 @@ def remove_repeats(docs: DataFrame, keep: list[str], text_col: str = "text", spa
     """
     spans = materialize(find_repeats(docs, text_col, span, gram), "spans")
     n = spans.count()
-    text = F.coalesce(F.col(text_col), F.lit("")).alias("_text")
-    joined = docs.select(*keep, text, *_key(F.col(text_col))).join(small(spans, n, 200), ["k1", "k2"], "left")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    kept = F.struct(*keep).alias("kept")  # in a struct, so their names cannot clash
+    joined = docs.select(kept, text.alias("_text"), *_key(F.col(text_col))).join(small(spans, n, 200), ["k1", "k2"], "left")
 
     def run(batches):
         for batch in batches:
@@ -327,11 +328,11 @@ def remove_repeats(docs: DataFrame, keep: list[str], text_col: str = "text", spa
                     for c, v in zip(cols, (len(b), gone, runs, hashlib.sha256(left).hexdigest(), left if with_text else None)):
                         c.append(v)
             arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())] + [pa.array(cols[4], pa.binary())] * with_text
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *arrays], names=[*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text])
+            yield pa.RecordBatch.from_arrays([*(batch.column(0).field(i) for i in range(len(keep))), *arrays], names=[*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text])
 
     head = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     tail = ", kept_text binary" if with_text else ""
-    return joined.select(*keep, "_text", "spans").mapInArrow(run, head + "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + tail)
+    return joined.select("kept", "_text", "spans").mapInArrow(run, head + "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + tail)
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
