@@ -10,7 +10,8 @@ from pyspark.sql import SparkSession
 
 from . import __version__
 from .config import FileOutput, Filter, InvalidCatalog, PostFilter, Preference, allowed
-from .functions.files import output_types
+from .functions.files import ByteSize, output_types
+from .functions.tables import materialize
 from .operators.filters import built_in_excludes, patterns_of
 from .operators.headers import load_detector
 from .operators.matching import choose_sources, match_roms, rom_rows
@@ -18,6 +19,7 @@ from .plans.execute import run_plan
 from .plans.files import plan_files
 from .plans.render import MODES, name_list, rebuild, render
 from .plans.selection import select_best
+from .sources.archives import Tools
 from .sources.catalog import games, read_documents
 from .sources.config import load_app_config, load_patterns, load_regions
 from .sources.files import also_scanned, list_files, scan, size_bounds
@@ -67,6 +69,15 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--no-all", action="store_true")
     for k in ("prioritize-languages", "early-versions", "early-revisions", "early-prereleases", "prefer-prereleases", "prefer-parents", "copy-raw-zip", "debug"):
         p.add_argument(f"--{k}", action="store_true")
+    for k in ("scan-threads", "copy-threads"):
+        p.add_argument(f"--{k}", type=int, help="tasks; by default as Spark deals the files")
+    for k in ("scan-buffer", "scan-max-buffer", "copy-buffer"):
+        p.add_argument(f"--{k}", type=ByteSize.parse, help="accepted; files are read whole or in fixed pieces")
+    p.add_argument("--unrar-exec")
+    p.add_argument("--7z-exec", dest="seven_zip_exec")
+    force = p.add_mutually_exclusive_group()
+    force.add_argument("--force-unrar", action="store_true")
+    force.add_argument("--force-7z", dest="force_seven_zip", action="store_true")
     p.add_argument("--region-data")
     p.add_argument("--detectors")
     p.add_argument("--config")
@@ -96,7 +107,9 @@ def run(spark: SparkSession, a: argparse.Namespace, show=print) -> int:
         raise InvalidCatalog("an output folder needs an input folder")
     if a.out_dir and (a.out_file or a.out_mode):
         raise InvalidCatalog("choose either an output folder or text output")
-    raw_zip = a.copy_raw_zip or load_app_config(a.config).copier.allow_raw_zip_copy
+    app = load_app_config(a.config)
+    raw_zip = a.copy_raw_zip or app.copier.allow_raw_zip_copy
+    tools = Tools(a.unrar_exec or app.scanner.custom_unrar_path, a.seven_zip_exec or app.scanner.custom_seven_zip_path, a.force_unrar or app.scanner.force_unrar, a.force_seven_zip or app.scanner.force_seven_zip)
     docs = read_documents(spark, a.catalogs)
     catalog = games(docs)
     f, post, p = options(a)
@@ -105,13 +118,18 @@ def run(spark: SparkSession, a: argparse.Namespace, show=print) -> int:
         names = [r[0] for r in catalog.select("detector").where("detector is not null").distinct().collect()]
         detectors = [load_detector(n, a.detectors) for n in sorted(names)]
         roms = rom_rows(catalog)
-        scanned = scan(list_files(spark, a.in_dir), size_bounds(roms, detectors), detectors, also_scanned(roms))
+        files = list_files(spark, a.in_dir)
+        threads = a.scan_threads or app.scanner.threads
+        scanned = scan(files.repartition(threads) if threads else files, size_bounds(roms, detectors), detectors, also_scanned(roms), tools)
+        scanned = materialize(scanned, "scan")  # hashed once, though matching reads it several times
     text_catalog = a.out_mode is not None
     best = select_best(catalog, f, p, post, scanned, load_regions(a.region_data), text_catalog)
     if a.out_dir:
         out = FileOutput(a.out_dir, a.archive, a.alphabetic, a.force_subfolder)
         chosen = choose_sources(match_roms(rom_rows(best), scanned), out.archive_type is not None)
-        for r in run_plan(plan_files(best, chosen, out), raw_zip).where("status <> 'OK'").toLocalIterator():
+        plan, threads = plan_files(best, chosen, out), a.copy_threads or app.copier.threads
+        plan = plan.repartition(threads, "to_path") if threads else plan
+        for r in run_plan(plan, raw_zip, tools).where("status <> 'OK'").toLocalIterator():
             print(f"{r['from_path']} -> {r['to_path']}: {r['message']}", file=sys.stderr)
         return 0
     if text_catalog:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.archives import Entry, raw_zip_copy, read_archive, write_archive, write_file
+from ..sources.archives import Entry, Tools, raw_zip_copy, read_archive, write_archive, write_file
 
 RESULT = "kind string, from_path string, to_path string, status string, message string"
 
@@ -25,20 +25,20 @@ def _entry_of(path: str, name: str) -> Entry:
         return Entry(name, f.read(), os.stat(local(path)).st_mtime)
 
 
-def _read(path: str, kind: str, names: dict[str, str]) -> list[Entry]:
+def _read(path: str, kind: str, names: dict[str, str], tools: Tools) -> list[Entry]:
     with open(local(path), "rb") as f:
-        got = read_archive(kind, f.read(), list(names))
+        got = read_archive(kind, f.read(), list(names), tools)
         return [Entry(names[e.name], e.data, e.mtime, e.atime, e.ctime) for e in got]
 
 
-def perform(kind: str, specs: list[dict], raw_zip: bool = False) -> None:
+def perform(kind: str, specs: list[dict], raw_zip: bool = False, tools: Tools = Tools()) -> None:
     """One spec, or for a target archive all specs that write into it."""
     first = specs[0]
     if kind == "copy":
         os.makedirs(os.path.dirname(local(first["to_path"])) or ".", exist_ok=True)
         shutil.copy2(local(first["from_path"]), local(first["to_path"]))
     elif kind == "extract":
-        for e in _read(first["from_path"], first["from_type"], {x["from_name"].replace("\\", "/"): x["to_name"] for x in first["entries"]}):
+        for e in _read(first["from_path"], first["from_type"], {x["from_name"].replace("\\", "/"): x["to_name"] for x in first["entries"]}, tools):
             write_file(local(e.name), e.data, (e.atime or e.mtime, e.mtime) if e.mtime else None)
     else:
         unchanged = all(x["from_name"] == x["to_name"] for s in specs for x in s["entries"])
@@ -50,13 +50,13 @@ def perform(kind: str, specs: list[dict], raw_zip: bool = False) -> None:
             if s["kind"] == "compress":
                 got = [_entry_of(x["from_name"], x["to_name"]) for x in s["entries"]]
             else:
-                got = _read(s["from_path"], s["from_type"], {x["from_name"].replace("\\", "/"): x["to_name"] for x in s["entries"]})
+                got = _read(s["from_path"], s["from_type"], {x["from_name"].replace("\\", "/"): x["to_name"] for x in s["entries"]}, tools)
             for e in got:
                 out.setdefault(e.name, e)
         write_file(local(first["to_path"]), write_archive(first["to_type"], out.values()))
 
 
-def run_plan(plan: DataFrame, raw_zip: bool = False) -> DataFrame:
+def run_plan(plan: DataFrame, raw_zip: bool = False, tools: Tools = Tools()) -> DataFrame:
     """Status rows of all specs. Specs that write one archive meet in one task; every other spec is a task of its own."""
     unique = plan.dropDuplicates(["kind", "from_path", "to_path", "to_type", "entries"])
     key = F.when(F.col("to_type").isNotNull(), F.col("to_path")).otherwise(F.concat_ws("|", "kind", "from_path", "to_path"))
@@ -66,7 +66,7 @@ def run_plan(plan: DataFrame, raw_zip: bool = False) -> DataFrame:
         specs = [{k: None if isinstance(v, float) else v for k, v in s.items()} for s in specs]
         status, message = "OK", None
         try:
-            perform(specs[0]["kind"], specs, raw_zip)
+            perform(specs[0]["kind"], specs, raw_zip, tools)
         except Exception as e:  # reported, so that the other specs go on
             status, message = "FAILED", f"{type(e).__name__}: {e}"
         return pd.DataFrame([{"kind": s["kind"], "from_path": s["from_path"], "to_path": s["to_path"], "status": status, "message": message} for s in specs])

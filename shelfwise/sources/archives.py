@@ -8,6 +8,7 @@ import io
 import lzma
 import os
 import shutil
+import struct
 import subprocess
 import tarfile
 import tempfile
@@ -55,6 +56,99 @@ CODECS = {
 }
 
 
+#: Seconds from the epoch of Windows file times (1601) to that of Unix times.
+WINDOWS_EPOCH = 11_644_473_600
+
+
+def windows_time(seconds: float) -> int:
+    """100-nanosecond ticks since 1601, to the microsecond."""
+    return (round(seconds * 1_000_000) + WINDOWS_EPOCH * 1_000_000) * 10
+
+
+def unix_time(ticks: int) -> float:
+    return ticks // 10 / 1_000_000 - WINDOWS_EPOCH
+
+
+def time_field(e: Entry) -> bytes:
+    """A zip extra field with the entry's times: whole seconds where all fit 31 bits and have no fraction, else NTFS times."""
+    times = [e.mtime, e.atime, e.ctime]
+    given = [t for t in times if t is not None]
+    if not given:
+        return b""
+    if all(0 <= t <= 2**31 - 1 and t == int(t) for t in given):
+        body = bytes([sum(1 << i for i, t in enumerate(times) if t is not None)]) + b"".join(int(t).to_bytes(4, "little") for t in given)
+        return struct.pack("<HH", 0x5455, len(body)) + body
+    ticks = [0 if t is None else windows_time(t) for t in times]
+    return struct.pack("<HHIHHQQQ", 0x000A, 32, 0, 1, 24, *ticks)
+
+
+def times_of(extra: bytes) -> tuple[float | None, float | None, float | None]:
+    """(mtime, atime, ctime) of a zip extra field; NTFS times win over whole seconds."""
+    out: list[float | None] = [None, None, None]
+    found = {}
+    while len(extra) >= 4:
+        kind, n = struct.unpack_from("<HH", extra)
+        found[kind], extra = extra[4 : 4 + n], extra[4 + n :]
+    if body := found.get(0x5455):
+        at = 1
+        for i in range(3):
+            if body[0] >> i & 1 and at + 4 <= len(body):
+                out[i] = float(int.from_bytes(body[at : at + 4], "little", signed=True))
+                at += 4
+    if (body := found.get(0x000A)) and len(body) >= 32 and body[4:8] == b"\x01\x00\x18\x00":
+        ticks = struct.unpack_from("<QQQ", body, 8)
+        out = [unix_time(t) if t else old for t, old in zip(ticks, out)]
+    return out[0], out[1], out[2]
+
+
+@dataclass(frozen=True)
+class Tools:
+    """Which tools read what the standard library cannot; forcing both rar tools disables reading by either."""
+
+    unrar: str | None = None
+    seven_zip: str | None = None
+    force_unrar: bool = False
+    force_seven_zip: bool = False
+
+    def command(self, kind: str, archive: str, folder: str) -> list[str] | None:
+        """The command that unpacks an archive into a folder or streams it as tar, or None: unrar before 7z for rar, unless forced."""
+        unrar, seven = self.unrar or tool("unrar"), self.seven_zip or tool("7z") or tool("7zz")
+        if kind == "rar" and self.force_unrar and self.force_seven_zip:
+            return None
+        if kind == "rar" and unrar and not self.force_seven_zip:
+            return [unrar, "x", "-inul", "-y", archive, folder + "/"]
+        if seven and not (kind == "rar" and self.force_unrar):
+            return [seven, "x", "-bd", "-y", f"-o{folder}", archive]
+        if tool("bsdtar") and not (kind == "rar" and (self.force_unrar or self.force_seven_zip)):
+            return [tool("bsdtar"), "-c", "-f", "-", "--format", "pax", f"@{archive}"]  # a stream in physical order
+        return None
+
+
+def _unpacked(kind: str, data: bytes, tools: Tools) -> Iterator[Entry]:
+    with tempfile.TemporaryDirectory() as folder:
+        packed, inside = os.path.join(folder, f"a.{kind}"), os.path.join(folder, "x")
+        os.mkdir(inside)
+        with open(packed, "wb") as f:  # the formats need seeking
+            f.write(data)
+        command = tools.command(kind, packed, inside)
+        if command is None:
+            raise Unsupported(f"no tool reads {kind} archives here")
+        out = subprocess.run(command, capture_output=True)
+        if out.returncode:
+            raise ValueError(out.stderr.decode(errors="replace").strip()[:300] or "unreadable archive")
+        if out.stdout.strip() and command[0] == tool("bsdtar"):
+            yield from _tar_entries(io.BytesIO(out.stdout))
+            return
+        for top, folders, names in os.walk(inside):
+            folders.sort()
+            for n in sorted(names):
+                path = os.path.join(top, n)
+                if os.path.isfile(path) and not os.path.islink(path):
+                    with open(path, "rb") as f:
+                        st = os.stat(path)
+                        yield Entry(os.path.relpath(path, inside), f.read(), st.st_mtime, st.st_atime)
+
+
 def _tar_entries(stream) -> Iterator[Entry]:
     with tarfile.open(fileobj=stream, mode="r|") as t:
         for m in t:
@@ -63,35 +157,28 @@ def _tar_entries(stream) -> Iterator[Entry]:
                 yield Entry(m.name, t.extractfile(m).read(), float(m.mtime), pax("atime"), pax("ctime"))
 
 
-def entries(kind: str, data: bytes) -> Iterator[Entry]:
-    """All regular entries in physical order; directories and symbolic links are skipped."""
+def entries(kind: str, data: bytes, tools: Tools = Tools()) -> Iterator[Entry]:
+    """All regular entries in physical order (in name order where unrar or 7z unpack them); no folders, no links."""
     if kind == "zip":
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for i in sorted(z.infolist(), key=lambda i: i.header_offset):
                 if not i.is_dir() and (i.external_attr >> 16) & 0o170000 != 0o120000:
-                    yield Entry(i.filename, z.read(i), datetime(*i.date_time).timestamp() if i.date_time[0] >= 1980 else None)
+                    m, a, c = times_of(i.extra)
+                    yield Entry(i.filename, z.read(i), datetime(*i.date_time).timestamp() if m is None and i.date_time[0] >= 1980 else m, a, c)
     elif kind == "tar":
         yield from _tar_entries(io.BytesIO(data))
     elif kind.startswith("tar."):
         yield from _tar_entries(io.BytesIO(CODECS[kind[4:]][0](data)))
     elif kind in ("7z", "rar"):
-        if not tool("bsdtar"):
-            raise Unsupported(f"{kind} needs the bsdtar tool")
-        with tempfile.NamedTemporaryFile() as f:  # the formats need seeking
-            f.write(data)
-            f.flush()
-            out = subprocess.run([tool("bsdtar"), "-c", "-f", "-", "--format", "pax", f"@{f.name}"], capture_output=True)
-        if out.returncode:
-            raise ValueError(out.stderr.decode(errors="replace").strip()[:300] or "unreadable archive")
-        yield from _tar_entries(io.BytesIO(out.stdout))
+        yield from _unpacked(kind, data, tools)
     else:
         raise Unsupported(f"no reader for {kind}")
 
 
-def read_archive(kind: str, data: bytes, names: list[str] | None = None) -> Iterator[Entry]:
+def read_archive(kind: str, data: bytes, names: list[str] | None = None, tools: Tools = Tools()) -> Iterator[Entry]:
     """Entries, or only those named, in physical order whatever the order of names; names that are missing raise."""
     left = None if names is None else {n.replace("\\", "/") for n in names}
-    for e in entries(kind, data):
+    for e in entries(kind, data, tools):
         if left is None:
             yield e
         elif e.name in left:
@@ -110,7 +197,7 @@ def write_archive(kind: str, items: Iterable[Entry]) -> bytes:
             for e in items:
                 when = datetime.fromtimestamp(e.mtime).timetuple()[:6] if e.mtime and e.mtime >= 315619200 else (1980, 1, 1, 0, 0, 0)
                 info = zipfile.ZipInfo(e.name, when)
-                info.compress_type, info.external_attr = zipfile.ZIP_DEFLATED, 0o644 << 16
+                info.compress_type, info.external_attr, info.extra = zipfile.ZIP_DEFLATED, 0o644 << 16, time_field(e)
                 z.writestr(info, e.data)
         return out.getvalue()
     if kind == "tar" or kind[4:] in CODECS:

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import mmap
 import zlib
+from urllib.parse import unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.files import archive_type, archive_type_of, digests
-from ..operators.headers import EOF, Detector, scan_bounds, strip_header
+from ..operators.headers import EOF, SWAPS, Detector, Rule, RuleError, scan_bounds, strip_header
 from ..schema import SCAN
-from .archives import entries
+from .archives import Tools, entries
 
 COLUMNS = [c.split()[0] for c in SCAN.split(", ")]
 
@@ -42,20 +44,52 @@ def _row(kind, path, data: bytes, detectors, inner=None) -> dict:
     }
 
 
-def scan(files: DataFrame, bounds: tuple[int, int] = (0, EOF), detectors: list[Detector] = (), also: list[str] = ()) -> DataFrame:
+#: Files over this size are hashed by path in pieces; smaller ones come as a binary column.
+LARGE = 1 << 30
+PIECE = 8 << 20
+
+
+def _large_row(path: str, detectors: list[Detector]) -> dict:
+    """The row of a large plain file, read through the executors' file system in pieces."""
+    name = unquote(urlparse(path).path) if path.startswith("file:") else path
+    row = dict.fromkeys(COLUMNS) | {"path": path, "status": "OK"}
+    try:
+        with open(name, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            rule = next((r for d in detectors for r in d.rules if r.holds(data)), None)
+            start, end = rule.bounds(len(data)) if rule else (0, len(data))
+            sums, crc = [hashlib.md5(), hashlib.sha1(), hashlib.sha256()], 0
+            if rule and rule.operation in SWAPS and (end - start) % 4:
+                raise RuleError(f"{end - start} bytes are no multiple of 4")
+            for at in range(start, end, PIECE):
+                part = data[at : min(end, at + PIECE)]
+                part = Rule(operation=rule.operation).apply(part) if rule else part
+                crc = zlib.crc32(part, crc)
+                for h in sums:
+                    h.update(part)
+            return row | {"size": len(data), "unheadered_size": end - start, "crc": f"{crc:08x}", **{k: h.hexdigest() for k, h in zip(("md5", "sha1", "sha256"), sums)}}
+    except Exception as e:  # one unreadable file must not stop a scan
+        return row | {"status": "FAILED", "message": f"{type(e).__name__}: {e}"}
+
+
+def scan(files: DataFrame, bounds: tuple[int, int] = (0, EOF), detectors: list[Detector] = (), also: list[str] = (), tools: Tools = Tools(), large: int = LARGE) -> DataFrame:
     """Scan rows of files (path, length, content): one per plain file and per archive entry within bounds.
 
     Files whose names are an archive's are read as archives; one that cannot be read is scanned as a plain file, with the
     failure in `message`. Loose files without detectors are hashed by native expressions, everything else in batches of
     Python. The bounds prune files before their content is read; archives are read whatever their size, their entries
-    pruned one by one.
+    pruned one by one. Plain files over `large` bytes are read by path, in pieces.
     """
     lo, hi = bounds
     kind = archive_type(F.col("path"))
     plain = files.where(F.col("length").between(lo, hi))
-    loose, packed = plain.where(kind.isNull()), files.where(kind.isNotNull())
+    every, packed = plain.where(kind.isNull()), files.where(kind.isNotNull())
+    loose, huge = every.where(F.col("length") <= large), every.where(F.col("length") > large)
     detectors, also = list(detectors), set(also)
 
+    def by_path(frames):
+        for pdf in frames:
+            yield pd.DataFrame([_large_row(p, detectors) for p in pdf["path"]], columns=COLUMNS)
+
     def run(frames):
         for pdf in frames:
             rows = []
@@ -66,18 +100,19 @@ def scan(files: DataFrame, bounds: tuple[int, int] = (0, EOF), detectors: list[D
                     continue
                 failed = None
                 try:
-                    rows += [_row(t, path, e.data, detectors, e.name) for e in entries(t, data) if lo <= len(e.data) <= hi]
+                    rows += [_row(t, path, e.data, detectors, e.name) for e in entries(t, data, tools) if lo <= len(e.data) <= hi]
                 except Exception as e:  # any broken archive must not stop a scan
                     failed = f"{type(e).__name__}: {e}"
                 if (failed or t in also) and lo <= len(data) <= hi:
                     rows.append(_row(None, path, data, detectors) | ({"status": "FAILED", "message": failed} if failed else {}))
             yield pd.DataFrame(rows, columns=COLUMNS)
 
+    big = huge.select("path").mapInPandas(by_path, SCAN)
     if detectors:
-        return loose.unionByName(packed).select("path", "content").mapInPandas(run, SCAN)
+        return loose.unionByName(packed).select("path", "content").mapInPandas(run, SCAN).unionByName(big)
     d = digests(F.col("content"))
     native = loose.select(
         F.lit(None).cast("string").alias("archive_type"), "path", F.col("length").alias("size"), F.col("length").alias("unheadered_size"), *(d[k].alias(k) for k in ("crc", "md5", "sha1", "sha256")),
         F.lit(None).cast("string").alias("archive_path"), F.lit("OK").alias("status"), F.lit(None).cast("string").alias("message"),
     )
-    return native.unionByName(packed.select("path", "content").mapInPandas(run, SCAN))
+    return native.unionByName(packed.select("path", "content").mapInPandas(run, SCAN)).unionByName(big)

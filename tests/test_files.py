@@ -67,6 +67,20 @@ def test_archives(kind):
         A.write_archive("rar", items)
 
 
+def test_zip_times():
+    items = [A.Entry("a", b"1", 1.6e9, 1.7e9), A.Entry("b", b"2", 5e9, None, 1.5e9), A.Entry("c", b"3", 1.6e9 + 0.25), A.Entry("d", b"4")]
+    got = list(A.entries("zip", A.write_archive("zip", items)))
+    assert [(e.mtime, e.atime, e.ctime) for e in got[:3]] == [(1.6e9, 1.7e9, None), (5e9, None, 1.5e9), (1.6e9 + 0.25, None, None)]
+    assert A.unix_time(A.windows_time(0)) == 0 and A.windows_time(0) == 116444736000000000
+
+
+def test_tools():
+    t = A.Tools("/x/unrar", "/x/7z")
+    assert t.command("rar", "a", "d")[0] == "/x/unrar" and t.command("7z", "a", "d")[0] == "/x/7z"
+    assert A.Tools("/x/unrar", "/x/7z", force_seven_zip=True).command("rar", "a", "d")[0] == "/x/7z"
+    assert A.Tools("/x/unrar", "/x/7z", True, True).command("rar", "a", "d") is None
+
+
 def test_raw_zip():
     data = A.write_archive("zip", [A.Entry("a", b"x" * 1000), A.Entry("b", payload(500))])
     assert [(e.name, e.data) for e in A.entries("zip", A.raw_zip_copy(data, ["b"]))] == [("b", payload(500))]
@@ -94,6 +108,8 @@ def test_scan(spark, collection):
     assert [(r["status"], r["archive_type"]) for r in rows if "broken" in r["path"]] == [("FAILED", None)]
     plain = scan(list_files(spark, [str(base)])).where("archive_type is null and path like '%f0.bin'").first()
     assert (plain["md5"], plain["size"], plain["crc"]) == (hashlib.md5(files["f0.bin"]).hexdigest(), 1000, f"{__import__('zlib').crc32(files['f0.bin']):08x}")
+    big = scan(list_files(spark, [str(base)]), detectors=[H.load_detector("nes.xml")], large=10).where("archive_type is null and status = 'OK'").collect()
+    assert {r["sha1"] for r in big} == {hashlib.sha1(files[f"f{i}.bin"]).hexdigest() for i in range(3)}
     few = scan(list_files(spark, [str(base)]), (1001, 1003)).collect()
     assert sorted(r["size"] for r in few) == [1001, 1003]
 
