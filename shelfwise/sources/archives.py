@@ -195,7 +195,7 @@ def write_archive(kind: str, items: Iterable[Entry]) -> bytes:
     if kind == "zip":
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             for e in items:
-                when = datetime.fromtimestamp(e.mtime).timetuple()[:6] if e.mtime and e.mtime >= 315619200 else (1980, 1, 1, 0, 0, 0)
+                when = datetime.fromtimestamp(min(e.mtime, 4354732800)).timetuple()[:6] if e.mtime and e.mtime >= 315619200 else (1980, 1, 1, 0, 0, 0)  # the field ends with 2107
                 info = zipfile.ZipInfo(e.name, when)
                 info.compress_type, info.external_attr, info.extra = zipfile.ZIP_DEFLATED, 0o644 << 16, time_field(e)
                 z.writestr(info, e.data)
