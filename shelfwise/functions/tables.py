@@ -12,12 +12,17 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share, spark.checkpoint.dir. Where that is unset, as in local tests, a temporary
+    folder of this process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="shelfwise-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="shelfwise-"))
+        path = _own[0]
     return path.rstrip("/")
 
 
