@@ -22,19 +22,17 @@ def match_roms(roms: DataFrame, scan: DataFrame, sha256_first: bool = False) ->
     through to md5, then to (size, crc). Columns: rom columns, archive_type, path, archive_path, match_ord (1: first).
 
     scan: archive_type, path, archive_path, unheadered_size, crc, md5, sha1, sha256. Null keys never match; digests compare
-    without case. The present keys are found by semi-joins on distinct keys, so a key that many files share makes rows only
-    where it is the one that counts.
+    without case. Only files that no earlier key has matched go on to the next one, so a key makes rows only where it counts.
     """
     keyed = scan.select("archive_type", "path", "archive_path", F.col("unheadered_size").alias("size"), *(F.lower(k).alias(k) for k in ("crc", "md5", "sha1", "sha256")))
     levels = [["sha256"]] * sha256_first + [["sha1"], ["md5"], ["size", "crc"]]
     left, found = roms, None
     for keys in levels:
-        present = keyed.select(*keys).dropna().distinct()
-        hits = left.join(present, keys, "left_semi")
-        rows = hits.join(keyed.select(*keys, "archive_type", "path", "archive_path").dropna(subset=keys), keys)
+        there = keyed.select(*keys, "archive_type", "path", "archive_path").dropna(subset=keys)
+        rows = left.join(there, keys)
         rows = rows.select(*roms.columns, "archive_type", "path", "archive_path")
         found = rows if found is None else found.unionByName(rows)
-        left = left.join(present, keys, "left_anti")
+        left = left.join(there.select(*keys), keys, "left_anti")
     order = Window.partitionBy(*GAME, "rom_ord").orderBy(archive_ordinal(F.col("archive_type")), "path", F.col("archive_path").asc_nulls_first())
     return found.withColumn("match_ord", F.row_number().over(order))
 
