@@ -1,7 +1,7 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
-Texts are reduced to their lower-case letters and digits. An item of m characters that occurs with at most k edits shares
-at least m - Q + 1 - k * Q of its q-grams with the text on at most k + 1 neighbouring diagonals. Shared q-grams are counted
+Texts are reduced to their lower-case letters and digits. Long items are cut into overlapping windows, so that a part of an
+item is found too. A window of m characters that occurs with at most k edits shares at least m - Q + 1 - k * Q of its q-grams with the text on at most k + 1 neighbouring diagonals. Shared q-grams are counted
 in overlapping bands of 2 * (k + 1) diagonals, bands that reach the bound are kept, and each is verified by an alignment
 confined to the band. The items are a stated query set: they are sent to the executors in slices of bounded size, one pass
 over the documents for each slice, so nothing limits their number.
@@ -20,6 +20,8 @@ from .repeats import gram_hashes
 
 Q = 8
 EDITS = 0.1
+#: Items longer than WINDOW letters and digits are looked for in windows of WINDOW, one every STRIDE and one at the end.
+WINDOW, STRIDE = 120, 60
 #: Bytes of item texts in one pass.
 SLICE_BYTES = 4 << 20
 U = np.uint64
@@ -40,8 +42,14 @@ def edit_budget(m: int, edits: float = EDITS, q: int = Q) -> int:
     return max(0, min(int(edits * m), (m - q) // q))
 
 
+def windows(codes: np.ndarray) -> list[np.ndarray]:
+    if len(codes) <= WINDOW:
+        return [codes]
+    return [codes[a : a + WINDOW] for a in sorted({*range(0, len(codes) - WINDOW, STRIDE), len(codes) - WINDOW})]
+
+
 class ItemIndex:
-    """q-grams of a slice of items: sorted distinct hashes, a bitmap before them, and the (item, place) pairs of each."""
+    """q-grams of a slice of items' windows: sorted distinct hashes, a bitmap before them, and the (item, place) pairs of each."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], edits: float = EDITS, q: int = Q):
         self.q, self.ids = q, [i for i, _ in items]
@@ -125,7 +133,8 @@ def banded(item: np.ndarray, text: np.ndarray, first: int, width: int, budget: i
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: float = EDITS, q: int = Q) -> DataFrame:
     """One row per row of docs: the columns of docs but text_col's, and `leaks`, an array of (item_id, edits) by item_id.
 
-    An item leaks into a text if it occurs there, as letters and digits, within its edit budget. Items that are null or
+    An item leaks into a text if it, or one of its windows, occurs there, as letters and digits, within the edit budget;
+    `edits` is the least number found. Items that are null or
     have fewer than q letters and digits identify nothing and are left out; null and empty texts have no leaks; repeated
     rows and items each count for themselves (equal item_ids appear once, with their least edits). Columns of docs named
     `leaks` are replaced. An empty table of either side gives no leaks.
@@ -141,7 +150,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32())]))
     for s in range(slices):
         rows = usable.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == s).distinct().collect()  # about SLICE_BYTES
-        items = [(r["item_id"], c) for r in sorted(rows) if len(c := reduced(r["text"].encode())) >= q]
+        items = [(r["item_id"], w) for r in sorted(rows) if len(c := reduced(r["text"].encode())) >= q for w in windows(c)]
         index = sc.broadcast(ItemIndex(items, edits, q))
 
         def run(batches, index=index):

@@ -221,6 +221,8 @@ def sellers(item, text):
 
 def test_decontaminate(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SLICE_BYTES", 600)  # several passes
+    monkeypatch.setattr(decontaminate, "WINDOW", 60)
+    monkeypatch.setattr(decontaminate, "STRIDE", 30)
     rng = random.Random(9)
     item = lambda n: "".join(rng.choices("abcdefgh ij", k=n))
     items = [(k, item(rng.randint(30, 150)).upper()) for k in range(12)] + [(20, None), (21, ""), (22, "short"), (None, item(80)), (3, "A copy of the id 3 with another text, long enough.")]
@@ -239,8 +241,9 @@ def test_decontaminate(spark, monkeypatch):
         want = {}
         for k, s in items:
             m = norm(s)
-            if k is not None and len(m) >= decontaminate.Q and (d := sellers(m, norm(t))) <= decontaminate.edit_budget(len(m)):
-                want[k] = min(d, want.get(k, d))
+            for w in decontaminate.windows(list(m)) if k is not None and len(m) >= decontaminate.Q else ():
+                if (d := sellers(w, norm(t))) <= decontaminate.edit_budget(len(w)):
+                    want[k] = min(d, want.get(k, d))
         assert got[i] == want, (i, got[i], want)
     assert sum(map(bool, got.values())) > 20
     assert decontaminate.find_leaks(df.limit(0), bench).count() == 0
