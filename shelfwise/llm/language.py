@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_hash, text_chunks
+from .common import bounded_sample, documents, id_hash, text_chunks
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -113,8 +113,9 @@ def train(df: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col: str
     n = F.length(text)
     places = [F.when(n > WINDOW, F.pmod(F.xxhash64(F.lit(seed + i), F.lit(text_col), n), n - WINDOW)).otherwise(0).cast("int") + 1 for i in range(TRAIN_WINDOWS)]
     cut = F.array(*(F.substring(text, p, F.lit(WINDOW)) for p in places))
-    picked = df.where(usable & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}"))
-    got = picked.select(F.col(lang_col).alias("lang"), cut.alias("cut"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h")).orderBy("h", "lang").limit(rows).collect()
+    open_rows = df.where(usable & F.col(lang_col).isNotNull())
+    picked = open_rows.where(text.rlike(r"\p{L}")).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), cut.alias("cut"))
+    got = sorted(bounded_sample(picked, "id", rows, seed, open_rows.count()).select("lang", "cut").collect())
     classes = sorted({r["lang"] for r in got})
     if len(classes) < 2:
         return classes, None
