@@ -204,9 +204,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = family_links(trees, open_rows, sigs, keyed, shingle, percent)
         roots = materialize(components(first_links.unionByName(more)), "roots")
 
-    labelled = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(labelled.select("node", "root").join(lowest, "root").select("node", "component_id"), "named")
+    # nodes of components of two or more; the others' component is their own smallest id
+    grouped = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    grouped = materialize(grouped.join(nodes.select("node", "least"), "node"), "grouped")
+    lowest = materialize(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")
+    joined = materialize(grouped.join(small(lowest, lowest.count(), 64), "root").select("node", "component_id"), "joined")
+    named = nodes.select("node", "least").join(small(joined, joined.count(), 64), "node", "left")
+    named = materialize(named.select("node", F.coalesce("component_id", "least").alias("component_id")), "named")
     out = table.select("id", "n", "node").join(small(named, named.count(), 48), "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
