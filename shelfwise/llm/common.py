@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +61,21 @@ def text_chunks(batch: pa.RecordBatch, col: str = "text", max_bytes: int = 1 <<
         yield first, part
 
 
+WHITE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(b: bytes, size: int = 1 << 20):
+    """b in pieces of about size bytes that end after white space (longer where there is none)."""
+    at = 0
+    while len(b) - at > size:
+        cut = WHITE.search(b, at + size)
+        if cut is None:
+            break
+        yield b[at : cut.end()]
+        at = cut.end()
+    yield b[at:] if at else b
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (multiply and xor-shift), bijective on uint64."""
     x = x.astype(np.uint64, copy=True)

@@ -11,7 +11,6 @@ large groups never make all their pairs, no candidate is dropped, and every link
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pandas as pd
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, mix64, small, text_chunks
+from .common import documents, materialize, mix64, pieces, small, text_chunks
 from .components import components
 
 BANDS, ROWS = 24, 4
@@ -33,7 +32,6 @@ MUL = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint6
 ADD = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
 ODD = _rng.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-SPACE = re.compile(rb"[\x20\x09-\x0D]")
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POW = np.cumprod(np.concatenate([[np.uint64(1)], np.full(4095, 0x9E3779B97F4A7C15, np.uint64)]), dtype=np.uint64)
@@ -55,12 +53,7 @@ def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
             group.append(b)
             size += len(b)
             continue
-        parts, at = [], 0
-        while at < len(b):
-            cut = SPACE.search(b, min(len(b), at + PIECE))
-            end = cut.end() if cut else len(b)
-            parts += _hash_group([b[at:end]])
-            at = end
+        parts = [h for p in pieces(b, PIECE) for h in _hash_group([p])]
         out.append(np.concatenate(parts))
     return out + (_hash_group(group) if group else [])
 
@@ -343,3 +336,13 @@ def verify(pairs: DataFrame, sigs: DataFrame, keyed: DataFrame, shingle: int, pe
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(documents(spark, sf_dir), shingle=2)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(l) = 0 THEN [] WHEN len(l) = 1 THEN l ELSE list_distinct(list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) END AS l FROM w),
+u AS (SELECT doc_id, len(l) AS n, unnest(l) AS x FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, k.b FROM reach r JOIN links k ON r.b = k.a)
+SELECT s.doc_id, CAST(len(s.l) AS BIGINT) AS n_shingles, min(r.b) AS component_id, s.doc_id = min(r.b) AS kept FROM s JOIN reach r ON s.doc_id = r.a GROUP BY s.doc_id, s.l
+"""

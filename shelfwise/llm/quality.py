@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, documents, free_name, id_hash, text_chunks
+from .common import bounded_sample, documents, free_name, id_hash, pieces, text_chunks
 
 #: Bound of the training sample.
 TRAIN_ROWS = 20_000
@@ -37,18 +37,23 @@ def stats_of(b: bytes) -> list[float]:
     n = len(b)
     hist = np.bincount(np.frombuffer(b, np.uint8), minlength=256)
     kinds = np.bincount(KIND, hist, 7) / n
-    words = b.split()
-    m = max(1, len(words))
-    count = Counter(words)
+    count, pairs, size, total, top_size, caps, odd, long_ones, short_ones, m = Counter(), 0, 0, 0, 0, 0, 0, 0, 0, 0
+    for piece in pieces(b):  # repeated pairs are those within a piece, so a long text needs no more room
+        words = piece.split()
+        count.update(words)
+        pairs += len(set(zip(words, words[1:]))) + (total > 0 and len(words) > 0)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        total, size, top_size = total + len(words), size + int(sizes.sum()), max(top_size, int(sizes.max(initial=0)))
+        caps += sum(w.isupper() and len(w) > 1 for w in words)
+        odd += sum(not w.isalnum() and not w[:1].isalpha() and w[0] < 128 for w in words)
+        long_ones, short_ones = long_ones + int((sizes > 20).sum()), short_ones + int((sizes < 3).sum())
+    m = max(1, total)
     lines = [x for x in b.split(b"\n") if x.strip()]
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) if words else np.zeros(1, np.int64)
-    pairs = len(set(zip(words, words[1:])))
     p = hist[hist > 0] / n
     return [
-        float(np.log1p(n)), float(np.log1p(len(words))), float(sizes.mean()), *(float(kinds[k]) for k in range(1, 7)), hist[33] / n, hist[124] / n, (hist[46] + hist[63] + hist[33]) / m,
+        float(np.log1p(n)), float(np.log1p(total)), size / m, *(float(kinds[k]) for k in range(1, 7)), hist[33] / n, hist[124] / n, (hist[46] + hist[63] + hist[33]) / m,
         len(count) / m, max(count.values(), default=0) / m, n / max(1, len(lines)), 1 - len(set(lines)) / max(1, len(lines)),
-        sum(w.isupper() and len(w) > 1 for w in words) / m, sum(not w.isalnum() and not w[:1].isalpha() and w[0] < 128 for w in words) / m, float((sizes > 20).mean()), float((sizes < 3).mean()),
-        1 - pairs / max(1, len(words) - 1) if len(words) > 1 else 0.0, float(-(p * np.log2(p)).sum()), len(LINK.findall(b)) / m, float(np.log1p(sizes.max())), hist[44] / m, float(np.log1p(len(lines))),
+        caps / m, odd / m, long_ones / m, short_ones / m, 1 - pairs / max(1, total - 1) if total > 1 else 0.0, float(-(p * np.log2(p)).sum()), len(LINK.findall(b)) / m, float(np.log1p(top_size)), hist[44] / m, float(np.log1p(len(lines))),
     ]
 
 

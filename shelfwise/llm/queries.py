@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op6_mixing": mixing.OP6_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op2_repeats": repeats.OP2_SQL, "op3_minhash": minhash.OP3_SQL, "op6_mixing": mixing.OP6_SQL}

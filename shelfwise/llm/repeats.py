@@ -337,3 +337,18 @@ def remove_repeats(docs: DataFrame, keep: list[str], text_col: str = "text", spa
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), ["doc_id"])
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT doc_id, s, md5(b[s:s + 399]) AS h FROM (SELECT doc_id, b, unnest(range(1, n - 398)) AS s FROM d WHERE n >= 400)),
+hot AS (SELECT h FROM p GROUP BY h HAVING count(*) > 1),
+dup AS (SELECT doc_id, s, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) > 400 AS gap FROM p SEMI JOIN hot USING (h)),
+grp AS (SELECT doc_id, s, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM dup),
+runs AS (SELECT doc_id, min(s) AS lo, max(s) + 400 AS hi FROM grp GROUP BY doc_id, g),
+kept AS (SELECT doc_id, lag(hi, 1, 1) OVER w AS a, lo - 1 AS z FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY lo)
+  UNION ALL SELECT doc_id, coalesce(max(hi), 1), any_value(n) FROM d LEFT JOIN runs USING (doc_id) GROUP BY doc_id),
+left_over AS (SELECT doc_id, sha256(from_hex(string_agg(CASE WHEN a <= z THEN hex(b[a:z]) ELSE '' END, '' ORDER BY a))) AS kept_sha256 FROM kept JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(sum(hi - lo), 0) AS BIGINT) AS n_removed, count(hi) AS n_spans, any_value(kept_sha256) AS kept_sha256
+FROM d JOIN left_over USING (doc_id) LEFT JOIN runs USING (doc_id) GROUP BY d.doc_id, n
+"""

@@ -13,7 +13,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, text_chunks
+from .common import documents, pieces, text_chunks
 
 #: The pre-token pattern of the tokenizer file, narrowed to lower-case ASCII without control characters.
 ASCII_PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -70,7 +70,7 @@ def count_tokens(df: DataFrame, tokenizer_json: str, id_col: str = "doc_id", tex
             for _, texts in text_chunks(batch.select(["_text"]), "_text"):
                 for b in texts:
                     n_bytes.append(len(b))
-                    n_tokens.append(sum(map(counts.__getitem__, b.split())))
+                    n_tokens.append(sum(sum(map(counts.__getitem__, p.split())) for p in pieces(b)))
                 counts.trim()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())],

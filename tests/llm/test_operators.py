@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.llm import decontaminate, elias_fano, exact_dedup, fuse, language, lm_score, minhash, mixing, quality, repeats, sharding, tokens
+from shelfwise.llm import common, decontaminate, elias_fano, exact_dedup, fuse, language, lm_score, minhash, mixing, quality, repeats, sharding, tokens
 from shelfwise.llm.components import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -104,6 +104,13 @@ def brute_repeats(texts, span):
     return out
 
 
+def test_pieces():
+    for b in (b"", b"a b  c\nddd e", b"x" * 30, b"x " * 20, b" " * 9):
+        for size in (1, 3, 100):
+            got = list(common.pieces(b, size))
+            assert b"".join(got) == b and [w for p in got for w in p.split()] == b.split()
+
+
 @pytest.mark.parametrize("span,gram,chunk,clash", [(400, 64, 1000, False), (120, 16, 3, True), (50, 50, 1000, False)])
 def test_repeats(spark, docs, monkeypatch, span, gram, chunk, clash):
     rows, df = docs
@@ -219,7 +226,9 @@ def sellers(item, text):
     return min(row)
 
 
-def test_decontaminate(spark, monkeypatch):
+@pytest.mark.parametrize("piece", [1 << 20, 50])
+def test_decontaminate(spark, monkeypatch, piece):
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
     monkeypatch.setattr(decontaminate, "SLICE_BYTES", 600)  # several passes
     monkeypatch.setattr(decontaminate, "WINDOW", 60)
     monkeypatch.setattr(decontaminate, "STRIDE", 30)
@@ -241,7 +250,7 @@ def test_decontaminate(spark, monkeypatch):
         want = {}
         for k, s in items:
             m = norm(s)
-            for w in decontaminate.windows(list(m)) if k is not None and len(m) >= decontaminate.Q else ():
+            for _, w in decontaminate.windows(list(m)) if k is not None and len(m) >= decontaminate.Q else ():
                 if (d := sellers(w, norm(t))) <= decontaminate.edit_budget(len(w)):
                     want[k] = min(d, want.get(k, d))
         assert got[i] == want, (i, got[i], want)
