@@ -134,6 +134,20 @@ def joined_list(items: Column, capital: bool = False) -> Column:
     return F.array_join(shown, ", ")
 
 
+def truncated_time(time: Column, unit: str = "microsecond") -> Column:
+    """A timestamp cut to microseconds, milliseconds or seconds."""
+    return F.date_trunc(unit, time)
+
+
+def windows_ticks(time: Column) -> Column:
+    """100-nanosecond ticks since 1601 of a timestamp, to the microsecond."""
+    return (F.unix_micros(time) + F.lit(11_644_473_600_000_000)) * 10
+
+
+def from_windows_ticks(ticks: Column) -> Column:
+    return F.timestamp_micros(F.floor(ticks.cast("decimal(20,0)") / 10).cast("long") - F.lit(11_644_473_600_000_000))
+
+
 def output_dir(name: Column, n_roms: Column, alphabetic: bool, force_subfolder: bool) -> Column:
     """Folder of an item below the output folder: a first-letter folder if asked, and one of its own if forced or if it has
     more than one file; '' for the output folder itself."""

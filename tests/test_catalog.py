@@ -161,6 +161,20 @@ def test_sizes_and_types(spark):
     assert [r[0] for r in got] == want == [FF.archive_type_of(n) for n in names]
 
 
+def test_times(spark):
+    df = spark.sql("SELECT timestamp'2020-01-02 03:04:05.678901' AS t, timestamp'1970-01-01 00:00:00' AS z")
+    r = df.select(FF.truncated_time(F.col("t"), "second").cast("string"), FF.truncated_time(F.col("t"), "millisecond").cast("string"), FF.windows_ticks(F.col("z")), (FF.from_windows_ticks(FF.windows_ticks(F.col("t"))) == F.col("t"))).first()
+    assert tuple(r) == ("2020-01-02 03:04:05", "2020-01-02 03:04:05.678", 116444736000000000, True)
+
+
+def test_bytes_as_text(spark):
+    df = spark.createDataFrame([(b"\x4e\x45S\x1a",), (b"",)], "b binary")
+    shown = [r[0] for r in df.select(FF.spaced_hex(F.col("b"))).collect()]
+    assert shown == ["4E 45 53 1A", ""] and bytes(df.select(FF.from_spaced_hex(FF.spaced_hex(F.col("b")))).first()[0]) == b"NES\x1a"
+    items = spark.createDataFrame([(" Ab , ,c,",)], "t string").select(FF.comma_list(F.col("t")), FF.joined_list(FF.comma_list(F.col("t")), True)).first()
+    assert items[0] == ["ab", "c"] and items[1] == "Ab, C"
+
+
 XML = """<?xml version="1.0"?>
 <!DOCTYPE datafile PUBLIC "-//Logiqx//DTD ROM Management Datafile//EN" "http://www.logiqx.com/Dats/datafile.dtd">
 <datafile>
