@@ -177,6 +177,17 @@ def runs_of(starts: np.ndarray, span: int) -> list[tuple[int, int]]:
     return [(int(p[0]), int(p[-1]) + span) for p in np.split(starts, cut)]
 
 
+def merged(spans) -> list[tuple[int, int]]:
+    """Maximal runs of bytes that the spans (lo, hi) cover; runs that touch are one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
 SPANS = "array<struct<lo:int,hi:int>>"
 
 
@@ -238,14 +249,21 @@ def find_repeats(docs: DataFrame, text_col: str, span: int, gram: int) -> DataFr
     whole = groups.where("n > 1").select("h", "dig", F.array(F.struct(F.lit(0).alias("lo"), (F.col("at.own") + span - 1).alias("hi"))).alias("spans"))
     marks = materialize(found.unionByName(whole), "marks")
     placed = hot_rows.join(marks, ["h", "dig"]).select("k1", "k2", F.transform("spans", lambda s: F.struct((s["lo"] + F.col("s1")).alias("lo"), (s["hi"] + F.col("s1")).alias("hi"))).alias("spans"))
-    return placed.groupBy("k1", "k2").agg(F.collect_set("spans").alias("many")).select("k1", "k2", F.flatten("many").alias("spans"))
+    sets = placed.groupBy("k1", "k2").agg(F.collect_set("spans").alias("many")).select("k1", "k2", F.flatten("many").alias("spans"))
+
+    def join_up(batches):
+        for batch in batches:
+            out = [[{"lo": a, "hi": b} for a, b in merged((s["lo"], s["hi"]) for s in x.as_py())] for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))], names=["k1", "k2", "spans"])
+
+    return sets.mapInArrow(join_up, f"k1 long, k2 long, spans {SPANS}")
 
 
 def across(texts: DataFrame, span: int) -> DataFrame:
     """Repeated starts among contexts of very frequent anchors, whatever array they were in: fingerprints of the strings,
     packed into a few binary rows and dealt by fingerprint, so no task holds all contexts of an anchor."""
     total = texts.agg(F.sum("own")).first()[0]
-    parts = max(8, -(-total * 26 // (16 << 20)))
+    parts = max(8, -(-total * 26 // (4 << 20)))
     kind = np.dtype([("a", "<u8"), ("b", "<u8"), ("ctx", "<i4"), ("at", "<i4")])
 
     def spread(batches):
@@ -302,10 +320,10 @@ def remove_repeats(docs: DataFrame, keep: list[str], text_col: str = "text", spa
     empty; texts under span bytes stay whole; an empty table gives no rows. Other columns are not read.
     """
     spans = materialize(find_repeats(docs, text_col, span, gram), "spans")
-    n = spans.count()
+    n, runs = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
     text = F.coalesce(F.col(text_col), F.lit(""))
     kept = F.struct(*keep).alias("kept")  # in a struct, so their names cannot clash
-    joined = docs.select(kept, text.alias("_text"), *_key(F.col(text_col))).join(small(spans, n, 200), ["k1", "k2"], "left")
+    joined = docs.select(kept, text.alias("_text"), *_key(F.col(text_col))).join(small(spans, 1, 64 * n + 32 * runs), ["k1", "k2"], "left")
 
     def run(batches):
         for batch in batches:
@@ -313,19 +331,13 @@ def remove_repeats(docs: DataFrame, keep: list[str], text_col: str = "text", spa
             cols = [[], [], [], [], []]
             for first, texts in text_chunks(batch.select(["_text"]), "_text"):
                 for i, b in enumerate(texts):
-                    parts, at, gone, runs = [], 0, 0, 0
-                    todo = sorted((s["lo"], s["hi"]) for s in marks[first + i].as_py() or ())
-                    j = 0
-                    while j < len(todo):
-                        lo, hi = todo[j]
-                        while j + 1 < len(todo) and todo[j + 1][0] <= hi:
-                            j += 1
-                            hi = max(hi, todo[j][1])
-                        j += 1
+                    todo = [(x["lo"], x["hi"]) for x in marks[first + i].as_py() or ()]
+                    parts, at = [], 0
+                    for lo, hi in todo:
                         parts.append(b[at:lo])
-                        at, gone, runs = hi, gone + hi - lo, runs + 1
+                        at = hi
                     left = b"".join([*parts, b[at:]])
-                    for c, v in zip(cols, (len(b), gone, runs, hashlib.sha256(left).hexdigest(), left if with_text else None)):
+                    for c, v in zip(cols, (len(b), sum(hi - lo for lo, hi in todo), len(todo), hashlib.sha256(left).hexdigest(), left if with_text else None)):
                         c.append(v)
             arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())] + [pa.array(cols[4], pa.binary())] * with_text
             yield pa.RecordBatch.from_arrays([*(batch.column(0).field(i) for i in range(len(keep))), *arrays], names=[*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text])
