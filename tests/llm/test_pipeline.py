@@ -48,7 +48,8 @@ def test_run(spark, tables):
     d, rows, *_ = tables
     out = corpus_pipeline.run(spark, d).collect()
     got = {r["doc_id"] for r in out}
-    assert len(out) == len(got) and 0.5 * len(rows) < len(got & {r[0] for r in rows}) and not any(1000 <= i < 4000 for i in got) or len([i for i in got if 1000 <= i < 4000]) < 5
+    assert len(out) == len(got) and len(got & {r[0] for r in rows}) > 0.5 * len(rows)
+    assert len([i for i in got if 1000 <= i < 4000]) <= 2  # junk, copies and leaks
     sizes = [sum(r["shard"] == s for r in out) for s in range(corpus_pipeline.SHARDS)]
     assert max(sizes) - min(sizes) <= 1
 
