@@ -24,6 +24,8 @@ EDITS = 0.1
 WINDOW, STRIDE = 120, 60
 #: Bytes of item texts in one pass.
 SLICE_BYTES = 4 << 20
+#: Letters and digits of a long text that are searched at a time.
+PIECE = 1 << 20
 U = np.uint64
 DELETE = bytes(c for c in range(128) if not chr(c).isalnum())
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -42,22 +44,20 @@ def edit_budget(m: int, edits: float = EDITS, q: int = Q) -> int:
     return max(0, min(int(edits * m), (m - q) // q))
 
 
-def windows(codes: np.ndarray) -> list[np.ndarray]:
+def windows(codes: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(start, codes) of each window."""
     if len(codes) <= WINDOW:
-        return [codes]
-    return [codes[a : a + WINDOW] for a in sorted({*range(0, len(codes) - WINDOW, STRIDE), len(codes) - WINDOW})]
+        return [(0, codes)]
+    return [(a, codes[a : a + WINDOW]) for a in sorted({*range(0, len(codes) - WINDOW, STRIDE), len(codes) - WINDOW})]
 
 
 class ItemIndex:
-    """q-grams of a slice of items' windows: sorted distinct hashes, a bitmap before them, and the (item, place) pairs of each."""
+    """q-grams of a slice of items: sorted distinct hashes, a bitmap before them, the (item, place) pairs of each, and the
+    items' windows with their edit budgets and least numbers of shared q-grams."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], edits: float = EDITS, q: int = Q):
         self.q, self.ids = q, [i for i, _ in items]
-        self.codes = [c for _, c in items]
-        self.length = np.array([len(c) for c in self.codes], np.int64)
-        self.budget = np.array([edit_budget(len(c), edits, q) for c in self.codes], np.int64)
-        self.least = np.maximum(1, self.length - q + 1 - self.budget * q)
-        grams = [gram_hashes(c, q) for c in self.codes]
+        grams = [gram_hashes(c, q) for _, c in items]
         flat = np.concatenate(grams) if grams else np.zeros(0, U)
         item = np.repeat(np.arange(len(items)), [len(g) for g in grams])
         place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
@@ -68,15 +68,17 @@ class ItemIndex:
         self.bits = max(16, min(24, int(4 + np.log2(len(self.keys) + 1))))
         self.bitmap = np.zeros(1 << self.bits, bool)
         self.bitmap[self.keys >> U(64 - self.bits)] = True
+        parts = [(i, a, w) for i, (_, c) in enumerate(items) for a, w in windows(c)]
+        self.codes, self.owner = [w for *_, w in parts], np.array([i for i, *_ in parts], np.int64)
+        self.start, self.length = np.array([a for _, a, _ in parts], np.int64), np.array([len(w) for *_, w in parts], np.int64)
+        self.budget = np.array([edit_budget(len(w), edits, q) for *_, w in parts], np.int64)
+        self.least = np.maximum(1, self.length - q + 1 - self.budget * q)
+        self.windows = np.searchsorted(self.owner, np.arange(len(items) + 1))  # of item i: windows[i] to windows[i + 1] - 1
+        self.fewest = np.array([self.least[a:b].min() for a, b in zip(self.windows, self.windows[1:])], np.int64)
 
-    def search(self, codes: list[np.ndarray]) -> list[list[tuple[int, int]]]:
-        """For each text, (index of item, least edits found) of the items that occur within their budgets."""
-        found: list[dict[int, int]] = [{} for _ in codes]
-        sizes = np.array([len(c) for c in codes], np.int64)
+    def hits(self, buf: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in buf, item, place in item) of shared q-grams, for texts and items that share enough in all."""
         ends = np.cumsum(sizes)
-        buf = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-        if len(buf) < self.q or not len(self.keys):
-            return [[] for _ in codes]
         h = gram_hashes(buf, self.q)
         at = np.flatnonzero(self.bitmap[h >> U(64 - self.bits)])
         k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
@@ -84,28 +86,51 @@ class ItemIndex:
         at, k = at[same], k[same]
         text = np.searchsorted(ends, at, side="right")
         inside = at + self.q <= ends[text]  # not across texts
-        at, k = at[inside], k[inside]
+        at, k, text = at[inside], k[inside], text[inside]
         n = self.bounds[k + 1] - self.bounds[k]
-        at = np.repeat(at, n)
-        ref = np.repeat(self.bounds[k], n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-        item, place = self.item[ref], self.place[ref]
-        shift = int(self.length.max(initial=0)) + 1
-        wide = self.budget[item] + 1
-        band = (at - place + shift) // wide
-        key = np.concatenate([item * (1 << 40) + band, item * (1 << 40) + np.maximum(band - 1, 0)])
-        key, count = np.unique(key, return_counts=True)
-        item, band = key >> 40, key & ((1 << 40) - 1)
-        good = count >= self.least[item]
-        for i, b in zip(item[good].tolist(), band[good].tolist()):
-            budget, m = int(self.budget[i]), int(self.length[i])
+        ref = np.repeat(self.bounds[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        at, item = np.repeat(at, n), self.item[ref]
+        pair, where, count = np.unique(np.repeat(text, n) * len(self.ids) + item, return_inverse=True, return_counts=True)
+        enough = (count >= self.fewest[pair % len(self.ids)])[where]  # what a window lacks in all it lacks in a band
+        return at[enough], item[enough], self.place[ref[enough]]
+
+    def find(self, codes: np.ndarray) -> list[tuple[int, int]]:
+        """search() for one text of any length, in pieces that overlap by more than an occurrence can span."""
+        span = int((self.length + self.budget).max(initial=1))
+        best: dict[int, int] = {}
+        for at in range(0, max(1, len(codes) - span), PIECE):
+            for i, d in self.search([codes[at : at + PIECE + span]])[0]:
+                best[i] = min(d, best.get(i, d))
+        return sorted(best.items())
+
+    def search(self, codes: list[np.ndarray]) -> list[list[tuple[int, int]]]:
+        """For each text, (index of item, least edits found) of the items of which a window occurs within its budget."""
+        found: list[dict[int, int]] = [{} for _ in codes]
+        sizes = np.array([len(c) for c in codes], np.int64)
+        ends = np.cumsum(sizes)
+        buf = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
+        if len(buf) < self.q or not len(self.keys):
+            return [[] for _ in codes]
+        at, item, place = self.hits(buf, sizes)
+        n = self.windows[item + 1] - self.windows[item]
+        window = np.repeat(self.windows[item] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        at, place = np.repeat(at, n), np.repeat(place, n) - self.start[window]
+        inside = (place >= 0) & (place + self.q <= self.length[window])
+        at, place, window = at[inside], place[inside], window[inside]
+        shift = int(self.length.max()) + 1
+        band = (at - place + shift) // (self.budget[window] + 1)
+        key, count = np.unique(np.concatenate([window << 40 | band, window << 40 | np.maximum(band - 1, 0)]), return_counts=True)
+        window, band = key >> 40, key & ((1 << 40) - 1)
+        good = count >= self.least[window]
+        for w, b in zip(window[good].tolist(), band[good].tolist()):
+            budget, m, item = int(self.budget[w]), int(self.length[w]), int(self.owner[w])
             first = b * (budget + 1) - shift  # first diagonal of the band
             mid = min(max(first + budget + 1 + m // 2, 0), len(buf) - 1)
             for t in {int(np.searchsorted(ends, x, side="right")) for x in (mid, max(first + budget, 0), min(first + budget + m - 1, len(buf) - 1))}:
-                begin, end = int(ends[t] - sizes[t]), int(ends[t])
-                if t < len(found) and found[t].get(i, budget + 1) > 0:
-                    d = banded(self.codes[i], buf, first, 2 * (budget + 1), budget, begin, end)
+                if t < len(found) and found[t].get(item, budget + 1) > 0:
+                    d = banded(self.codes[w], buf, first, 2 * (budget + 1), budget, int(ends[t] - sizes[t]), int(ends[t]))
                     if d <= budget:
-                        found[t][i] = min(d, found[t].get(i, d))
+                        found[t][item] = min(d, found[t].get(item, d))
         return [sorted(f.items()) for f in found]
 
 
@@ -150,7 +175,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32())]))
     for s in range(slices):
         rows = usable.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == s).distinct().collect()  # about SLICE_BYTES
-        items = [(r["item_id"], w) for r in sorted(rows) if len(c := reduced(r["text"].encode())) >= q for w in windows(c)]
+        items = [(r["item_id"], c) for r in sorted(rows) if len(c := reduced(r["text"].encode())) >= q]
         index = sc.broadcast(ItemIndex(items, edits, q))
 
         def run(batches, index=index):
@@ -158,7 +183,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 old = batch.column(batch.schema.get_field_index("leaks"))
                 out = []
                 for first, texts in text_chunks(batch.select([hidden]), hidden):
-                    for i, got in enumerate(index.value.search([reduced(b) for b in texts])):
+                    codes = [reduced(b) for b in texts]
+                    short = index.value.search([c if len(c) <= PIECE else c[:0] for c in codes])
+                    for i, got in enumerate(index.value.find(c) if len(c) > PIECE else x for c, x in zip(codes, short)):
                         best = {x["item_id"]: x["edits"] for x in old[first + i].as_py()}
                         for x, e in got:
                             best[index.value.ids[x]] = min(e, best.get(index.value.ids[x], e))
