@@ -5,8 +5,10 @@ distinct bigrams, with their counts in training texts; the partition adds up the
 answers each block's n-grams in the order asked. Nothing of the corpus is broadcast but the bounded list of words that are
 more than a set share of all tokens; bigrams of those are dealt by their second word too.
 
-P(w | v) = (count(v, w) + K * P(w)) / (count(v) + K) and P(w) = (count(w) + 1) / (N + V + 1): a seen bigram's part
-count(v, w) / (count(v) + K) is kept as a quantised log10 in the trie, the rest follows from exact word counts.
+P(w | v) = (c - D(c)) / count(v) + B(v) / count(v) * P(w), with c = count(v, w), D the discount of a seen pair by its count,
+B(v) the sum of v's discounts, and P(w) = (count(w) + 1) / (N + V + 1); P(w) alone if v is not in the training texts. The
+first part of a seen pair is kept as a quantised log10 in the trie, the weight B(v) / count(v) is sent quantised too. Words
+dealt over several partitions get a part of their weight from each, so blocks ask all of those partitions.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from .minhash import word_hashes
 
 U = np.uint64
 END, BEGIN = U(0xE11D), U(0xBE61)  # hashes of the end token and of the context before the first word
-PRIOR = 20.0
+#: Discounts of pairs seen once, twice and more often.
+DISCOUNTS = np.array([0.0, 0.75, 1.5, 1.75])
 BLOCK_BYTES = 16 << 20
 #: Tokens for each partition; words over 1 / (HOT * partitions) of all tokens are dealt by the next word too.
 PART_TOKENS = 2_000_000
@@ -58,18 +61,23 @@ def dealt_words(words: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
+def first_part(v: np.ndarray, parts: int) -> np.ndarray:
+    return mix64(v ^ U(99)) % U(parts)
+
+
 def dealt_pairs(words, lengths, tokens, train, parts: int, hot: dict[int, tuple[int, int]]):
-    """Distinct bigrams of a block by partition, context and word: (context, word, training count, bounds, place of each
-    token's bigram). hot: word -> (partitions it is dealt over, count)."""
+    """Distinct bigrams of a block by partition, context and word: (context, word, training count, bounds of the partitions,
+    place of each token's bigram, each token's context as a place among words, len(words) for BEGIN).
+    hot: word -> (partitions it is dealt over, count)."""
     last = np.cumsum(lengths) - 1
     before = np.empty(len(tokens), np.int64)
     before[1:] = tokens[:-1]
-    before[np.concatenate([[0], last[:-1] + 1])] = len(words)  # the context BEGIN
+    before[np.concatenate([[0], last[:-1] + 1])] = len(words)
     pairs, where = np.unique(before * (len(words) + 1) + tokens, return_inverse=True)
     count = np.bincount(where, np.repeat(train, lengths), len(pairs)).astype(np.int64)
     named = np.append(words, BEGIN)
     v, w = named[pairs // (len(words) + 1)], named[pairs % (len(words) + 1)]
-    part = mix64(v ^ U(99)) % U(parts)
+    part = first_part(v, parts)
     if hot:
         keys = np.array(sorted(hot), U)
         spread = np.array([hot[int(k)][0] for k in keys], U)
@@ -78,7 +86,19 @@ def dealt_pairs(words, lengths, tokens, train, parts: int, hot: dict[int, tuple[
     order = np.lexsort((w, v, part))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    return v[order], w[order], count[order], np.searchsorted(part[order].astype(np.int64), np.arange(parts + 1)), rank[where]
+    return v[order], w[order], count[order], np.searchsorted(part[order].astype(np.int64), np.arange(parts + 1)), rank[where], before
+
+
+def asked_contexts(words: np.ndarray, v: np.ndarray, cuts: np.ndarray, parts: int, hot: dict[int, tuple[int, int]]) -> list[np.ndarray]:
+    """For each partition the sorted contexts that a block asks it for: those of its pairs, and the block's words that are
+    dealt over this partition among others."""
+    extra: list[list[int]] = [[] for _ in range(parts)]
+    keys = np.array(sorted(hot), U)
+    here = keys[np.isin(keys, np.append(words, BEGIN))]
+    for k, p in zip(here.tolist(), first_part(here, parts).tolist()):
+        for i in range(hot[k][0]):
+            extra[(p + i) % parts].append(k)
+    return [np.union1d(v[cuts[p] : cuts[p + 1]], np.array(extra[p], U)) for p in range(parts)]
 
 
 def shrink(a: np.ndarray) -> bytes:
@@ -92,20 +112,22 @@ def grown(d: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
     return np.frombuffer(d, f"<u{width}", n, at + 1).astype(np.int64), at + 1 + n * width
 
 
-def pairs_message(v: np.ndarray, w: np.ndarray, count: np.ndarray) -> bytes:
-    """Pairs sorted by (v, w): distinct contexts and their sizes, distinct words and places among them, counts."""
-    contexts, sizes = np.unique(v, return_counts=True)
+def pairs_message(contexts: np.ndarray, v: np.ndarray, w: np.ndarray, count: np.ndarray) -> bytes:
+    """Pairs sorted by (v, w): contexts and how many pairs each has, distinct words and places among them, counts."""
+    sizes = np.bincount(np.searchsorted(contexts, v), minlength=len(contexts))
     words, place = np.unique(w, return_inverse=True)
     return np.array([len(contexts), len(words), len(w)], "<i8").tobytes() + contexts.tobytes() + words.tobytes() + shrink(sizes) + shrink(place) + shrink(count)
 
 
-def read_pairs(d: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def read_pairs(d: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts, v, w, count)"""
     k, m, n = np.frombuffer(d, "<i8", 3).tolist()
     at = 24 + 8 * (k + m)
     sizes, at = grown(d, at, k)
     place, at = grown(d, at, n)
     count, _ = grown(d, at, n)
-    return np.repeat(np.frombuffer(d, U, k, 24), sizes), np.frombuffer(d, U, m, 24 + 8 * k)[place], count
+    contexts = np.frombuffer(d, U, k, 24)
+    return contexts, np.repeat(contexts, sizes), np.frombuffer(d, U, m, 24 + 8 * k)[place], count
 
 
 MESSAGE = "part int, block long, data binary"
@@ -185,19 +207,23 @@ def score_texts(docs: DataFrame, is_train: F.Column, id_col: str = "doc_id", tex
     for r in counted.where(F.length("often") > 0).select("often").collect():
         words, count = np.split(np.frombuffer(r[0], U), 2)
         hot |= {int(w): (min(parts, 1 + int(c) * HOT * parts // max(total, 1)), int(c)) for w, c in zip(words, count) if w != END}
+    if train_docs * HOT * parts > total:
+        hot[int(BEGIN)] = (min(parts, 1 + train_docs * HOT * parts // total), train_docs)
 
     def send_pairs(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                v, w, count, cuts, _ = dealt_pairs(*unpack(row), parts, hot)
-                for p in np.flatnonzero(np.diff(cuts)):
-                    s = slice(cuts[p], cuts[p + 1])
-                    yield pa.RecordBatch.from_pylist([{"part": int(p), "block": row["block"], "data": pairs_message(v[s], w[s], count[s])}], schema=_MESSAGE)
+                words, *rest = unpack(row)
+                v, w, count, cuts, *_ = dealt_pairs(words, *rest, parts, hot)
+                for p, contexts in enumerate(asked_contexts(words, v, cuts, parts, hot)):
+                    if len(contexts):
+                        s = slice(cuts[p], cuts[p + 1])
+                        yield pa.RecordBatch.from_pylist([{"part": p, "block": row["block"], "data": pairs_message(contexts, v[s], w[s], count[s])}], schema=_MESSAGE)
 
     def answer_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         got = [read_pairs(d) for d in pdf["data"]]
-        bounds = np.cumsum([len(x[0]) for x in got])[:-1]
-        v, w, c = (np.concatenate(x) for x in zip(*got))
+        contexts, v, w, c = (np.concatenate(x) for x in zip(*got))
+        bounds, ends = np.cumsum([len(x[1]) for x in got])[:-1], np.cumsum([len(x[0]) for x in got])[:-1]
         del got
         order = np.lexsort((w, v))
         v, w = v[order], w[order]
@@ -208,16 +234,21 @@ def score_texts(docs: DataFrame, is_train: F.Column, id_col: str = "doc_id", tex
         where[order] = np.cumsum(new) - 1
         v, w, c = v[at], w[at], np.add.reduceat(c[order], at)
         seen = c > 0
-        contexts, own = np.unique(v[seen], return_inverse=True)
-        base = np.bincount(own, c[seen], len(contexts))
-        for i, x in enumerate(contexts if hot else ()):
-            if int(x) in hot:
-                base[i] = hot[int(x)][1]
-        trie = BigramTrie.build(v[seen], w[seen], np.log10(c[seen] / (base[own] + PRIOR))).mapped()
+        contexts, asked = np.unique(contexts, return_inverse=True)
+        own = np.searchsorted(contexts, v[seen])
+        discount = DISCOUNTS[np.minimum(c[seen], 3)]
+        base, mass = np.bincount(own, c[seen], len(contexts)), np.bincount(own, discount, len(contexts))
+        for i, x in enumerate(contexts.tolist() if hot else ()):
+            if x in hot:
+                base[i] = hot[x][1]
+        weight = np.where(base > 0, mass / np.maximum(base, 1), 1.0)
+        weight = np.round(np.sqrt(weight) * 65535).astype("<u2")  # finer near 0
+        trie = BigramTrie.build(v[seen], w[seen], np.log10((c[seen] - discount) / base[own])).mapped()
         codes = trie.lookup(v, w)  # one pass over the trie for the questions of all blocks
         book = np.asarray(trie.book, "<f4").tobytes()
         head = len(book).to_bytes(4, "little") + book
-        return pd.DataFrame({"part": pdf["part"], "block": pdf["block"], "data": [head + codes[x].tobytes() for x in np.split(where, bounds)]})
+        answers = [head + weight[k].tobytes() + codes[x].tobytes() for k, x in zip(np.split(asked, ends), np.split(where, bounds))]
+        return pd.DataFrame({"part": pdf["part"], "block": pdf["block"], "data": answers})
 
     found = blocks.select(*_BLOCK).mapInArrow(send_pairs, MESSAGE).groupBy("part").applyInPandas(answer_pairs, MESSAGE)
     answers = counted.select(F.lit(0).alias("kind"), "part", "block", "data").unionByName(found.select(F.lit(1).alias("kind"), "part", "block", "data"))
@@ -230,18 +261,20 @@ def score_texts(docs: DataFrame, is_train: F.Column, id_col: str = "doc_id", tex
             got = got.sort_values(["kind", "part"])
             count = np.empty(len(words), np.int64)
             count[order] = np.frombuffer(b"".join(got["data"][got["kind"] == 0]), "<i8")
-            part = []
-            for d in got["data"][got["kind"] == 1]:
-                n = int.from_bytes(d[:4], "little")
+            v, _, _, cuts, place, before = dealt_pairs(words, lengths, tokens, train, parts, hot)
+            contexts = asked_contexts(words, v, cuts, parts, hot)
+            named = np.append(words, BEGIN)
+            by_hash = np.argsort(named)
+            weight, seen = np.zeros(len(named)), np.empty(len(v))
+            for p, d in got.loc[got["kind"] == 1, ["part", "data"]].itertuples(index=False):
+                n, k = int.from_bytes(d[:4], "little"), len(contexts[p])
                 book = np.concatenate([[0.0], 10.0 ** np.frombuffer(d[4 : 4 + n], "<f4").astype(np.float64)])
-                part.append(book[np.frombuffer(d, np.uint8, offset=4 + n)])
-            seen = np.concatenate(part)[dealt_pairs(words, lengths, tokens, train, parts, hot)[4]]
+                share = (np.frombuffer(d, "<u2", k, 4 + n) / 65535.0) ** 2
+                np.add.at(weight, by_hash[np.searchsorted(named, contexts[p], sorter=by_hash)], share)
+                seen[cuts[p] : cuts[p + 1]] = book[np.frombuffer(d, np.uint8, offset=4 + n + 2 * k)]
             base = (count + 1) / (n_train + kinds + 1)
             begins = np.cumsum(lengths) - lengths
-            context = np.empty(len(tokens), np.float64)
-            context[1:] = count[tokens[:-1]]
-            context[begins] = train_docs
-            p = seen + PRIOR / (context + PRIOR) * base[tokens]
+            p = seen[place] + weight[before] * base[tokens]
             out.append(pd.DataFrame({
                 id_col: list(row["ids"]), "n_tokens": lengths.astype(np.int64), "n_known": np.add.reduceat((count[tokens] > 0).astype(np.int64), begins), "train_tokens": n_train,
                 "base_score": np.add.reduceat(np.log10(base)[tokens], begins), "score": np.add.reduceat(np.log10(p), begins),

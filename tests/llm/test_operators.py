@@ -434,7 +434,10 @@ def test_lm_score(spark, docs, monkeypatch, small_blocks):
             c.update(w)
             c2.update(zip(["<s>", *w], w))
             n_docs += 1
-    n, kinds, k = sum(c.values()), len(c), lm_score.PRIOR
+    n, kinds, d = sum(c.values()), len(c), lm_score.DISCOUNTS
+    mass = Counter()
+    for (v, _), k in c2.items():
+        mass[v] += d[min(k, 3)]
     got = lm_score.score_texts(clashing(df), F.col("doc_id") % 7 != 2).collect()
     assert len(got) == len(rows)
     text = dict(rows)
@@ -443,7 +446,8 @@ def test_lm_score(spark, docs, monkeypatch, small_blocks):
         base = [(c[x] + 1) / (n + kinds + 1) for x in w]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n)
         assert r["base_score"] == pytest.approx(sum(map(math.log10, base)), abs=1e-6)
-        p = [(c2[v, x] + k * b) / ((n_docs if v == "<s>" else c[v]) + k) for v, x, b in zip(["<s>", *w], w, base)]
+        of = lambda v: n_docs if v == "<s>" else c[v]
+        p = [(c2[v, x] - d[min(c2[v, x], 3)] + mass[v] * b) / of(v) if of(v) else b for v, x, b in zip(["<s>", *w], w, base)]
         assert abs(r["score"] - sum(map(math.log10, p))) < 0.05 * len(w)
     assert lm_score.score_texts(empty(spark), F.lit(True)).count() == 0
     untrained = lm_score.score_texts(df.limit(3), F.lit(False)).collect()
