@@ -6,12 +6,14 @@ import argparse
 import sys
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import __version__
 from .config import FileOutput, Filter, InvalidCatalog, PostFilter, Preference, allowed
 from .functions.files import ByteSize, output_types
 from .functions.tables import materialize
+from .operators.derive import derive, divergence
 from .operators.filters import built_in_excludes, patterns_of
 from .operators.headers import load_detector
 from .operators.matching import choose_sources, match_roms, rom_rows
@@ -84,6 +86,24 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+#: Overrides of a user: region-data.yaml, config.yaml and a folder of detectors.
+BASE = Path.home() / ".shelfwise"
+
+
+def _own(given: str | None, name: str) -> str | None:
+    """What was given on the command line, else the user's own file or folder if there is one."""
+    return given or (str(BASE / name) if (BASE / name).exists() else None)
+
+
+def report(parsed: DataFrame) -> DataFrame:
+    """name, what, detected, provided: entries whose releases leave out regions or languages that their names have."""
+    rows = [
+        parsed.where(divergence(F.col(f"{kind}_detected"), F.col(f"{kind}_provided"))).select("name", F.lit(kind).alias("what"), F.col(f"{kind}_detected").alias("detected"), F.col(f"{kind}_provided").alias("provided"))
+        for kind in ("regions", "languages")
+    ]
+    return rows[0].unionByName(rows[1])
+
+
 def _patterns(a: argparse.Namespace, kind: str) -> tuple[str, ...]:
     files = (x for f in getattr(a, f"{kind}s_file") for x in load_patterns(f))
     return (*patterns_of(getattr(a, kind), getattr(a, f"{kind}_regex")), *files)
@@ -107,23 +127,27 @@ def run(spark: SparkSession, a: argparse.Namespace, show=print) -> int:
         raise InvalidCatalog("an output folder needs an input folder")
     if a.out_dir and (a.out_file or a.out_mode):
         raise InvalidCatalog("choose either an output folder or text output")
-    app = load_app_config(a.config)
+    app = load_app_config(_own(a.config, "config.yaml"))
     raw_zip = a.copy_raw_zip or app.copier.allow_raw_zip_copy
     tools = Tools(a.unrar_exec or app.scanner.custom_unrar_path, a.seven_zip_exec or app.scanner.custom_seven_zip_path, a.force_unrar or app.scanner.force_unrar, a.force_seven_zip or app.scanner.force_seven_zip)
     docs = read_documents(spark, a.catalogs)
     catalog = games(docs)
     f, post, p = options(a)
+    regions = load_regions(_own(a.region_data, "region-data.yaml"))
+    if a.debug:
+        for r in report(derive(catalog, regions)).toLocalIterator():
+            print(f"{r['name']}: {r['what']} {r['detected']} are not all among the provided {r['provided']}", file=sys.stderr)
     scanned = None
     if a.in_dir:
         names = [r[0] for r in catalog.select("detector").where("detector is not null").distinct().collect()]
-        detectors = [load_detector(n, a.detectors) for n in sorted(names)]
+        detectors = [load_detector(n, _own(a.detectors, "detectors")) for n in sorted(names)]
         roms = rom_rows(catalog)
         files = list_files(spark, a.in_dir)
         threads = a.scan_threads or app.scanner.threads
         scanned = scan(files.repartition(threads) if threads else files, size_bounds(roms, detectors), detectors, also_scanned(roms), tools)
         scanned = materialize(scanned, "scan")  # hashed once, though matching reads it several times
     text_catalog = a.out_mode is not None
-    best = select_best(catalog, f, p, post, scanned, load_regions(a.region_data), text_catalog)
+    best = select_best(catalog, f, p, post, scanned, regions, text_catalog)
     if a.out_dir:
         out = FileOutput(a.out_dir, a.archive, a.alphabetic, a.force_subfolder)
         chosen = choose_sources(match_roms(rom_rows(best), scanned), out.archive_type is not None)

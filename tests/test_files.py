@@ -171,6 +171,15 @@ def test_command_line(spark, collection, tmp_path, capsys):
         run("--out-dir", "x")
 
 
+def test_debug_report(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "BASE", tmp_path)
+    (tmp_path / "region-data.yaml").write_text('regions:\n  - {code: MARS, pattern: "Mars"}\n')
+    (tmp_path / "c.xml").write_text(XML.format(games='<game name="A (Mars) (En)"><release name="A" region="EUR" language="Fr"/></game><game name="B" cloneof="A (Mars) (En)"/>'))
+    assert cli.run(spark, cli.parser().parse_args(["1g1r", str(tmp_path / "c.xml"), "--debug"])) == 0
+    err = capsys.readouterr().err
+    assert "regions ['MARS'] are not all among the provided ['EUR']" in err and "languages ['en'] are not all among the provided ['fr']" in err
+
+
 def test_failed_specs_are_rows(spark, tmp_path):
     plan = spark.createDataFrame([("copy", str(tmp_path / "none"), None, str(tmp_path / "t"), None, [])], "kind string, from_path string, from_type string, to_path string, to_type string, entries array<struct<from_name:string,to_name:string>>")
     assert [r["status"] for r in run_plan(plan).collect()] == ["FAILED"]
