@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from ..functions.tables import BROADCAST_BYTES
+from .common import materialize
 
 
-def _mins(edges: DataFrame) -> DataFrame:
-    """u, m: the smallest of u and its neighbours v. Written first, so the join with it can split a hub's rows."""
-    mins = materialize(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "mins")
-    return small(mins, mins.count(), 64)
+def _with_least(edges: DataFrame, rows: int) -> DataFrame:
+    """edges with m, the smallest of u and its neighbours v. rows bounds the distinct u: few are broadcast, else the minima
+    are written first, so that the join with them can split a hub's rows."""
+    mins = edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    return edges.join(F.broadcast(mins) if rows * 64 <= BROADCAST_BYTES else materialize(mins, "mins"), "u")
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_mins(both), "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_least(both, 2 * rows).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, rows: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    joined = down.join(_mins(down), "u")
-    ends = joined.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+    ends = _with_least(down, rows).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
     return ends.where("u != v").distinct()
 
 
@@ -38,7 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = checksum(now)
     while before[0]:
-        now = materialize(small_star(materialize(large_star(now), "large-star")), "small-star")
+        stars = materialize(large_star(now, before[0]), "large-star")
+        now = materialize(small_star(stars, 2 * before[0]), "small-star")
         after = checksum(now)
         if after == before:
             break
