@@ -12,8 +12,10 @@ from .. import __version__
 from ..functions.names import SPECIAL
 from ..schema import DEFAULTS, GAME, HEADER
 
+# Output modes, the suffix of a rebuilt catalog's name, the catalog format's document type.
 MODES = ("xml", "json", "yaml")
 SUFFIX = " (1G1R)"
+DOCTYPE = '<!DOCTYPE datafile PUBLIC "-//Logiqx//DTD ROM Management Datafile//EN" "http://www.logiqx.com/Dats/datafile.dtd">'
 GENERATOR = f"Generated by shelfwise {__version__}"
 
 
@@ -77,8 +79,7 @@ def render(catalog: dict, mode: str = "xml") -> str:
     if mode == "xml":
         root = _element("datafile", clean)
         ET.indent(root, "  ")
-        doctype = '<!DOCTYPE datafile PUBLIC "-//Logiqx//DTD ROM Management Datafile//EN" "http://www.logiqx.com/Dats/datafile.dtd">'
-        return f'<?xml version="1.0" encoding="UTF-8"?>\n{doctype}\n<!-- {GENERATOR} -->\n{ET.tostring(root, encoding="unicode")}\n'
+        return f'<?xml version="1.0" encoding="UTF-8"?>\n{DOCTYPE}\n<!-- {GENERATOR} -->\n{ET.tostring(root, encoding="unicode")}\n'
     if mode == "json":
         return json.dumps(clean, indent=2, ensure_ascii=False) + "\n"
     if mode == "yaml":
