@@ -113,8 +113,8 @@ def _archive_types(s: SparkSession, d: str) -> DataFrame:
     li = s.read.parquet(f"{d}/lineitem.parquet")
     ends = (".zip", ".RAR", ".7z", ".tar.7z", ".tar", ".tbz", ".tgz", ".tar.lz4", ".tar.lzma", ".TXZ", ".bin", ".zip.txt", ".taz", ".gz")
     path = F.concat(F.lit("f"), F.col("l_orderkey").cast("string"), F.element_at(F.array(*map(F.lit, ends)), ((F.col("l_orderkey") + F.col("l_linenumber")) % len(ends) + 1).cast("int")))
-    kind = FF.archive_type(path)
-    return li.select(kind.alias("kind"), FF.archive_ordinal(kind).alias("place")).groupBy("kind", "place").agg(F.count(F.lit(1)).alias("n"))
+    kinds = li.select(path.alias("path")).select(FF.archive_type(F.col("path")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return kinds.select("kind", FF.archive_ordinal(F.col("kind")).alias("place"), "n")
 
 
 def queries() -> dict:
