@@ -25,6 +25,7 @@ from .sources.archives import Tools
 from .sources.catalog import games, read_documents
 from .sources.config import load_app_config, load_patterns, load_regions
 from .sources.files import also_scanned, list_files, scan, size_bounds
+from .workers import ship
 
 CLASSES = ("bad", "proto", "beta", "demo", "sample", "bios", "program", "chip", "pirate", "promo", "unlicensed", "dlc", "update")
 
@@ -173,6 +174,7 @@ def main(argv: list[str] | None = None) -> int:
     top = parser()
     a = top.parse_args(argv)
     spark = SparkSession.builder.appName("shelfwise").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    ship(spark)
     try:
         return run(spark, a)
     except InvalidCatalog as e:

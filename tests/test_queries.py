@@ -1,6 +1,7 @@
 """Registered queries against their DuckDB SQL on tables of a few rows, and the entry without the corpus operators."""
 
 import importlib
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -46,6 +47,26 @@ def test_every_query_runs(spark, tables):
         assert Q.queries()[name](spark, tables[0]).count() > 0
 
 
+def test_workers_of_a_session_from_another_folder(tmp_path):
+    """Python workers find the package though neither their folder nor PYTHONPATH leads to it."""
+    code = f"""
+import sys; sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+from shelfwise.workers import ship
+from shelfwise.operators.headers import BUNDLED
+ship(spark); ship(spark)
+def run(batches):
+    import shelfwise.operators.headers as h
+    for b in batches:
+        assert len(h.BUNDLED) == {13}
+        yield b
+print("rows", spark.range(10).mapInArrow(run, "id long").count())
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert "rows 10" in out.stdout, out.stderr[-2000:]
+
+
 def test_entry_without_corpus_operators(tmp_path):
     """The entry imports where the corpus operators' folder and the pipeline are gone, and only then is their absence passed over."""
     for p in ROOT.iterdir():
