@@ -1,7 +1,7 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
-Texts are reduced to their lower-case letters and digits. Long items are cut into overlapping windows, so that a part of an
-item is found too. A window of m characters that occurs with at most k edits shares at least m - Q + 1 - k * Q of its q-grams with the text on at most k + 1 neighbouring diagonals. Shared q-grams are counted
+Texts are reduced to their lower-case letters and digits. Long items are looked for whole and in overlapping windows, so that a
+part of an item is found too. A window of m characters that occurs with at most k edits shares at least m - Q + 1 - k * Q of its q-grams with the text on at most k + 1 neighbouring diagonals. Shared q-grams are counted
 in overlapping bands of 2 * (k + 1) diagonals, bands that reach the bound are kept, and each is verified by an alignment
 confined to the band. The items are a stated query set: they are sent to the executors in slices of bounded size, one pass
 over the documents for each slice, so nothing limits their number.
@@ -20,7 +20,7 @@ from .repeats import gram_hashes
 
 Q = 8
 EDITS = 0.1
-#: Items longer than WINDOW letters and digits are looked for in windows of WINDOW, one every STRIDE and one at the end.
+#: Items longer than WINDOW letters and digits are also looked for in windows of WINDOW, one every STRIDE and one at the end.
 WINDOW, STRIDE = 120, 60
 #: Bytes of item texts in one pass.
 SLICE_BYTES = 4 << 20
@@ -45,18 +45,18 @@ def edit_budget(m: int, edits: float = EDITS, q: int = Q) -> int:
 
 
 def windows(codes: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(start, codes) of each window."""
+    """(start, codes) of each window, and last of the whole item."""
     if len(codes) <= WINDOW:
         return [(0, codes)]
-    return [(a, codes[a : a + WINDOW]) for a in sorted({*range(0, len(codes) - WINDOW, STRIDE), len(codes) - WINDOW})]
+    return [*((a, codes[a : a + WINDOW]) for a in sorted({*range(0, len(codes) - WINDOW, STRIDE), len(codes) - WINDOW})), (0, codes)]
 
 
 class ItemIndex:
     """q-grams of a slice of items: sorted distinct hashes, a bitmap before them, the (item, place) pairs of each, and the
-    items' windows with their edit budgets and least numbers of shared q-grams."""
+    items' windows with their edit budgets and least numbers of shared q-grams. Long items as wholes come after all windows."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], edits: float = EDITS, q: int = Q):
-        self.q, self.ids = q, [i for i, _ in items]
+        self.q, self.ids, self.window = q, [i for i, _ in items], WINDOW
         grams = [gram_hashes(c, q) for _, c in items]
         flat = np.concatenate(grams) if grams else np.zeros(0, U)
         item = np.repeat(np.arange(len(items)), [len(g) for g in grams])
@@ -68,13 +68,17 @@ class ItemIndex:
         self.bits = max(16, min(24, int(4 + np.log2(len(self.keys) + 1))))
         self.bitmap = np.zeros(1 << self.bits, bool)
         self.bitmap[self.keys >> U(64 - self.bits)] = True
-        parts = [(i, a, w) for i, (_, c) in enumerate(items) for a, w in windows(c)]
+        parts = sorted(((i, a, w) for i, (_, c) in enumerate(items) for a, w in windows(c)), key=lambda x: len(x[2]) > WINDOW)
         self.codes, self.owner = [w for *_, w in parts], np.array([i for i, *_ in parts], np.int64)
         self.start, self.length = np.array([a for _, a, _ in parts], np.int64), np.array([len(w) for *_, w in parts], np.int64)
         self.budget = np.array([edit_budget(len(w), edits, q) for *_, w in parts], np.int64)
         self.least = np.maximum(1, self.length - q + 1 - self.budget * q)
-        self.windows = np.searchsorted(self.owner, np.arange(len(items) + 1))  # of item i: windows[i] to windows[i + 1] - 1
-        self.fewest = np.array([self.least[a:b].min() for a, b in zip(self.windows, self.windows[1:])], np.int64)
+        self.n_windows = int((self.length <= WINDOW).sum())
+        self.spots = self.owner[: self.n_windows] << 32 | self.start[: self.n_windows]  # sorted
+        self.whole = np.full(len(items), -1)
+        self.whole[self.owner[self.n_windows :]] = np.arange(self.n_windows, len(parts))
+        self.fewest = np.full(len(items), np.iinfo(np.int64).max)
+        np.minimum.at(self.fewest, self.owner, self.least)
 
     def hits(self, buf: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in buf, item, place in item) of shared q-grams, for texts and items that share enough in all."""
@@ -104,7 +108,7 @@ class ItemIndex:
         return sorted(best.items())
 
     def search(self, codes: list[np.ndarray]) -> list[list[tuple[int, int]]]:
-        """For each text, (index of item, least edits found) of the items of which a window occurs within its budget."""
+        """For each text, (index of item, least edits found) of the items that occur, whole or by a window, within the budget."""
         found: list[dict[int, int]] = [{} for _ in codes]
         sizes = np.array([len(c) for c in codes], np.int64)
         ends = np.cumsum(sizes)
@@ -112,11 +116,11 @@ class ItemIndex:
         if len(buf) < self.q or not len(self.keys):
             return [[] for _ in codes]
         at, item, place = self.hits(buf, sizes)
-        n = self.windows[item + 1] - self.windows[item]
-        window = np.repeat(self.windows[item] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        at, place = np.repeat(at, n), np.repeat(place, n) - self.start[window]
-        inside = (place >= 0) & (place + self.q <= self.length[window])
-        at, place, window = at[inside], place[inside], window[inside]
+        first = np.searchsorted(self.spots, item << 32 | np.maximum(place + self.q - self.window, 0))
+        n = np.searchsorted(self.spots, item << 32 | place, side="right") - first  # windows that hold the q-gram
+        long = self.whole[item] >= 0
+        window = np.concatenate([np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()), self.whole[item[long]]])
+        at, place = np.concatenate([np.repeat(at, n), at[long]]), np.concatenate([np.repeat(place, n), place[long]]) - self.start[window]
         shift = int(self.length.max()) + 1
         band = (at - place + shift) // (self.budget[window] + 1)
         key, count = np.unique(np.concatenate([window << 40 | band, window << 40 | np.maximum(band - 1, 0)]), return_counts=True)
@@ -127,7 +131,7 @@ class ItemIndex:
             first = b * (budget + 1) - shift  # first diagonal of the band
             mid = min(max(first + budget + 1 + m // 2, 0), len(buf) - 1)
             for t in {int(np.searchsorted(ends, x, side="right")) for x in (mid, max(first + budget, 0), min(first + budget + m - 1, len(buf) - 1))}:
-                if t < len(found) and found[t].get(item, budget + 1) > 0:
+                if t < len(found) and found[t].get(item, budget + 1) > 0 and not (w >= self.n_windows and item in found[t]):  # a whole costs no less than its windows
                     d = banded(self.codes[w], buf, first, 2 * (budget + 1), budget, int(ends[t] - sizes[t]), int(ends[t]))
                     if d <= budget:
                         found[t][item] = min(d, found[t].get(item, d))

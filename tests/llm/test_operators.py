@@ -259,6 +259,31 @@ def test_decontaminate(spark, monkeypatch, piece):
     assert all(not r["leaks"] for r in decontaminate.find_leaks(df, bench.limit(0)).collect())
 
 
+def test_whole_items():
+    """Items over WINDOW with edits that lie together in the windows' overlap, against alignments that do not use windows()."""
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    items = [letters(n) for n in (150, 179, 185, 240, 326, 90)]
+    index = decontaminate.ItemIndex([(k, decontaminate.reduced(s.encode())) for k, s in enumerate(items)])
+    texts, only_whole = [], 0
+    for s in items:
+        mid = len(s) // 2
+        for n in (0, 8, 12, 13, 15, 17, 19, 34):
+            texts += [letters(40) + s[:mid] + letters(n) + s[mid:] + letters(40), letters(40) + s[: mid - n // 2] + letters(n) + s[mid - n // 2 + n :] + letters(40)]
+    got = index.search([decontaminate.reduced(t.encode()) for t in texts])
+    for t, found in zip(texts, got):
+        want = {}
+        for k, s in enumerate(items):
+            starts = [*range(0, len(s) - decontaminate.WINDOW, decontaminate.STRIDE), len(s) - decontaminate.WINDOW] if len(s) > decontaminate.WINDOW else []
+            parts = [d for a in starts if (d := sellers(w := s[a : a + decontaminate.WINDOW], t)) <= len(w) // 10]
+            whole = [d for d in [sellers(s, t)] if d <= len(s) // 10]
+            only_whole += bool(whole and starts and not parts)
+            if parts or whole:
+                want[k] = min(parts + whole)
+        assert dict(found) == want
+    assert only_whole > 5
+
+
 def test_water_filling(spark):
     leaves = spark.createDataFrame([("a", "x", "1", 100), ("a", "x", "2", 1000), ("a", "y", "3", 50), ("b", "x", "4", 400)], "domain string, language string, origin string, tokens long")
     get = lambda share, epochs, w: {r["origin"]: r["quota"] for r in mixing.leaf_budgets(leaves, share, epochs, w).collect()}
