@@ -8,8 +8,13 @@ from ..operators.headers import EOF, Detector
 from ..sources.files import scan
 
 
-def scan_stream(spark: SparkSession, folder: str, bounds: tuple[int, int] = (0, EOF), detectors: list[Detector] = (), delay: str = "1 day") -> DataFrame:
-    """A streaming DataFrame of scan rows. A file that comes again with its time unchanged within `delay` counts once."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
-    fresh = files.withWatermark("modificationTime", delay).dropDuplicatesWithinWatermark(["path", "modificationTime"])
-    return scan(fresh, bounds, detectors)
+#: The file source leaves out files of a modification time older than this before the newest seen; by default a week.
+MAX_AGE = "1000000d"
+
+
+def scan_stream(spark: SparkSession, folder: str, bounds: tuple[int, int] = (0, EOF), detectors: list[Detector] = ()) -> DataFrame:
+    """A streaming DataFrame of scan rows. Files count whatever their modification time; a file that comes again with its time
+    unchanged counts once, one of a later time again; the source passes over a known path with an earlier time. Its log in the
+    checkpoint holds all paths and times."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("maxFileAge", MAX_AGE).load(folder)
+    return scan(files, bounds, detectors)

@@ -1,7 +1,9 @@
 """Detectors, archives, scans, matching, plans, execution, command line, streaming."""
 
 import hashlib
+import os
 import shutil
+import time
 import zipfile
 
 import numpy as np
@@ -211,3 +213,22 @@ def test_stream(spark, collection):
     finally:
         q.stop()
     assert {hashlib.sha1(files[k]).hexdigest() for k in ("f0.bin", "f3.bin", "f5.bin")} <= {r["sha1"] for r in got}
+
+
+def test_stream_of_old_files(spark, tmp_path):
+    base, done = tmp_path / "in", str(tmp_path / "checkpoint")
+    base.mkdir()
+    now = time.time()
+
+    def run(name, days):
+        """The names that come out once a file of this age has been added, in a run of its own of the same stream."""
+        (base / name).write_bytes(name.encode())
+        os.utime(base / name, (now - days * 86400,) * 2)
+        rows = []
+        q = scan_stream(spark, str(base)).select("path").writeStream.foreachBatch(lambda df, _: rows.extend(df.collect())).option("checkpointLocation", done).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        return [r["path"].rsplit("/", 1)[1] for r in rows]
+
+    assert [run(f"{d}.bin", d) for d in (0, 1, 3, 30, 9000)] == [["0.bin"], ["1.bin"], ["3.bin"], ["30.bin"], ["9000.bin"]]
+    os.utime(base / "3.bin", (now - 3 * 86400,) * 2)
+    assert run("1.bin", 1) == []
