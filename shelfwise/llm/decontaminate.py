@@ -21,12 +21,16 @@ from .repeats import gram_hashes
 Q = 8
 EDITS = 0.1
 #: Items longer than WINDOW letters and digits are also looked for in windows of WINDOW, one every STRIDE and one at the end.
-WINDOW, STRIDE = 120, 60
+#: With a stride within the edits of a window, a verbatim part is found wherever it starts if a window's edits can make up for
+#: what it lacks: from 108 letters on, and with e edits from 108 + 2 e.
+WINDOW, STRIDE = 120, 12
 #: Bytes of item texts in one pass.
 SLICE_BYTES = 4 << 20
 #: Letters and digits of a long text that are searched at a time.
 PIECE = 1 << 20
 U = np.uint64
+#: No code point; stands for what lies outside a text. Reading it costs no less than leaving out the item's letter.
+OUTSIDE = 0xFFFFFFFF
 DELETE = bytes(c for c in range(128) if not chr(c).isalnum())
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 NOT_WORD = re.compile(r"[\W_]+")
@@ -126,37 +130,43 @@ class ItemIndex:
         key, count = np.unique(np.concatenate([window << 40 | band, window << 40 | np.maximum(band - 1, 0)]), return_counts=True)
         window, band = key >> 40, key & ((1 << 40) - 1)
         good = count >= self.least[window]
-        for w, b in zip(window[good].tolist(), band[good].tolist()):
+        window, band, count = window[good], band[good], count[good]
+        low = np.maximum(0, -(-(self.length[window] - self.q + 1 - count) // self.q))  # an edit costs at most q shared q-grams
+        order = np.lexsort((low, window >= self.n_windows))  # the most alike first, wholes last
+        for w, b, low in zip(window[order].tolist(), band[order].tolist(), low[order].tolist()):
             budget, m, item = int(self.budget[w]), int(self.length[w]), int(self.owner[w])
             first = b * (budget + 1) - shift  # first diagonal of the band
             mid = min(max(first + budget + 1 + m // 2, 0), len(buf) - 1)
             for t in {int(np.searchsorted(ends, x, side="right")) for x in (mid, max(first + budget, 0), min(first + budget + m - 1, len(buf) - 1))}:
-                if t < len(found) and found[t].get(item, budget + 1) > 0 and not (w >= self.n_windows and item in found[t]):  # a whole costs no less than its windows
-                    d = banded(self.codes[w], buf, first, 2 * (budget + 1), budget, int(ends[t] - sizes[t]), int(ends[t]))
-                    if d <= budget:
-                        found[t][item] = min(d, found[t].get(item, d))
+                if t >= len(found) or w >= self.n_windows and item in found[t]:  # a whole costs no less than its windows
+                    continue
+                most = min(budget, found[t].get(item, budget + 1) - 1)  # only fewer edits count
+                if low <= most:
+                    d = banded(self.codes[w], buf, first, 2 * (budget + 1), most, int(ends[t] - sizes[t]), int(ends[t]))
+                    if d <= most:
+                        found[t][item] = d
         return [sorted(f.items()) for f in found]
 
 
 def banded(item: np.ndarray, text: np.ndarray, first: int, width: int, budget: int, begin: int, end: int) -> int:
     """Least edits that turn the whole item into some substring of text[begin:end], over paths that stay on the diagonals
     first - budget to first + width + budget; budget + 1 if there is none within the budget."""
-    lo = first - budget
-    diag = np.arange(width + 2 * budget + 1)
-    far = np.int64(1 << 30)
-    row = np.where((lo + diag >= begin) & (lo + diag <= end), 0, far)
-    for i, c in enumerate(item):
-        j = lo + diag + i  # the text place that this row's diagonal step reads
-        ok = (j >= begin) & (j < end)
-        step = np.where(ok, row + (text[np.clip(j, 0, len(text) - 1)] != c), far)
-        skip = np.append(row[1:], far) + 1
-        skip = np.where((j + 1 >= begin) & (j + 1 <= end), skip, far)
-        row = np.minimum(step, skip)
-        row = np.minimum.accumulate(row - diag) + diag
-        row = np.where((j + 1 >= begin) & (j + 1 <= end), row, far)
-        if row.min() > budget:
+    lo, n = first - budget, width + 2 * budget + 1
+    near = np.full(n + len(item), OUTSIDE, np.uint32)
+    a, z = min(max(lo, begin), end), max(min(lo + len(near), end), begin)
+    if a < z:
+        near[a - lo : z - lo] = text[a:z]
+    places = np.lib.stride_tricks.as_strided(near, (len(item), n), (near.itemsize, near.itemsize))  # row i: what its diagonals read
+    diag = np.arange(n)
+    row = -diag  # edits less the diagonal, so that insertions are a running minimum
+    for i in range(0, len(item), 8):
+        for differs in places[i : i + 8] != item[i : i + 8, None]:
+            step = row + differs
+            step[:-1] = np.minimum(step[:-1], row[1:] + 2)
+            row = np.minimum.accumulate(step)
+        if (least := int((row + diag).min())) > budget:
             return budget + 1
-    return int(row.min())
+    return least
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: float = EDITS, q: int = Q) -> DataFrame:

@@ -284,6 +284,24 @@ def test_whole_items():
     assert only_whole > 5
 
 
+def test_parts_of_items():
+    """Parts of a long item are found wherever they start."""
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    item = letters(305)
+    index = decontaminate.ItemIndex([(0, decontaminate.reduced(item.encode()))])
+    cuts = [(at, n) for n in (108, 115, 130) for at in range(305 - n + 1)]
+    got = index.search([decontaminate.reduced((letters(30) + item[at : at + n] + letters(30)).encode()) for at, n in cuts])
+    assert [c for c, found in zip(cuts, got) if not found] == []
+    edited = []
+    for at in range(0, 305 - 116, 3):  # four edits in 116 letters
+        part = list(item[at : at + 116])
+        for place in rng.sample(range(116), 4):
+            part[place] = "0"
+        edited.append(letters(30) + "".join(part) + letters(30))
+    assert all(index.search([decontaminate.reduced(t.encode()) for t in edited]))
+
+
 def test_water_filling(spark):
     leaves = spark.createDataFrame([("a", "x", "1", 100), ("a", "x", "2", 1000), ("a", "y", "3", 50), ("b", "x", "4", 400)], "domain string, language string, origin string, tokens long")
     get = lambda share, epochs, w: {r["origin"]: r["quota"] for r in mixing.leaf_budgets(leaves, share, epochs, w).collect()}
