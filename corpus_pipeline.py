@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import documents, id_hash, materialize, small
+from shelfwise.llm.common import documents, free_name, id_hash, materialize, small
 from shelfwise.llm.decontaminate import find_leaks
 from shelfwise.llm.minhash import near_duplicates
 from shelfwise.llm.mixing import DOMAINS, WEIGHTS, mix
@@ -17,10 +17,16 @@ MIX_SHARE = 0.8
 SHARDS = 40
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id, null included, is among ids."""
-    ids = materialize(ids.select(F.col("doc_id").alias("_id")).distinct(), "ids")
-    return docs.join(small(ids, ids.count(), 32), docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, and that column's name. They are written, so that the numbers stay."""
+    row = free_name(docs, "_row")
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
+def _with_rows(docs: DataFrame, row: str, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose number is in kept, without it."""
+    kept = materialize(kept, "kept")
+    return docs.join(small(kept, kept.count(), 32), row, "left_semi").drop(row)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +36,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document of the smallest id."""
-    groups = near_duplicates(docs)
-    return _with_ids(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the row of the smallest id; null ids come
+    last, and of rows with one id the first stays. Rows without words stand alone and stay."""
+    docs, row = _numbered(docs)
+    key, text = free_name(docs, "_key"), F.xxhash64("text")
+    ranked = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), text.alias("c"), F.col(row).alias("row"))  # the order of ids
+    groups = near_duplicates(docs.select(ranked.alias(key), "text"), id_col=key)
+    return _with_rows(docs, row, groups.where(F.col(f"{key}.row") == F.col("component_id.row")).select(F.col(f"{key}.row").alias(row)))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +53,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MIX_SHARE of all words, dealt over domains, languages and sources by weight; each document at most once."""
-    chosen = mix(docs, DOMAINS, WEIGHTS, MIX_SHARE, 1, 20)
-    return _with_ids(docs, chosen.where(F.col("epochs_taken") > 0))
+    docs, row = _numbered(docs)
+    chosen = mix(docs, DOMAINS, WEIGHTS, MIX_SHARE, 1, 20, keep=(row,))
+    return _with_rows(docs, row, chosen.where(F.col("epochs_taken") > 0).select(row))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,19 +67,19 @@ def leaf_budgets(leaves: DataFrame, share: float, epochs: int, weights: dict[str
 
 
 def mix(docs: DataFrame, domains: dict[str, list[str]], weights: dict[str, dict[str, float]], share: float, epochs: int, seed: int, other: float = OTHER,
-        id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """One row per row of docs: id_col, domain, language, origin, n_tokens, quota (of the leaf), epochs_taken.
+        id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: id_col, domain, language, origin, n_tokens, quota (of the leaf), epochs_taken, columns `keep`.
 
     epochs_taken is how many times the row is selected, 0 for not. Null languages and sources are names of their own
     ("?"); sources in no domain are in domain "other"; names without a weight get `other`. Rows without words are selected
-    with their leaf's whole epochs and where the prefix passes them. Rows of equal id are ordered by size. Other columns
+    with their leaf's whole epochs and where the prefix passes them. Rows of equal id are ordered by size, then by `keep`. Other columns
     are not read. An empty table gives no rows.
     """
     origin = F.coalesce(F.col(source_col), F.lit("?"))
     domain = F.lit("other")
     for name, sources in domains.items():
         domain = F.when(origin.isin(sources), F.lit(name)).otherwise(domain)
-    rows = docs.select(F.col(id_col).alias("id"), domain.alias("domain"), F.coalesce(F.col(lang_col), F.lit("?")).alias("language"), origin.alias("origin"), count_words(F.col(text_col)).alias("n_tokens"))
+    rows = docs.select(F.col(id_col).alias("id"), domain.alias("domain"), F.coalesce(F.col(lang_col), F.lit("?")).alias("language"), origin.alias("origin"), count_words(F.col(text_col)).alias("n_tokens"), *keep)
     rows = materialize(rows, "words")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     budgets = materialize(leaf_budgets(leaves, share, epochs, weights, other), "budgets")
@@ -91,10 +91,10 @@ def mix(docs: DataFrame, domains: dict[str, list[str]], weights: dict[str, dict[
     sums = joined.groupBy(*LEVELS, "slice").agg(F.sum("n_tokens").alias("held"))
     before = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = materialize(sums.withColumn("start", F.coalesce(F.sum("held").over(before), F.lit(0))).drop("held"), "slices")
-    running = Window.partitionBy(*LEVELS, "slice").orderBy("order", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = Window.partitionBy(*LEVELS, "slice").orderBy("order", "id", "n_tokens", *keep).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = joined.withColumn("run", F.sum("n_tokens").over(running)).join(small(starts, n * 4096, 80), [*LEVELS, "slice"])
     taken = F.col("whole") + F.when((F.col("whole") < epochs) & (F.col("start") + F.col("run") <= F.col("rest")), 1).otherwise(0)
-    return placed.select(F.col("id").alias(id_col), *LEVELS, "n_tokens", "quota", taken.cast("int").alias("epochs_taken"))
+    return placed.select(F.col("id").alias(id_col), *LEVELS, "n_tokens", "quota", taken.cast("int").alias("epochs_taken"), *keep)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

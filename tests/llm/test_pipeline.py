@@ -54,6 +54,27 @@ def test_run(spark, tables):
     assert max(sizes) - min(sizes) <= 1
 
 
+def test_repeated_rows_and_null_ids(spark):
+    """Decisions are rows', not ids': repeated rows, one id with several texts, and null ids."""
+    rng = random.Random(2)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghio", k=rng.randint(2, 8))) for _ in range(n))
+    t = [prose(60) for _ in range(8)]
+    near = t[3] + " more"
+    rows = [(1, t[0])] * 4 + [(2, t[1]), (2, t[2]), (3, t[1]), (None, t[3]), (None, t[3]), (None, near), (None, t[4]), (None, t[0]), (5, t[5]), (None, t[5]), (None, None), (None, None), (6, ""), (6, "")]
+    frame = lambda rows: spark.createDataFrame([(i, x, "en", "src1", len(x or "")) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    f = dict(corpus_pipeline.STAGES)
+    out = f["near_dedup"](spark, frame(rows), "")
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert len([x for x in got if x[1] in (t[3], near)]) == 1
+    want = [(1, t[0]), (2, t[1]), (2, t[2]), (None, t[4]), (5, t[5]), (None, None), (None, None), (6, ""), (6, "")]
+    assert sorted(map(str, (x for x in got if x[1] not in (t[3], near)))) == sorted(map(str, want))
+    many = [(None, prose(20)) for _ in range(50)] + [(7, prose(20)) for _ in range(50)] + [(8, t[0])] * 5
+    words = lambda rows: sum(len(x.split()) for _, x in rows)
+    mixed = [(r["doc_id"], r["text"]) for r in f["mixing"](spark, frame(many), "").collect()]
+    assert 0.7 * words(many) < words(mixed) <= 0.8 * words(many)
+
+
 def test_stages_on_empty_tables(spark, tables, tmp_path):
     d = tables[0]
     for t in ("documents", "labels", "benchmark"):
