@@ -37,16 +37,20 @@ def stats_of(b: bytes) -> list[float]:
     n = len(b)
     hist = np.bincount(np.frombuffer(b, np.uint8), minlength=256)
     kinds = np.bincount(KIND, hist, 7) / n
-    count, pairs, size, total, top_size, caps, odd, long_ones, short_ones, m = Counter(), 0, 0, 0, 0, 0, 0, 0, 0, 0
-    for piece in pieces(b):  # repeated pairs are those within a piece, so a long text needs no more room
+    count, seen, last, size, total, top_size, caps, odd, long_ones, short_ones, m = Counter(), [], [], 0, 0, 0, 0, 0, 0, 0, 0
+    for piece in pieces(b):
         words = piece.split()
         count.update(words)
-        pairs += len(set(zip(words, words[1:]))) + (total > 0 and len(words) > 0)
+        run = last + words
+        near = set(map(hash, zip(run, run[1:])))  # 64 bits of each pair
+        seen.append(np.fromiter(near, np.int64, len(near)))
+        last = run[-1:]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         total, size, top_size = total + len(words), size + int(sizes.sum()), max(top_size, int(sizes.max(initial=0)))
         caps += sum(w.isupper() and len(w) > 1 for w in words)
         odd += sum(not w.isalnum() and not w[:1].isalpha() and w[0] < 128 for w in words)
         long_ones, short_ones = long_ones + int((sizes > 20).sum()), short_ones + int((sizes < 3).sum())
+    pairs = len(seen[0]) if len(seen) == 1 else len(np.unique(np.concatenate(seen)))
     m = max(1, total)
     lines = [x for x in b.split(b"\n") if x.strip()]
     p = hist[hist > 0] / n

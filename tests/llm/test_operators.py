@@ -353,6 +353,15 @@ def test_quality(spark):
     assert quality.score_documents(empty(spark), model, ["doc_id"]).count() == 0
 
 
+def test_pair_statistics_of_long_texts():
+    rng = random.Random(3)
+    vocab = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
+    for text in (" ".join(rng.choices(vocab, k=400_000)), " ".join(rng.choices(vocab, k=50)), "a b " * 700_000, "one"):
+        w = text.split()
+        want = 1 - len(set(zip(w, w[1:]))) / (len(w) - 1) if len(w) > 1 else 0.0
+        assert quality.stats_of(text.encode())[quality.STATS.index("pair_dups")] == pytest.approx(want, abs=1e-12)
+
+
 def ring_by_hand(cells, owner, room):
     """One key at a time: own shard first for all, then the rest clockwise."""
     out, rest = {}, []
