@@ -54,13 +54,13 @@ def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame, in_snapshot: F.Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, digest (SHA-256 of the normalised text), keep_id, group_size.
 
-    Rows where in_snapshot holds are the immutable snapshot, the others the incoming batch. Null texts count as empty and
+    Rows where in_snapshot holds are the immutable snapshot, the others, null included, the incoming batch. Null texts count as empty and
     are one group with empty and all-white texts' own form (a single space stays a space). Of equal texts the smallest id
     stays; rows that repeat the id of the row that stays carry it as keep_id too; null ids stay only among themselves.
     Other columns are not read, so their names cannot clash. An empty table gives no rows.
     """
     norm = norm_text(F.col(text_col))
-    digested = docs.select(F.col(id_col).alias("id"), norm.alias("norm"), in_snapshot.alias("old"))
+    digested = docs.select(F.col(id_col).alias("id"), norm.alias("norm"), F.coalesce(in_snapshot, F.lit(False)).alias("old"))
     digested = digested.withColumn("digest", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
     rows = materialize(digested.select("id", "digest", "old"), "digests")
 

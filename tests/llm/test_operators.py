@@ -91,6 +91,12 @@ def test_exact_dedup(spark, docs):
     assert exact_dedup.exact_dedup(empty(spark), F.lit(False)).count() == 0
 
 
+def test_exact_dedup_unknown_snapshot(spark):
+    rows = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "a", True), (4, "b", None), (5, "b", False), (6, "c", None), (7, "c", None)], "doc_id long, text string, flag boolean")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(rows, F.col("flag")).collect()}
+    assert got == {1: (1, 3), 2: (1, 3), 3: (1, 3), 4: (4, 2), 5: (4, 2), 6: (6, 2), 7: (6, 2)}
+
+
 def brute_repeats(texts, span):
     count = Counter(b[i : i + span] for b in texts for i in range(len(b) - span + 1))
     out = []
