@@ -28,8 +28,8 @@ BUILT_IN = {
     "dlc": r"(?i)\Q(DLC)\E",
     "update": r"(?i)\Q(Update)\E",
 }
-#: Hex digits that surely fit 63 bits; longer components take the folding branch.
-HEX_DIGITS = 15
+#: Hexadecimal components of up to 63 bits; longer ones take the folding branch.
+HEXADECIMAL = r"^-?0*([0-7][a-fA-F0-9]{15}|[a-fA-F0-9]{1,15})$"
 
 
 def quote(literal: str) -> str:
@@ -56,9 +56,8 @@ def _number(part: Column) -> Column:
         F.transform(F.filter(F.split(F.lower(part), ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long")),
         F.lit(0).cast("long"), lambda acc, c: F.coalesce(F.try_add(F.try_multiply(acc, F.lit(16).cast("long")), c), acc),
     )
-    hexadecimal = F.conv(F.regexp_replace(part, "^-", ""), 16, 10).cast("long")
-    is_hex = part.rlike(r"^-?[a-fA-F0-9]+$") & (F.length(part) <= HEX_DIGITS)
-    return F.when(is_hex, F.when(part.startswith("-"), -hexadecimal).otherwise(hexadecimal)).otherwise(folded)
+    hexadecimal = F.conv(F.regexp_replace(part, "^-?0*(?=.)", ""), 16, 10).cast("long")
+    return F.when(part.rlike(HEXADECIMAL), F.when(part.startswith("-"), -hexadecimal).otherwise(hexadecimal)).otherwise(folded)
 
 
 def _numbers(group: Column) -> Column:

@@ -1,74 +1,124 @@
-"""Execution of file plans: one task row per spec; failures become status rows and stop nothing."""
+"""Execution of file plans: one status row per spec; failures become rows and stop nothing."""
 
 from __future__ import annotations
 
 import os
 import shutil
-from urllib.parse import unquote, urlparse
+from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.archives import Entry, Tools, raw_zip_copy, read_archive, write_archive, write_file
+from ..sources.archives import Entry, Tools, raw_zip_copy, read_archive, write_entries
+from ..sources.storage import PIECE, local, modified, open_input, write_file
+from .progress import Progress
 
 RESULT = "kind string, from_path string, to_path string, status string, message string"
 
 
-def local(path: str) -> str:
-    """A path of the executors' file system; `file:` URLs are unwrapped."""
-    return unquote(urlparse(path).path) if path.startswith("file:") else path
+def _copy(spec: dict) -> None:
+    when = modified(spec["from_path"])
+    with open_input(spec["from_path"]) as f:
+        write_file(spec["to_path"], lambda out: shutil.copyfileobj(f, out, PIECE), (when, when) if when else None)
+    here, there = local(spec["from_path"]), local(spec["to_path"])
+    if here and there:
+        shutil.copystat(here, there)
 
 
-def _entry_of(path: str, name: str) -> Entry:
-    with open(local(path), "rb") as f:
-        return Entry(name, f.read(), os.stat(local(path)).st_mtime)
-
-
-def _read(path: str, kind: str, names: dict[str, str], tools: Tools) -> list[Entry]:
-    with open(local(path), "rb") as f:
-        got = read_archive(kind, f.read(), list(names), tools)
-        return [Entry(names[e.name], e.data, e.mtime, e.atime, e.ctime) for e in got]
-
-
-def perform(kind: str, specs: list[dict], raw_zip: bool = False, tools: Tools = Tools()) -> None:
-    """One spec, or for a target archive all specs that write into it."""
+def _extract(specs: list[dict], tools: Tools) -> list[str | None]:
+    """The specs of one source archive, which is read once; per spec its error or None. An entry that several specs (or one
+    of them twice) ask for is written to each target."""
+    left, errors = [defaultdict(list) for _ in specs], [None] * len(specs)
+    for want, s in zip(left, specs):
+        for x in s["entries"]:
+            want[x["from_name"].replace("\\", "/")].append(x["to_name"])
     first = specs[0]
-    if kind == "copy":
-        os.makedirs(os.path.dirname(local(first["to_path"])) or ".", exist_ok=True)
-        shutil.copy2(local(first["from_path"]), local(first["to_path"]))
-    elif kind == "extract":
-        for e in _read(first["from_path"], first["from_type"], {x["from_name"].replace("\\", "/"): x["to_name"] for x in first["entries"]}, tools):
-            write_file(local(e.name), e.data, (e.atime or e.mtime, e.mtime) if e.mtime else None)
-    else:
-        unchanged = all(x["from_name"] == x["to_name"] for s in specs for x in s["entries"])
-        if raw_zip and len(specs) == 1 and (first["from_type"], first["to_type"]) == ("zip", "zip") and unchanged:
-            with open(local(first["from_path"]), "rb") as f:
-                return write_file(local(first["to_path"]), raw_zip_copy(f.read(), [x["from_name"] for x in first["entries"]]))
-        out: dict[str, Entry] = {}
-        for s in specs:
-            if s["kind"] == "compress":
-                got = [_entry_of(x["from_name"], x["to_name"]) for x in s["entries"]]
-            else:
-                got = _read(s["from_path"], s["from_type"], {x["from_name"].replace("\\", "/"): x["to_name"] for x in s["entries"]}, tools)
-            for e in got:
-                out.setdefault(e.name, e)
-        write_file(local(first["to_path"]), write_archive(first["to_type"], out.values()))
-
+    with open_input(first["from_path"]) as source:
+        for e in read_archive(first["from_type"], source, None, tools):
+            times, done, begun = ((e.atime or e.mtime, e.mtime) if e.mtime else None), None, []
+
+            def write(out, e=e, begun=begun) -> None:
+                if begun:
+                    raise ValueError(f"{e.name} could not be read whole")  # an earlier target has used up the stream
+                begun.append(True)
+                out.writelines(e.pieces())
+
+            for k, want in enumerate(left):
+                for target in want.pop(e.name, ()):
+                    try:
+                        if done is None:
+                            write_file(target, write, times)
+                            done = target
+                        else:
+                            with open_input(done) as f:
+                                write_file(target, lambda out, f=f: shutil.copyfileobj(f, out, PIECE), times)
+                    except Exception as err:  # the other targets go on
+                        errors[k] = f"{type(err).__name__}: {err}"
+            if not any(left):
+                break
+    return [err or (f"KeyError: no such entries: {', '.join(sorted(want))}" if want else None) for err, want in zip(errors, left)]
+
+
+def _entries(spec: dict, tools: Tools) -> Iterator[Entry]:
+    if spec["kind"] == "compress":
+        for x in spec["entries"]:
+            with open_input(x["from_name"]) as f:
+                size = f.seek(0, os.SEEK_END)
+                f.seek(0)
+                yield Entry(x["to_name"], None, modified(x["from_name"]), stream=f, size=size)
+        return
+    names = {x["from_name"].replace("\\", "/"): x["to_name"] for x in spec["entries"]}
+    with open_input(spec["from_path"]) as source:
+        for e in read_archive(spec["from_type"], source, list(names), tools):
+            yield e.renamed(names[e.name])
+
+
+def _pack(specs: list[dict], raw_zip: bool, tools: Tools) -> None:
+    """All specs that write into one archive; of equal entry names the first counts. The archive appears whole or not at all."""
+    first = specs[0]
+    unchanged = all(x["from_name"] == x["to_name"] for s in specs for x in s["entries"])
+    if raw_zip and len(specs) == 1 and (first["from_type"], first["to_type"]) == ("zip", "zip") and unchanged:
+        with open_input(first["from_path"]) as f:
+            return write_file(first["to_path"], lambda out: raw_zip_copy(f, [x["from_name"] for x in first["entries"]], out))
 
-def run_plan(plan: DataFrame, raw_zip: bool = False, tools: Tools = Tools()) -> DataFrame:
-    """Status rows of all specs. Specs that write one archive meet in one task; every other spec is a task of its own."""
+    def once() -> Iterator[Entry]:
+        seen = set()
+        for s in specs:
+            for e in _entries(s, tools):
+                if e.name not in seen:
+                    seen.add(e.name)
+                    yield e
+
+    write_file(first["to_path"], lambda out: write_entries(first["to_type"], once(), out))
+
+
+def perform(specs: list[dict], raw_zip: bool = False, tools: Tools = Tools()) -> list[str | None]:
+    """Specs of one kind that share a source archive (extract) or a target (the other kinds); per spec its error or None."""
+    try:
+        if specs[0]["kind"] == "extract":
+            return _extract(specs, tools)
+        if specs[0]["kind"] == "copy":
+            return [_copy(s) for s in specs]
+        _pack(specs, raw_zip, tools)
+        return [None] * len(specs)
+    except Exception as e:  # reported, so that the other specs go on
+        return [f"{type(e).__name__}: {e}"] * len(specs)
+
+
+def run_plan(plan: DataFrame, raw_zip: bool = False, tools: Tools = Tools(), progress: Progress | None = None) -> DataFrame:
+    """A status row for every distinct spec. Specs that write one archive meet in one task, as do those that read one, which
+    is read once for all; every other spec is a task of its own."""
     unique = plan.dropDuplicates(["kind", "from_path", "to_path", "to_type", "entries"])
-    key = F.when(F.col("to_type").isNotNull(), F.col("to_path")).otherwise(F.concat_ws("|", "kind", "from_path", "to_path"))
+    key = F.when(F.col("to_type").isNotNull(), F.concat(F.lit("to|"), "to_path")).when(F.col("kind") == "extract", F.concat(F.lit("from|"), "from_path")).otherwise(F.concat_ws("|", "kind", "from_path", "to_path"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         specs = [r | {"entries": list(r["entries"])} for r in pdf.to_dict("records")]
         specs = [{k: None if isinstance(v, float) else v for k, v in s.items()} for s in specs]
-        status, message = "OK", None
-        try:
-            perform(specs[0]["kind"], specs, raw_zip, tools)
-        except Exception as e:  # reported, so that the other specs go on
-            status, message = "FAILED", f"{type(e).__name__}: {e}"
-        return pd.DataFrame([{"kind": s["kind"], "from_path": s["from_path"], "to_path": s["to_path"], "status": status, "message": message} for s in specs])
+        errors = perform(specs, raw_zip, tools)
+        if progress:
+            progress.add(len(specs), 0, sum(e is not None for e in errors))
+        return pd.DataFrame([{"kind": s["kind"], "from_path": s["from_path"], "to_path": s["to_path"], "status": "OK" if e is None else "FAILED", "message": e} for s, e in zip(specs, errors)])
 
     return unique.withColumn("_key", key).groupBy("_key").applyInPandas(run, RESULT)

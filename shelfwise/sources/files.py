@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import hashlib
-import mmap
+import io
+import tempfile
 import zlib
-from urllib.parse import unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.files import archive_type, archive_type_of, digests
-from ..operators.headers import EOF, SWAPS, Detector, Rule, RuleError, scan_bounds, strip_header
+from ..functions.files import archive_ordinal, archive_type, archive_type_of
+from ..operators.headers import EOF, Detector, find_rule, scan_bounds
+from ..plans.progress import Progress
 from ..schema import SCAN
 from .archives import Tools, entries
+from .storage import PIECE, View, open_input
 
 COLUMNS = [c.split()[0] for c in SCAN.split(", ")]
 
@@ -36,83 +38,86 @@ def also_scanned(roms: DataFrame) -> list[str]:
     return [r[0] for r in roms.select(archive_type(F.col("rom_name")).alias("t")).where("t is not null").distinct().collect()]
 
 
-def _row(kind, path, data: bytes, detectors, inner=None) -> dict:
-    content, error = strip_header(data, detectors) if detectors else (data, None)
-    return {
-        "archive_type": kind, "path": path, "size": len(data), "unheadered_size": len(content), "crc": f"{zlib.crc32(content):08x}", "md5": hashlib.md5(content).hexdigest(),
-        "sha1": hashlib.sha1(content).hexdigest(), "sha256": hashlib.sha256(content).hexdigest(), "archive_path": inner, "status": "OK" if error is None else "RULE_FAILED", "message": error,
-    }
-
-
-#: Files over this size are hashed by path in pieces; smaller ones come as a binary column.
-LARGE = 1 << 30
-PIECE = 8 << 20
-
-
-def _large_row(path: str, detectors: list[Detector]) -> dict:
-    """The row of a large plain file, read through the executors' file system in pieces."""
-    name = unquote(urlparse(path).path) if path.startswith("file:") else path
-    row = dict.fromkeys(COLUMNS) | {"path": path, "status": "OK"}
-    try:
-        with open(name, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
-            rule = next((r for d in detectors for r in d.rules if r.holds(data)), None)
-            start, end = rule.bounds(len(data)) if rule else (0, len(data))
-            sums, crc = [hashlib.md5(), hashlib.sha1(), hashlib.sha256()], 0
-            if rule and rule.operation in SWAPS and (end - start) % 4:
-                raise RuleError(f"{end - start} bytes are no multiple of 4")
-            for at in range(start, end, PIECE):
-                part = data[at : min(end, at + PIECE)]
-                part = Rule(operation=rule.operation).apply(part) if rule else part
-                crc = zlib.crc32(part, crc)
-                for h in sums:
-                    h.update(part)
-            return row | {"size": len(data), "unheadered_size": end - start, "crc": f"{crc:08x}", **{k: h.hexdigest() for k, h in zip(("md5", "sha1", "sha256"), sums)}}
-    except Exception as e:  # one unreadable file must not stop a scan
-        return row | {"status": "FAILED", "message": f"{type(e).__name__}: {e}"}
-
-
-def scan(files: DataFrame, bounds: tuple[int, int] = (0, EOF), detectors: list[Detector] = (), also: list[str] = (), tools: Tools = Tools(), large: int = LARGE) -> DataFrame:
-    """Scan rows of files (path, length, content): one per plain file and per archive entry within bounds.
+def _sums(parts) -> dict:
+    """Length and digests of a content that comes in parts."""
+    size, crc, sums = 0, 0, {k: hashlib.new(k) for k in ("md5", "sha1", "sha256")}
+    for part in parts:
+        size, crc = size + len(part), zlib.crc32(part, crc)
+        for h in sums.values():
+            h.update(part)
+    return {"unheadered_size": size, "crc": f"{crc:08x}", **{k: h.hexdigest() for k, h in sums.items()}}
+
+
+def _row(view, detectors, piece: int) -> dict:
+    """Sizes, digests and status of seekable content."""
+    rule, error = find_rule(view, detectors)
+    return {"size": len(view), **_sums(rule.pieces(view, piece)), "status": "OK" if error is None else "RULE_FAILED", "message": error}
+
+
+def _entry_row(entry, detectors, piece: int) -> dict:
+    """The same of an archive's entry, whose content comes once; rules need it seekable, so long entries go to a scratch file."""
+    if not detectors:
+        sums = _sums(entry.pieces(piece))
+        return {"size": sums["unheadered_size"], **sums, "status": "OK", "message": None}
+    with tempfile.SpooledTemporaryFile(max_size=piece) as f:
+        for part in entry.pieces(piece):
+            f.write(part)
+        return _row(View(f, f.tell()), detectors, piece)
+
+
+def _file_rows(path: str, source, bounds, detectors, also, tools: Tools, piece: int):
+    """The rows of one file; what cannot be read becomes a FAILED row, and entries read before stay."""
+    lo, hi = bounds
+    kind, failed = archive_type_of(path), None
+    named = dict.fromkeys(COLUMNS) | {"path": path}
+    if kind:
+        try:
+            for e in entries(kind, source, tools):
+                if e.size is None or lo <= e.size <= hi:
+                    yield named | {"archive_type": kind, "archive_path": e.name} | _entry_row(e, detectors, piece)
+        except Exception as e:  # any broken archive must not stop a scan
+            failed = f"{type(e).__name__}: {e}"
+    view = View(source)
+    if (not kind or failed or kind in also) and lo <= len(view) <= hi:
+        yield named | _row(view, detectors, piece) | ({"status": "FAILED", "message": failed} if failed else {})
+
+
+def scan(files: DataFrame, bounds: tuple[int, int] = (0, EOF), detectors: list[Detector] = (), also: list[str] = (), tools: Tools = Tools(), large: int = PIECE, by_content: bool = False,
+         progress: Progress | None = None) -> DataFrame:
+    """Scan rows of files (path, length): one per plain file and per archive entry within bounds.
 
     Files whose names are an archive's are read as archives; one that cannot be read is scanned as a plain file, with the
-    failure in `message`. Loose files without detectors are hashed by native expressions, everything else in batches of
-    Python. The bounds prune files before their content is read; archives are read whatever their size, their entries
-    pruned one by one. Plain files over `large` bytes are read by path, in pieces.
+    failure in `message`; a file that cannot be opened or read is a FAILED row without digests. The bounds prune plain files
+    before they are opened; archives are read whatever their size, their entries pruned one by one. Files and entries of
+    every size take the same way, in pieces of `large` bytes, through the file systems that Arrow opens. For others,
+    by_content reads Spark's content column instead (2 GB a file at most).
     """
     lo, hi = bounds
     kind = archive_type(F.col("path"))
-    plain = files.where(F.col("length").between(lo, hi))
-    every, packed = plain.where(kind.isNull()), files.where(kind.isNotNull())
-    loose, huge = every.where(F.col("length") <= large), every.where(F.col("length") > large)
     detectors, also = list(detectors), set(also)
 
-    def by_path(frames):
-        for pdf in frames:
-            yield pd.DataFrame([_large_row(p, detectors) for p in pdf["path"]], columns=COLUMNS)
-
     def run(frames):
         for pdf in frames:
-            rows = []
-            for path, data in zip(pdf["path"], pdf["content"]):
-                t = archive_type_of(path)
-                if t is None:
-                    rows.append(_row(None, path, data, detectors))
-                    continue
-                failed = None
+            for path, content in zip(pdf["path"], pdf["content"] if by_content else [None] * len(pdf)):
+                rows = []
                 try:
-                    rows += [_row(t, path, e.data, detectors, e.name) for e in entries(t, data, tools) if lo <= len(e.data) <= hi]
-                except Exception as e:  # any broken archive must not stop a scan
-                    failed = f"{type(e).__name__}: {e}"
-                if (failed or t in also) and lo <= len(data) <= hi:
-                    rows.append(_row(None, path, data, detectors) | ({"status": "FAILED", "message": failed} if failed else {}))
-            yield pd.DataFrame(rows, columns=COLUMNS)
-
-    big = huge.select("path").mapInPandas(by_path, SCAN)
-    if detectors:
-        return loose.unionByName(packed).select("path", "content").mapInPandas(run, SCAN).unionByName(big)
-    d = digests(F.col("content"))
-    native = loose.select(
-        F.lit(None).cast("string").alias("archive_type"), "path", F.col("length").alias("size"), F.col("length").alias("unheadered_size"), *(d[k].alias(k) for k in ("crc", "md5", "sha1", "sha256")),
-        F.lit(None).cast("string").alias("archive_path"), F.lit("OK").alias("status"), F.lit(None).cast("string").alias("message"),
-    )
-    return native.unionByName(packed.select("path", "content").mapInPandas(run, SCAN)).unionByName(big)
+                    with io.BytesIO(content) if by_content else open_input(path) as source:
+                        for row in _file_rows(path, source, (lo, hi), detectors, also, tools, large):
+                            rows.append(row)
+                            if len(rows) == 1000:
+                                yield pd.DataFrame(rows, columns=COLUMNS)
+                                rows = []
+                except Exception as e:  # one unreadable file must not stop a scan
+                    rows.append(dict.fromkeys(COLUMNS) | {"path": path, "status": "FAILED", "message": f"{type(e).__name__}: {e}"})
+                if progress:
+                    progress.add(1, sum(r["size"] or 0 for r in rows), sum(r["status"] != "OK" for r in rows))
+                if rows:
+                    yield pd.DataFrame(rows, columns=COLUMNS)
+
+    wanted = files.where(F.col("length").between(lo, hi)).where(kind.isNull()).unionByName(files.where(kind.isNotNull()))
+    return wanted.select("path", *["content"] * by_content).mapInPandas(run, SCAN)
+
+
+def scan_order(rows: DataFrame) -> DataFrame:
+    """Scan rows with the largest first; equal sizes by archive type, path and entry."""
+    return rows.orderBy(F.col("size").desc_nulls_last(), archive_ordinal(F.col("archive_type")), "path", F.col("archive_path").asc_nulls_first())
