@@ -12,19 +12,21 @@ from pyspark.sql import functions as F
 from . import __version__
 from .config import FileOutput, Filter, InvalidCatalog, PostFilter, Preference, allowed
 from .functions.files import ByteSize, output_types
-from .functions.tables import materialize
+from .functions.tables import materialize, release
 from .operators.derive import derive, divergence
 from .operators.filters import built_in_excludes, patterns_of
 from .operators.headers import load_detector
 from .operators.matching import choose_sources, match_roms, rom_rows
 from .plans.execute import run_plan
 from .plans.files import plan_files
-from .plans.render import MODES, name_list, rebuild, render
+from .plans.progress import Progress
+from .plans.render import MODES, catalog_text, names_in_order, rebuilt_games, rebuilt_header
 from .plans.selection import select_best
 from .sources.archives import Tools
 from .sources.catalog import games, read_documents
 from .sources.config import load_app_config, load_patterns, load_regions
 from .sources.files import also_scanned, list_files, scan, size_bounds
+from .sources.storage import PIECE
 from .workers import ship
 
 CLASSES = ("bad", "proto", "beta", "demo", "sample", "bios", "program", "chip", "pirate", "promo", "unlicensed", "dlc", "update")
@@ -74,8 +76,9 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument(f"--{k}", action="store_true")
     for k in ("scan-threads", "copy-threads"):
         p.add_argument(f"--{k}", type=int, help="tasks; by default as Spark deals the files")
-    for k in ("scan-buffer", "scan-max-buffer", "copy-buffer"):
-        p.add_argument(f"--{k}", type=ByteSize.parse, help="accepted; files are read whole or in fixed pieces")
+    for k in ("scan-buffer", "scan-max-buffer"):
+        p.add_argument(f"--{k}", type=ByteSize.parse, help="content held at a time by a task (scan-max-buffer before scan-buffer)")
+    p.add_argument("--copy-buffer", type=ByteSize.parse, help="accepted; copies go in fixed pieces")
     p.add_argument("--unrar-exec")
     p.add_argument("--7z-exec", dest="seven_zip_exec")
     force = p.add_mutually_exclusive_group()
@@ -144,32 +147,43 @@ def run(spark: SparkSession, a: argparse.Namespace, show=print) -> int:
         detectors = [load_detector(n, _own(a.detectors, "detectors")) for n in sorted(names)]
         roms = rom_rows(catalog)
         files = list_files(spark, a.in_dir)
-        threads = a.scan_threads or app.scanner.threads
-        scanned = scan(files.repartition(threads) if threads else files, size_bounds(roms, detectors), detectors, also_scanned(roms), tools)
-        scanned = materialize(scanned, "scan")  # hashed once, though matching reads it several times
+        threads, buffer = a.scan_threads or app.scanner.threads, a.scan_max_buffer or a.scan_buffer
+        with Progress(spark, "scan").shown(_status) as seen:
+            scanned = scan(files.repartition(threads) if threads else files, size_bounds(roms, detectors), detectors, also_scanned(roms), tools, int(buffer.in_bytes()) if buffer else PIECE, progress=seen)
+            scanned = materialize(scanned, "scan")  # hashed once, though matching reads it several times
     text_catalog = a.out_mode is not None
-    best = select_best(catalog, f, p, post, scanned, regions, text_catalog)
+    best = materialize(select_best(catalog, f, p, post, scanned, regions, text_catalog), "best")  # used more than once below
     if a.out_dir:
         out = FileOutput(a.out_dir, a.archive, a.alphabetic, a.force_subfolder)
         chosen = choose_sources(match_roms(rom_rows(best), scanned), out.archive_type is not None)
         plan, threads = plan_files(best, chosen, out), a.copy_threads or app.copier.threads
         plan = plan.repartition(threads, "to_path") if threads else plan
-        for r in run_plan(plan, raw_zip, tools).where("status <> 'OK'").toLocalIterator():
+        with Progress(spark, "copy").shown(_status) as copied:
+            done = materialize(run_plan(plan, raw_zip, tools, copied), "copied")  # once: reading the rows again must not copy again
+        for r in done.where("status <> 'OK'").toLocalIterator():
             print(f"{r['from_path']} -> {r['to_path']}: {r['message']}", file=sys.stderr)
         return 0
     if text_catalog:
         first = docs.where("dat_ord = 0").select("header").first()
-        text = render(rebuild(best, first["header"] if first else None), a.out_mode)
+        parts = catalog_text(rebuilt_header(first["header"] if first else None), rebuilt_games(best), a.out_mode)
     else:
-        text = "".join(f"{n}\n" for n in name_list(best))
+        parts = (f"{n}\n" for n in names_in_order(best))
     if a.out_file:
         Path(a.out_file).parent.mkdir(parents=True, exist_ok=True)
-        Path(a.out_file).write_text(text, encoding="utf-8")
+        with open(a.out_file, "w", encoding="utf-8") as out:
+            out.writelines(parts)
     else:
-        show(text, end="")
+        for part in parts:
+            show(part, end="")
     return 0
 
 
+def _status(line: str) -> None:
+    """Progress goes to a terminal only."""
+    if sys.stderr.isatty():
+        print(f"\r{line}", end="", file=sys.stderr, flush=True)
+
+
 def main(argv: list[str] | None = None) -> int:
     top = parser()
     a = top.parse_args(argv)
@@ -184,6 +198,8 @@ def main(argv: list[str] | None = None) -> int:
             raise
         print(f"failed: {e}", file=sys.stderr)
         return 1
+    finally:
+        release(spark)
 
 
 if __name__ == "__main__":

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import re
+import json
+from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # The naming convention's patterns (java.util.regex syntax, found anywhere in a name).
@@ -92,25 +93,35 @@ def count_matches(name: Column, patterns: list[str]) -> Column:
     return out
 
 
-#: Punctuation in the order of the JDK's default collation rules; spaces and hyphens are skipped at the first level.
-_PUNCTUATION = "_,;:!?/.`^'\"()[]{}@$*\\&#%+<=>|~"
-_PLAIN = str.maketrans("áàâäãåéèêëíìîïóòôöõúùûüýÿñç", "aaaaaaeeeeiiiiooooouuuuyync")
 SPECIAL = "[{(#"
+#: Code points whose collation elements are asked from the JVM: Latin letters, marks and punctuation. What the collator's rules
+#: leave out, as other scripts, comes after them by code point.
+COLLATED = (*range(0x00, 0x370), *range(0x1E00, 0x2070), *range(0x20A0, 0x20C0))
+
+
+@lru_cache(None)
+def _collation(session: str) -> str:
+    """JSON of character -> `primary|secondary`, hexadecimal collation elements of the JVM's collator for its locale."""
+    jvm = SparkSession.getActiveSession()._jvm
+    collator = jvm.java.text.Collator.getInstance()
+    collator.setStrength(1)  # SECONDARY
+    out = {}
+    for code in COLLATED:
+        key = bytes(collator.getCollationKey(chr(code)).toByteArray())
+        units = [key[i : i + 2].hex() for i in range(0, len(key), 2)]
+        cut = units.index("0000")
+        out[chr(code)] = f"{''.join(units[:cut])}|{''.join(u for u in units[cut + 1 :] if u != '0000')}"
+    return json.dumps(out)
 
 
 def name_order(name: Column) -> list[Column]:
-    """Sort keys for names: those that start with one of [ { ( # first, by that character; then like a locale collation of
-    secondary strength: punctuation, digits, letters; case, spaces and hyphens only break ties."""
+    """Sort keys for names: those that start with one of [ { ( # first, by that character only; then the order of the JVM's
+    collator at secondary strength, element by element: spaces, hyphens and accents break ties, case never does."""
+    session = SparkSession.getActiveSession()
+    table = F.from_json(F.lit(_collation(session.sparkContext.applicationId)), "map<string,string>")
     first = F.substring(name, 1, 1)
-    special = first.isin(*SPECIAL)
-    accents = "".join(map(chr, _PLAIN))
-    plain = F.translate(F.regexp_replace(F.lower(name), r"[\s\-]", ""), accents, accents.translate(_PLAIN))
-    primary = F.translate(plain, _PUNCTUATION, "".join(chr(1 + i) for i in range(len(_PUNCTUATION))))
-    return [F.when(special, 0).otherwise(1), F.when(special, first).otherwise(""), F.when(special, "").otherwise(primary), F.when(special, "").otherwise(F.lower(name))]
-
-
-def compile_check(patterns: list[str]) -> None:
-    """Raise for patterns that are empty or not well-formed as far as Python can tell."""
-    for p in patterns:
-        if "\\Q" not in p:
-            re.compile(p)
+    special = F.coalesce(first.isin(*SPECIAL), F.lit(False))
+    other = lambda c: F.concat(F.lit("8000"), F.lpad(F.lower(F.hex(F.ascii(c) + 1)), 4, "0"), F.lit("|00010001"))
+    elements = F.transform(F.filter(F.split(name, ""), lambda c: c != ""), lambda c: F.coalesce(F.element_at(table, c), other(c)))
+    part = lambda i: F.array_join(F.transform(elements, lambda e: F.split_part(e, F.lit("|"), F.lit(i))), "")
+    return [F.when(special, 0).otherwise(1), F.when(special, first).otherwise(""), F.when(special, "").otherwise(part(1)), F.when(special, "").otherwise(part(2))]

@@ -16,10 +16,12 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, spark.checkpoint.dir. Where that is unset, as in local tests, a temporary
-    folder of this process."""
+    """The folder that driver and executors share, spark.checkpoint.dir. Where that is unset, a temporary folder of this
+    process, but only in local mode: on a cluster executors would write to folders of their own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="shelfwise-"))
         path = _own[0]
@@ -38,11 +40,16 @@ def release(spark: SparkSession) -> None:
     _written.clear()
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which `release` deletes."""
     path = f"{shared_dir(spark)}/shelfwise/{name}-{uuid.uuid4().hex}"
     _written.append(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends there and survives lost executors."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

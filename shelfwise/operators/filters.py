@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Filter, InvalidCatalog, PostFilter
@@ -49,11 +49,12 @@ def apply_filter(games: DataFrame, f: Filter) -> DataFrame:
 
 
 def post_filter(games: DataFrame, f: PostFilter) -> DataFrame:
-    """Drop every family of which some member's name matches. The family partitioning is the one that ranking uses."""
+    """Drop every family of which some member's name matches. Only the names of such families are shuffled; a null family
+    name is a family of its own."""
     if not f.excludes:
         return games
-    hit = F.bool_or(any_match(F.col("name"), list(f.excludes))).over(Window.partitionBy("parent_name"))
-    return games.withColumn("_hit", hit).where(~F.col("_hit")).drop("_hit")
+    hit = games.where(any_match(F.col("name"), list(f.excludes))).select(F.col("parent_name").alias("_family")).distinct()
+    return games.join(hit, F.col("parent_name").eqNullSafe(F.col("_family")), "left_anti")
 
 
 def validity(games: DataFrame) -> DataFrame:

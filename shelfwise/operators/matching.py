@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.files import archive_ordinal
-from ..functions.tables import materialize
 
 GAME = ["dat_ord", "game_ord"]
+#: The keys in their order; a sha256 counts only where asked, and before all others.
+LEVELS = (("sha256",), ("sha1",), ("md5",), ("size", "crc"))
 
 
 def rom_rows(games: DataFrame) -> DataFrame:
@@ -17,29 +18,56 @@ def rom_rows(games: DataFrame) -> DataFrame:
     return rows.select(*GAME, "rom_ord", "n_roms", F.col("r.name").alias("rom_name"), F.col("r.size").alias("size"), *(F.lower(F.col(f"r.{k}")).alias(k) for k in ("crc", "md5", "sha1", "sha256")))
 
 
+def _keyed(rows: DataFrame, keep: list[str], sha256_first: bool) -> DataFrame:
+    """keep, level and key: one row per key that a file has. Null parts make no key; digests compare without case."""
+    keys = [F.concat(*(F.concat(F.lit(":"), F.lower(F.col(c).cast("string"))) for c in level)) for level in LEVELS]  # null with a null part
+    levels = [F.struct(F.lit(i).alias("level"), k.alias("key")) for i, k in enumerate(keys) if i or sha256_first]
+    return rows.select(*keep, F.explode(F.filter(F.array(*levels), lambda x: x["key"].isNotNull())).alias("_k")).select(*keep, "_k.level", "_k.key")
+
+
+def match_levels(roms: DataFrame, scan: DataFrame, sha256_first: bool = False) -> DataFrame:
+    """rom_rows that some scanned file matches, with the first level at which one does and its key. Only the scan's distinct
+    keys are read, so a file that was scanned many times counts once."""
+    there = _keyed(scan.withColumn("size", F.col("unheadered_size")), [], sha256_first).distinct()
+    mine = _keyed(roms, roms.columns, sha256_first).join(there, ["level", "key"], "left_semi")
+    rest = [c for c in roms.columns if c not in (*GAME, "rom_ord")]
+    least = mine.groupBy(*GAME, "rom_ord").agg(F.min(F.struct("level", "key", *rest)).alias("m"))
+    return least.select(*GAME, "rom_ord", "m.level", "m.key", *(f"m.{c}" for c in rest))
+
+
 def match_roms(roms: DataFrame, scan: DataFrame, sha256_first: bool = False) -> DataFrame:
     """rom_rows with the scan rows they match: a key counts if any scanned file has it, so an unknown or missing sha1 falls
-    through to md5, then to (size, crc). Columns: rom columns, archive_type, path, archive_path, match_ord (1: first).
+    through to md5, then to (size, crc). Columns: rom columns, archive_type, path, archive_path.
 
     scan: archive_type, path, archive_path, unheadered_size, crc, md5, sha1, sha256. Null keys never match; digests compare
-    without case. Only files that no earlier key has matched go on to the next one, so a key makes rows only where it counts.
+    without case. First the level that counts is found among distinct keys, then one join makes the rows of that level.
     """
-    keyed = scan.select("archive_type", "path", "archive_path", F.col("unheadered_size").alias("size"), *(F.lower(k).alias(k) for k in ("crc", "md5", "sha1", "sha256")))
-    levels = [["sha256"]] * sha256_first + [["sha1"], ["md5"], ["size", "crc"]]
-    left, found = roms, None
-    for keys in levels:
-        there = keyed.select(*keys, "archive_type", "path", "archive_path").dropna(subset=keys)
-        rows = left.join(there, keys)
-        rows = rows.select(*roms.columns, "archive_type", "path", "archive_path")
-        found = rows if found is None else found.unionByName(rows)
-        left = left.join(there.select(*keys), keys, "left_anti")
+    copies = _keyed(scan.withColumn("size", F.col("unheadered_size")), ["archive_type", "path", "archive_path"], sha256_first)
+    return match_levels(roms, scan, sha256_first).join(copies, ["level", "key"]).select(*roms.columns, "archive_type", "path", "archive_path")
+
+
+def seen_first() -> Column:
+    """The order of a file's matches: loose files, then archives by type, path and entry."""
+    return F.struct(archive_ordinal(F.col("archive_type")).alias("kind"), F.col("path").alias("path"), F.col("archive_path").alias("entry"))
+
+
+def first_matches(matches: DataFrame) -> DataFrame:
+    """The first match of each file, by a partial aggregate."""
+    rest = [c for c in matches.columns if c not in (*GAME, "rom_ord")]
+    least = matches.groupBy(*GAME, "rom_ord").agg(F.min(F.struct(seen_first().alias("_seen"), *rest)).alias("m"))
+    return least.select(*GAME, "rom_ord", *(f"m.{c}" for c in rest))
+
+
+def match_order(matches: DataFrame) -> DataFrame:
+    """matches with match_ord (1: first). This sorts all copies of a file; `first_matches` needs no sort."""
     order = Window.partitionBy(*GAME, "rom_ord").orderBy(archive_ordinal(F.col("archive_type")), "path", F.col("archive_path").asc_nulls_first())
-    return found.withColumn("match_ord", F.row_number().over(order))
+    return matches.withColumn("match_ord", F.row_number().over(order))
 
 
-def complete_games(matches: DataFrame) -> DataFrame:
-    """dat_ord, game_ord of games all of whose files match; games without files are never complete."""
-    per = matches.groupBy(*GAME).agg(F.count_distinct("rom_ord").alias("n"), F.first("n_roms").alias("n_roms"))
+def complete_games(matched: DataFrame) -> DataFrame:
+    """dat_ord, game_ord of games all of whose files match; games without files are never complete. matched: rows of
+    match_levels, or of match_roms."""
+    per = matched.groupBy(*GAME, "rom_ord").agg(F.first("n_roms").alias("n_roms")).groupBy(*GAME).agg(F.count(F.lit(1)).alias("n"), F.first("n_roms").alias("n_roms"))
     return per.where("n = n_roms").select(*GAME)
 
 
@@ -50,27 +78,25 @@ def choose_sources(matches: DataFrame, to_archive: bool) -> DataFrame:
     archive that covers all files (most matches first, then first seen); games that no archive covers have none. If no
     archive is asked for, the first loose match of each file and all archive matches.
     """
-    matches = materialize(matches, "matches")  # used several times below
-    kept = matches.join(complete_games(matches), GAME, "left_semi")
-    loose = kept.where(F.col("archive_type").isNull())
-    first = loose.withColumn("_k", F.row_number().over(Window.partitionBy(*GAME, "rom_ord").orderBy("match_ord"))).where("_k = 1").drop("_k")
-    covered = first.groupBy(*GAME).agg(F.count(F.lit(1)).alias("n"), F.first("n_roms").alias("n_roms")).where("n = n_roms").select(*GAME)
-    by_loose = first.join(covered, GAME, "left_semi").withColumn("choice", F.lit("loose"))
-    rest = kept.join(covered, GAME, "left_anti")
-    packed = rest.where(F.col("archive_type").isNotNull())
+    columns = ["rom_name", "archive_type", "path", "archive_path", "n_roms"]
+    loose = F.when(F.col("archive_type").isNull(), F.struct(F.col("path"), F.col("archive_path"), F.col("rom_name"), F.col("archive_type")))
+    per_rom = matches.groupBy(*GAME, "rom_ord").agg(F.first("n_roms").alias("n_roms"), F.min(loose).alias("m"))
+    per_game = per_rom.groupBy(*GAME).agg(F.count(F.lit(1)).alias("n"), F.count("m").alias("n_loose"), F.first("n_roms").alias("n_roms"), F.collect_list(F.when(F.col("m").isNotNull(), F.struct("rom_ord", "m"))).alias("loose"))
+    complete = per_game.where("n = n_roms").withColumn("all_loose", F.col("n_loose") == F.col("n_roms"))
+    taken = complete.where("all_loose") if to_archive else complete
+    first = taken.select(*GAME, "n_roms", F.when(F.col("all_loose"), "loose").otherwise("mixed").alias("choice"), F.explode("loose").alias("x")).select(*GAME, "x.rom_ord", "n_roms", "x.m.*", "choice")
+    packed = matches.where(F.col("archive_type").isNotNull()).select(*GAME, "rom_ord", *columns).join(complete.where("not all_loose").select(*GAME), GAME, "left_semi")
     if to_archive:
-        best = cover(packed)
-        return by_loose.unionByName(packed.join(best, [*GAME, "path"], "left_semi").withColumn("choice", F.lit("archive")))
-    mixed = first.join(covered, GAME, "left_anti").unionByName(packed)
-    return by_loose.unionByName(mixed.withColumn("choice", F.lit("mixed")))
+        packed = packed.join(cover(packed), [*GAME, "path"], "left_semi")
+    return first.unionByName(packed.withColumn("choice", F.lit("archive" if to_archive else "mixed")))
 
 
 def cover(packed: DataFrame) -> DataFrame:
     """dat_ord, game_ord, path: the archive that covers all files of a game, most matches first, then first seen."""
-    per = packed.groupBy(*GAME, "path").agg(F.count(F.lit(1)).alias("n"), F.first("n_roms").alias("n_roms"), F.min(F.struct("rom_ord", "match_ord")).alias("seen"))
-    order = Window.partitionBy(*GAME).orderBy(F.col("n").desc(), "seen")
-    return per.where("n >= n_roms").withColumn("_k", F.row_number().over(order)).where("_k = 1").select(*GAME, "path")
+    per = packed.groupBy(*GAME, "path").agg(F.count(F.lit(1)).alias("n"), F.first("n_roms").alias("n_roms"), F.min(F.struct("rom_ord", seen_first().alias("m"))).alias("seen"))
+    best = per.where("n >= n_roms").groupBy(*GAME).agg(F.min(F.struct((-F.col("n")).alias("n"), "seen", "path")).alias("b"))
+    return best.select(*GAME, "b.path")
 
 
-def present_games(games: DataFrame, matches: DataFrame) -> DataFrame:
-    return games.join(complete_games(matches), GAME, "left_semi")
+def present_games(games: DataFrame, matched: DataFrame) -> DataFrame:
+    return games.join(complete_games(matched), GAME, "left_semi")

@@ -27,13 +27,13 @@ def plan_files(best: DataFrame, chosen: DataFrame, out: FileOutput) -> DataFrame
     if out.archive_type is None:
         copies = loose.select(F.lit("copy").alias("kind"), F.col("path").alias("from_path"), nothing.alias("from_type"), target.alias("to_path"), nothing.alias("to_type"),
                               F.array(F.struct(F.col("path").alias("from_name"), target.alias("to_name"))).alias("entries"))
-        first = packed.groupBy(*GAME, "path", "archive_type", "archive_path").agg(F.min(F.struct("rom_ord", "match_ord", target.alias("to_name"))).alias("m"), F.first("folder").alias("folder"))
+        first = packed.groupBy(*GAME, "path", "archive_type", "archive_path").agg(F.min(F.struct("rom_ord", target.alias("to_name"))).alias("m"), F.first("folder").alias("folder"))
         extracts = first.groupBy(*GAME, "path", "archive_type").agg(F.first("folder").alias("folder"), F.sort_array(F.collect_list(F.struct("m.rom_ord", F.col("archive_path").alias("from_name"), "m.to_name"))).alias("e"))
         extracts = extracts.select(F.lit("extract").alias("kind"), F.col("path").alias("from_path"), F.col("archive_type").alias("from_type"), F.col("folder").alias("to_path"), nothing.alias("to_type"),
                                    F.transform("e", lambda x: F.struct(x["from_name"].alias("from_name"), x["to_name"].alias("to_name"))).alias("entries"))
         return copies.unionByName(extracts)
     to = F.concat(F.concat_ws("/", "folder", "game"), F.lit(f".{out.archive_type}"))
-    first = packed.groupBy(*GAME, "path", "archive_type", "archive_path").agg(F.min(F.struct("rom_ord", "match_ord", F.col("rom_name").alias("to_name"))).alias("m"), F.first(to).alias("to_path"))
+    first = packed.groupBy(*GAME, "path", "archive_type", "archive_path").agg(F.min(F.struct("rom_ord", F.col("rom_name").alias("to_name"))).alias("m"), F.first(to).alias("to_path"))
     moved = first.groupBy(*GAME, "path", "archive_type", "to_path").agg(F.sort_array(F.collect_list(F.struct("m.rom_ord", F.col("archive_path").alias("from_name"), "m.to_name"))).alias("e"))
     moved = moved.select(F.lit("archive_copy").alias("kind"), F.col("path").alias("from_path"), F.col("archive_type").alias("from_type"), "to_path", F.lit(out.archive_type).alias("to_type"),
                          F.transform("e", lambda x: F.struct(x["from_name"].alias("from_name"), x["to_name"].alias("to_name"))).alias("entries"))

@@ -1,16 +1,18 @@
-"""Catalog documents as text. A catalog is one small document, so it is rendered on the driver."""
+"""Catalog documents as text, game by game in name order, so that a catalog is never held whole."""
 
 from __future__ import annotations
 
 import json
+import textwrap
 import xml.etree.ElementTree as ET
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .. import __version__
-from ..functions.names import SPECIAL
 from ..schema import DEFAULTS, GAME, HEADER
+from .selection import ordered
 
 # Output modes, the suffix of a rebuilt catalog's name, the catalog format's document type.
 MODES = ("xml", "json", "yaml")
@@ -19,29 +21,23 @@ DOCTYPE = '<!DOCTYPE datafile PUBLIC "-//Logiqx//DTD ROM Management Datafile//EN
 GENERATOR = f"Generated by shelfwise {__version__}"
 
 
-def rebuild(best: DataFrame, header: Row | None) -> dict:
-    """A catalog of the selected games, in name order, with the first catalog's header; parents are cleared, the suffix added
-    to name and description."""
-    rows = best.select("name", "dat_ord", "game_ord", F.col("game").withField("_cloneof", F.lit(None).cast("string")).alias("game")).collect()
-    games = [r["game"].asDict(True) for r in sort_names(best.sparkSession, rows)]
+def rebuilt_header(header: Row | None) -> dict | None:
+    """The first catalog's header, with the suffix added to name and description."""
     head = header.asDict(True) if header is not None else None
     if head:
         head |= {k: f"{head[k]}{SUFFIX}" for k in ("name", "description") if head.get(k) is not None}
-    return {"header": head, "game": games}
+    return head
+
 
+def rebuilt_games(best: DataFrame) -> Iterator[dict]:
+    """The selected games in name order, one partition of the sort at a time; parents are cleared."""
+    rows = ordered(best).select(F.col("game").withField("_cloneof", F.lit(None).cast("string")).alias("game"))
+    return (r["game"].asDict(True) for r in rows.toLocalIterator())
 
-def sort_names(spark: SparkSession, rows: list[Row]) -> list[Row]:
-    """Rows by name: names that start with [ { ( # first, by that character only, the others by the locale's collation of
-    secondary strength; equal names keep their input order."""
-    jvm = spark.sparkContext._jvm
-    collator = jvm.java.text.Collator.getInstance()
-    collator.setStrength(1)  # SECONDARY
-    def key(r: Row):
-        name = r["name"] or ""
-        special = name[:1] in SPECIAL and name[:1] != ""
-        return (0, name[:1], b"") if special else (1, "", bytes(collator.getCollationKey(name).toByteArray()))
 
-    return sorted(sorted(rows, key=lambda r: (r["dat_ord"], r["game_ord"])), key=key)
+def rebuild(best: DataFrame, header: Row | None) -> dict:
+    """A catalog of the selected games, held whole; `catalog_text` renders one without holding it."""
+    return {"header": rebuilt_header(header), "game": list(rebuilt_games(best))}
 
 
 def _clean(kind: str, value):
@@ -68,27 +64,60 @@ def _element(tag: str, value) -> ET.Element:
     return e
 
 
-def render(catalog: dict, mode: str = "xml") -> str:
-    """The text of a catalog; field order is the schema's."""
+def catalog_text(header: dict | None, games: Iterable[dict], mode: str = "xml", build: str | None = None, debug: str | None = None) -> Iterator[str]:
+    """The text of a catalog in parts, one for each game; field order is the schema's."""
     order = {"header": [f.name for f in HEADER], "game": [f.name for f in GAME]}
     put = lambda kind, d: {k: d[k] for k in order[kind] if k in d}
-    clean = {k: v for k, v in (("_build", catalog.get("_build")), ("_debug", catalog.get("_debug"))) if v is not None and DEFAULTS["datafile"].get(k) != v}
-    if catalog.get("header"):
-        clean["header"] = put("header", _clean("header", catalog["header"]))
-    clean["game"] = [put("game", _clean("game", g)) for g in catalog["game"]]
+    top = {k: v for k, v in (("_build", build), ("_debug", debug)) if v is not None and DEFAULTS["datafile"].get(k) != v}
+    if header:
+        top["header"] = put("header", _clean("header", header))
+    cleaned = (put("game", _clean("game", g)) for g in games)
+
+    def element(tag: str, value: dict) -> str:
+        e = _element(tag, value)
+        ET.indent(e, "  ")
+        return textwrap.indent(ET.tostring(e, encoding="unicode"), "  ", lambda line: True)
+
     if mode == "xml":
-        root = _element("datafile", clean)
-        ET.indent(root, "  ")
-        return f'<?xml version="1.0" encoding="UTF-8"?>\n{DOCTYPE}\n<!-- {GENERATOR} -->\n{ET.tostring(root, encoding="unicode")}\n'
-    if mode == "json":
-        return json.dumps(clean, indent=2, ensure_ascii=False) + "\n"
-    if mode == "yaml":
+        root = ET.tostring(_element("datafile", {k: v for k, v in top.items() if k != "header"}), encoding="unicode").removesuffix(" />")
+        yield f'<?xml version="1.0" encoding="UTF-8"?>\n{DOCTYPE}\n<!-- {GENERATOR} -->\n{root}>\n'
+        if header:
+            yield element("header", top["header"]) + "\n"
+        for g in cleaned:
+            yield element("game", g) + "\n"
+        yield "</datafile>\n"
+    elif mode == "json":
+        inside = lambda value, depth: textwrap.indent(json.dumps(value, indent=2, ensure_ascii=False), "  " * depth).lstrip()
+        yield "{\n" + "".join(f"  {json.dumps(k)}: {inside(v, 1)},\n" for k, v in top.items()) + '  "game": ['
+        some = False
+        for g in cleaned:
+            yield ("," if some else "") + "\n    " + inside(g, 2)
+            some = True
+        yield ("\n  ]" if some else "]") + "\n}\n"
+    elif mode == "yaml":
         import yaml
 
-        return f"# {GENERATOR}\n" + yaml.safe_dump(clean, sort_keys=False, allow_unicode=True)
-    raise ValueError(f"unknown output mode {mode!r}")
+        dump = lambda value: yaml.safe_dump(value, sort_keys=False, allow_unicode=True)
+        yield f"# {GENERATOR}\n" + (dump(top) if top else "")
+        some = False
+        for g in cleaned:
+            yield ("" if some else "game:\n") + dump([g])
+            some = True
+        if not some:
+            yield "game: []\n"
+    else:
+        raise ValueError(f"unknown output mode {mode!r}")
+
+
+def render(catalog: dict, mode: str = "xml") -> str:
+    """The text of a catalog that is held whole."""
+    return "".join(catalog_text(catalog.get("header"), catalog["game"], mode, catalog.get("_build"), catalog.get("_debug")))
+
+
+def names_in_order(best: DataFrame) -> Iterator[str]:
+    """The selected names in name order, one partition of the sort at a time."""
+    return (r["name"] for r in ordered(best).select("name").toLocalIterator())
 
 
 def name_list(best: DataFrame) -> list[str]:
-    rows = best.select("name", "dat_ord", "game_ord").collect()
-    return [r["name"] for r in sort_names(best.sparkSession, rows)]
+    return list(names_in_order(best))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..config import Filter, PostFilter, Preference
 from ..functions.names import name_order
 from ..functions.regions import DEFAULT, Region
+from ..functions.tables import materialize
 from ..operators.derive import derive
 from ..operators.filters import apply_filter, post_filter, validate
-from ..operators.matching import match_roms, present_games, rom_rows
+from ..operators.matching import match_levels, present_games, rom_rows
 from ..operators.ranking import pick_best
 
 
@@ -22,15 +23,25 @@ def select_best(games: DataFrame, f: Filter = Filter(), p: Preference = Preferen
         validate(parsed, one_detector)
     kept = post_filter(apply_filter(parsed, f), post)
     if scan is not None:
-        kept = present_games(kept, match_roms(rom_rows(kept), scan))
+        kept = present_games(kept, match_levels(rom_rows(kept), scan))
     return pick_best(kept, p)
 
 
-def rebuild_names(best: DataFrame) -> DataFrame:
-    """place, name: the selected names in name order; places come from a global sort, ranks within it from one window.
-    For lists that a reader takes whole; sinks that only need the order use `ordered`."""
-    return best.select(F.row_number().over(Window.orderBy(*name_order(F.col("name")), "dat_ord", "game_ord")).cast("long").alias("place"), "name")
-
-
 def ordered(best: DataFrame) -> DataFrame:
+    """best in name order; equal names keep their input order."""
     return best.orderBy(*name_order(F.col("name")), "dat_ord", "game_ord")
+
+
+def numbered(ordered_rows: DataFrame, column: str) -> DataFrame:
+    """Sorted rows with how many come before each. The sort's partitions number their rows; the counts of the partitions, one
+    row each, give the offsets, so no task sees all rows."""
+    rows = materialize(ordered_rows.withColumn("_id", F.monotonically_increasing_id()), "ordered")
+    rows = rows.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return rows.join(F.broadcast(before), "_part").withColumn(column, F.col("_before") + F.col("_at")).drop("_id", "_part", "_at", "_before")
+
+
+def rebuild_names(best: DataFrame) -> DataFrame:
+    """place (from 1), name: the selected names in name order."""
+    return numbered(ordered(best).select("name"), "place").select((F.col("place") + 1).alias("place"), "name")

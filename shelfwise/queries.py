@@ -14,9 +14,11 @@ from .operators import derive as D
 from .operators import filters as W
 from .operators import matching as M
 from .operators import ranking as R
+from .operators.headers import DataTest, Detector, Rule
 from .plans import views
 from .plans.files import plan_files
 from .plans.selection import rebuild_names
+from .sources.files import size_bounds, worth_reading
 
 PREFERENCE = Preference(regions=("USA", "EUR", "JPN"), languages=("en", "fr"))
 VARIANTS = {
@@ -58,23 +60,35 @@ def _matches(s: SparkSession, d: str) -> DataFrame:
     return M.match_roms(M.rom_rows(views.games(s, d)), views.scan(s, d))
 
 
+def _levels(s: SparkSession, d: str) -> DataFrame:
+    return M.match_levels(M.rom_rows(views.games(s, d)), views.scan(s, d))
+
+
 def _match_columns(df: DataFrame) -> DataFrame:
     return df.select(*_ord(), F.col("rom_ord").cast("long").alias("rom_ord"), "path", "archive_type", "archive_path", F.col("match_ord").cast("long").alias("match_ord"))
 
 
 def _size_bounds(s: SparkSession, d: str) -> DataFrame:
-    sizes = M.rom_rows(views.games(s, d))
-    return sizes.agg(F.coalesce(F.min("size"), F.lit(0)).alias("min_size"), F.coalesce(F.max("size"), F.lit(2**63 - 1)).alias("max_size"))
+    lo, hi = size_bounds(M.rom_rows(views.games(s, d)), [])
+    return s.range(1).select(F.lit(lo).cast("long").alias("min_size"), F.lit(hi).cast("long").alias("max_size"))
+
+
+#: A header of 512 bytes, so files may be so much longer than the catalog says.
+HEADERED = Detector("headered", (Rule(0x200, tests=(DataTest(0, b"HEAD"),)),))
 
 
 def _size_pruned(s: SparkSession, d: str) -> DataFrame:
-    lo, hi = s.read.parquet(f"{d}/part.parquet").where("p_partkey % 10 = 0").agg(F.min(F.col("p_size") * 1024), F.max(F.col("p_size") * 512)).first()
-    return views.scan(s, d).where(F.col("unheadered_size").between(lo, hi)).groupBy("archive_type").agg(F.count(F.lit(1)).alias("n"), F.sum("unheadered_size").cast("long").alias("bytes"))
+    """What a scan for the catalog would open of files named and sized after order lines."""
+    li = s.read.parquet(f"{d}/lineitem.parquet")
+    ends = F.element_at(F.array(*map(F.lit, (".bin", ".zip", ".rom"))), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    files = li.select(F.concat(F.lit("f"), F.col("l_orderkey").cast("string"), ends).alias("path"), ((F.col("l_orderkey") * 997 + F.col("l_partkey")) % 131072).alias("length"))
+    kept = worth_reading(files, size_bounds(M.rom_rows(views.games(s, d)), [HEADERED]))
+    return kept.groupBy(FF.archive_type(F.col("path")).alias("archive_type")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").cast("long").alias("bytes"))
 
 
 def _present_best(s: SparkSession, d: str) -> DataFrame:
     games = _parsed(s, d)
-    return R.pick_best(M.present_games(games, _matches(s, d)), PREFERENCE).select(*_ord(), "parent_name", "name")
+    return R.pick_best(M.present_games(games, _levels(s, d)), PREFERENCE).select(*_ord(), "parent_name", "name")
 
 
 def _plan(s: SparkSession, d: str, out: FileOutput) -> DataFrame:
@@ -154,32 +168,33 @@ def queries() -> dict:
         "archive_type_of_path": _archive_types,
         "byte_size_format": _sizes,
         "byte_size_parse": _parse_sizes,
-        "match_cascade": lambda s, d: _match_columns(_matches(s, d)),
-        "match_first_source": lambda s, d: _match_columns(_matches(s, d).where("match_ord = 1")),
-        "games_complete": lambda s, d: M.complete_games(_matches(s, d)).select(*_ord()),
-        "games_missing": lambda s, d: views.games(s, d).join(M.complete_games(_matches(s, d)), M.GAME, "left_anti").select(*_ord(), "name"),
+        "match_cascade": lambda s, d: _match_columns(M.match_order(_matches(s, d))),
+        "match_first_source": lambda s, d: _match_columns(M.first_matches(_matches(s, d)).withColumn("match_ord", F.lit(1))),
+        "games_complete": lambda s, d: M.complete_games(_levels(s, d)).select(*_ord()),
+        "games_missing": lambda s, d: views.games(s, d).join(M.complete_games(_levels(s, d)), M.GAME, "left_anti").select(*_ord(), "name"),
         "single_archive_cover": lambda s, d: M.cover(_matches(s, d).where("archive_type is not null")).select(*_ord(), "path"),
         "present_best": _present_best,
         "file_plan_kinds": _plan_kinds(None),
         "file_plan_archive": _plan_kinds("zip"),
         "file_plan_paths": _plan_paths,
         "union_catalogs": lambda s, d: _union(s, d),
-        "header_strip": lambda s, d: _documents(s, d).select("doc_id", F.md5(_stripped()).alias("md5"), F.length(_stripped()).alias("unheadered_size")),
         "name_order": lambda s, d: rebuild_names(R.pick_best(_parsed(s, d), PREFERENCE)),
         "comma_lists": lambda s, d: _comma_lists(s, d),
-        "hex_text": lambda s, d: _documents(s, d).select("doc_id", FF.spaced_hex(F.substring(F.col("text").cast("binary"), 1, 8)).alias("spaced")),
+        "hex_text": lambda s, d: _documents(s, d).select("doc_id", *_hex_digests(FF.spaced_hex(F.col("text").cast("binary")))),
     }
-    return out | {k: _ranked(p) for k, p in VARIANTS.items()}
+    from . import file_queries
 
+    return out | {k: _ranked(p) for k, p in VARIANTS.items()} | file_queries.queries()
 
-def _stripped():
-    raw = F.col("text").cast("binary")
-    return F.when(F.substring(raw, 1, 3) == F.lit(b"The"), F.substring(raw, 17, 1 << 30)).otherwise(raw)
+
+def _hex_digests(spaced) -> list:
+    return [F.md5(spaced).alias("spaced_md5"), F.md5(FF.from_spaced_hex(spaced)).alias("back_md5")]
 
 
 def _union(s: SparkSession, d: str) -> DataFrame:
     one = views.games(s, d)
-    both = one.unionByName(one.where("game_ord % 2 = 0").withColumn("dat_ord", F.lit(1)))
+    other = one.withColumn("dat_ord", F.lit(1)).withColumn("cloneof", F.coalesce("cloneof", "name"))  # all of families of the first
+    both = one.unionByName(other.withColumn("name", F.concat("name", F.when(F.col("game_ord") % 2 == 1, " (Rev 2)").otherwise(""))))
     return R.pick_best(D.derive(both), PREFERENCE).select(F.col("dat_ord").cast("long").alias("dat_ord"), *_ord(), "parent_name")
 
 
@@ -243,6 +258,12 @@ parsed AS (SELECT *, CASE WHEN len(languages) > 0 THEN languages ELSE flatten(li
 """
 
 
+#: The games of two catalogs: the second one's entries are later revisions of the first one's, all of families of the first.
+_TWO = _GAMES.replace("games AS (", "first AS (", 1) + """,
+games AS (SELECT 0::BIGINT AS dat_ord, * FROM first
+  UNION ALL SELECT 1, * REPLACE (name || CASE WHEN ord % 2 = 1 THEN ' (Rev 2)' ELSE '' END AS name, coalesce(cloneof, name) AS cloneof) FROM first)"""
+
+
 def _join_sql(*cols: str) -> str:
     return ", ".join(f"array_to_string({c}, ',') AS {c}" for c in cols)
 
@@ -268,6 +289,7 @@ def _rank_sql(p: Preference) -> str:
     return ", ".join(f"({k[:-5]}) DESC" if k.endswith(" DESC") else f"({k})" for k in keys)
 
 
+_NAME_ORDER = r"regexp_replace(lower(translate(name, '(),[].', chr(18) || chr(19) || chr(2) || chr(20) || chr(21) || chr(9))), '[\s\-]', '', 'g'), lower(name)"
 _BEST = f"row_number() OVER (PARTITION BY parent_name ORDER BY {_rank_sql(PREFERENCE)}, ord)"
 _MATCHES = f"""{{}}, {_sql(views.ROMS)}, {_sql(views.SCAN)},
 k1 AS (SELECT DISTINCT sha1 FROM scan), k2 AS (SELECT DISTINCT md5 FROM scan WHERE md5 IS NOT NULL),
@@ -326,8 +348,13 @@ def oracle_sql() -> dict[str, str]:
         "family_sizes": f"{_PARSED} SELECT parent_name, count(*) AS n, min(ord) AS first_ord FROM parsed GROUP BY 1",
         "catalog_validation": f"{_PARSED} SELECT count(*) AS n_games, count(*) FILTER (is_parent) AS n_parents FROM parsed",
         "size_bounds": f"WITH {_GAMES}, {_sql(views.ROMS)} SELECT min(size) AS min_size, max(size) AS max_size FROM roms",
-        "size_pruned_scan": f"WITH {_sql(views.SCAN)}, b AS (SELECT min(p_size * 1024) AS lo, max(p_size * 512) AS hi FROM part WHERE p_partkey % 10 = 0) SELECT archive_type, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM scan, b WHERE size BETWEEN lo AND hi GROUP BY 1",
+        "size_pruned_scan": f"""WITH {_GAMES}, {_sql(views.ROMS)}, b AS (SELECT min(size) AS lo, max(size) + 512 AS hi FROM roms),
+f AS (SELECT l_linenumber % 3 = 1 AS zip, (l_orderkey * 997 + l_partkey) % 131072 AS length FROM lineitem)
+SELECT CASE WHEN zip THEN 'zip' END AS archive_type, count(*) AS n, CAST(sum(length) AS BIGINT) AS bytes FROM f, b WHERE zip OR length BETWEEN lo AND hi GROUP BY 1""",
         "digests_documents": "SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents",
+        "digests_crc": """WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+b AS (SELECT doc_id, t, list_transform(regexp_extract_all(hex(text), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents, t)
+SELECT doc_id, lpad(lower(hex(xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295))), 8, '0') AS crc FROM b""",
         "archive_type_of_path": f"SELECT nullif(({_list(ends)})[k + 1], '') AS kind, CAST(list_value({', '.join(str(place[e]) for e in ends)})[k + 1] AS INTEGER) AS place, count(*) AS n FROM (SELECT (l_orderkey + l_linenumber) % {len(ends)} AS k FROM lineitem) GROUP BY ALL",
         "byte_size_format": f"SELECT o_orderkey, printf('%.2f %s', {shown}, {symbols}[{unit} + 1]) AS shown, printf('%7.2f %2s', {shown}, {symbols}[{unit} + 1]) AS fixed FROM orders",
         "byte_size_parse": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 5 THEN CAST(floor(CAST((o_orderkey % 97)::VARCHAR || CASE WHEN o_orderkey % 2 = 0 THEN '.' || (o_orderkey % 4 * 25)::VARCHAR ELSE '' END AS DOUBLE) * [1024.0, 1048576, 1, 1073741824, 1099511627776, 1, 1][o_orderkey % 7 + 1] + 0.5) AS BIGINT) ELSE -1 END AS bytes FROM orders",
@@ -347,10 +374,12 @@ specs AS (SELECT 'compress' AS kind, NULL AS from_type, count(DISTINCT rom_ord)
   UNION ALL SELECT 'archive_copy', any_value(archive_type), count(DISTINCT archive_path) FROM used JOIN best USING (ord) WHERE archive_type IS NOT NULL GROUP BY ord, path)
 SELECT kind, from_type, 'zip' AS to_type, count(*) AS n, CAST(sum(k) AS BIGINT) AS n_entries FROM specs GROUP BY ALL""",
         "file_plan_paths": f"{_PARSED} SELECT ord, CASE WHEN n_roms > 1 THEN 'i/' || name ELSE 'i' END AS folder FROM parsed",
-        "union_catalogs": f"{_PARSED}, two AS (SELECT 0::BIGINT AS dat_ord, * FROM parsed UNION ALL SELECT 1, * FROM parsed WHERE ord % 2 = 0) SELECT dat_ord, ord, parent_name FROM two QUALIFY row_number() OVER (PARTITION BY parent_name ORDER BY {_rank_sql(PREFERENCE)}, dat_ord, ord) = 1",
-        "header_strip": "SELECT doc_id, md5(CASE WHEN prefix(text, 'The') THEN decode(from_hex(substr(hex(text), 33))) ELSE text END) AS md5, CAST(strlen(text) - CASE WHEN prefix(text, 'The') THEN least(16, strlen(text)) ELSE 0 END AS INTEGER) AS unheadered_size FROM documents",
+        "union_catalogs": f"""{_PARSED.replace(_GAMES, _TWO, 1)}
+SELECT dat_ord, ord, parent_name FROM parsed QUALIFY row_number() OVER (PARTITION BY parent_name ORDER BY {_rank_sql(PREFERENCE)}, dat_ord, ord) = 1""",
         "comma_lists": "SELECT p_partkey, lower(p_brand) || ', ' || lower(p_type) AS lower, upper(p_brand[1]) || lower(p_brand[2:]) || ', ' || upper(p_type[1]) || lower(p_type[2:]) AS capital FROM part",
-        "hex_text": "SELECT doc_id, regexp_replace(substr(hex(text), 1, 16), '(..)', '\\1 ', 'g')[:-2] AS spaced FROM documents",
-        "name_order": f"{_PARSED}, b AS (SELECT * FROM parsed QUALIFY {_BEST} = 1) SELECT row_number() OVER (ORDER BY regexp_replace(lower(translate(name, '(),[].', chr(18) || chr(19) || chr(2) || chr(20) || chr(21) || chr(9))), '[\\s\\-]', '', 'g'), lower(name), ord) AS place, name FROM b",
+        "hex_text": "SELECT doc_id, md5(regexp_replace(hex(text), '(..)', '\\1 ', 'g')[:-2]) AS spaced_md5, md5(text) AS back_md5 FROM documents",
+        "name_order": f"{_PARSED}, b AS (SELECT * FROM parsed QUALIFY {_BEST} = 1) SELECT row_number() OVER (ORDER BY {_NAME_ORDER}, ord) AS place, name FROM b",
     }
-    return out | {k: f"{_PARSED} SELECT ord, parent_name, row_number() OVER (PARTITION BY parent_name ORDER BY {_rank_sql(p)}, ord) AS rank FROM parsed" for k, p in VARIANTS.items()}
+    from . import file_queries
+
+    return out | file_queries.oracle_sql() | {k: f"{_PARSED} SELECT ord, parent_name, row_number() OVER (PARTITION BY parent_name ORDER BY {_rank_sql(p)}, ord) AS rank FROM parsed" for k, p in VARIANTS.items()}

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import logging
 from pathlib import Path
+from urllib.parse import urlparse
+from urllib.request import urlopen
 
 from ..config import AppConfig, CopierConfig, ScannerConfig
 from ..functions.regions import DEFAULT, Region
@@ -13,9 +15,17 @@ from ..operators.filters import patterns_of
 log = logging.getLogger(__name__)
 
 
+def read_small(path: str | Path) -> bytes:
+    """The bytes of a small document by path or URL."""
+    if "://" not in str(path):
+        return Path(path).read_bytes()
+    with urlopen(str(path), timeout=60) as f:
+        return f.read()
+
+
 def load_structured(path: str | Path):
-    """By extension (.json, .js, .yaml, .yml, any case); other files as JSON, then as YAML."""
-    text, kind = Path(path).read_text(encoding="utf-8"), Path(path).suffix.lower()
+    """By extension (.json, .js, .yaml, .yml, any case); other documents as JSON, then as YAML. Paths and URLs."""
+    text, kind = read_small(path).decode("utf-8-sig"), Path(urlparse(str(path)).path if "://" in str(path) else path).suffix.lower()
     if kind in (".yaml", ".yml"):
         return _yaml(text)
     try:
@@ -50,7 +60,7 @@ def load_patterns(path: str | Path) -> tuple[str, ...]:
 
 
 def load_app_config(path: str | Path | None = None) -> AppConfig:
-    if path is None or not Path(path).exists():
+    if path is None or "://" not in str(path) and not Path(path).exists():
         return AppConfig()
     data = load_structured(path) or {}
     s, c, own = data.get("scanner") or {}, data.get("copier") or {}, AppConfig()

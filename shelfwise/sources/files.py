@@ -33,6 +33,12 @@ def size_bounds(roms: DataFrame, detectors: list[Detector]) -> tuple[int, int]:
     return least, most
 
 
+def worth_reading(files: DataFrame, bounds: tuple[int, int]) -> DataFrame:
+    """files (path, length) that a scan opens: plain files of sizes within bounds, and all archives."""
+    kind = archive_type(F.col("path"))
+    return files.where(F.col("length").between(*bounds)).where(kind.isNull()).unionByName(files.where(kind.isNotNull()))
+
+
 def also_scanned(roms: DataFrame) -> list[str]:
     """Archive types that the catalog lists as files of their own; such archives are scanned both ways."""
     return [r[0] for r in roms.select(archive_type(F.col("rom_name")).alias("t")).where("t is not null").distinct().collect()]
@@ -92,8 +98,6 @@ def scan(files: DataFrame, bounds: tuple[int, int] = (0, EOF), detectors: list[D
     every size take the same way, in pieces of `large` bytes, through the file systems that Arrow opens. For others,
     by_content reads Spark's content column instead (2 GB a file at most).
     """
-    lo, hi = bounds
-    kind = archive_type(F.col("path"))
     detectors, also = list(detectors), set(also)
 
     def run(frames):
@@ -102,7 +106,7 @@ def scan(files: DataFrame, bounds: tuple[int, int] = (0, EOF), detectors: list[D
                 rows = []
                 try:
                     with io.BytesIO(content) if by_content else open_input(path) as source:
-                        for row in _file_rows(path, source, (lo, hi), detectors, also, tools, large):
+                        for row in _file_rows(path, source, bounds, detectors, also, tools, large):
                             rows.append(row)
                             if len(rows) == 1000:
                                 yield pd.DataFrame(rows, columns=COLUMNS)
@@ -114,8 +118,7 @@ def scan(files: DataFrame, bounds: tuple[int, int] = (0, EOF), detectors: list[D
                 if rows:
                     yield pd.DataFrame(rows, columns=COLUMNS)
 
-    wanted = files.where(F.col("length").between(lo, hi)).where(kind.isNull()).unionByName(files.where(kind.isNotNull()))
-    return wanted.select("path", *["content"] * by_content).mapInPandas(run, SCAN)
+    return worth_reading(files, bounds).select("path", *["content"] * by_content).mapInPandas(run, SCAN)
 
 
 def scan_order(rows: DataFrame) -> DataFrame:

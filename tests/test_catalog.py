@@ -201,3 +201,17 @@ def test_catalog_round_trip(spark, tmp_path):
         assert [r["name"] for r in again] == ["#B", "A (USA)", "a c"], mode
         assert again[0]["cloneof"] is None and again[0]["romof"] == "A (USA)" and again[0]["rom"][1]["status"] == "baddump"
         assert read_documents(spark, [str(tmp_path / f"b.{mode}")]).first()["header"]["name"] == "Set (1G1R)"
+
+
+def test_name_order_is_the_collators(spark):
+    """Sort keys against the JVM's collator itself, over names of many characters."""
+    import random
+
+    rng = random.Random(3)
+    chars = "abAB 01-_,.;:!?'\"(){}[]@*#%&+<=>|~$^`\u00e9\u00c9\u00e4\u00df\u00e6\u00f1\u0301\u2019\u20ac\u65e5\u0439 \t"
+    names = ["".join(rng.choice(chars) for _ in range(rng.randint(1, 7))) for _ in range(400)]
+    collator = spark.sparkContext._jvm.java.text.Collator.getInstance()
+    collator.setStrength(1)
+    key = lambda n: (0, n[0], b"") if n[0] in "[{(#" else (1, "", bytes(collator.getCollationKey(n).toByteArray()))
+    rows = spark.createDataFrame([(n, 0, i) for i, n in enumerate(names)], "name string, dat_ord int, game_ord int")
+    assert name_list(rows) == sorted(names, key=key)

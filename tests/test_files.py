@@ -116,6 +116,64 @@ def test_scan(spark, collection):
     assert sorted(r["size"] for r in few) == [1001, 1003]
 
 
+def test_scan_of_any_size(spark, collection):
+    """Pieces of one byte, of a few, and whole contents give the same rows, with rules that fail and rules that swap too."""
+    base, files = collection
+    detectors = [H.Detector("no", (H.Rule(900, 100),)), H.load_detector("nes.xml"), H.Detector("swap", (H.Rule(operation="byteswap", tests=(H.FileTest(1004),)), H.Rule(operation="wordswap", tests=(H.FileTest(1003),)), H.Rule(-8, operation="bitswap", tests=(H.FileTest(1001),))))]
+    for own in ([], detectors):
+        rows = [sorted(map(str, scan(list_files(spark, [str(base)]), detectors=own, large=n).collect())) for n in (1, 7, 1 << 20)]
+        assert rows[0] == rows[1] == rows[2] and len(rows[0]) == 7
+        held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(base))
+        assert sorted(map(str, scan(held, detectors=own, by_content=True).collect())) == rows[0]
+
+
+def test_unreadable_files_are_rows(spark, tmp_path):
+    listed = spark.createDataFrame([(f"file:{tmp_path}/gone.bin", 3), (f"file:{tmp_path}/gone.zip", 3), (f"file:{tmp_path}/a%20b.bin", 3)], "path string, length long")
+    (tmp_path / "a b.bin").write_bytes(b"abc")
+    got = {r["path"].rsplit("/", 1)[1]: (r["status"], r["size"]) for r in scan(listed).collect()}
+    assert got == {"gone.bin": ("FAILED", None), "gone.zip": ("FAILED", None), "a%20b.bin": ("OK", 3)}
+
+
+def test_entries_before_a_break_stay(spark, tmp_path):
+    data = A.write_archive("tar", [A.Entry("a", payload(600)), A.Entry("b", payload(70_000))])
+    (tmp_path / "x.tar").write_bytes(data[:40_000])
+    rows = {(r["archive_path"], r["status"]) for r in scan(list_files(spark, [str(tmp_path)])).collect()}
+    assert ("a", "OK") in rows and (None, "FAILED") in rows
+
+
+SPEC = "kind string, from_path string, from_type string, to_path string, to_type string, entries array<struct<from_name:string,to_name:string>>"
+
+
+def test_every_spec_of_an_archive_runs(spark, tmp_path):
+    """Two games of one archive and one folder, an entry for two targets, and a spec with a missing entry."""
+    (tmp_path / "x.tar.gz").write_bytes(A.write_archive("tar.gz", [A.Entry(f"e{i}", b"%d" % i) for i in range(4)]))
+    src, out = str(tmp_path / "x.tar.gz"), str(tmp_path / "o")
+    spec = lambda to, *names: ("extract", src, "tar.gz", to, None, [(n, f"{to}/{t}") for n, t in names])
+    plan = spark.createDataFrame([spec(out, ("e0", "a")), spec(out, ("e1", "b"), ("e3", "c")), spec(out + "2", ("e0", "d"), ("none", "x")), spec(out, ("e0", "a"))], SPEC)
+    got = sorted((r["to_path"], r["status"]) for r in run_plan(plan).collect())
+    assert got == [(out, "OK"), (out, "OK"), (out + "2", "FAILED")]
+    assert {p.relative_to(tmp_path).as_posix(): p.read_bytes() for p in tmp_path.rglob("*") if p.is_file() and "x." not in p.name} == {"o/a": b"0", "o/b": b"1", "o/c": b"3", "o2/d": b"0"}
+
+
+def test_progress(spark):
+    from shelfwise.plans.progress import Progress
+
+    p, lines = Progress(spark, "scan"), []
+    with p.shown(lines.append, 0.01):
+        spark.range(10).foreach(lambda _: p.add(1, 1024, 0))
+    assert lines[-1].startswith("scan: 10 items, 10.00 KB, ") and lines[-1].endswith(" 0 failed")
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from shelfwise.functions.tables import shared_dir
+
+    cluster = N(conf=N(get=lambda k, d=None: None), sparkContext=N(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_dir(cluster)
+
+
 ROM = "dat_ord int, game_ord int, name string, rom array<struct<name:string,size:bigint,crc:string,md5:string,sha1:string,sha256:string,status:string>>"
 SCAN = "archive_type string, path string, archive_path string, unheadered_size long, crc string, md5 string, sha1 string, sha256 string"
 
@@ -132,7 +190,7 @@ def test_cascade_and_choice(spark):
         ("zip", "z1", "e1", 1, "c", "m", "p1", None), ("zip", "z1", "e2", 1, "d", "n", "p2", None), ("tar", "t1", "e1", 1, "c", "m", "p1", None),
     ], SCAN)
     matches = M.match_roms(M.rom_rows(games), scanned)
-    first = {r["game_ord"]: r["path"] for r in matches.where("match_ord = 1 and rom_ord = 0").collect()}
+    first = {r["game_ord"]: r["path"] for r in M.match_order(matches).where("match_ord = 1 and rom_ord = 0").collect()}
     assert first == {0: "l1", 1: "l2", 2: "l3", 4: "l1", 6: "z1", 7: "l1"}
     assert sorted(r["game_ord"] for r in M.complete_games(matches).collect()) == [0, 1, 2, 6, 7]
     pick = lambda to: {(r["game_ord"], r["rom_ord"], r["path"], r["choice"]) for r in M.choose_sources(matches, to).collect()}

@@ -23,10 +23,11 @@ def tables(spark, tmp_path_factory):
     lines = spark.range(800).select((F.col("id") * 37 % n).alias("l_partkey"), (F.col("id") / 4).cast("long").alias("l_orderkey"), (F.col("id") % 100).alias("l_suppkey"), (F.col("id") % 4 + 1).cast("int").alias("l_linenumber"))
     docs = spark.range(30).select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") % 3 == 0, "The text of ").otherwise("é"), F.col("id").cast("string"), F.lit(" and some more")).alias("text"))
     orders = spark.range(300).select((F.col("id") * 7).alias("o_orderkey"))
-    for name, df in (("part", part), ("lineitem", lines), ("documents", docs), ("orders", orders)):
+    events = spark.range(50).select(F.col("id").alias("event_id"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 1_234_567).cast("timestamp_ntz").alias("ts"))
+    for name, df in (("part", part), ("lineitem", lines), ("documents", docs), ("orders", orders), ("events", events)):
         df.coalesce(1).write.parquet(f"{d}/{name}.parquet")
     con = duckdb.connect()
-    for name in ("part", "lineitem", "documents", "orders"):
+    for name in ("part", "lineitem", "documents", "orders", "events"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet/*.parquet'")
     return d, con
 
