@@ -5,7 +5,8 @@ keys. First every node of a bucket meets the bucket's random pivot only, and the
 built. Then nodes of different components that share a bucket are compared by signature in blocks of bounded size, which
 give a spanning forest of the candidates instead of all pairs. Each tree of that forest is a closed family: its nodes' full
 sets meet in blocks, where all intersections are counted at once, and again only a spanning forest of the links leaves. So
-large groups never make all their pairs, no candidate is dropped, and every link is confirmed on the full sets.
+large groups never make all their pairs, no candidate is dropped, and every link is confirmed on the full sets. Buckets and
+families too large for that are split first, by the rarest shingles of their sets (`rare_links`).
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ HASHES = BANDS * ROWS
 REFUTE = 0.62
 PIVOTS = 2
 BLOCK = 256
+#: Copies of a node in the tasks of one bucket or family; where there would be more, rarest shingles split the family first.
+WIDE = 4
+#: Nodes with one rare shingle that meet in a task, or half of them where there are more.
+MEETING = 4096
 _rng = np.random.default_rng(17)
 MUL = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -120,9 +125,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts that are null, empty or without words have no shingles and stand alone; rows with equal sets are linked; rows
     that share an id share a component only if their texts are linked. Null ids take the smallest non-null id of their
-    component. Other columns are not read. An empty table gives no rows.
+    component. Other columns are not read, texts are read whole, whatever their length, and an empty table gives no rows.
     """
-    spark = docs.sparkSession
     spark_id = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
 
@@ -178,6 +182,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_part = open_rows.groupBy("bucket", "part").count()
     major = by_part.groupBy("bucket").agg(F.max(F.struct("count", "part")).alias("top"), F.sum("count").alias("m"))
     major = materialize(major.select("bucket", F.col("top.part").alias("major"), F.ceil(F.col("top.count") / BLOCK).cast("int").alias("x"), F.ceil((F.col("m") - F.col("top.count")) / BLOCK).cast("int").alias("y")), "majors")
+    # a node goes to y tasks, or to x + y if it is not of the largest component; buckets where that is too many give a star, and
+    # their nodes are a family that is split by its rarest shingles
+    star = open_rows.join(major.where(f"y > {WIDE}").select("bucket"), "bucket", "left_semi").join(shared.select("bucket", "pivot"), "bucket").where("node != pivot")
+    star = star.select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
+    major = major.where(f"y <= {WIDE}")
     placed = open_rows.join(major, "bucket").withColumn("is_major", F.col("part") == F.col("major"))
     own = F.when(F.col("is_major"), F.pmod(F.xxhash64("node"), "x")).otherwise(F.pmod(F.xxhash64("node"), "y")).cast("int")
     # tasks of a bucket: each block of the largest component with each block of the rest, and the rest's blocks with each other
@@ -192,7 +201,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return [(x, y) for x, y in _forest(group["node"].to_numpy(), _candidates(group, percent))]
 
     trees = by_task(work.select("bucket", "task.i", "task.j", "part", "is_major", "node", "n", "sig"), ["bucket", "i", "j"], compare, "u binary, v binary")
-    trees = materialize(trees, "trees")
+    trees = materialize(trees.unionByName(star), "trees")
     if not trees.isEmpty():
         more = family_links(trees, open_rows, sigs, keyed, shingle, percent)
         roots = materialize(components(first_links.unionByName(more)), "roots")
@@ -260,18 +269,82 @@ def _candidates(group: pd.DataFrame, percent: int) -> np.ndarray:
     return np.triu(ok) | np.triu(ok).T
 
 
-def family_links(trees: DataFrame, open_rows: DataFrame, sigs: DataFrame, keyed: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """A spanning forest of the links (u, v) between different components within each tree's nodes, from their full sets."""
+def families(trees: DataFrame, nodes: DataFrame) -> DataFrame:
+    """root, node, blocks and the other columns of nodes (node, part, n), for the nodes of each tree; blocks says how many
+    parts a family is cut into to be compared."""
     roots = components(trees)
-    family = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    parts = open_rows.select("node", "part").distinct()
-    named = materialize(family.join(parts, "node").join(sigs.select("node", "n"), "node"), "families")
+    named = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(nodes, "node")
+    named = materialize(named, "families")
     sizes = named.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)), F.ceil(F.sum("n") * 8 / (8 << 20))).cast("int").alias("blocks"))
-    sizes = materialize(sizes, "family-sizes")
-    tasks = named.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    return named.join(materialize(sizes, "family-sizes"), "root")
+
+
+def rare_links(named: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """A spanning forest (u, v) of candidates within families (root, node, part, n), found by their rarest shingles.
+
+    Linked sets of sizes a and b share at least percent of the larger one. Of a node's shingles only those that another node
+    of the family has too can be shared, so a node with too few of these has no link. The others are put in order of their
+    frequency in the family: the first shingle that two linked sets have in common is, in each, among the first ones
+    that leave enough behind it. Each node sends these few; nodes that meet at one are candidates if sizes and what is
+    left behind allow a link. All rows are linear in the sets' sizes.
+    """
+    words = named.select("root", "node").join(held, "node")
+
+    def explode(batches):
+        for batch in batches:
+            sets = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(2)]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            for lo in range(0, len(sets), 64):
+                at = pa.array(np.repeat(np.arange(lo, lo + len(sets[lo : lo + 64])), sizes[lo : lo + 64]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(sets[lo : lo + 64]))], names=["root", "node", "token"])
+
+    tokens = materialize(words.select("root", "node", "words").mapInArrow(explode, "root binary, node binary, token long").select("node", F.xxhash64("root", "token").alias("t")), "family-tokens")
+    common = materialize(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "common-tokens")
+    per_node = tokens.join(common, "t").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("ts"))
+    per_node = per_node.join(named.select("root", "node", "part", "n"), "node").withColumn("s", F.size("ts"))
+    need = F.ceil(F.col("n") * percent / 100).cast("int")
+    per_node = per_node.where(F.col("s") >= need)
+    first = materialize(per_node.select("node", F.xxhash64("part").alias("part"), "n", "s", F.posexplode(F.slice("ts", F.lit(1), F.col("s") - need + 1)).alias("at", "x")).select("node", "part", "n", "s", "at", "x.t"), "rarest")
+    # a shingle among the rarest of very many nodes is cut into blocks, two of which meet in each task
+    met = materialize(first.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("t", F.ceil(F.col("m") / MEETING).cast("int").alias("blocks")), "meetings")
+    tasks = first.join(met, "t").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     ends = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, "own").alias("i"), F.greatest(j, "own").alias("j")))
-    tasks = tasks.withColumn("task", F.explode(ends)).select("root", "task.i", "task.j", "part", "node")
+    rows = tasks.withColumn("task", F.explode(ends)).select("t", "task.i", "task.j", "node", "part", "n", "s", "at")
+    rows = rows.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j")
+
+    def meet(group: pd.DataFrame) -> list[tuple]:
+        group = group.sort_values("n", kind="stable")
+        node, part, n, s, at = (group[c].to_numpy() for c in ("node", "part", "n", "s", "at"))
+        n, left = n.astype(np.int64), s.astype(np.int64) - at  # shingles from this one on
+        # partners that are not smaller: at most 100 / percent as large, and small enough for what is left to suffice
+        most = np.minimum(n * 100 // percent, left * (100 + percent) // percent - n)
+        lo, hi = np.arange(1, len(n) + 1), np.searchsorted(n, most, side="right")
+        label, out = np.arange(len(n)), []
+        for a in np.flatnonzero(hi > lo).tolist():
+            b = np.arange(lo[a], hi[a])
+            b = b[(label[b] != label[a]) & (part[b] != part[a]) & (left[b] * (100 + percent) >= percent * (n[a] + n[b]))]
+            if len(b):
+                old, one = np.unique(label[b], return_index=True)
+                out += [(node[a], node[x]) for x in b[one].tolist()]
+                label[np.isin(label, old)] = label[a]
+        return out
+
+    return materialize(by_task(rows, ["t", "i", "j"], meet, "u binary, v binary").distinct(), "rare-trees")
+
+
+def family_links(trees: DataFrame, open_rows: DataFrame, sigs: DataFrame, keyed: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """A spanning forest of the links (u, v) between different components within each tree's nodes, from their full sets."""
+    nodes = open_rows.select("node", "part").distinct().join(sigs.select("node", "n"), "node")
+    named = families(trees, nodes)
     held = node_sets(named.select("node"), sigs, keyed, shingle)
+    wide = materialize(named.where(f"blocks > {WIDE}"), "wide")
+    if not wide.isEmpty():
+        split = families(rare_links(wide, held, percent), nodes)
+        named = named.where(f"blocks <= {WIDE}").unionByName(split.select(named.columns))
+    named = materialize(named, "compared")
+    tasks = named.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    ends = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, "own").alias("i"), F.greatest(j, "own").alias("j")))
+    tasks = tasks.withColumn("task", F.explode(ends)).select("root", "task.i", "task.j", "part", "node")
     rows = tasks.join(held, "node").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
 
     def link(group: pd.DataFrame) -> list[tuple]:

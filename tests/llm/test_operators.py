@@ -161,16 +161,21 @@ def brute_components(rows, n):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("n,block,clash", [(2, 256, False), (5, 2, True), (1, 4, False)])
-def test_minhash(spark, docs, monkeypatch, n, block, clash):
+@pytest.mark.parametrize("n,block,wide,clash", [(2, 256, 4, False), (5, 2, 4, True), (1, 4, 4, False), (2, 2, 0, False)])
+def test_minhash(spark, docs, monkeypatch, n, block, wide, clash):
     rows, df = docs
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "WIDE", wide)
     got = minhash.near_duplicates(clashing(df) if clash else df, shingle=n).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, n) and len(got) == len(rows)
 
 
-def test_minhash_large_groups(spark):
-    """A family whose members are near each other, but many not near enough: all links hang on exact comparison."""
+@pytest.mark.parametrize("wide,meeting", [(4, 4096), (0, 4096), (0, 5)])
+def test_minhash_large_groups(spark, monkeypatch, wide, meeting):
+    """A family whose members are near each other, but many not near enough: all links hang on exact comparison, also where
+    the family is split by its rarest shingles first."""
+    monkeypatch.setattr(minhash, "WIDE", wide)
+    monkeypatch.setattr(minhash, "MEETING", meeting)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(60)]
     rows = []
