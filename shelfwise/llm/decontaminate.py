@@ -28,6 +28,8 @@ WINDOW, STRIDE = 120, 12
 SLICE_BYTES = 4 << 20
 #: Letters and digits of a long text that are searched at a time.
 PIECE = 1 << 20
+#: Pairs (place in a text, place in an item) of shared q-grams that are made at a time.
+SLICE = 1 << 18
 U = np.uint64
 #: No code point; stands for what lies outside a text. Reading it costs no less than leaving out the item's letter.
 OUTSIDE = 0xFFFFFFFF
@@ -55,6 +57,27 @@ def windows(codes: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return [*((a, codes[a : a + WINDOW]) for a in sorted({*range(0, len(codes) - WINDOW, STRIDE), len(codes) - WINDOW})), (0, codes)]
 
 
+class Sums:
+    """Counts of values that come in parts; what is held is bounded by the distinct values and one part."""
+
+    def __init__(self):
+        self.held, self.size = [], 0
+
+    def add(self, values: np.ndarray) -> None:
+        self.held.append(np.unique(values, return_counts=True))
+        self.size += len(self.held[-1][0])
+        if self.size > 2 * len(self.held[0][0]) + SLICE:
+            self.held = [self.result()]
+            self.size = len(self.held[0][0])
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted distinct values, counts)"""
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        values, where = np.unique(np.concatenate([v for v, _ in self.held]), return_inverse=True)
+        return values, np.bincount(where, np.concatenate([c for _, c in self.held]), len(values)).astype(np.int64)
+
+
 class ItemIndex:
     """q-grams of a slice of items: sorted distinct hashes, a bitmap before them, the (item, place) pairs of each, and the
     items' windows with their edit budgets and least numbers of shared q-grams. Long items as wholes come after all windows."""
@@ -81,12 +104,13 @@ class ItemIndex:
         self.spots = self.owner[: self.n_windows] << 32 | self.start[: self.n_windows]  # sorted
         self.whole = np.full(len(items), -1)
         self.whole[self.owner[self.n_windows :]] = np.arange(self.n_windows, len(parts))
+        self.once = np.ones(len(self.item), bool)  # first place of an item among those of one q-gram
+        self.once[1:] = (self.item[1:] != self.item[:-1]) | (flat[order][1:] != flat[order][:-1])
         self.fewest = np.full(len(items), np.iinfo(np.int64).max)
         np.minimum.at(self.fewest, self.owner, self.least)
 
-    def hits(self, buf: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in buf, item, place in item) of shared q-grams, for texts and items that share enough in all."""
-        ends = np.cumsum(sizes)
+    def shared(self, buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in buf, place among keys, text) of the q-grams of buf that some item has."""
         h = gram_hashes(buf, self.q)
         at = np.flatnonzero(self.bitmap[h >> U(64 - self.bits)])
         k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
@@ -94,13 +118,29 @@ class ItemIndex:
         at, k = at[same], k[same]
         text = np.searchsorted(ends, at, side="right")
         inside = at + self.q <= ends[text]  # not across texts
-        at, k, text = at[inside], k[inside], text[inside]
+        return at[inside], k[inside], text[inside]
+
+    def slices(self, k: np.ndarray):
+        """(from, to, place of each among them, item place) of runs of k whose q-grams occur about SLICE times in items, so a
+        q-gram that items or the text repeat never makes all its pairs at once."""
         n = self.bounds[k + 1] - self.bounds[k]
-        ref = np.repeat(self.bounds[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        at, item = np.repeat(at, n), self.item[ref]
-        pair, where, count = np.unique(np.repeat(text, n) * len(self.ids) + item, return_inverse=True, return_counts=True)
-        enough = (count >= self.fewest[pair % len(self.ids)])[where]  # what a window lacks in all it lacks in a band
-        return at[enough], item[enough], self.place[ref[enough]]
+        total = np.cumsum(n)
+        a = 0
+        while a < len(k):
+            b = max(a + 1, int(np.searchsorted(total, total[a] - n[a] + SLICE, side="right")))
+            m, first = n[a:b], self.bounds[k[a:b]]
+            yield a, b, np.repeat(np.arange(a, b), m), np.repeat(first - np.cumsum(m) + m, m) + np.arange(m.sum())
+            a = b
+
+    def pairs(self, k: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Sorted text * items + item of the pairs that share enough: what a window lacks in places of the text at which the
+        item's q-grams stand, it lacks in a band."""
+        sums = Sums()
+        for _, _, who, ref in self.slices(k):
+            once = self.once[ref]  # a place counts once for an item, however often that has its q-gram
+            sums.add(text[who[once]] * len(self.ids) + self.item[ref[once]])
+        pair, count = sums.result()
+        return pair[count >= self.fewest[pair % len(self.ids)]]
 
     def find(self, codes: np.ndarray) -> list[tuple[int, int]]:
         """search() for one text of any length, in pieces that overlap by more than an occurrence can span."""
@@ -119,15 +159,21 @@ class ItemIndex:
         buf = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
         if len(buf) < self.q or not len(self.keys):
             return [[] for _ in codes]
-        at, item, place = self.hits(buf, sizes)
-        first = np.searchsorted(self.spots, item << 32 | np.maximum(place + self.q - self.window, 0))
-        n = np.searchsorted(self.spots, item << 32 | place, side="right") - first  # windows that hold the q-gram
-        long = self.whole[item] >= 0
-        window = np.concatenate([np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()), self.whole[item[long]]])
-        at, place = np.concatenate([np.repeat(at, n), at[long]]), np.concatenate([np.repeat(place, n), place[long]]) - self.start[window]
-        shift = int(self.length.max()) + 1
-        band = (at - place + shift) // (self.budget[window] + 1)
-        key, count = np.unique(np.concatenate([window << 40 | band, window << 40 | np.maximum(band - 1, 0)]), return_counts=True)
+        at, k, text = self.shared(buf, ends)
+        enough = self.pairs(k, text)
+        shift, sums = int(self.length.max()) + 1, Sums()
+        for _, _, who, ref in self.slices(k) if len(enough) else ():
+            pair = text[who] * len(self.ids) + self.item[ref]
+            some = enough[np.minimum(np.searchsorted(enough, pair), len(enough) - 1)] == pair
+            where, item, place = at[who[some]], self.item[ref[some]], self.place[ref[some]]
+            first = np.searchsorted(self.spots, item << 32 | np.maximum(place + self.q - self.window, 0))
+            n = np.searchsorted(self.spots, item << 32 | place, side="right") - first  # windows that hold the q-gram
+            long = self.whole[item] >= 0
+            window = np.concatenate([np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()), self.whole[item[long]]])
+            diagonal = np.concatenate([np.repeat(where - place, n), where[long] - place[long]]) + self.start[window]
+            band = (diagonal + shift) // (self.budget[window] + 1)
+            sums.add(np.concatenate([window << 40 | band, window << 40 | np.maximum(band - 1, 0)]))
+        key, count = sums.result()
         window, band = key >> 40, key & ((1 << 40) - 1)
         good = count >= self.least[window]
         window, band, count = window[good], band[good], count[good]
@@ -172,11 +218,12 @@ def banded(item: np.ndarray, text: np.ndarray, first: int, width: int, budget: i
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: float = EDITS, q: int = Q) -> DataFrame:
     """One row per row of docs: the columns of docs but text_col's, and `leaks`, an array of (item_id, edits) by item_id.
 
-    An item leaks into a text if it, or one of its windows, occurs there, as letters and digits, within the edit budget;
-    `edits` is the least number found. Items that are null or
-    have fewer than q letters and digits identify nothing and are left out; null and empty texts have no leaks; repeated
-    rows and items each count for themselves (equal item_ids appear once, with their least edits). Columns of docs named
-    `leaks` are replaced. An empty table of either side gives no leaks.
+    One rule for items of every length: an item leaks into a text if a part of min(its length, WINDOW) letters and digits, or
+    the whole item, occurs there within the budget of that part's length (`edit_budget`: 10 %, one less for some lengths under
+    WINDOW, so that a q-gram must be left). `edits` is the least number found. Items that are null or have fewer than q
+    letters and digits identify nothing and are left out; null and empty texts have no leaks; repeated rows and items each
+    count for themselves (equal item_ids appear once, with their least edits); texts of any length are searched whole, in
+    bounded memory. Columns of docs named `leaks` are replaced. An empty table of either side gives no leaks.
     """
     usable = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = usable.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -188,7 +235,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     frame = docs.select(*keep, F.col(text_col).alias(hidden), F.expr("cast(array() as array<struct<item_id:long,edits:int>>)").alias("leaks"))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32())]))
     for s in range(slices):
-        rows = usable.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == s).distinct().collect()  # about SLICE_BYTES
+        rows = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == s).distinct().collect()  # about SLICE_BYTES
         items = [(r["item_id"], c) for r in sorted(rows) if len(c := reduced(r["text"].encode())) >= q]
         index = sc.broadcast(ItemIndex(items, edits, q))
 
