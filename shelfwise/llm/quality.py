@@ -201,17 +201,25 @@ class RuleEnsemble:
 
 def train(docs: DataFrame, labels: DataFrame, usable: F.Column, rows: int = TRAIN_ROWS, seed: int = 3) -> RuleEnsemble:
     """Fit on at most `rows` labelled rows (doc_id, quality) where `usable` holds on doc_id, in a seeded hash order.
-    Null labels and ids are left out; a doc_id that repeats among the labels counts each time, up to the bound."""
-    ids = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & usable).select("doc_id", F.col("quality").cast("int").alias("quality"))
+
+    Null labels and ids are left out. Equal labels of a doc_id count once, different ones once each; of documents that share
+    a doc_id the one of the least statistics counts, so no more than `rows` rows reach the driver. Without labels the model
+    is a constant.
+    """
+    ids = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & usable).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     ids = bounded_sample(ids, "doc_id", rows, seed, ids.count())
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most `rows` ids
-    got = statistics(picked, "text", ["doc_id", "quality"]).toPandas().sort_values(["doc_id", "quality"], ignore_index=True).iloc[: 2 * rows]
-    x = got[[f"s_{s}" for s in STATS]].to_numpy(np.float64)
+    names = [f"s_{s}" for s in STATS]
+    each = statistics(picked, "text", ["doc_id", "quality"]).groupBy("doc_id", "quality").agg(F.min(F.struct(*names)).alias("s"))
+    got = each.select("doc_id", "quality", "s.*").toPandas().sort_values(["doc_id", "quality"], ignore_index=True)
+    x = got[names].to_numpy(np.float64)
     return RuleEnsemble.fit(x, (got["quality"].to_numpy() == 1).astype(np.float32))
 
 
 def score_documents(docs: DataFrame, model: RuleEnsemble, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` of docs and `score`, 0 to 1, for every row; null and empty texts get the score of empty statistics."""
+    """The columns `keep` of docs and `score`, 0 to 1, for every row, repeated rows too; null and empty texts get the score of
+    empty statistics, texts of any length that of the whole text, equal texts equal scores. Kept columns that are named
+    `score` or like a statistic (`s_...`) are left out. An empty table gives no rows."""
     scored = statistics(docs, text_col, [c for c in keep if c != "score"])
     return scored.select(*(c for c in scored.columns if c in keep), model.column().alias("score"))
 
