@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, free_name
 
 CELLS = 1 << 16
 
@@ -74,25 +74,27 @@ def plan_flow(counts: np.ndarray, owner: np.ndarray, capacity: np.ndarray) -> pd
 def shard_rows(df: DataFrame, key: str, n_shards: int, vnodes: int = 64, seed: int = 1, tie: list[str] | None = None) -> DataFrame:
     """df with `shard` (0 to n_shards - 1, row counts at most one apart) and `slot` (gapless from 0 in each shard).
 
-    Null keys hash as a value of their own; rows with equal keys share a cell and are ranked by `tie` columns, rows equal
-    there too take slots in any order. An empty table gives no rows. Columns named _cell, _rank or _h are replaced.
+    Rows are dealt to the ring's cells by key and `tie` columns together, so a frequent or null key is spread where ties tell
+    its rows apart, and ranked in their cell by the same; rows equal in all of these share a cell and take its slots in
+    any order. Texts are not read. An empty table gives no rows. Columns named `shard` and `slot` are replaced, all others
+    kept, whatever their names.
     """
     spark = df.sparkSession
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    cell = F.shiftrightunsigned(h, 48).cast("int")
+    df = df.drop("shard", "slot")
+    cell, rank, h, lo, hi, base = (free_name(df, c) for c in ("_cell", "_rank", "_h", "_lo", "_hi", "_base"))
+    by = [key, *(tie or [])]
+    hashed = df.withColumn(h, F.xxhash64(*by, F.lit(seed))).withColumn(cell, F.shiftrightunsigned(h, 48).cast("int"))
     counts = np.zeros(CELLS, np.int64)
-    for r in df.groupBy(cell.alias("_cell")).count().toLocalIterator():
+    for r in hashed.groupBy(cell).count().toLocalIterator():
         counts[r[0]] = r[1]
     n = int(counts.sum())
     capacity = n // n_shards + (np.arange(n_shards) < n % n_shards)
     plan = plan_flow(counts, ring_owners(n_shards, vnodes, seed), capacity)
     # at most one piece for each cell and one more for each shard that fills: bounded by CELLS and n_shards, whatever the rows
-    pieces = spark.createDataFrame(plan, "_cell int, _lo long, _hi long, shard int, _base long")
-    w = Window.partitionBy("_cell").orderBy("_h", key, *(tie or []))
-    ranked = df.withColumns({"_h": h, "_cell": cell}).withColumn("_rank", F.row_number().over(w).cast("long") - 1)
-    ranked = ranked.drop(*({"shard", "slot", "_lo", "_hi", "_base"} & set(df.columns)))
-    out = ranked.join(F.broadcast(pieces), "_cell").where((F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
-    return out.withColumn("slot", F.col("_base") + F.col("_rank") - F.col("_lo")).drop("_h", "_cell", "_rank", "_lo", "_hi", "_base")
+    pieces = spark.createDataFrame(plan, f"{cell} int, {lo} long, {hi} long, shard int, {base} long")
+    ranked = hashed.withColumn(rank, F.row_number().over(Window.partitionBy(cell).orderBy(h, *by)).cast("long") - 1)
+    out = ranked.join(F.broadcast(pieces), cell).where((F.col(rank) >= F.col(lo)) & (F.col(rank) < F.col(hi)))
+    return out.withColumn("slot", F.col(base) + F.col(rank) - F.col(lo)).drop(cell, rank, h, lo, hi, base)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
