@@ -19,6 +19,8 @@ from .common import documents, pieces, text_chunks
 ASCII_PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 PLAIN = re.compile(rb"[!-~]*\Z")
 CACHE_WORDS = 400_000
+#: Bytes of the longest pieces whose counts are kept.
+LONGEST = 64
 
 
 def prove_whole(tokenizer_json: str) -> frozenset[str]:
@@ -41,14 +43,20 @@ class WordCounts(dict):
         self.t = Tokenizer.from_str(tokenizer_json)
         self.special = [a.content.encode() for a in self.t.get_added_tokens_decoder().values()]
         self.whole = whole
-        self.merged = lru_cache(200_000)(lambda pre: len(self.t.model.tokenize(pre)))
+        self.held = lru_cache(200_000)(self.merge)  # of short pre-tokens, so bounded in bytes too
+
+    def merge(self, pre: str) -> int:
+        return len(self.t.model.tokenize(pre))
+
+    def merged(self, pre: str) -> int:
+        return self.held(pre) if len(pre) <= LONGEST else self.merge(pre)
 
     def __missing__(self, word: bytes) -> int:
         if PLAIN.match(word) and not any(s in word for s in self.special):
             n = sum(1 if pre in self.whole else self.merged(pre) for pre in ASCII_PRE.findall(word.decode().lower()))
         else:
             n = len(self.t.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        if len(word) <= 64:
+        if len(word) <= LONGEST:
             self[word] = n
         return n
 
@@ -59,7 +67,7 @@ class WordCounts(dict):
 
 def count_tokens(df: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
     """One row per row of df: id_col, n_bytes, n_tokens, over_limit. Null and empty texts have 0 tokens; texts of any length
-    are counted whole; other columns, whatever their names, are not read. An empty table gives no rows."""
+    are counted whole; repeated rows each count; other columns, whatever their names, are not read. An empty table gives no rows."""
     sc = df.sparkSession.sparkContext
     held = sc.broadcast((tokenizer_json, prove_whole(tokenizer_json)))  # bounded by the vocabulary, not by the input
 
