@@ -153,6 +153,22 @@ def suffix_array(text: bytes, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def common_prefixes(text: bytes, sa: np.ndarray, most: int) -> np.ndarray:
+    """Lengths, up to `most`, of the common prefixes of neighbours in an array of suffixes. Eight bytes are compared at a time,
+    and only where all before them were equal."""
+    buf = np.frombuffer(text + b"\xff" * (most + 8), np.uint8)
+    words = np.lib.stride_tricks.as_strided(buf, (len(buf) - 8, 8), (1, 1))
+    out, left = np.zeros(max(0, len(sa) - 1), np.int64), np.arange(max(0, len(sa) - 1))
+    for at in range(0, most, 8):
+        same = words[sa[left] + at] == words[sa[left + 1] + at]
+        whole = same.all(1)
+        out[left] += np.where(whole, 8, same.argmin(1))
+        left = left[whole]
+        if not len(left):
+            break
+    return np.minimum(out, most)
+
+
 def repeated_starts(contexts: list[bytes], own: list[int], span: int) -> list[np.ndarray]:
     """For each context, which of its own starts have a string of span bytes that another own start has too."""
     text = b"\xff".join(contexts) + b"\xff"  # 0xFF is no byte of UTF-8
@@ -161,11 +177,10 @@ def repeated_starts(contexts: list[bytes], own: list[int], span: int) -> list[np
     sa = suffix_array(text, span)
     where = np.searchsorted(begin, sa, side="right") - 1
     is_own = sa - begin[where] < np.array(own, np.int64)[where]
-    sa = sa[is_own].tolist()
+    sa = sa[is_own]
     flag = np.zeros(len(text), bool)
-    for a, b in zip(sa, sa[1:]):
-        if text[a : a + span] == text[b : b + span]:  # the common prefix of neighbours reaches span
-            flag[a] = flag[b] = True
+    reach = np.flatnonzero(common_prefixes(text, sa, span) >= span)
+    flag[sa[reach]] = flag[sa[reach + 1]] = True
     return [np.flatnonzero(flag[s : s + k]) for s, k in zip(begin.tolist(), own)]
 
 
@@ -317,7 +332,8 @@ def remove_repeats(docs: DataFrame, keep: list[str], text_col: str = "text", spa
 
     A byte goes if some string of span bytes that covers it starts anywhere else too, in the same text or another row's;
     strings are judged on the input. Rows that repeat are copies of each other and lose all such strings. Null texts are
-    empty; texts under span bytes stay whole; an empty table gives no rows. Other columns are not read.
+    empty; texts under span bytes stay whole; texts of any length are read whole; an empty table gives no rows. Other columns
+    are not read, kept ones may have any name but those of the results.
     """
     spans = materialize(find_repeats(docs, text_col, span, gram), "spans")
     n, runs = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
