@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality, near-duplicates, benchmark leaks, source mixing, shards, each over what the one before kept."""
+"""The corpus pipeline: quality, near-duplicates, benchmark leaks, source mixing, shards, each over what the one before kept.
+
+Every stage works on rows: a row that repeats is a row each time, ids and any other column may be null, texts may be null,
+empty or of any length, ties are broken by id and then by the order of rows, and an empty table gives an empty table. All
+columns of documents stay, whatever their names; only the last stage adds `shard` and `slot`, in place of columns so named.
+"""
 
 from __future__ import annotations
 
@@ -29,10 +34,17 @@ def _with_rows(docs: DataFrame, row: str, kept: DataFrame) -> DataFrame:
     return docs.join(small(kept, kept.count(), 32), row, "left_semi").drop(row)
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, list[F.Column]]:
+    """docs with the columns that stages do not read under names that no operator uses, and what names them back."""
+    names = {c: c if c in ("doc_id", "text") else f"_own{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble scores THRESHOLD or more."""
+    """Documents that the rule ensemble scores THRESHOLD or more; texts that are null or empty have the score of no words."""
+    docs, back = _apart(docs)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), id_hash(F.col("doc_id"), 5) != 0)
-    return score_documents(docs, model, docs.columns).where(F.col("score") >= THRESHOLD).select(*(c for c in docs.columns if c != "score"))
+    return score_documents(docs, model, docs.columns).where(F.col("score") >= THRESHOLD).select(back)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,20 +58,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item occurs within its edit budget."""
+    """Documents in which no benchmark item occurs within its edit budget; texts that are null or empty have none."""
+    docs, back = _apart(docs)
     found = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("leaks") == 0).select(docs.columns)
+    return found.where(F.size("leaks") == 0).select(back)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MIX_SHARE of all words, dealt over domains, languages and sources by weight; each document at most once."""
+    """MIX_SHARE of all words, dealt over domains, languages and sources by weight; each row at most once."""
     docs, row = _numbered(docs)
     chosen = mix(docs, DOMAINS, WEIGHTS, MIX_SHARE, 1, 20, keep=(row,))
     return _with_rows(docs, row, chosen.where(F.col("epochs_taken") > 0).select(row))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and slot."""
+    """All documents with their shard and slot; equal or null ids are told apart by n_chars."""
     return shard_rows(docs, "doc_id", SHARDS, tie=["n_chars"])
 
 
