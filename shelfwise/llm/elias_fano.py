@@ -61,25 +61,35 @@ class EliasFano:
                 out[lo:hi] = self.decode(first, int(index[hi - 1]) + 1)[index[lo:hi] - first]
         return out
 
-    def find(self, wanted: np.ndarray) -> np.ndarray:
-        """Successor search for sorted values: the place of each one that occurs (its last one), else -1."""
+    def find(self, wanted: np.ndarray, ranges: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Successor search for sorted values: the place of each one that occurs (its last one), else -1. With ranges (from,
+        to) of places, one for each value, only the parts of the sequence that some range touches are decoded."""
         out = np.full(len(wanted), -1, np.int64)
-        lo = 0
-        for i in range(0, self.n, STEP):
+        if not self.n or not len(wanted):
+            return out
+        steps, lo = np.arange(-(-self.n // STEP)), 0
+        if ranges is not None:
+            touched = np.zeros(len(steps) + 1, np.int64)
+            np.add.at(touched, ranges[0] // STEP, 1)
+            np.add.at(touched, (ranges[1] - 1) // STEP + 1, -1)
+            steps = np.flatnonzero(np.cumsum(touched)[:-1])
+        for i in (steps * STEP).tolist():
             part = self.decode(i, min(self.n, i + STEP))
+            lo += int(np.searchsorted(wanted[lo:], part[0]))
             hi = int(np.searchsorted(wanted, part[-1], side="right"))
             if lo < hi:
                 k = np.searchsorted(part, wanted[lo:hi])
                 out[lo:hi] = np.where(part[k] == wanted[lo:hi], i + k, -1)
-            lo = hi
+                lo = hi
         return out
 
     def arrays(self) -> list[np.ndarray]:
         return [np.array([self.n, self.low_bits], np.int64), self.low, self.high, self.directory]
 
 
-class BigramTrie:
-    """Contexts, pointers to their successors, successors as context-relative values, and quantised log probabilities.
+class Trie:
+    """Contexts, pointers to their successors, successors as context-relative values, and quantised log probabilities. One
+    level of an n-gram trie: the contexts of the first are words, those of the next are places of the level before.
 
     A successor is kept as the rank of its word among the trie's successor words plus its context's base, which is one
     more than the value before the context's range, so the level is one increasing sequence.
@@ -91,7 +101,7 @@ class BigramTrie:
         self.codes, self.book = arrays[16], arrays[17]
 
     @classmethod
-    def build(cls, context: np.ndarray, word: np.ndarray, log_prob: np.ndarray) -> BigramTrie:
+    def build(cls, context: np.ndarray, word: np.ndarray, log_prob: np.ndarray) -> Trie:
         """context, word: uint64, distinct pairs sorted by (context, word); log_prob: float."""
         contexts, start = np.unique(context, return_index=True)
         words, rank = np.unique(word, return_inverse=True)
@@ -107,7 +117,7 @@ class BigramTrie:
         seqs = [EliasFano.build(x) for x in (contexts, np.append(start, len(context)), words, values)]
         return cls([a for s in seqs for a in s.arrays()] + [codes, book])
 
-    def mapped(self) -> BigramTrie:
+    def mapped(self) -> Trie:
         """The same trie over one memory-mapped file, which is unlinked at once and so cannot be left behind."""
         arrays = [a for s in (self.contexts, self.pointers, self.words, self.successors) for a in s.arrays()] + [self.codes, self.book]
         fd, path = tempfile.mkstemp()
@@ -122,7 +132,7 @@ class BigramTrie:
             whole = np.memmap(path, np.uint8, "r")
         finally:
             os.unlink(path)
-        return BigramTrie([np.asarray(whole[p : p + a.nbytes]).view(a.dtype) for p, a in zip(places, arrays)])
+        return Trie([np.asarray(whole[p : p + a.nbytes]).view(a.dtype) for p, a in zip(places, arrays)])
 
     def lookup(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Codes (0: not in the trie) of pairs sorted by (context, word)."""
@@ -141,7 +151,7 @@ class BigramTrie:
         ident = self.words.find(words)[back]
         value = base[where] + ident
         ok = known[where] & (ident >= 0) & (value <= top[where])
-        place = self.successors.find(value[ok].astype(U))
+        place = self.successors.find(value[ok].astype(U), (lo[where[ok]], hi[where[ok]]))
         got = np.flatnonzero(ok)[place >= 0]
         out[got] = self.codes[place[place >= 0]]
         return out

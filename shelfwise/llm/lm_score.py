@@ -1,14 +1,18 @@
-"""Language-model scores from a bigram model in Elias-Fano tries that are dealt over partitions.
+"""Language-model scores from a trigram model in Elias-Fano tries that are dealt over partitions.
 
-Texts are packed into blocks with a vocabulary of their own. For each partition a block sends its distinct words, then its
-distinct bigrams, with their counts in training texts; the partition adds up the blocks' counts, builds its trie and
-answers each block's n-grams in the order asked. Nothing of the corpus is broadcast but the bounded list of words that are
-more than a set share of all tokens; bigrams of those are dealt by their second word too.
+Texts are packed into blocks with a vocabulary of their own. A block sends its distinct words, then its distinct bigrams and
+trigrams, with their counts in training texts, to the partitions of their first words; a partition adds up the blocks'
+counts, builds its trie of three levels and answers each block's n-grams in the order asked. Nothing of the corpus is broadcast
+and nothing of it reaches the driver but sums; a block sends messages only to partitions that it has something for.
 
-P(w | v) = (c - D(c)) / count(v) + B(v) / count(v) * P(w), with c = count(v, w), D the discount of a seen pair by its count,
-B(v) the sum of v's discounts, and P(w) = (count(w) + 1) / (N + V + 1); P(w) alone if v is not in the training texts. The
-first part of a seen pair is kept as a quantised log10 in the trie, the weight B(v) / count(v) is sent quantised too. Words
-dealt over several partitions get a part of their weight from each, so blocks ask all of those partitions.
+A word that is more than a set share of all tokens is frequent; blocks learn which of their words are from the counts of
+words. Bigrams of a frequent word are dealt by their second word too, and trigrams that begin with two frequent words by
+their third, so no partition gets all that follows one word or one pair.
+
+P(w | u v) = (c - D(c) + B(u v) * P(w | v)) / count(u v), with c = count(u v w), D the discount of a seen n-gram by its count and
+B(u v) the sum of the discounts of what follows u v; P(w | v) alike over P(w) = (count(w) + 1) / (N + V + 1). Without a
+count of the context the shorter context's probability stands alone. The first part of a seen n-gram is kept as a quantised
+log10 in the trie, and so are answers.
 """
 
 from __future__ import annotations
@@ -20,17 +24,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_hash, materialize, mix64, text_chunks
-from .elias_fano import BigramTrie
+from .common import documents, id_hash, materialize, mix64, small, text_chunks
+from .elias_fano import Trie
 from .minhash import word_hashes
 
 U = np.uint64
 END, BEGIN = U(0xE11D), U(0xBE61)  # hashes of the end token and of the context before the first word
-#: Discounts of pairs seen once, twice and more often.
-DISCOUNTS = np.array([0.0, 0.75, 1.5, 1.75])
-BLOCK_BYTES = 16 << 20
-#: Tokens for each partition; words over 1 / (HOT * partitions) of all tokens are dealt by the next word too.
-PART_TOKENS = 2_000_000
+#: The discount of a seen n-gram, whatever its count: what recurs keeps more of its count than what was seen once.
+DISCOUNT = 0.75
+BLOCK_BYTES = 8 << 20
+#: Tokens for each partition; words over 1 / (HOT * partitions) of all tokens are frequent.
+PART_TOKENS = 1_000_000
 HOT = 4
 
 
@@ -55,79 +59,227 @@ def unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def dealt_words(words: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places of words by partition and hash, bounds of the partitions)"""
+    """(places of words by partition and hash, partition of each in that order)"""
     part = (mix64(words ^ U(77)) % U(parts)).astype(np.int64)
     order = np.lexsort((words, part))
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
-
-
-def first_part(v: np.ndarray, parts: int) -> np.ndarray:
-    return mix64(v ^ U(99)) % U(parts)
-
-
-def dealt_pairs(words, lengths, tokens, train, parts: int, hot: dict[int, tuple[int, int]]):
-    """Distinct bigrams of a block by partition, context and word: (context, word, training count, bounds of the partitions,
-    place of each token's bigram, each token's context as a place among words, len(words) for BEGIN).
-    hot: word -> (partitions it is dealt over, count)."""
-    last = np.cumsum(lengths) - 1
-    before = np.empty(len(tokens), np.int64)
-    before[1:] = tokens[:-1]
-    before[np.concatenate([[0], last[:-1] + 1])] = len(words)
-    pairs, where = np.unique(before * (len(words) + 1) + tokens, return_inverse=True)
-    count = np.bincount(where, np.repeat(train, lengths), len(pairs)).astype(np.int64)
-    named = np.append(words, BEGIN)
-    v, w = named[pairs // (len(words) + 1)], named[pairs % (len(words) + 1)]
-    part = first_part(v, parts)
-    if hot:
-        keys = np.array(sorted(hot), U)
-        spread = np.array([hot[int(k)][0] for k in keys], U)
-        k = np.minimum(np.searchsorted(keys, v), len(keys) - 1)
-        part = np.where(keys[k] == v, (part + mix64(w ^ U(55)) % spread[k]) % U(parts), part)
-    order = np.lexsort((w, v, part))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return v[order], w[order], count[order], np.searchsorted(part[order].astype(np.int64), np.arange(parts + 1)), rank[where], before
+    return order, part[order]
 
 
-def asked_contexts(words: np.ndarray, v: np.ndarray, cuts: np.ndarray, parts: int, hot: dict[int, tuple[int, int]]) -> list[np.ndarray]:
-    """For each partition the sorted contexts that a block asks it for: those of its pairs, and the block's words that are
-    dealt over this partition among others."""
-    extra: list[list[int]] = [[] for _ in range(parts)]
-    keys = np.array(sorted(hot), U)
-    here = keys[np.isin(keys, np.append(words, BEGIN))]
-    for k, p in zip(here.tolist(), first_part(here, parts).tolist()):
-        for i in range(hot[k][0]):
-            extra[(p + i) % parts].append(k)
-    return [np.union1d(v[cuts[p] : cuts[p + 1]], np.array(extra[p], U)) for p in range(parts)]
+def runs(sorted_values: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, from, to) of the runs of equal values."""
+    cuts = np.flatnonzero(np.diff(sorted_values)) + 1
+    first, last = np.append(0, cuts), np.append(cuts, len(sorted_values))
+    return list(zip(sorted_values[first].tolist(), first.tolist(), last.tolist())) if len(sorted_values) else []
 
 
-def shrink(a: np.ndarray) -> bytes:
-    """Counts in the narrowest unsigned type that holds them, after its width."""
-    width = next(k for k in (1, 2, 4, 8) if k == 8 or a.max(initial=0) < 1 << 8 * k)
-    return bytes([width]) + a.astype(f"<u{width}").tobytes()
+class Grams:
+    """The distinct bigrams and trigrams of a block, by partition. words: the block's vocabulary; spread: over how many
+    partitions each word's n-grams are dealt, and one more for the begin of a text; given: counts of frequent words, else 0.
 
+    Level one holds contexts: words, and pairs of frequent words (a hash of both), whose count the partition cannot know.
+    Level two holds what follows a context, level three what follows a pair of words that are not both frequent.
+    """
 
-def grown(d: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
-    width = d[at]
-    return np.frombuffer(d, f"<u{width}", n, at + 1).astype(np.int64), at + 1 + n * width
+    def __init__(self, words, lengths, tokens, train, parts: int, spread: np.ndarray, given: np.ndarray):
+        n = len(words)
+        named = np.append(words, BEGIN)
+        last = np.cumsum(lengths) - 1
+        self.first = np.zeros(len(tokens), bool)  # the first token of a text
+        self.first[np.concatenate([[0], last[:-1] + 1])] = True
+        taught = np.repeat(train, lengths)
+        before = np.empty(len(tokens), np.int64)
+        before[1:] = tokens[:-1]
+        before[self.first] = n
+        key, at = np.unique(before * (n + 1) + tokens, return_inverse=True)
+        u, v = key // (n + 1), key % (n + 1)
+        both = (spread[u] > 1) & (spread[v] > 1)  # pairs whose successors are dealt by the third word
+        third = ~self.first
+        third[1:] &= both[at[:-1]]
+        late = np.flatnonzero(third)
+        key3, at3 = np.unique(at[late - 1] * (n + 1) + tokens[late], return_inverse=True)
+        pair = key3 // (n + 1)
+        self.n_pairs = len(key)
+        context = np.concatenate([named[u], mix64(named[u[pair]] + mix64(named[v[pair]] ^ U(31)))])
+        word = np.concatenate([named[v], named[key3 % (n + 1)]])
+        count = np.concatenate([np.bincount(at, taught, len(key)), np.bincount(at3, taught[late], len(key3))]).astype(np.int64)
+        home = np.concatenate([mix64(named[u] ^ U(99)) % U(parts), mix64(context[len(key) :] ^ U(99)) % U(parts)])
+        over = np.concatenate([spread[u], np.minimum(spread[u[pair]], spread[v[pair]])]).astype(U)
+        part = ((home + mix64(word ^ U(55)) % over) % U(parts)).astype(np.int64)
+        order = np.lexsort((word, context, part))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.context, self.word, self.count, self.part = context[order], word[order], count[order], part[order]
+        self.given = np.concatenate([given[u], np.ones(len(key3), np.int64)])[order]  # 1: the block divides by the pair's count
+        self.pair = rank[: len(key)][at]  # of each token, the place of its bigram
+        self.split = np.full(len(tokens), -1)  # of each token, the place of its trigram on level two, or -1
+        self.split[late] = rank[len(key) :][at3]
+        self.before = before
+        # what a word in several partitions weighs is the sum of what it weighs in each, so all of them are asked
+        wide = np.flatnonzero((spread > 1) & (np.bincount(u, minlength=n + 1) > 0))
+        lone = [(named[wide], mix64(named[wide] ^ U(99)) % U(parts), spread[wide], given[wide])]
+        twice, one = np.unique(pair, return_index=True)
+        lone.append((context[len(key) :][one], home[len(key) :][one], np.minimum(spread[u[twice]], spread[v[twice]]), np.ones(len(twice), np.int64)))
+        at_part, who, base = [], [], []
+        for c, h, k, g in lone:
+            step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            at_part.append(((np.repeat(h, k) + step.astype(U)) % U(parts)).astype(np.int64))
+            who.append(np.repeat(c, k))
+            base.append(np.repeat(g, k))
+        asked = np.concatenate([self.part, *at_part]), np.concatenate([self.context, *who]), np.concatenate([self.given, *base])
+        order = np.lexsort((asked[1], asked[0]))
+        p, c, g = (x[order] for x in asked)
+        fresh = np.ones(len(p), bool)
+        fresh[1:] = (p[1:] != p[:-1]) | (c[1:] != c[:-1])
+        self.ask_part, self.ask, self.ask_given = p[fresh], c[fresh], g[fresh]
+        # level three
+        inner = ~self.first
+        inner[1:] &= ~both[at[:-1]]
+        late = np.flatnonzero(inner)
+        by_hash = np.argsort(words)
+        place = np.empty(n, np.int64)
+        place[by_hash] = np.arange(n)  # places of words in the order of their hashes
+        key3, at3 = np.unique(self.pair[late - 1] * n + place[tokens[late]], return_inverse=True)  # by pair and word, as on level two
+        self.inner, self.word3 = key3 // n, words[by_hash[key3 % n]]
+        self.count3 = np.bincount(at3, taught[late], len(key3)).astype(np.int64)
+        self.part3 = self.part[self.inner]
+        self.triple = np.full(len(tokens), -1)
+        self.triple[late] = at3
+
+    def messages(self):
+        """(partition, contexts, bigrams, trigrams) as slices of the arrays, for the partitions that are asked something."""
+        three = {p: slice(a, b) for p, a, b in runs(self.part3)}
+        two = {p: slice(a, b) for p, a, b in runs(self.part)}
+        for p, a, b in runs(self.ask_part):
+            yield p, slice(a, b), two.get(p, slice(0, 0)), three.get(p, slice(0, 0))
+
+    def message(self, one: slice, two: slice, three: slice) -> bytes:
+        contexts, word, word3 = self.ask[one], self.word[two], self.word3[three]
+        known, place = np.unique(np.concatenate([word, word3]), return_inverse=True)
+        sizes = np.bincount(np.searchsorted(contexts, self.context[two]), minlength=len(contexts))
+        sizes3 = np.bincount(self.inner[three] - two.start, minlength=len(word))
+        head = np.array([len(contexts), len(known), len(word), len(word3)], "<i8").tobytes()
+        body = [contexts.tobytes(), known.tobytes(), *map(shrink, (self.ask_given[one], sizes, place[: len(word)], self.count[two], sizes3, place[len(word) :], self.count3[three]))]
+        return zstandard.ZstdCompressor(level=1).compress(b"".join([head, *body]))
+
+
+def read_message(d: bytes) -> tuple[np.ndarray, ...]:
+    """(contexts, given counts, contexts of bigrams, words, counts, bigrams of trigrams as places, words, counts)"""
+    d = zstandard.ZstdDecompressor().decompress(d)
+    k, m, n, n3 = np.frombuffer(d, "<i8", 4).tolist()
+    contexts, known, at = np.frombuffer(d, U, k, 32), np.frombuffer(d, U, m, 32 + 8 * k), 32 + 8 * (k + m)
+    out = []
+    for size in (k, k, n, n, n, n3, n3):
+        x, at = grown(d, at, size)
+        out.append(x)
+    given, sizes, place, count, sizes3, place3, count3 = out
+    return contexts, given, np.repeat(contexts, sizes), known[place], count, np.repeat(np.arange(n), sizes3), known[place3], count3
 
 
-def pairs_message(contexts: np.ndarray, v: np.ndarray, w: np.ndarray, count: np.ndarray) -> bytes:
-    """Pairs sorted by (v, w): contexts and how many pairs each has, distinct words and places among them, counts."""
-    sizes = np.bincount(np.searchsorted(contexts, v), minlength=len(contexts))
-    words, place = np.unique(w, return_inverse=True)
-    return np.array([len(contexts), len(words), len(w)], "<i8").tobytes() + contexts.tobytes() + words.tobytes() + shrink(sizes) + shrink(place) + shrink(count)
+def shrink(a: np.ndarray) -> bytes:
+    """Counts in the narrowest unsigned type that holds them, after its width; bytes of equal weight together."""
+    width = next(k for k in (1, 2, 4, 8) if k == 8 or a.max(initial=0) < 1 << 8 * k)
+    return bytes([width]) + a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
 
 
-def read_pairs(d: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(contexts, v, w, count)"""
-    k, m, n = np.frombuffer(d, "<i8", 3).tolist()
-    at = 24 + 8 * (k + m)
-    sizes, at = grown(d, at, k)
-    place, at = grown(d, at, n)
-    count, _ = grown(d, at, n)
-    contexts = np.frombuffer(d, U, k, 24)
-    return contexts, np.repeat(contexts, sizes), np.frombuffer(d, U, m, 24 + 8 * k)[place], count
+def grown(d: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    width = d[at]
+    planes = np.frombuffer(d, np.uint8, n * width, at + 1).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(n).astype(np.int64), at + 1 + n * width
+
+
+def distinct(major: np.ndarray, minor: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(major, minor, summed count) of the distinct pairs in order, and the place among them of each pair."""
+    order = np.lexsort((minor, major))
+    major, minor = major[order], minor[order]
+    new = np.ones(len(major), bool)
+    new[1:] = (major[1:] != major[:-1]) | (minor[1:] != minor[:-1])
+    at = np.flatnonzero(new)
+    where = np.empty(len(order), np.int64)
+    where[order] = np.cumsum(new) - 1
+    return major[at], minor[at], np.add.reduceat(count[order], at) if len(at) else count, where
+
+
+def level(context: np.ndarray, owner: np.ndarray, word: np.ndarray, count: np.ndarray, base: np.ndarray) -> tuple[Trie, np.ndarray]:
+    """(trie, weight of each context) of counted n-grams; owner: each one's context as a place among the bases."""
+    seen = count > 0
+    own = owner[seen]
+    mass = np.bincount(own, minlength=len(base)) * DISCOUNT
+    trie = Trie.build(context[seen], word[seen], np.log10((count[seen] - DISCOUNT) / base[own])).mapped()
+    return trie, np.where(base > 0, mass / np.maximum(base, 1), 1.0).astype("<f4")
+
+
+def answers_of(messages: list[bytes]) -> list[bytes]:
+    """What a partition answers each message: books, then the weights of contexts, codes and counts of bigrams, the weights of
+    bigrams as contexts, and codes of trigrams."""
+    got = [read_message(d) for d in messages]
+    ends2, ends3, ends = (np.cumsum([len(x[i]) for x in got])[:-1] for i in (2, 5, 0))
+    start2 = np.append(0, ends2)
+    asked, given, v, w, c, at, w3, c3 = (np.concatenate([x[i] + start2[k] if i == 5 else x[i] for k, x in enumerate(got)]) for i in range(8))
+    hot = [x[1] > 1 for x in got]
+    hot = [np.isin(x[2], x[0][h]) for h, x in zip(hot, got)]  # bigrams of frequent words, whose counts the block may need
+    del got
+    contexts, own = np.unique(asked, return_inverse=True)
+    base = np.zeros(len(contexts), np.int64)
+    np.maximum.at(base, own, given)
+    v, w, c, where2 = distinct(v, w, c)
+    owner = np.searchsorted(contexts, v)
+    base = np.where(base > 0, base, np.bincount(owner, c, len(contexts)).astype(np.int64))
+    two, weight = level(v, owner, w, c, base)
+    at, w3, c3, where3 = distinct(where2[at], w3, c3)
+    three, weight3 = level(at.astype(U), at, w3, c3, c)
+    codes, codes3 = two.lookup(v, w), three.lookup(at.astype(U), w3)  # one pass for the questions of all blocks
+    books = b"".join(len(t.book).to_bytes(4, "little") + np.asarray(t.book, "<f4").tobytes() for t in (two, three))
+    out = []
+    for k2, k3, k1, h in zip(np.split(where2, ends2), np.split(where3, ends3), np.split(own, ends), hot):
+        body = [books, planes(weight[k1]), codes[k2].tobytes(), shrink(c[k2[h]]), planes(weight3[k2]), codes3[k3].tobytes()]
+        out.append(zstandard.ZstdCompressor(level=1).compress(b"".join(body)))
+    return out
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Floats with bytes of equal weight together."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def read_answer(d: bytes, n_contexts: int, n: int, n_hot: int, n3: int) -> tuple[np.ndarray, ...]:
+    """(weights of contexts, first parts of bigrams, counts of frequent words' bigrams, weights of bigrams, first parts of trigrams)"""
+    d, at, books = zstandard.ZstdDecompressor().decompress(d), 0, []
+    for _ in range(2):
+        k = int.from_bytes(d[at : at + 4], "little")
+        books.append(np.concatenate([[0.0], 10.0 ** np.frombuffer(d, "<f4", k, at + 4).astype(np.float64)]))
+        at += 4 + 4 * k
+
+    def floats(k: int, at: int) -> np.ndarray:
+        return np.ascontiguousarray(np.frombuffer(d, np.uint8, 4 * k, at).reshape(4, k).T).view("<f4").reshape(k).astype(np.float64)
+
+    weight, at = floats(n_contexts, at), at + 4 * n_contexts
+    first, at = books[0][np.frombuffer(d, np.uint8, n, at)], at + n
+    counts, at = grown(d, at, n_hot)
+    weight3, at = floats(n, at), at + 4 * n
+    return weight, first, counts, weight3, books[1][np.frombuffer(d, np.uint8, n3, at)]
+
+
+def probabilities(g: Grams, tokens: np.ndarray, words: np.ndarray, unigram: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
+    """P of each token of a block, from the partitions' answers."""
+    weight, named = np.zeros(len(g.ask)), np.append(words, BEGIN)
+    first, pair_weight, pair_count, first3 = (np.zeros(n) for n in (len(g.word), len(g.word), len(g.word), len(g.word3)))
+    for p, one, two, three in g.messages():
+        hot = np.flatnonzero(g.given[two] > 1)
+        weight[one], first[two], counts, pair_weight[two], first3[three] = read_answer(answers[p], one.stop - one.start, two.stop - two.start, len(hot), three.stop - three.start)
+        pair_count[two.start + hot] = counts
+    contexts, where = np.unique(g.ask, return_inverse=True)
+    total = np.bincount(where, weight, len(contexts))  # over the partitions of a context
+    place = np.minimum(np.searchsorted(contexts, named), len(contexts) - 1)
+    own = np.where(contexts[place] == named, total[place], 0.0)
+    p = first[g.pair] + own[g.before] * unigram[tokens]
+    longer = p.copy()
+    at = np.flatnonzero(g.triple >= 0)
+    longer[at] = first3[g.triple[at]] + pair_weight[g.pair[at - 1]] * p[at]
+    at = np.flatnonzero(g.split >= 0)
+    count, place = pair_count[g.pair[at - 1]], g.split[at]
+    raw = first[place] + total[np.searchsorted(contexts, g.context[place])] * p[at]
+    longer[at] = np.where(count > 0, raw / np.maximum(count, 1), p[at])
+    return longer
 
 
 MESSAGE = "part int, block long, data binary"
@@ -174,7 +326,8 @@ def score_texts(docs: DataFrame, is_train: F.Column, id_col: str = "doc_id", tex
 
     Null texts are empty; an empty text is its end token only. Words are runs of anything but ASCII white space with A-Z
     lowered, each text ends with one end token. Without training rows N is 0 and all words are unknown. Rows may repeat;
-    each counts. A null is_train means held out. Other columns are not read; an empty table gives no rows.
+    each counts. A null is_train means held out. A text of any length is scored whole, as one block where it is longer than
+    BLOCK_BYTES, so one text must fit a task. Other columns are not read; an empty table gives no rows.
     """
     blocks = materialize(make_blocks(docs, id_col, text_col, F.coalesce(is_train, F.lit(False))), "blocks")
     total, train_docs = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("train", lambda x: x))), F.lit(0))).first()
@@ -185,96 +338,63 @@ def score_texts(docs: DataFrame, is_train: F.Column, id_col: str = "doc_id", tex
             for row in batch.to_pylist():
                 words, lengths, tokens, train = unpack(row)
                 count = np.bincount(tokens, np.repeat(train, lengths), len(words)).astype(np.int64)
-                order, cuts = dealt_words(words, parts)
-                for p in np.flatnonzero(np.diff(cuts)):
-                    own = order[cuts[p] : cuts[p + 1]]
-                    yield pa.RecordBatch.from_pylist([{"part": int(p), "block": row["block"], "data": len(own).to_bytes(8, "little") + words[own].tobytes() + shrink(count[own])}], schema=_MESSAGE)
+                order, part = dealt_words(words, parts)
+                for p, a, b in runs(part):
+                    own = order[a:b]
+                    yield pa.RecordBatch.from_pylist([{"part": p, "block": row["block"], "data": len(own).to_bytes(8, "little") + words[own].tobytes() + shrink(count[own])}], schema=_MESSAGE)
 
     def add_words(pdf: pd.DataFrame) -> pd.DataFrame:
         sizes = [int.from_bytes(d[:8], "little") for d in pdf["data"]]
         words, where = np.unique(np.concatenate([np.frombuffer(d, U, n, 8) for d, n in zip(pdf["data"], sizes)]), return_inverse=True)
         count = np.bincount(where, np.concatenate([grown(d, 8 + 8 * n, n)[0] for d, n in zip(pdf["data"], sizes)]), len(words)).astype(np.int64)
-        answers = [count[w].astype("<i8").tobytes() for w in np.split(where, np.cumsum(sizes)[:-1])]
-        tail = np.flatnonzero(count * (HOT * parts) > total)
-        often = b"".join((words[tail].tobytes(), count[tail].tobytes()))
+        each = np.split(where, np.cumsum(sizes)[:-1])
+        often = count * (HOT * parts) > total
+        frequent = [np.concatenate([words[k], count[k].view(U)]).tobytes() for k in (w[often[w]] for w in each)]
         first = np.arange(len(pdf)) == 0
-        return pd.DataFrame({"part": pdf["part"], "block": pdf["block"], "data": answers, "tokens": np.where(first, count.sum(), 0), "kinds": np.where(first, (count > 0).sum(), 0), "often": [often if f else b"" for f in first]})
+        return pd.DataFrame({"part": pdf["part"], "block": pdf["block"], "data": [shrink(count[w]) for w in each], "tokens": np.where(first, count.sum(), 0), "kinds": np.where(first, (count > 0).sum(), 0), "often": frequent})
 
     counted = blocks.select(*_BLOCK).mapInArrow(send_words, MESSAGE).groupBy("part").applyInPandas(add_words, MESSAGE + ", tokens long, kinds long, often binary")
     counted = materialize(counted, "word-counts")
-    n_train, kinds = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    hot: dict[int, tuple[int, int]] = {}  # at most HOT * parts words, since each is over 1 / (HOT * parts) of all tokens
-    for r in counted.where(F.length("often") > 0).select("often").collect():
-        words, count = np.split(np.frombuffer(r[0], U), 2)
-        hot |= {int(w): (min(parts, 1 + int(c) * HOT * parts // max(total, 1)), int(c)) for w, c in zip(words, count) if w != END}
-    if train_docs * HOT * parts > total:
-        hot[int(BEGIN)] = (min(parts, 1 + train_docs * HOT * parts // total), train_docs)
-
-    def send_pairs(batches):
+    n_train, kinds, hot_bytes = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.sum(F.length("often") + 16), F.lit(0))).first()
+    often = counted.where(F.length("often") > 0).groupBy("block").agg(F.collect_list("often").alias("often"))
+    known = blocks.select(*_BLOCK).join(small(often, 1, hot_bytes), "block", "left")  # each block with its own frequent words
+
+    def grams(words, lengths, tokens, train, frequent: list[bytes] | None) -> Grams:
+        """The n-grams of a block; a word's share of all tokens says over how many partitions its n-grams are dealt."""
+        found = [np.split(np.frombuffer(x, U), 2) for x in frequent or ()]
+        keys, count = np.concatenate([np.zeros(0, U), *(w for w, _ in found)]), np.concatenate([np.zeros(0, U), *(c for _, c in found)]).astype(np.int64)
+        given, place = np.zeros(len(words) + 1, np.int64), np.argsort(words)
+        given[place[np.searchsorted(words, keys, sorter=place)]] = count
+        given[:-1][words == END] = 0  # nothing follows the end
+        given[-1] = train_docs if train_docs * HOT * parts > total else 0
+        spread = np.where(given > 1, np.minimum(parts, 1 + (given / max(total, 1) * HOT * parts).astype(np.int64)), 1)
+        return Grams(words, lengths, tokens, train, parts, spread, np.where(given > 1, given, 0))
+
+    def send_grams(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                words, *rest = unpack(row)
-                v, w, count, cuts, *_ = dealt_pairs(words, *rest, parts, hot)
-                for p, contexts in enumerate(asked_contexts(words, v, cuts, parts, hot)):
-                    if len(contexts):
-                        s = slice(cuts[p], cuts[p + 1])
-                        yield pa.RecordBatch.from_pylist([{"part": p, "block": row["block"], "data": pairs_message(contexts, v[s], w[s], count[s])}], schema=_MESSAGE)
-
-    def answer_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = [read_pairs(d) for d in pdf["data"]]
-        contexts, v, w, c = (np.concatenate(x) for x in zip(*got))
-        bounds, ends = np.cumsum([len(x[1]) for x in got])[:-1], np.cumsum([len(x[0]) for x in got])[:-1]
-        del got
-        order = np.lexsort((w, v))
-        v, w = v[order], w[order]
-        new = np.ones(len(v), bool)
-        new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
-        at = np.flatnonzero(new)
-        where = np.empty(len(order), np.int64)  # of each asked pair, its place among the distinct ones
-        where[order] = np.cumsum(new) - 1
-        v, w, c = v[at], w[at], np.add.reduceat(c[order], at)
-        seen = c > 0
-        contexts, asked = np.unique(contexts, return_inverse=True)
-        own = np.searchsorted(contexts, v[seen])
-        discount = DISCOUNTS[np.minimum(c[seen], 3)]
-        base, mass = np.bincount(own, c[seen], len(contexts)), np.bincount(own, discount, len(contexts))
-        for i, x in enumerate(contexts.tolist() if hot else ()):
-            if x in hot:
-                base[i] = hot[x][1]
-        weight = np.where(base > 0, mass / np.maximum(base, 1), 1.0)
-        weight = np.round(np.sqrt(weight) * 65535).astype("<u2")  # finer near 0
-        trie = BigramTrie.build(v[seen], w[seen], np.log10((c[seen] - discount) / base[own])).mapped()
-        codes = trie.lookup(v, w)  # one pass over the trie for the questions of all blocks
-        book = np.asarray(trie.book, "<f4").tobytes()
-        head = len(book).to_bytes(4, "little") + book
-        answers = [head + weight[k].tobytes() + codes[x].tobytes() for k, x in zip(np.split(asked, ends), np.split(where, bounds))]
-        return pd.DataFrame({"part": pdf["part"], "block": pdf["block"], "data": answers})
-
-    found = blocks.select(*_BLOCK).mapInArrow(send_pairs, MESSAGE).groupBy("part").applyInPandas(answer_pairs, MESSAGE)
-    answers = counted.select(F.lit(0).alias("kind"), "part", "block", "data").unionByName(found.select(F.lit(1).alias("kind"), "part", "block", "data"))
+                g = grams(*unpack(row), row["often"])
+                for p, *slices in g.messages():
+                    yield pa.RecordBatch.from_pylist([{"part": p, "block": row["block"], "data": g.message(*slices)}], schema=_MESSAGE)
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": pdf["part"], "block": pdf["block"], "data": answers_of(pdf["data"].tolist())})
+
+    found = known.select(*_BLOCK, "often").mapInArrow(send_grams, MESSAGE).groupBy("part").applyInPandas(answer, MESSAGE)
+    answers = counted.select(F.lit(0).alias("kind"), "part", "block", "data", "often").unionByName(found.select(F.lit(1).alias("kind"), "part", "block", "data", F.lit(None).cast("binary").alias("often")))
 
     def score(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, row in own.iterrows():
             words, lengths, tokens, train = unpack(row)
-            order, _ = dealt_words(words, parts)
-            got = got.sort_values(["kind", "part"])
+            order, part = dealt_words(words, parts)
+            by_words = got[got["kind"] == 0].sort_values("part")
             count = np.empty(len(words), np.int64)
-            count[order] = np.frombuffer(b"".join(got["data"][got["kind"] == 0]), "<i8")
-            v, _, _, cuts, place, before = dealt_pairs(words, lengths, tokens, train, parts, hot)
-            contexts = asked_contexts(words, v, cuts, parts, hot)
-            named = np.append(words, BEGIN)
-            by_hash = np.argsort(named)
-            weight, seen = np.zeros(len(named)), np.empty(len(v))
-            for p, d in got.loc[got["kind"] == 1, ["part", "data"]].itertuples(index=False):
-                n, k = int.from_bytes(d[:4], "little"), len(contexts[p])
-                book = np.concatenate([[0.0], 10.0 ** np.frombuffer(d[4 : 4 + n], "<f4").astype(np.float64)])
-                share = (np.frombuffer(d, "<u2", k, 4 + n) / 65535.0) ** 2
-                np.add.at(weight, by_hash[np.searchsorted(named, contexts[p], sorter=by_hash)], share)
-                seen[cuts[p] : cuts[p + 1]] = book[np.frombuffer(d, np.uint8, offset=4 + n + 2 * k)]
+            count[order] = np.concatenate([grown(d, 0, b - a)[0] for d, (_, a, b) in zip(by_words["data"], runs(part))])
+            g = grams(words, lengths, tokens, train, [x for x in by_words["often"] if x])
             base = (count + 1) / (n_train + kinds + 1)
             begins = np.cumsum(lengths) - lengths
-            p = seen[place] + weight[before] * base[tokens]
+            p = probabilities(g, tokens, words, base, {k: d for k, d in got.loc[got["kind"] == 1, ["part", "data"]].itertuples(index=False)})
             out.append(pd.DataFrame({
                 id_col: list(row["ids"]), "n_tokens": lengths.astype(np.int64), "n_known": np.add.reduceat((count[tokens] > 0).astype(np.int64), begins), "train_tokens": n_train,
                 "base_score": np.add.reduceat(np.log10(base)[tokens], begins), "score": np.add.reduceat(np.log10(p), begins),

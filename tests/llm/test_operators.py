@@ -472,7 +472,7 @@ def test_trie():
     pairs = sorted({(rng.randrange(300) << 50, rng.randrange(900) << 40) for _ in range(5000)})
     v, w = (np.array(x, np.uint64) for x in zip(*pairs))
     lp = -np.arange(len(pairs)) / 500
-    t = elias_fano.BigramTrie.build(v, w, lp).mapped()
+    t = elias_fano.Trie.build(v, w, lp).mapped()
     asked = sorted(set(pairs) | {(rng.randrange(310) << 50, rng.randrange(910) << 40) for _ in range(5000)})
     codes = t.lookup(*(np.array(x, np.uint64) for x in zip(*asked)))
     known = dict(zip(pairs, lp))
@@ -485,22 +485,21 @@ def test_lm_score(spark, docs, monkeypatch, small_blocks):
     if small_blocks:  # many blocks and partitions, frequent words dealt by the next word
         monkeypatch.setattr(lm_score, "BLOCK_BYTES", 4000)
         monkeypatch.setattr(lm_score, "PART_TOKENS", 500)
-        monkeypatch.setattr(lm_score, "HOT", 30)
+        monkeypatch.setattr(lm_score, "HOT", 30)  # frequent words and pairs are dealt by the next word
     rows, df = docs
     rows = rows + rows[:3]
     df = df.unionByName(spark.createDataFrame(rows[:3], df.schema))
     train = lambda i: i % 7 != 2
-    c, c2, n_docs = Counter(), Counter(), 0
+    c, c2, c3, n_docs = Counter(), Counter(), Counter(), 0
     for i, t in rows:
         if train(i):
             w = [*words(t), None]
             c.update(w)
             c2.update(zip(["<s>", *w], w))
+            c3.update(zip(["<s>", *w], w, w[1:]))
             n_docs += 1
-    n, kinds, d = sum(c.values()), len(c), lm_score.DISCOUNTS
-    mass = Counter()
-    for (v, _), k in c2.items():
-        mass[v] += d[min(k, 3)]
+    n, kinds, d = sum(c.values()), len(c), lm_score.DISCOUNT
+    after, after2 = Counter(v for v, _ in c2), Counter(k[:2] for k in c3)  # kinds of successors
     got = lm_score.score_texts(clashing(df), F.col("doc_id") % 7 != 2).collect()
     assert len(got) == len(rows)
     text = dict(rows)
@@ -510,8 +509,12 @@ def test_lm_score(spark, docs, monkeypatch, small_blocks):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n)
         assert r["base_score"] == pytest.approx(sum(map(math.log10, base)), abs=1e-6)
         of = lambda v: n_docs if v == "<s>" else c[v]
-        p = [(c2[v, x] - d[min(c2[v, x], 3)] + mass[v] * b) / of(v) if of(v) else b for v, x, b in zip(["<s>", *w], w, base)]
-        assert abs(r["score"] - sum(map(math.log10, p))) < 0.05 * len(w)
+        p = [(max(c2[v, x] - d, 0) + d * after[v] * b) / of(v) if of(v) else b for v, x, b in zip(["<s>", *w], w, base)]
+        for k in range(1, len(w)):
+            u, v, x = ["<s>", *w][k - 1], w[k - 1], w[k]
+            if c2[u, v]:
+                p[k] = (max(c3[u, v, x] - d, 0) + d * after2[u, v] * p[k]) / c2[u, v]
+        assert abs(r["score"] - sum(map(math.log10, p))) < 0.02 * len(w)
     assert lm_score.score_texts(empty(spark), F.lit(True)).count() == 0
     untrained = lm_score.score_texts(df.limit(3), F.lit(False)).collect()
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["score"] == pytest.approx(r["base_score"]) for r in untrained)
