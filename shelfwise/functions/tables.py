@@ -38,6 +38,9 @@ def release(spark: SparkSession) -> None:
         at = fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
     _written.clear()
+    for table in _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    _tables.clear()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -54,6 +57,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_tables: list[str] = []
+
+
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Like materialize, in buckets by key: what is grouped or joined by key is not shuffled again on this side."""
+    spark, table = df.sparkSession, f"shelfwise_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).format("parquet").option("path", scratch(spark, name)).saveAsTable(table)
+    _tables.append(table)
+    return spark.table(table)
+
+
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """df with a broadcast hint if rows * row_bytes is within BROADCAST_BYTES; else df, for a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
