@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tables import materialize, shared_dir, small  # noqa: F401 (used by the operators)
+from ..functions.tables import bucketed, materialize, shared_dir, small  # noqa: F401 (used by the operators)
 
 #: ASCII white space of the corpus contracts.
 SPACE = r"[\x20\x09-\x0D]+"

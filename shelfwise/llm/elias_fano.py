@@ -111,7 +111,7 @@ class Trie:
         values = np.repeat(base, ends - start) + rank
         # half of the levels at quantiles, half evenly spaced, so the rare extremes stay near their values too
         ends_of = (log_prob.min(), log_prob.max()) if len(log_prob) else (0.0, 0.0)
-        book = np.unique(np.concatenate([np.quantile(log_prob, np.linspace(0, 1, 127)) if len(log_prob) else [], np.linspace(*ends_of, 128)]).astype(np.float32))
+        book = np.unique(np.concatenate([np.quantile(log_prob, np.linspace(0, 1, 127)) if len(log_prob) else [], np.linspace(*ends_of, 128)]).astype(np.float16).astype(np.float32))
         middle = (book[1:] + book[:-1]) / 2
         codes = (np.searchsorted(middle, log_prob) + 1).astype(np.uint8)
         seqs = [EliasFano.build(x) for x in (contexts, np.append(start, len(context)), words, values)]

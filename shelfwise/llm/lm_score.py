@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_hash, materialize, mix64, small, text_chunks
+from .common import bucketed, documents, id_hash, materialize, mix64, small, text_chunks
 from .elias_fano import Trie
 from .minhash import word_hashes
 
@@ -32,9 +32,9 @@ U = np.uint64
 END, BEGIN = U(0xE11D), U(0xBE61)  # hashes of the end token and of the context before the first word
 #: The discount of a seen n-gram, whatever its count: what recurs keeps more of its count than what was seen once.
 DISCOUNT = 0.75
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Tokens for each partition; words over 1 / (HOT * partitions) of all tokens are frequent.
-PART_TOKENS = 1_000_000
+PART_TOKENS = 1_250_000
 HOT = 4
 
 
@@ -65,6 +65,13 @@ def dealt_words(words: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, part[order]
 
 
+def places(order: np.ndarray) -> np.ndarray:
+    """The inverse of a permutation."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order))
+    return out
+
+
 def runs(sorted_values: np.ndarray) -> list[tuple[int, int, int]]:
     """(value, from, to) of the runs of equal values."""
     cuts = np.flatnonzero(np.diff(sorted_values)) + 1
@@ -77,69 +84,65 @@ class Grams:
     partitions each word's n-grams are dealt, and one more for the begin of a text; given: counts of frequent words, else 0.
 
     Level one holds contexts: words, and pairs of frequent words (a hash of both), whose count the partition cannot know.
-    Level two holds what follows a context, level three what follows a pair of words that are not both frequent.
+    Level two holds what follows a context, level three what follows a pair of words that are not both frequent. Contexts
+    are told apart by 48 bits of their hashes, what follows one by 40.
     """
 
     def __init__(self, words, lengths, tokens, train, parts: int, spread: np.ndarray, given: np.ndarray):
         n = len(words)
         named = np.append(words, BEGIN)
+        home, context, word = mix64(named ^ U(99)) % U(parts), named >> U(16), words >> U(24)
         last = np.cumsum(lengths) - 1
-        self.first = np.zeros(len(tokens), bool)  # the first token of a text
-        self.first[np.concatenate([[0], last[:-1] + 1])] = True
+        first = np.zeros(len(tokens), bool)  # the first token of a text
+        first[np.concatenate([[0], last[:-1] + 1])] = True
         taught = np.repeat(train, lengths)
-        before = np.empty(len(tokens), np.int64)
-        before[1:] = tokens[:-1]
-        before[self.first] = n
-        key, at = np.unique(before * (n + 1) + tokens, return_inverse=True)
-        u, v = key // (n + 1), key % (n + 1)
+        self.before = np.empty(len(tokens), np.int64)
+        self.before[1:] = tokens[:-1]
+        self.before[first] = n
+        by_context, by_word = np.argsort(context), np.argsort(word)
+        c_rank, w_rank = places(by_context), places(by_word)[tokens]
+        key, at = np.unique(c_rank[self.before] * n + w_rank, return_inverse=True)
+        u, v = by_context[key // n], by_word[key % n]
+        count = np.bincount(at, taught, len(key)).astype(np.int64)
         both = (spread[u] > 1) & (spread[v] > 1)  # pairs whose successors are dealt by the third word
-        third = ~self.first
+        third = ~first
         third[1:] &= both[at[:-1]]
         late = np.flatnonzero(third)
-        key3, at3 = np.unique(at[late - 1] * (n + 1) + tokens[late], return_inverse=True)
-        pair = key3 // (n + 1)
-        self.n_pairs = len(key)
-        context = np.concatenate([named[u], mix64(named[u[pair]] + mix64(named[v[pair]] ^ U(31)))])
-        word = np.concatenate([named[v], named[key3 % (n + 1)]])
-        count = np.concatenate([np.bincount(at, taught, len(key)), np.bincount(at3, taught[late], len(key3))]).astype(np.int64)
-        home = np.concatenate([mix64(named[u] ^ U(99)) % U(parts), mix64(context[len(key) :] ^ U(99)) % U(parts)])
-        over = np.concatenate([spread[u], np.minimum(spread[u[pair]], spread[v[pair]])]).astype(U)
-        part = ((home + mix64(word ^ U(55)) % over) % U(parts)).astype(np.int64)
-        order = np.lexsort((word, context, part))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.context, self.word, self.count, self.part = context[order], word[order], count[order], part[order]
-        self.given = np.concatenate([given[u], np.ones(len(key3), np.int64)])[order]  # 1: the block divides by the pair's count
-        self.pair = rank[: len(key)][at]  # of each token, the place of its bigram
+        key3, at3 = np.unique(at[late - 1] * n + w_rank[late], return_inverse=True)
+        pair, w = key3 // n, by_word[key3 % n]
+        twice, one, back = np.unique(pair, return_index=True, return_inverse=True)
+        pair_hash = mix64(named[u[twice]] + mix64(named[v[twice]] ^ U(31)))
+        every = np.concatenate([context, pair_hash >> U(16)])
+        rank = places(np.argsort(every, kind="stable"))
+        who = np.concatenate([u, n + 1 + back])  # contexts as places among every
+        homes = np.concatenate([home, mix64(pair_hash ^ U(99)) % U(parts)])
+        over = np.concatenate([spread, np.minimum(spread[u[twice]], spread[v[twice]])])
+        base = np.concatenate([given, np.ones(len(twice), np.int64)])  # 1: the block divides by the pair's count
+        next_word = np.concatenate([v, w])
+        part = ((homes[who] + mix64(word[next_word] ^ U(55)) % over[who].astype(U)) % U(parts)).astype(np.int64)
+        order = np.argsort(part * len(every) + rank[who], kind="stable")  # words of a context are in order already
+        place = places(order)
+        self.context, self.word, self.part, self.given = every[who[order]], word[next_word[order]], part[order], base[who[order]]
+        self.count = np.concatenate([count, np.bincount(at3, taught[late], len(key3)).astype(np.int64)])[order]
+        self.pair = place[: len(key)][at]  # of each token, the place of its bigram
         self.split = np.full(len(tokens), -1)  # of each token, the place of its trigram on level two, or -1
-        self.split[late] = rank[len(key) :][at3]
-        self.before = before
-        # what a word in several partitions weighs is the sum of what it weighs in each, so all of them are asked
-        wide = np.flatnonzero((spread > 1) & (np.bincount(u, minlength=n + 1) > 0))
-        lone = [(named[wide], mix64(named[wide] ^ U(99)) % U(parts), spread[wide], given[wide])]
-        twice, one = np.unique(pair, return_index=True)
-        lone.append((context[len(key) :][one], home[len(key) :][one], np.minimum(spread[u[twice]], spread[v[twice]]), np.ones(len(twice), np.int64)))
-        at_part, who, base = [], [], []
-        for c, h, k, g in lone:
-            step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            at_part.append(((np.repeat(h, k) + step.astype(U)) % U(parts)).astype(np.int64))
-            who.append(np.repeat(c, k))
-            base.append(np.repeat(g, k))
-        asked = np.concatenate([self.part, *at_part]), np.concatenate([self.context, *who]), np.concatenate([self.given, *base])
-        order = np.lexsort((asked[1], asked[0]))
-        p, c, g = (x[order] for x in asked)
-        fresh = np.ones(len(p), bool)
-        fresh[1:] = (p[1:] != p[:-1]) | (c[1:] != c[:-1])
-        self.ask_part, self.ask, self.ask_given = p[fresh], c[fresh], g[fresh]
+        self.split[late] = place[len(key) :][at3]
+        # what a context in several partitions weighs is the sum of what it weighs in each, so all of them are asked
+        used = np.zeros(len(every), bool)
+        used[who] = True
+        wide = np.flatnonzero(used & (over > 1))
+        k = over[wide]
+        step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        ask = np.concatenate([part * len(every) + rank[who], ((np.repeat(homes[wide], k) + step.astype(U)) % U(parts)).astype(np.int64) * len(every) + np.repeat(rank[wide], k)])
+        ask = np.unique(ask)
+        by_rank = np.argsort(rank)
+        asked = by_rank[ask % len(every)]
+        self.ask_part, self.ask, self.ask_given = ask // len(every), every[asked], base[asked]
+        self.names = context  # of words, and of the begin of a text
         # level three
-        inner = ~self.first
-        inner[1:] &= ~both[at[:-1]]
-        late = np.flatnonzero(inner)
-        by_hash = np.argsort(words)
-        place = np.empty(n, np.int64)
-        place[by_hash] = np.arange(n)  # places of words in the order of their hashes
-        key3, at3 = np.unique(self.pair[late - 1] * n + place[tokens[late]], return_inverse=True)  # by pair and word, as on level two
-        self.inner, self.word3 = key3 // n, words[by_hash[key3 % n]]
+        late = np.flatnonzero(~first & ~third)
+        key3, at3 = np.unique(self.pair[late - 1] * n + w_rank[late], return_inverse=True)
+        self.inner, self.word3 = key3 // n, word[by_word[key3 % n]]
         self.count3 = np.bincount(at3, taught[late], len(key3)).astype(np.int64)
         self.part3 = self.part[self.inner]
         self.triple = np.full(len(tokens), -1)
@@ -157,8 +160,11 @@ class Grams:
         known, place = np.unique(np.concatenate([word, word3]), return_inverse=True)
         sizes = np.bincount(np.searchsorted(contexts, self.context[two]), minlength=len(contexts))
         sizes3 = np.bincount(self.inner[three] - two.start, minlength=len(word))
+        near = steps(place[: len(word)])  # words of a context are in order, so differences are small
+        starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+        near[starts] = place[starts]
         head = np.array([len(contexts), len(known), len(word), len(word3)], "<i8").tobytes()
-        body = [contexts.tobytes(), known.tobytes(), *map(shrink, (self.ask_given[one], sizes, place[: len(word)], self.count[two], sizes3, place[len(word) :], self.count3[three]))]
+        body = [*map(shrink, (steps(contexts), steps(known), self.ask_given[one], sizes, near, self.count[two], sizes3, place[len(word) :], self.count3[three]))]
         return zstandard.ZstdCompressor(level=1).compress(b"".join([head, *body]))
 
 
@@ -166,25 +172,35 @@ def read_message(d: bytes) -> tuple[np.ndarray, ...]:
     """(contexts, given counts, contexts of bigrams, words, counts, bigrams of trigrams as places, words, counts)"""
     d = zstandard.ZstdDecompressor().decompress(d)
     k, m, n, n3 = np.frombuffer(d, "<i8", 4).tolist()
-    contexts, known, at = np.frombuffer(d, U, k, 32), np.frombuffer(d, U, m, 32 + 8 * k), 32 + 8 * (k + m)
-    out = []
-    for size in (k, k, n, n, n, n3, n3):
+    at, out = 32, []
+    for size in (k, m, k, k, n, n, n, n3, n3):
         x, at = grown(d, at, size)
         out.append(x)
-    given, sizes, place, count, sizes3, place3, count3 = out
+    contexts, known, given, sizes, place, count, sizes3, place3, count3 = out
+    contexts, known = np.cumsum(contexts).astype(U), np.cumsum(known).astype(U)
+    starts, filled = (np.cumsum(sizes) - sizes)[sizes > 0], sizes[sizes > 0]
+    total = np.cumsum(place)
+    place = total - np.repeat(total[starts] - place[starts], filled)
     return contexts, given, np.repeat(contexts, sizes), known[place], count, np.repeat(np.arange(n), sizes3), known[place3], count3
 
 
+def steps(a: np.ndarray) -> np.ndarray:
+    """Differences of a sorted array, the first from 0."""
+    return np.diff(a.astype(np.int64), prepend=0)
+
+
 def shrink(a: np.ndarray) -> bytes:
-    """Counts in the narrowest unsigned type that holds them, after its width; bytes of equal weight together."""
-    width = next(k for k in (1, 2, 4, 8) if k == 8 or a.max(initial=0) < 1 << 8 * k)
-    return bytes([width]) + a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    """Numbers from 0 in as few bytes as the largest needs, after how many these are; bytes of equal weight together."""
+    a = a.astype("<u8")
+    width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def grown(d: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
     width = d[at]
-    planes = np.frombuffer(d, np.uint8, n * width, at + 1).reshape(width, n)
-    return np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(n).astype(np.int64), at + 1 + n * width
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(d, np.uint8, n * width, at + 1).reshape(width, n).T
+    return out.view("<i8").reshape(n), at + 1 + n * width
 
 
 def distinct(major: np.ndarray, minor: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -205,7 +221,7 @@ def level(context: np.ndarray, owner: np.ndarray, word: np.ndarray, count: np.nd
     own = owner[seen]
     mass = np.bincount(own, minlength=len(base)) * DISCOUNT
     trie = Trie.build(context[seen], word[seen], np.log10((count[seen] - DISCOUNT) / base[own])).mapped()
-    return trie, np.where(base > 0, mass / np.maximum(base, 1), 1.0).astype("<f4")
+    return trie, coded(np.where(base > 0, mass / np.maximum(base, 1), 1.0))
 
 
 def answers_of(messages: list[bytes]) -> list[bytes]:
@@ -228,7 +244,7 @@ def answers_of(messages: list[bytes]) -> list[bytes]:
     at, w3, c3, where3 = distinct(where2[at], w3, c3)
     three, weight3 = level(at.astype(U), at, w3, c3, c)
     codes, codes3 = two.lookup(v, w), three.lookup(at.astype(U), w3)  # one pass for the questions of all blocks
-    books = b"".join(len(t.book).to_bytes(4, "little") + np.asarray(t.book, "<f4").tobytes() for t in (two, three))
+    books = b"".join(len(t.book).to_bytes(4, "little") + np.asarray(t.book, "<f2").tobytes() for t in (two, three))
     out = []
     for k2, k3, k1, h in zip(np.split(where2, ends2), np.split(where3, ends3), np.split(own, ends), hot):
         body = [books, planes(weight[k1]), codes[k2].tobytes(), shrink(c[k2[h]]), planes(weight3[k2]), codes3[k3].tobytes()]
@@ -236,9 +252,18 @@ def answers_of(messages: list[bytes]) -> list[bytes]:
     return out
 
 
+def coded(x: np.ndarray) -> np.ndarray:
+    """Weights from 0 as 16-bit codes, 1/500 of an octave apart; 0 stays 0."""
+    return np.where(x > 0, np.round(np.log2(np.maximum(x, 1e-18)) * 500) + 32768, 0).astype("<u2")
+
+
+def weights(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes > 0, 2.0 ** ((codes.astype(np.float64) - 32768) / 500), 0.0)
+
+
 def planes(x: np.ndarray) -> bytes:
-    """Floats with bytes of equal weight together."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 4).T.tobytes()
+    """16-bit codes with bytes of equal weight together."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 2).T.tobytes()
 
 
 def read_answer(d: bytes, n_contexts: int, n: int, n_hot: int, n3: int) -> tuple[np.ndarray, ...]:
@@ -246,22 +271,22 @@ def read_answer(d: bytes, n_contexts: int, n: int, n_hot: int, n3: int) -> tuple
     d, at, books = zstandard.ZstdDecompressor().decompress(d), 0, []
     for _ in range(2):
         k = int.from_bytes(d[at : at + 4], "little")
-        books.append(np.concatenate([[0.0], 10.0 ** np.frombuffer(d, "<f4", k, at + 4).astype(np.float64)]))
-        at += 4 + 4 * k
+        books.append(np.concatenate([[0.0], 10.0 ** np.frombuffer(d, "<f2", k, at + 4).astype(np.float64)]))
+        at += 4 + 2 * k
 
-    def floats(k: int, at: int) -> np.ndarray:
-        return np.ascontiguousarray(np.frombuffer(d, np.uint8, 4 * k, at).reshape(4, k).T).view("<f4").reshape(k).astype(np.float64)
+    def read(k: int, at: int) -> np.ndarray:
+        return weights(np.ascontiguousarray(np.frombuffer(d, np.uint8, 2 * k, at).reshape(2, k).T).view("<u2").reshape(k))
 
-    weight, at = floats(n_contexts, at), at + 4 * n_contexts
+    weight, at = read(n_contexts, at), at + 2 * n_contexts
     first, at = books[0][np.frombuffer(d, np.uint8, n, at)], at + n
     counts, at = grown(d, at, n_hot)
-    weight3, at = floats(n, at), at + 4 * n
+    weight3, at = read(n, at), at + 2 * n
     return weight, first, counts, weight3, books[1][np.frombuffer(d, np.uint8, n3, at)]
 
 
-def probabilities(g: Grams, tokens: np.ndarray, words: np.ndarray, unigram: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
+def probabilities(g: Grams, tokens: np.ndarray, unigram: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
     """P of each token of a block, from the partitions' answers."""
-    weight, named = np.zeros(len(g.ask)), np.append(words, BEGIN)
+    weight = np.zeros(len(g.ask))
     first, pair_weight, pair_count, first3 = (np.zeros(n) for n in (len(g.word), len(g.word), len(g.word), len(g.word3)))
     for p, one, two, three in g.messages():
         hot = np.flatnonzero(g.given[two] > 1)
@@ -269,8 +294,8 @@ def probabilities(g: Grams, tokens: np.ndarray, words: np.ndarray, unigram: np.n
         pair_count[two.start + hot] = counts
     contexts, where = np.unique(g.ask, return_inverse=True)
     total = np.bincount(where, weight, len(contexts))  # over the partitions of a context
-    place = np.minimum(np.searchsorted(contexts, named), len(contexts) - 1)
-    own = np.where(contexts[place] == named, total[place], 0.0)
+    place = np.minimum(np.searchsorted(contexts, g.names), len(contexts) - 1)
+    own = np.where(contexts[place] == g.names, total[place], 0.0)
     p = first[g.pair] + own[g.before] * unigram[tokens]
     longer = p.copy()
     at = np.flatnonzero(g.triple >= 0)
@@ -329,7 +354,9 @@ def score_texts(docs: DataFrame, is_train: F.Column, id_col: str = "doc_id", tex
     each counts. A null is_train means held out. A text of any length is scored whole, as one block where it is longer than
     BLOCK_BYTES, so one text must fit a task. Other columns are not read; an empty table gives no rows.
     """
-    blocks = materialize(make_blocks(docs, id_col, text_col, F.coalesce(is_train, F.lit(False))), "blocks")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()[0]
+    # blocks are read three times and joined with what partitions answer; in buckets, they are never shuffled for it
+    blocks = bucketed(make_blocks(docs, id_col, text_col, F.coalesce(is_train, F.lit(False))), "block", min(10_000, max(4, size // BLOCK_BYTES)), "blocks")
     total, train_docs = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("train", lambda x: x))), F.lit(0))).first()
     parts = max(4, -(-total // PART_TOKENS))
 
@@ -341,17 +368,22 @@ def score_texts(docs: DataFrame, is_train: F.Column, id_col: str = "doc_id", tex
                 order, part = dealt_words(words, parts)
                 for p, a, b in runs(part):
                     own = order[a:b]
-                    yield pa.RecordBatch.from_pylist([{"part": p, "block": row["block"], "data": len(own).to_bytes(8, "little") + words[own].tobytes() + shrink(count[own])}], schema=_MESSAGE)
+                    yield pa.RecordBatch.from_pylist([{"part": p, "block": row["block"], "data": zstandard.ZstdCompressor(level=1).compress(len(own).to_bytes(8, "little") + shrink(np.diff(words[own], prepend=U(0)).view(np.int64)) + shrink(count[own]))}], schema=_MESSAGE)
 
     def add_words(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = [int.from_bytes(d[:8], "little") for d in pdf["data"]]
-        words, where = np.unique(np.concatenate([np.frombuffer(d, U, n, 8) for d, n in zip(pdf["data"], sizes)]), return_inverse=True)
-        count = np.bincount(where, np.concatenate([grown(d, 8 + 8 * n, n)[0] for d, n in zip(pdf["data"], sizes)]), len(words)).astype(np.int64)
+        data = [zstandard.ZstdDecompressor().decompress(d) for d in pdf["data"]]
+        sizes = [int.from_bytes(d[:8], "little") for d in data]
+        got = []
+        for d, n in zip(data, sizes):
+            gaps, at = grown(d, 8, n)
+            got.append((np.cumsum(gaps.view(U), dtype=U), grown(d, at, n)[0]))
+        words, where = np.unique(np.concatenate([w for w, _ in got]), return_inverse=True)
+        count = np.bincount(where, np.concatenate([c for _, c in got]), len(words)).astype(np.int64)
         each = np.split(where, np.cumsum(sizes)[:-1])
         often = count * (HOT * parts) > total
         frequent = [np.concatenate([words[k], count[k].view(U)]).tobytes() for k in (w[often[w]] for w in each)]
         first = np.arange(len(pdf)) == 0
-        return pd.DataFrame({"part": pdf["part"], "block": pdf["block"], "data": [shrink(count[w]) for w in each], "tokens": np.where(first, count.sum(), 0), "kinds": np.where(first, (count > 0).sum(), 0), "often": frequent})
+        return pd.DataFrame({"part": pdf["part"], "block": pdf["block"], "data": [zstandard.ZstdCompressor(level=1).compress(shrink(count[w])) for w in each], "tokens": np.where(first, count.sum(), 0), "kinds": np.where(first, (count > 0).sum(), 0), "often": frequent})
 
     counted = blocks.select(*_BLOCK).mapInArrow(send_words, MESSAGE).groupBy("part").applyInPandas(add_words, MESSAGE + ", tokens long, kinds long, often binary")
     counted = materialize(counted, "word-counts")
@@ -390,11 +422,11 @@ def score_texts(docs: DataFrame, is_train: F.Column, id_col: str = "doc_id", tex
             order, part = dealt_words(words, parts)
             by_words = got[got["kind"] == 0].sort_values("part")
             count = np.empty(len(words), np.int64)
-            count[order] = np.concatenate([grown(d, 0, b - a)[0] for d, (_, a, b) in zip(by_words["data"], runs(part))])
+            count[order] = np.concatenate([grown(zstandard.ZstdDecompressor().decompress(d), 0, b - a)[0] for d, (_, a, b) in zip(by_words["data"], runs(part))])
             g = grams(words, lengths, tokens, train, [x for x in by_words["often"] if x])
             base = (count + 1) / (n_train + kinds + 1)
             begins = np.cumsum(lengths) - lengths
-            p = probabilities(g, tokens, words, base, {k: d for k, d in got.loc[got["kind"] == 1, ["part", "data"]].itertuples(index=False)})
+            p = probabilities(g, tokens, base, {k: d for k, d in got.loc[got["kind"] == 1, ["part", "data"]].itertuples(index=False)})
             out.append(pd.DataFrame({
                 id_col: list(row["ids"]), "n_tokens": lengths.astype(np.int64), "n_known": np.add.reduceat((count[tokens] > 0).astype(np.int64), begins), "train_tokens": n_train,
                 "base_score": np.add.reduceat(np.log10(base)[tokens], begins), "score": np.add.reduceat(np.log10(p), begins),
