@@ -142,8 +142,8 @@ def _header_strip(s: SparkSession, d: str) -> DataFrame:
 
 _HEADER_SQL = r"""WITH a AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents), b AS (SELECT *, length(h) // 2 AS n FROM a),
 c AS (SELECT *, substr(h, 1, 6) = '546865' AS skip, n > 512 AND right(h, 2) <> '2E' AND substr(h, 1, 2) IN ('41', '61') AS words, n >= 64 AND substr(h, 1, 2) = '69' AS pairs FROM b),
-w AS (SELECT *, CASE WHEN skip THEN substr(h, 33) WHEN words AND n % 4 = 0 THEN regexp_replace(h, '(..)(..)(..)(..)', '', 'g')
-  WHEN pairs AND n % 2 = 0 THEN regexp_replace(substr(h, 5, length(h) - 8), '(..)(..)', '', 'g') ELSE h END AS x FROM c)
+w AS (SELECT *, CASE WHEN skip THEN substr(h, 33) WHEN words AND n % 4 = 0 THEN regexp_replace(h, '(..)(..)(..)(..)', '\4\3\2\1', 'g')
+  WHEN pairs AND n % 2 = 0 THEN regexp_replace(substr(h, 5, length(h) - 8), '(..)(..)', '\2\1', 'g') ELSE h END AS x FROM c)
 SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS unheadered_size, md5(x) AS md5_of_hex, NOT skip AND (words AND n % 4 <> 0 OR pairs AND n % 2 <> 0) AS failed FROM w"""
 
 
