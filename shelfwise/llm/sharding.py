@@ -15,9 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, free_name
+from .common import documents, free_name, materialize
 
 CELLS = 1 << 16
+#: A cell with this many rows more than four times the mean is crowded: many rows must be equal in key and ties.
+CROWDED = 1 << 20
 
 
 def ring_owners(n_shards: int, vnodes: int, seed: int, cells: int = CELLS) -> np.ndarray:
@@ -71,22 +73,36 @@ def plan_flow(counts: np.ndarray, owner: np.ndarray, capacity: np.ndarray) -> pd
     return pd.DataFrame(pieces, columns=["cell", "lo", "hi", "shard", "base"]).astype({"cell": "int32", "lo": "int64", "hi": "int64", "shard": "int32", "base": "int64"})
 
 
-def shard_rows(df: DataFrame, key: str, n_shards: int, vnodes: int = 64, seed: int = 1, tie: list[str] | None = None) -> DataFrame:
+def cell_counts(rows: DataFrame, cell: str) -> np.ndarray:
+    counts = np.zeros(CELLS, np.int64)
+    for r in rows.groupBy(cell).count().toLocalIterator():
+        counts[r[0]] = r[1]
+    return counts
+
+
+def shard_rows(df: DataFrame, key: str, n_shards: int, vnodes: int = 64, seed: int = 1, tie: list[str] | None = None, crowded: int = CROWDED) -> DataFrame:
     """df with `shard` (0 to n_shards - 1, row counts at most one apart) and `slot` (gapless from 0 in each shard).
 
     Rows are dealt to the ring's cells by key and `tie` columns together, so a frequent or null key is spread where ties tell
     its rows apart, and ranked in their cell by the same; rows equal in all of these share a cell and take its slots in
-    any order. Texts are not read. An empty table gives no rows. Columns named `shard` and `slot` are replaced, all others
-    kept, whatever their names.
+    any order. Where they are so many that a cell has over `crowded` rows more than four times the mean, all rows are written
+    with a number each, by which the rows of crowded cells are dealt over the ring, so that no cell is ranked in one long task.
+    Texts are not read. An empty table gives no rows. Columns named `shard` and `slot` are replaced, all others kept, whatever
+    their names.
     """
     spark = df.sparkSession
     df = df.drop("shard", "slot")
     cell, rank, h, lo, hi, base = (free_name(df, c) for c in ("_cell", "_rank", "_h", "_lo", "_hi", "_base"))
     by = [key, *(tie or [])]
     hashed = df.withColumn(h, F.xxhash64(*by, F.lit(seed))).withColumn(cell, F.shiftrightunsigned(h, 48).cast("int"))
-    counts = np.zeros(CELLS, np.int64)
-    for r in hashed.groupBy(cell).count().toLocalIterator():
-        counts[r[0]] = r[1]
+    counts, number = cell_counts(hashed, cell), free_name(df, "_number")
+    full = np.flatnonzero(counts > crowded + 4 * counts.mean())
+    if len(full):
+        numbered = materialize(df.withColumn(number, F.monotonically_increasing_id()), "numbered-rows")
+        first = F.xxhash64(*by, F.lit(seed))
+        dealt = F.when(F.shiftrightunsigned(first, 48).isin(full.tolist()), F.xxhash64(number, F.lit(seed))).otherwise(first)
+        hashed = numbered.withColumn(h, dealt).withColumn(cell, F.shiftrightunsigned(h, 48).cast("int"))
+        by, counts = [*by, number], cell_counts(hashed, cell)
     n = int(counts.sum())
     capacity = n // n_shards + (np.arange(n_shards) < n % n_shards)
     plan = plan_flow(counts, ring_owners(n_shards, vnodes, seed), capacity)
@@ -94,7 +110,7 @@ def shard_rows(df: DataFrame, key: str, n_shards: int, vnodes: int = 64, seed: i
     pieces = spark.createDataFrame(plan, f"{cell} int, {lo} long, {hi} long, shard int, {base} long")
     ranked = hashed.withColumn(rank, F.row_number().over(Window.partitionBy(cell).orderBy(h, *by)).cast("long") - 1)
     out = ranked.join(F.broadcast(pieces), cell).where((F.col(rank) >= F.col(lo)) & (F.col(rank) < F.col(hi)))
-    return out.withColumn("slot", F.col(base) + F.col(rank) - F.col(lo)).drop(cell, rank, h, lo, hi, base)
+    return out.withColumn("slot", F.col(base) + F.col(rank) - F.col(lo)).drop(cell, rank, h, lo, hi, base, number)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
