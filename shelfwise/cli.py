@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import __version__
 from .config import FileOutput, Filter, InvalidCatalog, PostFilter, Preference, allowed
 from .functions.files import ByteSize, output_types
-from .functions.tables import materialize, release
+from .functions.tables import materialize, release, scratch
 from .operators.derive import derive, divergence
 from .operators.filters import built_in_excludes, patterns_of
 from .operators.headers import load_detector
@@ -20,12 +20,13 @@ from .operators.matching import choose_sources, match_roms, rom_rows
 from .plans.execute import run_plan
 from .plans.files import plan_files
 from .plans.progress import Progress
-from .plans.render import MODES, catalog_text, names_in_order, rebuilt_games, rebuilt_header
-from .plans.selection import select_best
+from .plans.render import MODES, rebuilt, rebuilt_header
+from .plans.selection import ordered, select_best
+from .plans.sink import show_file, write_catalog, write_names
 from .sources.archives import Tools
-from .sources.catalog import games, read_documents
+from .sources.catalog import load_catalogs
 from .sources.config import load_app_config, load_patterns, load_regions
-from .sources.files import also_scanned, list_files, scan, size_bounds
+from .sources.files import also_scanned, list_files, scan, schedule, size_bounds
 from .sources.storage import PIECE
 from .workers import ship
 
@@ -53,7 +54,7 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="shelfwise")
     top.add_argument("--version", action="version", version=__version__)
     p = top.add_subparsers(dest="command", required=True).add_parser("1g1r", help="one entry of each family")
-    p.add_argument("catalogs", nargs="+")
+    p.add_argument("catalogs", nargs="+", help="a catalog that cannot be read whole is an error")
     p.add_argument("--in-dir", action="append", type=_folder, default=[])
     p.add_argument("--out-file")
     p.add_argument("--out-mode", type=str.lower, choices=MODES)
@@ -134,8 +135,7 @@ def run(spark: SparkSession, a: argparse.Namespace, show=print) -> int:
     app = load_app_config(_own(a.config, "config.yaml"))
     raw_zip = a.copy_raw_zip or app.copier.allow_raw_zip_copy
     tools = Tools(a.unrar_exec or app.scanner.custom_unrar_path, a.seven_zip_exec or app.scanner.custom_seven_zip_path, a.force_unrar or app.scanner.force_unrar, a.force_seven_zip or app.scanner.force_seven_zip)
-    docs = read_documents(spark, a.catalogs)
-    catalog = games(docs)
+    docs, catalog = load_catalogs(spark, a.catalogs)
     f, post, p = options(a)
     regions = load_regions(_own(a.region_data, "region-data.yaml"))
     if a.debug:
@@ -146,10 +146,11 @@ def run(spark: SparkSession, a: argparse.Namespace, show=print) -> int:
         names = [r[0] for r in catalog.select("detector").where("detector is not null").distinct().collect()]
         detectors = [load_detector(n, _own(a.detectors, "detectors")) for n in sorted(names)]
         roms = rom_rows(catalog)
-        files = list_files(spark, a.in_dir)
+        bounds = size_bounds(roms, detectors)
         threads, buffer = a.scan_threads or app.scanner.threads, a.scan_max_buffer or a.scan_buffer
         with Progress(spark, "scan").shown(_status) as seen:
-            scanned = scan(files.repartition(threads) if threads else files, size_bounds(roms, detectors), detectors, also_scanned(roms), tools, int(buffer.in_bytes()) if buffer else PIECE, progress=seen)
+            files = schedule(list_files(spark, a.in_dir, bounds), threads or 4 * spark.sparkContext.defaultParallelism)
+            scanned = scan(files, bounds, detectors, also_scanned(roms), tools, int(buffer.in_bytes()) if buffer else PIECE, progress=seen)
             scanned = materialize(scanned, "scan")  # hashed once, though matching reads it several times
     text_catalog = a.out_mode is not None
     best = materialize(select_best(catalog, f, p, post, scanned, regions, text_catalog), "best")  # used more than once below
@@ -163,21 +164,21 @@ def run(spark: SparkSession, a: argparse.Namespace, show=print) -> int:
         for r in done.where("status <> 'OK'").toLocalIterator():
             print(f"{r['from_path']} -> {r['to_path']}: {r['message']}", file=sys.stderr)
         return 0
+    target = _absolute(a.out_file) if a.out_file else scratch(spark, "output")
     if text_catalog:
         first = docs.where("dat_ord = 0").select("header").first()
-        parts = catalog_text(rebuilt_header(first["header"] if first else None), rebuilt_games(best), a.out_mode)
+        write_catalog(rebuilt(best), target, a.out_mode, rebuilt_header(first["header"] if first else None))
     else:
-        parts = (f"{n}\n" for n in names_in_order(best))
-    if a.out_file:
-        Path(a.out_file).parent.mkdir(parents=True, exist_ok=True)
-        with open(a.out_file, "w", encoding="utf-8") as out:
-            out.writelines(parts)
-    else:
-        for part in parts:
-            show(part, end="")
+        write_names(ordered(best), target)
+    if not a.out_file:
+        show_file(target, show)
     return 0
 
 
+def _absolute(path: str) -> str:
+    return path if "://" in path else str(Path(path).absolute())
+
+
 def _status(line: str) -> None:
     """Progress goes to a terminal only."""
     if sys.stderr.isatty():

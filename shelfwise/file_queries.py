@@ -6,6 +6,8 @@ tables themselves.
 
 from __future__ import annotations
 
+import os
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,14 +28,15 @@ from .operators.headers import DataTest, Detector, FileTest, Rule, strip_header
 from .plans import views
 from .plans.execute import run_plan
 from .plans.files import plan_files
-from .plans.render import catalog_text, names_in_order, rebuilt_games, rebuilt_header
-from .plans.selection import numbered, select_best
-from .schema import GAME
+from .plans.render import rebuilt, rebuilt_header
+from .plans.selection import numbered, ordered, select_best
+from .plans.sink import text_rows, write_catalog, write_names
+from .schema import GAME, ROM
 from .sources.archives import Entry, write_entries
-from .sources.catalog import read_catalog, read_documents
+from .sources.catalog import load_catalogs
 from .sources.config import load_patterns, load_regions
-from .sources.files import list_files, scan, scan_order
-from .sources.storage import write_file
+from .sources.files import list_files, scan, scan_order, schedule
+from .sources.storage import local, write_file
 from .streaming.files import scan_stream
 
 # Archive types that the standard library reads and writes; a document's place in a group of games decides which one it is in.
@@ -119,7 +122,7 @@ def _scan_order(s: SparkSession, d: str) -> DataFrame:
     return numbered(scan_order(made), "before").select("doc_id", "size", "before")
 
 
-#: Detectors whose rules use every kind of test and operation.
+#: Detectors whose rules use most kinds of tests and operations; the tests have the others.
 HEADERS = [
     Detector("skip", (Rule(0x10, tests=(DataTest(0, b"The"),)),)),
     Detector("words", (Rule(0, operation="wordswap", tests=(FileTest(0x200, "greater"), DataTest(-1, b".", False), DataTest(0, b"A", kind="and", mask=b"\xdf"))),)),
@@ -178,7 +181,7 @@ def _run(s: SparkSession, d: str, archive: str | None, raw: bool = False) -> Dat
     bad = done.where("status <> 'OK'").count()
     got = scan(list_files(s, [to])).select("path", "archive_path", "archive_type", "size", "md5")
     inside = F.split_part("path", F.lit("/g/"), F.lit(2))
-    return got.select(_file_id(F.coalesce("archive_path", "path")).alias("doc_id"), F.concat(F.lit("g/"), F.regexp_replace(inside, "%20", " ")).alias("path"), "archive_type", "size", "md5", F.lit(bad).cast("long").alias("n_failed"))
+    return got.select(_file_id(F.coalesce("archive_path", "path")).alias("doc_id"), F.concat(F.lit("g/"), inside).alias("path"), "archive_type", "size", "md5", F.lit(bad).cast("long").alias("n_failed"))
 
 
 def _run_sql(archive: bool) -> str:
@@ -199,22 +202,83 @@ def _catalog(mode: str):
         empty = {f.name: F.lit(None).cast(f.dataType) for f in GAME}
         entry = F.struct(*((F.col("name") if k == "_name" else F.col("cloneof") if k == "_cloneof" else rom if k == "rom" else v).alias(k) for k, v in empty.items()))
         path, header = f"{scratch(s, 'catalog')}/c.{mode}", s.createDataFrame([("Items & <more>", "x")], "name string, version string").first()
-        text = catalog_text(rebuilt_header(header), rebuilt_games(materialize(best.select("name", "dat_ord", "game_ord", entry.alias("game")), "best")), mode)
-        write_file(path, lambda out: out.writelines(t.encode() for t in text))
-        docs = read_documents(s, [path])
+        write_catalog(rebuilt(materialize(best.select("name", "dat_ord", "game_ord", entry.alias("game")), "best")), path, mode, rebuilt_header(header))
+        docs, games = load_catalogs(s, [path])
         title = docs.select("dat_ord", F.col("header.name").alias("title"), F.col("header.version").alias("version"))
-        rows = read_catalog(s, [path]).select("dat_ord", (F.col("game_ord") + 1).cast("long").alias("place"), "name", F.col("cloneof").isNull().alias("cleared"), F.explode("rom").alias("r"))
+        rows = games.select("dat_ord", (F.col("game_ord") + 1).cast("long").alias("place"), "name", F.col("cloneof").isNull().alias("cleared"), F.explode("rom").alias("r"))
         return rows.join(F.broadcast(title), "dat_ord").select("place", "name", "cleared", "title", "version", F.col("r.name").alias("rom_name"), F.col("r.size").alias("size"), "r.crc", "r.md5", "r.sha1", "r.status")
 
     return run
 
 
 def _names_file(s: SparkSession, d: str) -> DataFrame:
-    """The list of selected names written as a text file and read back."""
+    """The list of selected names written as a text file and read back, with the lines' numbers."""
     best = materialize(select_best(views.games(s, d), p=Q.PREFERENCE), "best")
     path = f"{scratch(s, 'names')}/names.txt"
-    write_file(path, lambda out: out.writelines(f"{n}\n".encode() for n in names_in_order(best)))
-    return s.read.text(path).select(F.col("value").alias("name"))
+    write_names(ordered(best), path)
+    return text_rows(s, path).select("line", F.col("value").alias("name"))
+
+
+def _catalog_by_game(s: SparkSession, d: str) -> DataFrame:
+    """All games as one XML catalog in the order of their keys, read game by game from many splits."""
+    rom = F.transform("rom", lambda r: F.struct(*((r[f.name[1:]] if f.name[1:] in ("name", "size", "crc", "md5", "sha1", "sha256", "status") else F.lit(None).cast(f.dataType)).alias(f.name) for f in ROM)))
+    own = {"_name": F.col("name"), "_cloneof": F.col("cloneof"), "description": F.concat("name", F.lit(" & <more>")), "rom": rom}
+    rows = views.games(s, d).select("game_ord", F.struct(*(own.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in GAME)).alias("game"))
+    path = f"{scratch(s, 'catalog')}/all games #1 [x].xml"
+    write_catalog(rows.orderBy("game_ord"), path, "xml", {"name": "all", "clrmamepro": {"_header": "nes.xml"}})
+    games = load_catalogs(s, [path], 2000 + 30 * rows.count())[1]  # about a twentieth of the file
+    splits = games.agg((F.count_distinct("split") > 1).alias("many_splits"))
+    return games.select("game_ord", "name", "cloneof", F.col("game.description").alias("description"), "detector", F.size("rom").alias("n_roms"), F.aggregate("rom", F.lit(0).cast("long"), lambda a, r: a + r["size"]).alias("bytes"),
+                        F.col("rom")[0]["sha1"].alias("sha1")).crossJoin(F.broadcast(splits))
+
+
+#: Forms of file names; a document's id decides which one it has and stands in it.
+NAME_FORMS = ("_a{}", ".b{}", "_sub/k{}", ".h/m{}", "x{}._COPYING_", "x#{}.bin", "q?{}.bin", "y%20z{}", "p q{}", "é{}", "a*b{}", "[c]{}", "{{d,e}}{}", "f\\g{}", "deep/er/h{}", "n{}.bin")
+
+
+def _listing_names(s: SparkSession, d: str) -> DataFrame:
+    """Files of names of every form, with links to some of them and to a folder, listed and scanned."""
+    to = scratch(s, "named")
+    forms = F.array(*(F.concat(*(x for p in zip([F.lit(x.replace("{{", "{").replace("}}", "}")) for x in form.replace("{}", "\0").split("\0")], [F.col("doc_id").cast("string"), F.lit("")]) for x in p)) for form in NAME_FORMS))
+    named = _contents(s, d).select(F.element_at(forms, (F.col("doc_id") % len(NAME_FORMS) + 1).cast("int")).alias("name"), "content", "doc_id")
+    write_loose(named, to)
+
+    def link(frames):
+        for pdf in frames:
+            for name in pdf["name"]:
+                os.symlink(local(f"{to}/{name}"), local(f"{to}/link to {name.replace('/', ' ')}"))
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    if local(to) is not None:
+        named.where("doc_id % 10 = 0").select("name").mapInPandas(link, "n long").agg(F.sum("n")).first()
+        os.symlink(local(to), f"{local(to)}/deep/round")
+    here = F.substring_index(F.col("path"), f"/{to.rsplit('/', 1)[1]}/", -1)
+    return scan(list_files(s, [to])).select(here.alias("name"), "size", "md5", "status")
+
+
+TASKS = 16
+
+
+def _scan_schedule(s: SparkSession, d: str) -> DataFrame:
+    """Files of the documents' sizes dealt over TASKS tasks, and whether the fullest has at most 1.2 times the mean, or one file."""
+    rows = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.octet_length("text").cast("long").alias("length"))
+    dealt = materialize(schedule(rows, TASKS).withColumn("task", F.spark_partition_id()), "dealt")
+    loads = dealt.groupBy("task").agg(F.sum("length").alias("bytes"), F.max("length").alias("largest"))
+    fits = loads.agg((F.max("bytes") <= F.greatest(F.sum("bytes") * 1.2 / TASKS, F.max("largest"))).alias("fits"))
+    return dealt.select(F.col("path").cast("long").alias("doc_id"), "length").crossJoin(F.broadcast(fits))
+
+
+def _targets_once(s: SparkSession, d: str) -> DataFrame:
+    """Each document is copied to a target that it shares with the next; what became of each copy, and what each target holds."""
+    to, out = scratch(s, "loose"), scratch(s, "shared-targets")
+    rows = _contents(s, d)
+    write_loose(rows.select(_named().alias("name"), "content"), to)
+    target, nothing = F.concat(F.lit(f"{out}/t"), F.floor(F.col("doc_id") / 2).cast("string")), F.lit(None).cast("string")
+    plan = rows.select(F.lit("copy").alias("kind"), F.concat(F.lit(f"{to}/"), _named()).alias("from_path"), nothing.alias("from_type"), target.alias("to_path"), nothing.alias("to_type"), F.expr("cast(array() as array<struct<from_name:string,to_name:string>>)").alias("entries"),
+                       F.struct(F.lit(0).alias("dat_ord"), F.col("doc_id").alias("game_ord")).alias("owner"))
+    done = materialize(run_plan(plan), "done").select(_file_id("from_path").alias("doc_id"), F.regexp_extract("to_path", "[0-9-]+$", 0).alias("t"), "status")
+    held = scan(list_files(s, [out])).select(F.regexp_extract("path", "[0-9-]+$", 0).alias("t"), "md5")
+    return done.join(held, "t", "left").select("doc_id", "status", "md5")
 
 
 def _streamed(s: SparkSession, d: str) -> DataFrame:
@@ -332,6 +396,10 @@ def queries() -> dict:
         "catalog_json": _catalog("json"),
         "catalog_yaml": _catalog("yaml"),
         "names_file": _names_file,
+        "catalog_by_game": _catalog_by_game,
+        "listing_names": _listing_names,
+        "scan_schedule": _scan_schedule,
+        "targets_once": _targets_once,
         "files_extracted": lambda s, d: _run(s, d, None),
         "files_packed": lambda s, d: _run(s, d, "zip"),
         "file_plan_rows": _plan_rows(None),
@@ -367,7 +435,11 @@ FROM placed JOIN (SELECT {rom_cols} FROM roms) r USING (ord)"""
         "catalog_xml": catalog,
         "catalog_json": catalog,
         "catalog_yaml": catalog,
-        "names_file": f"{Q._PARSED} SELECT name FROM parsed QUALIFY {Q._BEST} = 1",
+        "names_file": f"{best} SELECT place AS line, name FROM placed",
+        "catalog_by_game": f"WITH {Q._GAMES}, {Q._sql(views.ROMS)} SELECT CAST(row_number() OVER (ORDER BY g.ord) - 1 AS BIGINT) AS game_ord, name, cloneof, name || ' & <more>' AS description, 'nes.xml' AS detector, CAST(g.n_roms AS INTEGER) AS n_roms, r.bytes, r.sha1, true AS many_splits FROM games g JOIN (SELECT ord, CAST(sum(size) AS BIGINT) AS bytes, max(sha1) FILTER (rom_ord = 0) AS sha1 FROM roms GROUP BY ord) r USING (ord)",
+        "listing_names": f"SELECT replace(({Q._list(NAME_FORMS)})[CAST(doc_id % {len(NAME_FORMS)} AS INT) + 1].replace('{{{{', '{{').replace('}}}}', '}}'), '{{}}', doc_id::VARCHAR) AS name, {size} AS size, md5({CONTENT_SQL}) AS md5, 'OK' AS status FROM documents",
+        "scan_schedule": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS length, true AS fits FROM documents",
+        "targets_once": f"SELECT doc_id, CASE WHEN doc_id = min(doc_id) OVER w THEN 'OK' ELSE 'FAILED' END AS status, first(md5({CONTENT_SQL})) OVER (PARTITION BY doc_id // 2 ORDER BY doc_id) AS md5 FROM documents WINDOW w AS (PARTITION BY doc_id // 2)",
         "files_extracted": _run_sql(False),
         "files_packed": _run_sql(True),
         "file_plan_rows": _plan_sql(False),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when its measured size stays under this; beyond it the join shuffles.
@@ -71,3 +71,15 @@ def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """df with a broadcast hint if rows * row_bytes is within BROADCAST_BYTES; else df, for a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def running_sum(ordered_rows: DataFrame, value: Column, column: str) -> DataFrame:
+    """Sorted rows with the sum of `value` over the rows before each, and `_row`, a number that keeps their order. The sort's
+    partitions are summed up one by one; their totals, one row each, give the offsets, so no task sees all rows."""
+    rows = materialize(ordered_rows.withColumns({"_row": F.monotonically_increasing_id(), "_value": value}), "ordered")
+    rows = rows.withColumn("_part", F.shiftright("_row", 33))
+    within = F.sum("_value").over(Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1))
+    totals = rows.groupBy("_part").agg(F.sum("_value").alias("_n"))
+    before = totals.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before_part"))
+    summed = rows.withColumn(column, F.coalesce(within, F.lit(0))).join(F.broadcast(before), "_part")
+    return summed.withColumn(column, F.col("_before_part") + F.col(column)).drop("_part", "_value", "_before_part")

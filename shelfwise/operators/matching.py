@@ -64,11 +64,17 @@ def match_order(matches: DataFrame) -> DataFrame:
     return matches.withColumn("match_ord", F.row_number().over(order))
 
 
+def _seen_roms(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, n_seen (how many different files of a game occur in rows) and n_roms, by bitmaps of 64 file numbers each, which are
+    joined before the shuffle."""
+    words = rows.groupBy(*keys, F.floor(F.col("rom_ord") / 64).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, rom_ord % 64)")).alias("_bits"), F.first("n_roms").alias("n_roms"))
+    return words.groupBy(*keys).agg(F.sum(F.bit_count("_bits")).alias("n_seen"), F.first("n_roms").alias("n_roms"))
+
+
 def complete_games(matched: DataFrame) -> DataFrame:
     """dat_ord, game_ord of games all of whose files match; games without files are never complete. matched: rows of
     match_levels, or of match_roms."""
-    per = matched.groupBy(*GAME, "rom_ord").agg(F.first("n_roms").alias("n_roms")).groupBy(*GAME).agg(F.count(F.lit(1)).alias("n"), F.first("n_roms").alias("n_roms"))
-    return per.where("n = n_roms").select(*GAME)
+    return _seen_roms(matched, *GAME).where("n_seen = n_roms").select(*GAME)
 
 
 def choose_sources(matches: DataFrame, to_archive: bool) -> DataFrame:
@@ -92,9 +98,13 @@ def choose_sources(matches: DataFrame, to_archive: bool) -> DataFrame:
 
 
 def cover(packed: DataFrame) -> DataFrame:
-    """dat_ord, game_ord, path: the archive that covers all files of a game, most matches first, then first seen."""
-    per = packed.groupBy(*GAME, "path").agg(F.count(F.lit(1)).alias("n"), F.first("n_roms").alias("n_roms"), F.min(F.struct("rom_ord", seen_first().alias("m"))).alias("seen"))
-    best = per.where("n >= n_roms").groupBy(*GAME).agg(F.min(F.struct((-F.col("n")).alias("n"), "seen", "path")).alias("b"))
+    """dat_ord, game_ord, path: the archive that covers all files of a game, most matches first, then first seen. An archive covers a
+    file however often it holds it, and only then."""
+    words = packed.groupBy(*GAME, "path", F.floor(F.col("rom_ord") / 64).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, rom_ord % 64)")).alias("_bits"), F.count(F.lit(1)).alias("n"), F.first("n_roms").alias("n_roms"), F.min(F.struct("rom_ord", seen_first().alias("m"))).alias("seen")
+    )
+    per = words.groupBy(*GAME, "path").agg(F.sum(F.bit_count("_bits")).alias("n_seen"), F.sum("n").alias("n"), F.first("n_roms").alias("n_roms"), F.min("seen").alias("seen"))
+    best = per.where("n_seen = n_roms").groupBy(*GAME).agg(F.min(F.struct((-F.col("n")).alias("n"), "seen", "path")).alias("b"))
     return best.select(*GAME, "b.path")
 
 

@@ -107,16 +107,50 @@ def perform(specs: list[dict], raw_zip: bool = False, tools: Tools = Tools()) ->
         return [f"{type(e).__name__}: {e}"] * len(specs)
 
 
+def _contested(specs: DataFrame) -> DataFrame:
+    """_spec, _lost: the targets of a spec that another one writes. Of copies from different files to one target the first counts
+    (by owner, then by source), and of the owners of a target the first; one owner may write a target from several archives, as
+    these hold the same file."""
+    targets = F.when(F.col("kind") == "extract", F.transform("entries", lambda x: x["to_name"])).otherwise(F.array("to_path"))
+    rows = specs.select("_spec", "owner", "from_path", (F.col("kind") == "copy").alias("copy"), F.explode(targets).alias("target"))
+    first = rows.groupBy("target").agg(F.min("owner").alias("_owner"), F.min(F.when(F.col("copy"), F.struct("owner", "from_path"))).alias("_copy"), F.min("owner").alias("lo"), F.max("owner").alias("hi"),
+                                       F.min(F.when(F.col("copy"), F.col("from_path"))).alias("a"), F.max(F.when(F.col("copy"), F.col("from_path"))).alias("b"))
+    first = first.where("lo <> hi or a <> b")
+    lost = rows.join(first, "target").where((F.col("owner") != F.col("_owner")) | F.col("copy") & (F.struct("owner", "from_path") != F.col("_copy")))
+    return lost.groupBy("_spec").agg(F.collect_set("target").alias("_lost"))  # no more than the spec's own targets
+
+
 def run_plan(plan: DataFrame, raw_zip: bool = False, tools: Tools = Tools(), progress: Progress | None = None) -> DataFrame:
     """A status row for every distinct spec. Specs that write one archive meet in one task, as do those that read one, which
-    is read once for all; every other spec is a task of its own."""
+    is read once for all; every other spec is a task of its own.
+
+    A target is written for one game only: specs of later games (column owner), and copies of other files to it, are FAILED and
+    leave it alone; an extraction goes on with its other entries. Specs with a reason in column `refused` are FAILED and not
+    run. Plans may lack both columns.
+    """
+    for c, kind in (("owner", "struct<dat_ord:int,game_ord:long>"), ("refused", "string")):
+        plan = plan if c in plan.columns else plan.withColumn(c, F.lit(None).cast(kind))
     unique = plan.dropDuplicates(["kind", "from_path", "to_path", "to_type", "entries"])
+    unique = unique.withColumn("_spec", F.xxhash64("kind", "from_path", "to_path", "to_type", "entries"))
+    unique = unique.withColumn("owner", F.coalesce("owner", F.struct(*(F.lit(-1).cast(f.dataType).alias(f.name) for f in plan.schema["owner"].dataType))))
+    unique = unique.join(_contested(unique.where("refused is null")), "_spec", "left").drop("_spec", "owner")
     key = F.when(F.col("to_type").isNotNull(), F.concat(F.lit("to|"), "to_path")).when(F.col("kind") == "extract", F.concat(F.lit("from|"), "from_path")).otherwise(F.concat_ws("|", "kind", "from_path", "to_path"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         specs = [r | {"entries": list(r["entries"])} for r in pdf.to_dict("records")]
         specs = [{k: None if isinstance(v, float) else v for k, v in s.items()} for s in specs]
-        errors = perform(specs, raw_zip, tools)
+        errors, able = [], []
+        for s in specs:
+            lost = set(s["_lost"]) if s["_lost"] is not None else set()
+            errors.append(s["refused"] or (f"FileExistsError: written for another file: {', '.join(sorted(lost))}" if lost else None))
+            if s["kind"] == "extract" and not s["refused"]:
+                s["entries"] = [x for x in s["entries"] if x["to_name"] not in lost]
+                able.append(bool(s["entries"]) or not lost)
+            else:
+                able.append(errors[-1] is None)
+        todo = [s for s, ok in zip(specs, able) if ok]
+        done = iter(perform(todo, raw_zip, tools) if todo else [])
+        errors = ["; ".join(filter(None, (e, next(done) if ok else None))) or None for e, ok in zip(errors, able)]
         if progress:
             progress.add(len(specs), 0, sum(e is not None for e in errors))
         return pd.DataFrame([{"kind": s["kind"], "from_path": s["from_path"], "to_path": s["to_path"], "status": "OK" if e is None else "FAILED", "message": e} for s, e in zip(specs, errors)])

@@ -1,4 +1,4 @@
-"""Catalog documents as text, game by game in name order, so that a catalog is never held whole."""
+"""Catalog documents as text, game by game."""
 
 from __future__ import annotations
 
@@ -29,15 +29,14 @@ def rebuilt_header(header: Row | None) -> dict | None:
     return head
 
 
-def rebuilt_games(best: DataFrame) -> Iterator[dict]:
-    """The selected games in name order, one partition of the sort at a time; parents are cleared."""
-    rows = ordered(best).select(F.col("game").withField("_cloneof", F.lit(None).cast("string")).alias("game"))
-    return (r["game"].asDict(True) for r in rows.toLocalIterator())
+def rebuilt(best: DataFrame) -> DataFrame:
+    """game: the selected entries in name order; parents are cleared."""
+    return ordered(best).select(F.col("game").withField("_cloneof", F.lit(None).cast("string")).alias("game"))
 
 
 def rebuild(best: DataFrame, header: Row | None) -> dict:
-    """A catalog of the selected games, held whole; `catalog_text` renders one without holding it."""
-    return {"header": rebuilt_header(header), "game": list(rebuilt_games(best))}
+    """A catalog of the selected games, held whole; `sink.write_catalog` writes one of any size."""
+    return {"header": rebuilt_header(header), "game": [r["game"].asDict(True) for r in rebuilt(best).collect()]}
 
 
 def _clean(kind: str, value):
@@ -64,49 +63,65 @@ def _element(tag: str, value) -> ET.Element:
     return e
 
 
-def catalog_text(header: dict | None, games: Iterable[dict], mode: str = "xml", build: str | None = None, debug: str | None = None) -> Iterator[str]:
-    """The text of a catalog in parts, one for each game; field order is the schema's."""
-    order = {"header": [f.name for f in HEADER], "game": [f.name for f in GAME]}
-    put = lambda kind, d: {k: d[k] for k in order[kind] if k in d}
-    top = {k: v for k, v in (("_build", build), ("_debug", debug)) if v is not None and DEFAULTS["datafile"].get(k) != v}
-    if header:
-        top["header"] = put("header", _clean("header", header))
-    cleaned = (put("game", _clean("game", g)) for g in games)
-
-    def element(tag: str, value: dict) -> str:
+class CatalogText:
+    """A catalog's text in parts: begin, one part for each game with `between` between two, and end (empty_end without games).
+    Field order is the schema's."""
+
+    def __init__(self, header: dict | None, mode: str = "xml", build: str | None = None, debug: str | None = None):
+        if mode not in MODES:
+            raise ValueError(f"unknown output mode {mode!r}")
+        self.mode = mode
+        top = {k: v for k, v in (("_build", build), ("_debug", debug)) if v is not None and DEFAULTS["datafile"].get(k) != v}
+        if header:
+            top["header"] = _put(HEADER, _clean("header", header))
+        self.between, self.end, self.empty_end = {"xml": ("", "</datafile>\n", "</datafile>\n"), "json": (",", "\n  ]\n}\n", "]\n}\n"), "yaml": ("", "", " []\n")}[mode]
+        if mode == "xml":
+            root = ET.tostring(_element("datafile", {k: v for k, v in top.items() if k != "header"}), encoding="unicode").removesuffix(" />")
+            self.begin = f'<?xml version="1.0" encoding="UTF-8"?>\n{DOCTYPE}\n<!-- {GENERATOR} -->\n{root}>\n' + (self._xml("header", top["header"]) if header else "")
+        elif mode == "json":
+            self.begin = "{\n" + "".join(f"  {json.dumps(k)}: {self._json(v, 1)},\n" for k, v in top.items()) + '  "game": ['
+        else:
+            self.begin = f"# {GENERATOR}\n" + (self._yaml(top) if top else "") + "game:"
+
+    @staticmethod
+    def _xml(tag: str, value: dict) -> str:
         e = _element(tag, value)
         ET.indent(e, "  ")
-        return textwrap.indent(ET.tostring(e, encoding="unicode"), "  ", lambda line: True)
+        return textwrap.indent(ET.tostring(e, encoding="unicode"), "  ", lambda line: True) + "\n"
 
-    if mode == "xml":
-        root = ET.tostring(_element("datafile", {k: v for k, v in top.items() if k != "header"}), encoding="unicode").removesuffix(" />")
-        yield f'<?xml version="1.0" encoding="UTF-8"?>\n{DOCTYPE}\n<!-- {GENERATOR} -->\n{root}>\n'
-        if header:
-            yield element("header", top["header"]) + "\n"
-        for g in cleaned:
-            yield element("game", g) + "\n"
-        yield "</datafile>\n"
-    elif mode == "json":
-        inside = lambda value, depth: textwrap.indent(json.dumps(value, indent=2, ensure_ascii=False), "  " * depth).lstrip()
-        yield "{\n" + "".join(f"  {json.dumps(k)}: {inside(v, 1)},\n" for k, v in top.items()) + '  "game": ['
-        some = False
-        for g in cleaned:
-            yield ("," if some else "") + "\n    " + inside(g, 2)
-            some = True
-        yield ("\n  ]" if some else "]") + "\n}\n"
-    elif mode == "yaml":
+    @staticmethod
+    def _json(value, depth: int) -> str:
+        return textwrap.indent(json.dumps(value, indent=2, ensure_ascii=False), "  " * depth).lstrip()
+
+    @staticmethod
+    def _yaml(value) -> str:
         import yaml
 
-        dump = lambda value: yaml.safe_dump(value, sort_keys=False, allow_unicode=True)
-        yield f"# {GENERATOR}\n" + (dump(top) if top else "")
-        some = False
-        for g in cleaned:
-            yield ("" if some else "game:\n") + dump([g])
-            some = True
-        if not some:
-            yield "game: []\n"
-    else:
-        raise ValueError(f"unknown output mode {mode!r}")
+        return yaml.safe_dump(value, sort_keys=False, allow_unicode=True)
+
+    def first(self) -> str:
+        """What comes before the first game only."""
+        return "\n" if self.mode == "yaml" else ""
+
+    def game(self, game: dict) -> str:
+        value = _put(GAME, _clean("game", game))
+        if self.mode == "xml":
+            return self._xml("game", value)
+        return "\n    " + self._json(value, 2) if self.mode == "json" else self._yaml([value])
+
+
+def _put(order, values: dict) -> dict:
+    return {f.name: values[f.name] for f in order if f.name in values}
+
+
+def catalog_text(header: dict | None, games: Iterable[dict], mode: str = "xml", build: str | None = None, debug: str | None = None) -> Iterator[str]:
+    """The text of a catalog in parts, one for each game."""
+    text, some = CatalogText(header, mode, build, debug), False
+    yield text.begin
+    for g in games:
+        yield (text.between if some else text.first()) + text.game(g)
+        some = True
+    yield text.end if some else text.empty_end
 
 
 def render(catalog: dict, mode: str = "xml") -> str:
@@ -114,10 +129,6 @@ def render(catalog: dict, mode: str = "xml") -> str:
     return "".join(catalog_text(catalog.get("header"), catalog["game"], mode, catalog.get("_build"), catalog.get("_debug")))
 
 
-def names_in_order(best: DataFrame) -> Iterator[str]:
-    """The selected names in name order, one partition of the sort at a time."""
-    return (r["name"] for r in ordered(best).select("name").toLocalIterator())
-
-
 def name_list(best: DataFrame) -> list[str]:
-    return list(names_in_order(best))
+    """The selected names in name order, held whole; `sink.write_names` writes a list of any length."""
+    return [r["name"] for r in ordered(best).select("name").collect()]

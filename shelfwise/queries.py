@@ -299,7 +299,7 @@ hits AS (SELECT k.ord, k.rom_ord, k.n_roms, s.path, s.archive_type, s.archive_pa
   UNION ALL SELECT k.ord, k.rom_ord, k.n_roms, s.path, s.archive_type, s.archive_path FROM keyed k JOIN scan s ON level = 3 AND k.size = s.size AND k.crc = s.crc),
 matches AS (SELECT *, row_number() OVER (PARTITION BY ord, rom_ord ORDER BY CASE WHEN archive_type IS NULL THEN 0 WHEN archive_type = 'zip' THEN 1 ELSE 2 END, path, archive_path NULLS FIRST) AS match_ord FROM hits),
 complete AS (SELECT ord FROM matches GROUP BY ord HAVING count(DISTINCT rom_ord) = any_value(n_roms)),
-cover AS (SELECT ord, path FROM (SELECT ord, path, count(*) AS n, min({{{{'r': rom_ord, 'm': match_ord}}}}) AS seen FROM matches WHERE archive_type IS NOT NULL GROUP BY ord, path HAVING count(*) >= any_value(n_roms))
+cover AS (SELECT ord, path FROM (SELECT ord, path, count(*) AS n, min({{{{'r': rom_ord, 'm': match_ord}}}}) AS seen FROM matches WHERE archive_type IS NOT NULL GROUP BY ord, path HAVING count(DISTINCT rom_ord) = any_value(n_roms))
   QUALIFY row_number() OVER (PARTITION BY ord ORDER BY n DESC, seen) = 1)
 """
 _ONLY_GAMES = _MATCHES.format(f"WITH {_GAMES}")

@@ -3,31 +3,43 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
-from urllib.parse import unquote, urlparse
+from urllib.parse import unquote
 
 PIECE = 8 << 20
 
 
 def local(path: str) -> str | None:
-    """The path in this machine's file system, or None for one of another file system."""
+    """The path in this machine's file system, or None for one of another file system. Paths are never unquoted or cut at `#` or
+    `?`: names hold these as they are."""
     if path.startswith("file:"):
-        return unquote(urlparse(path).path)
+        return re.sub("^file:(//[^/]*)?", "", path)
     return None if "://" in path else path
 
 
 def _remote(path: str):
+    """The file system of a path, and the path there. Only scheme and authority are read as a URL."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    top, rest = re.match("([^:]+://[^/]*)/*(.*)", path, re.DOTALL).groups()
+    system, base = fs.FileSystem.from_uri(f"{top}/")
+    return system, f"{base.rstrip('/')}/{rest}" if base != "" else rest
+
+
+def _existing(here: str, path: str) -> str:
+    """here, or the unquoted path of a `file:` URL where only that is there."""
+    if "%" in here and path.startswith("file:") and not os.path.lexists(here) and os.path.exists(unquote(here)):
+        return unquote(here)
+    return here
 
 
 def open_input(path: str):
     """A seekable binary stream."""
     here = local(path)
     if here is not None:
-        return open(here, "rb")
+        return open(_existing(here, path), "rb")
     system, name = _remote(path)
     return system.open_input_file(name)
 
@@ -35,7 +47,7 @@ def open_input(path: str):
 def modified(path: str) -> float | None:
     here = local(path)
     if here is not None:
-        return os.stat(here).st_mtime
+        return os.stat(_existing(here, path)).st_mtime
     system, name = _remote(path)
     when = system.get_file_info(name).mtime
     return when.timestamp() if when else None
@@ -65,6 +77,16 @@ def write_file(path: str, write, times: tuple[float, float] | None = None) -> No
             os.unlink(temp)
 
 
+def remove_tree(path: str) -> None:
+    """Remove a folder and what is in it, if it is there."""
+    here = local(path)
+    if here is not None:
+        return shutil.rmtree(here, ignore_errors=True)
+    system, name = _remote(path)
+    if system.get_file_info(name).type.name == "Directory":
+        system.delete_dir(name)
+
+
 class View:
     """Random access to a seekable stream as to bytes: len() and slices."""
 

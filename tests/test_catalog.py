@@ -1,6 +1,7 @@
 """Names, filters, ranking, validity and rendering."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,9 +12,12 @@ from shelfwise.functions import names as N
 from shelfwise.operators.derive import derive, divergence
 from shelfwise.operators.filters import apply_filter, post_filter, validate
 from shelfwise.operators.ranking import pick_best, rank
-from shelfwise.plans.render import name_list, rebuild, render
+from shelfwise.plans.render import MODES, catalog_text, name_list, rebuild, render
+from shelfwise.plans.sink import text_rows, write_catalog, write_names
 from shelfwise.plans.selection import select_best
-from shelfwise.sources.catalog import read_catalog, read_documents
+from shelfwise.schema import GAME as GAME_SCHEMA
+from shelfwise.sources import catalog
+from shelfwise.sources.catalog import load_catalogs, read_catalog, read_documents
 
 GAME = ("dat_ord int, game_ord int, name string, isbios string, cloneof string, romof string, release array<struct<name:string,region:string,language:string>>, "
         "rom array<struct<name:string,size:bigint,crc:string,md5:string,sha1:string,sha256:string,status:string>>, disk array<struct<name:string,status:string>>")
@@ -203,6 +207,107 @@ def test_catalog_round_trip(spark, tmp_path):
         assert read_documents(spark, [str(tmp_path / f"b.{mode}")]).first()["header"]["name"] == "Set (1G1R)"
 
 
+def test_sink_writes_what_the_text_is(spark, tmp_path):
+    """Parts of several tasks, empty ones among them, joined in order: the bytes of the text made in one place."""
+    entry = "struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in GAME_SCHEMA) + ">"
+    made = [tuple({"_name": f"g{i} <é>", "comment": ["a", "b\nc"] if i % 3 else None, "rom": [(f"r{i}", i, *[None] * 10)]}.get(f.name) for f in GAME_SCHEMA) for i in range(25)]
+    header = {"name": "N & M", "clrmamepro": {"_header": "x.xml", "_forcepacking": "zip"}}
+    for rows in (made, []):
+        df = spark.createDataFrame([(i, g) for i, g in enumerate(rows)], f"i int, game {entry}").repartition(5).orderBy("i")
+        for kind in MODES:
+            for more in ({}, {"build": "7", "debug": "yes"}):
+                write_catalog(df, str(tmp_path / "#1 out" / f"c.{kind}"), kind, header if more else None, **more)
+                want = "".join(catalog_text(header if more else None, (r["game"].asDict(True) for r in df.collect()), kind, **more))
+                assert (tmp_path / "#1 out" / f"c.{kind}").read_text() == want
+        assert [p.name for p in (tmp_path / "#1 out").iterdir() if "parts" in p.name] == []
+    names = spark.createDataFrame([("b",), ("é",), (None,), ("a",)], "name string").coalesce(1)
+    write_names(names, str(tmp_path / "n.txt"))
+    assert (tmp_path / "n.txt").read_text() == "b\né\n\na\n"
+    assert [tuple(r) for r in text_rows(spark, str(tmp_path / "n.txt")).orderBy("line").collect()] == [(1, "b"), (2, "é"), (3, ""), (4, "a")]
+    with pytest.raises(Exception, match="no such thing"):
+        write_names(names.select(F.raise_error(F.concat(F.lit("no such thing"), "name")).alias("name")), str(tmp_path / "n.txt"))
+    assert (tmp_path / "n.txt").read_text() == "b\né\n\na\n"  # an older file stays where a write fails
+
+
+GAMES = [f'<game name="g{i}" cloneof="g0"><description>d &amp; {i}</description><rom name="r{i}" size="{i}" status="GOOD"/></game>' for i in range(120)]
+HEAD = '<?xml version="1.0"?>\n<!DOCTYPE datafile PUBLIC "-//x//y" "http://x/y.dtd">\n<!-- made <game name="no"> by hand -->\n<datafile build="1" debug="No"><header><name>S</name><clrmamepro header="nes.xml" forcepacking="unzip"/></header>\n'
+
+
+def write(tmp_path, body, name="c [1] #2.xml", encoding="utf-8"):
+    (tmp_path / name).write_bytes(body.encode(encoding))
+    return str(tmp_path / name)
+
+
+def test_catalog_over_many_splits(spark, tmp_path):
+    """Games of one document come from different tasks and keep their places."""
+    path = write(tmp_path, HEAD + "\n".join(GAMES) + "\n</datafile>\n")
+    for size in (None, 1500):
+        rows = read_catalog(spark, [path], size).select("game_ord", "name", "split", "detector", F.col("rom")[0]["size"].alias("size"), F.col("rom")[0]["status"].alias("status"), "game.description").collect()
+        assert sorted((r["game_ord"], r["name"], r["size"], r["description"]) for r in rows) == [(i, f"g{i}", i, f"d & {i}") for i in range(120)]
+        assert {(r["detector"], r["status"]) for r in rows} == {("nes.xml", "good")} and (len({r["split"] for r in rows}) > 5) == (size == 1500)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") in ("134217728b", "128MB", str(128 << 20))
+    docs, two = load_catalogs(spark, [path, path], 3000)
+    assert docs.count() == 2 and [(r["dat_ord"], r["n"]) for r in two.groupBy("dat_ord").agg(F.count("*").alias("n")).orderBy("dat_ord").collect()] == [(0, 120), (1, 120)]
+
+
+def test_forms_of_catalogs(spark, tmp_path):
+    """Comments and CDATA that hide games, ends of tags in other forms, games without content, other encodings, empty catalogs."""
+    games = '<game name="a"><description>x</description></game >\n<game name="b"/><game name="c" ></game><!-- <game name="no"/> --> <game\nname="d"><game_id>1</game_id><description><![CDATA[<b> & -->]]></description></game><game name="e"/>'
+    names = lambda path, size=None: [r["name"] for r in read_catalog(spark, [path], size).orderBy("game_ord").collect()]
+    path = write(tmp_path, f"\ufeff<datafile>{games}</datafile >")
+    assert names(path, 100) == ["a", "b", "c", "d", "e"] and read_catalog(spark, [path]).where("name = 'd'").first()["game"]["description"] == "<b> & -->"
+    assert names(write(tmp_path, '<datafile><game name="a"></game><!-- <game name="no"></game> <game name="nor"></game> --><game name="b"></game></datafile>'), 20) == ["a", "b"]
+    assert names(write(tmp_path, '<?xml version="1.0" encoding="ISO-8859-1"?><datafile><game name="\xe9"/></datafile>', encoding="latin-1")) == ["\xe9"]
+    assert names(write(tmp_path, '<?xml version="1.0" encoding="UTF-16"?><datafile><game name="\u65e5"></game><game name="b"/></datafile>', encoding="utf-16")) == ["\u65e5", "b"]
+    assert names(write(tmp_path, "<datafile/>")) == [] == names(write(tmp_path, "<datafile></datafile>\n\n"))
+
+
+WRONG = {
+    "a number": ('<game name="g"><rom name="r" size="0x5"/></game>', "game 121 .*size=\"0x5\""),
+    "an attribute": ('<game name="g" foo="1"/>', "game 121 \\(g\\): unknown part game/foo"),
+    "an element": ('<game name="g"><zzz/></game>', "unknown part game/zzz"),
+    "an inner attribute": ('<game name="g"><rom name="r" sise="1"/></game>', "unknown part rom/sise"),
+    "an element between games": ("<zzz/>", "unknown part"),
+    "text between games": ('<game name="g"/> text', "unknown part"),
+    "text in a game": ('<game name="g">text</game>', "unknown part game//text"),
+    "a status": ('<game name="g"><rom name="r" status="fine"/></game>', "status='fine'"),
+    "a flag": ('<game name="g" isbios="maybe"/>', "isbios='maybe'"),
+    "no name": ("<game><description>x</description></game>", "game without name"),
+    "a file without name": ('<game name="g"><rom size="1"/></game>', "rom without name"),
+    "bytes": ('<game name="g"><rom name="r" header="4G"/></game>', "header='4G'"),
+    "a tag": ('<game name="g"><rom name="r"></game>', "cannot be read"),
+    "an entity": ('<game name="g &none;"/>', "cannot be read"),
+}
+
+
+def test_bad_parts(spark, tmp_path):
+    """What is wrong with each part of one document, and the error that the first one gives."""
+    parts = catalog._parsed_xml(spark, write(tmp_path, HEAD + "\n".join(GAMES) + "".join(b for b, _ in WRONG.values()) + '<game name="last"></game></datafile>'))
+    got = [r["problem"] for r in parts.orderBy("block", "at").select("problem").where("problem is not null").collect()]
+    want = [said.split(": ")[-1].split(".*")[-1] for _, said in WRONG.values()]
+    assert len(got) == len(want) and all(re.search(w, g) for w, g in zip(want, got)), got
+    for what in ("a number", "an attribute"):
+        body, said = WRONG[what]
+        with pytest.raises(InvalidCatalog, match=said):
+            load_catalogs(spark, [write(tmp_path, HEAD + "\n".join(GAMES) + body + '<game name="last"></game></datafile>')], 3000)
+
+
+def test_cut_catalogs_are_errors(spark, tmp_path):
+    whole = HEAD + "\n".join(GAMES) + "</datafile>"
+    ends = [whole[: whole.index("g50")], whole[: whole.index("</game>\n<game name=\"g51") + 7], whole[:-5], "", "no catalog", whole + "<game name='x'></game>", whole + whole, whole[: whole.index("</header>")], '<datafile debug="x"></datafile>', "<datafile x='1'></datafile>"]
+    for k, end in enumerate(ends):
+        with pytest.raises(InvalidCatalog):
+            load_catalogs(spark, [write(tmp_path, end)], 4000 if k < 2 else None)
+    for kind, text in (("json", '{"game": [{"_name": "a"}, {"_na'), ("json", '{"game": [{"_name": "a", "rom": [{"_name": "r", "_size": "0x5"}]}]}'), ("json", '{"game": [{"_isbios": "no"}]}'), ("json", ""), ("yaml", "game: [{"), ("yaml", "game:\n- {_name: a, _isbios: maybe}\n")):
+        with pytest.raises(InvalidCatalog):
+            load_catalogs(spark, [write(tmp_path, text, f"c.{kind}")])
+    with pytest.raises(InvalidCatalog, match="none.xml"):
+        load_catalogs(spark, [str(tmp_path / "none.xml")])
+    good = write(tmp_path, whole, "good.xml")
+    with pytest.raises(InvalidCatalog, match="bad.xml"):
+        load_catalogs(spark, [good, write(tmp_path, whole[:-30], "bad.xml")])
+
+
 def test_name_order_is_the_collators(spark):
     """Sort keys against the JVM's collator itself, over names of many characters."""
     import random

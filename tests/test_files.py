@@ -19,7 +19,7 @@ from shelfwise.plans.execute import run_plan
 from shelfwise.plans.files import plan_files
 from shelfwise.sources import archives as A
 from shelfwise.sources.config import load_app_config, load_patterns, load_regions
-from shelfwise.sources.files import list_files, scan
+from shelfwise.sources.files import list_files, scan, schedule
 from shelfwise.streaming.files import scan_stream
 
 KINDS = ["zip", "tar", "tar.bz2", "tar.gz", "tar.xz", "tar.lzma", *["tar.lz4"] * bool(shutil.which("lz4")), *["7z"] * bool(shutil.which("bsdtar"))]
@@ -134,6 +134,89 @@ def test_unreadable_files_are_rows(spark, tmp_path):
     assert got == {"gone.bin": ("FAILED", None), "gone.zip": ("FAILED", None), "a%20b.bin": ("OK", 3)}
 
 
+NAMES = ["_a.bin", ".b.bin", "_sub/k.bin", ".h/m.bin", "x._COPYING_", "x#1.bin", "q?r.bin", "y%20z.bin", "p q.bin", "é.bin", "a*b.bin", "[c].bin", "{d,e}.bin", "f\\g.bin", "deep/er/h.bin", "i.zip"]
+
+
+def test_listing_of_all_names(spark, tmp_path):
+    """Every regular file, whatever its name; no link; what cannot be looked at is a row."""
+    base = tmp_path / "in"
+    for n in NAMES:
+        (base / n).parent.mkdir(parents=True, exist_ok=True)
+        (base / n).write_bytes(n.encode())
+    (base / "empty").mkdir()
+    os.symlink(base / "_a.bin", base / "link.bin")
+    os.symlink(base / "_sub", base / "linked")
+    os.symlink(base / "nowhere", base / "broken")
+    listed = list_files(spark, [str(base), str(tmp_path / "gone")])
+    rows = {r["path"]: (r["length"], r["message"]) for r in listed.collect()}
+    assert {k: v for k, v in rows.items() if v[1] is None} == {f"file:{base}/{n}": (len(n.encode()), None) for n in NAMES}
+    assert [v[1].split(":")[0] for k, v in rows.items() if v[1]] == ["FileNotFoundError"] and len(rows) == len(NAMES) + 1
+    scanned = {r["path"]: (r["status"], r["size"], r["md5"]) for r in scan(listed).collect()}
+    want = {f"file:{base}/{n}": ("OK", len(n.encode()), hashlib.md5(n.encode()).hexdigest()) for n in NAMES}
+    want |= {f"file:{base}/i.zip": ("FAILED", 5, hashlib.md5(b"i.zip").hexdigest()), f"file:{tmp_path}/gone": ("FAILED", None, None)}
+    assert scanned == want
+    # one loaded source asked with and without a range
+    assert (listed.where("length > 8").count(), listed.count()) == (sum(len(n.encode()) > 8 for n in NAMES), len(rows))
+
+
+def test_listing_of_a_range(spark, tmp_path):
+    for n, size in (("a", 3), ("b", 30), ("c.zip", 3), ("d.ZIP", 300)):
+        (tmp_path / n).write_bytes(bytes(size))
+    names = lambda df: sorted(r["path"].rsplit("/", 1)[1] for r in df.collect())
+    assert names(list_files(spark, [str(tmp_path)], (10, 50))) == ["b", "c.zip", "d.ZIP"]
+    assert names(list_files(spark, [str(tmp_path)], (10, 50), archives=False)) == ["b"]
+    assert names(list_files(spark, [str(tmp_path), str(tmp_path / "gone")], (10, 50))) == ["b", "c.zip", "d.ZIP", "gone"]
+
+
+def test_listing_over_partitions(spark, tmp_path, monkeypatch):
+    """The driver stops going down at FOLDERS; what is below comes from the tasks."""
+    from shelfwise.sources import listing
+
+    want = set()
+    for i in range(40):
+        f = tmp_path / f"d{i % 5}" / f"e{i % 7}" / f"f{i}"
+        f.mkdir(parents=True)
+        (f / "x").write_bytes(b"1")
+        want.add(str(f / "x"))
+    for most in (1, 3, 20, 1000):
+        monkeypatch.setattr(listing, "FOLDERS", most)
+        reader = listing.ListingReader([f"file:{tmp_path}"], None, True)
+        parts = reader.partitions()
+        got = [p.as_py() for part in parts for batch in reader.read(part) for p in batch.column(0)]
+        assert sorted(got) == sorted(f"file:{w}" for w in want)
+        assert any(p.deep for p in parts) == (most < 1000)
+    assert [b.num_rows for p in [listing.ListingReader([], None, True)] for part in p.partitions() for b in p.read(part)] == []
+
+
+def test_names_are_no_urls(spark, tmp_path):
+    from shelfwise.sources import storage
+
+    assert storage.local("file:///a/x#1?%20") == "/a/x#1?%20" == storage.local("file:/a/x#1?%20") and storage.local("file://host/a") == "/a" and storage.local("hdfs://h/a") is None
+    out = tmp_path / "out"
+    plan = []
+    for i in (1, 2, 3):
+        (tmp_path / f"{i}#?.bin").write_bytes(b"%d" % i)
+        plan.append(("copy", f"file:{tmp_path}/{i}#?.bin", None, f"file:{out}/Foo #{i}?%41", None, []))
+    assert {r["status"] for r in run_plan(spark.createDataFrame(plan, SPEC)).collect()} == {"OK"}
+    assert {p.name: p.read_bytes() for p in out.iterdir()} == {f"Foo #{i}?%41": b"%d" % i for i in (1, 2, 3)}
+
+
+def test_schedule(spark):
+    """Bytes of the fullest task against the mean or the largest file; nothing lost, largest first, ties and nulls too."""
+    import random
+
+    rng = random.Random(2)
+    for rows in ([(f"f{i}", int(rng.paretovariate(0.9) * 1000)) for i in range(1500)] + [("n", None), ("z", 0), ("z", 0)], [(f"e{i}", 100) for i in range(37)], [("one", 7)], [], [("n", None)] * 3):
+        dealt = schedule(spark.createDataFrame(rows, "path string, length long").repartition(3), 8)
+        got = dealt.withColumn("p", F.spark_partition_id()).collect()
+        assert sorted((r["path"], r["length"] or -1) for r in got) == sorted((p, n or -1) for p, n in rows)
+        loads = [sum(r["length"] or 0 for r in got if r["p"] == p) for p in range(8)]
+        assert max(loads) <= max(1.2 * sum(loads) / 8, max((n or 0 for _, n in rows), default=0))
+        for p in range(8):
+            own = [r["length"] or 0 for r in got if r["p"] == p]
+            assert own == sorted(own, reverse=True)
+
+
 def test_entries_before_a_break_stay(spark, tmp_path):
     data = A.write_archive("tar", [A.Entry("a", payload(600)), A.Entry("b", payload(70_000))])
     (tmp_path / "x.tar").write_bytes(data[:40_000])
@@ -155,6 +238,55 @@ def test_every_spec_of_an_archive_runs(spark, tmp_path):
     assert {p.relative_to(tmp_path).as_posix(): p.read_bytes() for p in tmp_path.rglob("*") if p.is_file() and "x." not in p.name} == {"o/a": b"0", "o/b": b"1", "o/c": b"3", "o2/d": b"0"}
 
 
+OWNED = SPEC + ", owner struct<dat_ord:int,game_ord:long>, refused string"
+
+
+def test_one_target_is_written_once(spark, tmp_path):
+    """Copies of different files to one target, games that share a target or an archive, and one game with two sources of a file."""
+    for n in "abc":
+        (tmp_path / n).write_bytes(n.encode())
+    for k in (1, 2):
+        (tmp_path / f"{k}.zip").write_bytes(A.write_archive("zip", [A.Entry("e", b"%d" % k), A.Entry("o", b"own %d" % k)]))
+    t, copy = str(tmp_path / "o"), lambda src, to, owner=None, refused=None: ("copy", f"{tmp_path}/{src}", None, f"{tmp_path}/o/{to}", None, [], owner, refused)
+    extract = lambda k, owner, *to: ("extract", f"{tmp_path}/{k}.zip", "zip", t, None, [(n, f"{t}/{x}") for n, x in to], owner, None)
+    pack = lambda src, owner: ("compress", None, None, f"{t}/p.zip", "zip", [(f"{tmp_path}/{src}", src)], owner, None)
+    plan = spark.createDataFrame([
+        copy("a", "x"), copy("b", "x"), copy("c", "y"), copy("a", "z", (0, 2)), copy("b", "z", (0, 1)), copy("a", "../../out", (0, 1), "leads out"),
+        extract(1, (0, 5), ("e", "m"), ("o", "n1")), extract(2, (0, 6), ("e", "m"), ("o", "n2")), copy("c", "w", (1, 0)), extract(1, (1, 0), ("e", "w")),
+        pack("a", (0, 7)), pack("b", (0, 7)), pack("c", (0, 8)),
+    ], OWNED)
+    got = sorted((r["kind"], (r["from_path"] or "").rsplit("/", 1)[-1], r["to_path"].rsplit("/", 1)[-1], r["status"]) for r in run_plan(plan).collect())
+    assert got == sorted([
+        ("copy", "a", "x", "OK"), ("copy", "b", "x", "FAILED"), ("copy", "c", "y", "OK"), ("copy", "a", "z", "FAILED"), ("copy", "b", "z", "OK"), ("copy", "a", "out", "FAILED"),
+        ("extract", "1.zip", "o", "OK"), ("extract", "2.zip", "o", "FAILED"), ("copy", "c", "w", "OK"), ("extract", "1.zip", "o", "OK"), ("compress", "", "p.zip", "OK"), ("compress", "", "p.zip", "OK"), ("compress", "", "p.zip", "FAILED"),
+    ])
+    files = {p.name: p.read_bytes() for p in (tmp_path / "o").iterdir()}
+    assert {k: files[k] for k in ("x", "y", "z", "m", "n1", "n2")} == {"x": b"a", "y": b"c", "z": b"b", "m": b"1", "n1": b"own 1", "n2": b"own 2"}
+    with zipfile.ZipFile(tmp_path / "o" / "p.zip") as z:
+        assert sorted(z.namelist()) == ["a", "b"]
+    assert not (tmp_path.parent / "out").exists()
+
+
+@pytest.mark.parametrize("archive", [None, "zip"])
+def test_names_that_lead_out_are_refused(spark, tmp_path, archive):
+    games = [(0, k, name, [(rom, 1, None, None, f"s{k}", None, None)]) for k, (name, rom) in enumerate([("A", "../../a.bin"), ("..", "b.bin"), ("C", "c..bin"), ("D", "x\\..\\d.bin")])]
+    best = spark.createDataFrame(games, ROM)
+    (tmp_path / "src").write_bytes(b"1")
+    chosen = spark.createDataFrame([(0, k, 0, roms[0][0], None, str(tmp_path / "src"), None) for _, k, _, roms in games], "dat_ord int, game_ord int, rom_ord int, rom_name string, archive_type string, path string, archive_path string")
+    got = run_plan(plan_files(best, chosen, FileOutput(str(tmp_path / "o" / "p"), archive))).collect()
+    assert sorted(r["status"] for r in got) == ["FAILED"] * 3 + ["OK"]
+    assert [p.name for p in tmp_path.rglob("*") if p.is_file() and p.name != "src"] == ["C.zip" if archive else "c..bin"]
+
+
+def test_cover_needs_every_file(spark):
+    """An archive that holds one file twice and the other never covers nothing; with over 64 files none may be missing."""
+    rows = [(0, 0, r, 2, f"e{e}", "zip", "twice", f"e{e}") for r, e in ((0, 0), (0, 1))] + [(0, 0, r, 2, f"e{r}", "zip", "both", f"e{r}") for r in (0, 1)]
+    rows += [(0, 1, r, 70, f"e{r}", "zip", p, f"e{r}") for p, gone in (("all", None), ("most", 69)) for r in range(70) if r != gone] + [(0, 1, 5, 70, "more", "zip", "most", "more")] * 3
+    packed = spark.createDataFrame(rows, "dat_ord int, game_ord int, rom_ord int, n_roms int, rom_name string, archive_type string, path string, archive_path string")
+    assert {(r["game_ord"], r["path"]) for r in M.cover(packed).collect()} == {(0, "both"), (1, "all")}
+    assert {r["game_ord"] for r in M.complete_games(packed.where("path <> 'all' or rom_ord <> 69")).collect()} == {0}
+
+
 def test_progress(spark):
     from shelfwise.plans.progress import Progress
 

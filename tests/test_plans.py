@@ -15,6 +15,10 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def details_of(df):
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
 def test_family_plan(spark):
     games = derive(table(spark, ["A (USA)", ("B", "A (USA)")]))
     plan = plan_of(pick_best(games, Preference(regions=("USA",))))
@@ -26,7 +30,9 @@ def test_family_plan(spark):
 
 def test_scan_plan(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"abc")
-    plan = plan_of(scan(list_files(spark, [str(tmp_path)]), (1, 10)))
-    assert "LessThanOrEqual(length" in plan
-    listing = plan_of(list_files(spark, [str(tmp_path)]).select("path", "length").where(F.col("length") > 1))
-    assert "content" not in listing.split("ReadSchema")[-1]
+    held = spark.read.format("binaryFile").load(str(tmp_path))
+    assert "LessThanOrEqual(length" in plan_of(scan(held, (1, 10), by_content=True))
+    listing = list_files(spark, [str(tmp_path)], (1, 10), archives=False).where(F.col("length").between(1, 10))
+    assert "PushedFilters: [IsNotNull(length), GreaterThanOrEqual(length,1), LessThanOrEqual(length,10)]" in details_of(listing) and listing.count() == 1
+    wider = list_files(spark, [str(tmp_path)], (1, 10), archives=False).where(F.col("length").between(1, 9))
+    assert "LessThanOrEqual(length,9)" not in details_of(wider).split("(2)")[0].split("PushedFilters")[-1] and "content" not in details_of(wider)
