@@ -16,7 +16,7 @@ from .functions.tables import materialize, release, scratch
 from .operators.derive import derive, divergence
 from .operators.filters import built_in_excludes, patterns_of
 from .operators.headers import load_detector
-from .operators.matching import choose_sources, match_roms, rom_rows
+from .operators.matching import choose, rom_rows
 from .plans.execute import run_plan
 from .plans.files import plan_files
 from .plans.progress import Progress
@@ -156,7 +156,7 @@ def run(spark: SparkSession, a: argparse.Namespace, show=print) -> int:
     best = materialize(select_best(catalog, f, p, post, scanned, regions, text_catalog), "best")  # used more than once below
     if a.out_dir:
         out = FileOutput(a.out_dir, a.archive, a.alphabetic, a.force_subfolder)
-        chosen = choose_sources(match_roms(rom_rows(best), scanned), out.archive_type is not None)
+        chosen = materialize(choose(rom_rows(best), scanned, out.archive_type is not None), "chosen")
         plan, threads = plan_files(best, chosen, out), a.copy_threads or app.copier.threads
         plan = plan.repartition(threads, "to_path") if threads else plan
         with Progress(spark, "copy").shown(_status) as copied:

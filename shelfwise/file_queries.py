@@ -176,7 +176,7 @@ def _run(s: SparkSession, d: str, archive: str | None, raw: bool = False) -> Dat
     """Plan and run the whole collection; then what the output folder holds, with the spec's status of each file."""
     games, scanned = _collection(s, d)
     to = scratch(s, "out")
-    chosen = materialize(M.choose_sources(M.match_roms(M.rom_rows(games), scanned), archive is not None), "chosen")
+    chosen = materialize(M.choose(M.rom_rows(games), scanned, archive is not None), "chosen")
     done = materialize(run_plan(plan_files(games, chosen, FileOutput(to, archive, alphabetic=True)), raw), "done")
     bad = done.where("status <> 'OK'").count()
     got = scan(list_files(s, [to])).select("path", "archive_path", "archive_type", "size", "md5")

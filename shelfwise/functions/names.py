@@ -96,32 +96,71 @@ def count_matches(name: Column, patterns: list[str]) -> Column:
 SPECIAL = "[{(#"
 #: Code points whose collation elements are asked from the JVM: Latin letters, marks and punctuation. What the collator's rules
 #: leave out, as other scripts, comes after them by code point.
-COLLATED = (*range(0x00, 0x370), *range(0x1E00, 0x2070), *range(0x20A0, 0x20C0))
+COLLATED = (*range(0x01, 0x370), *range(0x1E00, 0x2070), *range(0x20A0, 0x20C0))
+#: Letters whose pairs are tried for being one element together, as in some languages.
+PAIRED = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: The first weight of characters that the collator's rules leave out.
+OUTSIDE = "8000"
+#: Where expansions are put between two steps: a private area.
+PRIVATE = 0xF0000
+
+
+class Collation:
+    """A locale's collation elements at secondary strength, as tables for `translate`: every weight is the character of its rank, so
+    that the order of keys is that of strings. Characters and pairs of several elements (`several`) are put in their place first."""
+
+    def __init__(self, locale: str | None):
+        jvm = SparkSession.getActiveSession()._jvm
+        collator = jvm.java.text.Collator.getInstance(*([jvm.java.util.Locale.forLanguageTag(locale)] if locale else []))
+        collator.setStrength(1)  # SECONDARY
+
+        def elements(text: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+            key = bytes(collator.getCollationKey(text).toByteArray())
+            units = [key[i : i + 2].hex() for i in range(0, len(key), 2)]
+            cut = units.index("0000")
+            return tuple(units[:cut]), tuple(u for u in units[cut + 1 :] if u != "0000")
+
+        of = {chr(c): e for c in COLLATED if (e := elements(chr(c)))[0][:1] != (OUTSIDE,)}
+        pairs = {a + b: e for a in PAIRED for b in PAIRED if (e := elements(a + b)) != tuple(x + y for x, y in zip(of[a], of[b]))} if locale else {}
+        self.tables, self.expansions = [], []
+        simple = "".join(c for c, e in of.items() if max(map(len, e)) <= 1)
+        for k in (0, 1):
+            every = sorted({u for e in (*of.values(), *pairs.values()) for u in e[k]} | ({"0001"} if k else set()))
+            rank = {u: chr(1 + i) for i, u in enumerate(every)}  # below all characters without elements
+            if 1 + len(every) > min([0x370, *(x for x in COLLATED if chr(x) not in of)]):
+                raise ValueError(f"the collation of {locale} has {len(every)} weights")
+            known = [c for c in simple if of[c][k]]
+            private = [chr(PRIVATE + i) for i in range(len(every))]
+            gone = "".join(c for c in simple if not of[c][k])
+            self.tables.append(("".join([*known, *private, gone]), "".join([*(rank[of[c][k][0]] for c in known), *(rank[u] for u in every)])))
+            at = {u: private[i] for i, u in enumerate(every)}
+            self.expansions.append({t: "".join(at[u] for u in e[k]) for t, e in (*of.items(), *pairs.items()) if t not in simple})
+        self.plain = at["0001"]  # the secondary weight of characters without elements
+        self.simple, self.pairs = simple, sorted(pairs)
 
 
 @lru_cache(None)
-def _collation(session: str) -> str:
-    """JSON of character -> `primary|secondary`, hexadecimal collation elements of the JVM's collator for its locale."""
-    jvm = SparkSession.getActiveSession()._jvm
-    collator = jvm.java.text.Collator.getInstance()
-    collator.setStrength(1)  # SECONDARY
-    out = {}
-    for code in COLLATED:
-        key = bytes(collator.getCollationKey(chr(code)).toByteArray())
-        units = [key[i : i + 2].hex() for i in range(0, len(key), 2)]
-        cut = units.index("0000")
-        out[chr(code)] = f"{''.join(units[:cut])}|{''.join(u for u in units[cut + 1 :] if u != '0000')}"
-    return json.dumps(out)
-
-
-def name_order(name: Column) -> list[Column]:
+def _collation(session: str, locale: str | None) -> Collation:
+    return Collation(locale)
+
+
+def name_order(name: Column, locale: str | None = None) -> list[Column]:
     """Sort keys for names: those that start with one of [ { ( # first, by that character only; then the order of the JVM's
-    collator at secondary strength, element by element: spaces, hyphens and accents break ties, case never does."""
-    session = SparkSession.getActiveSession()
-    table = F.from_json(F.lit(_collation(session.sparkContext.applicationId)), "map<string,string>")
+    collator for a locale (a language tag; by default the JVM's own) at secondary strength: spaces, hyphens and accents break
+    ties, case never does. Names of plain Latin characters take two table look-ups a character; only others are cut into
+    elements first."""
+    c = _collation(SparkSession.getActiveSession().sparkContext.applicationId, locale)
     first = F.substring(name, 1, 1)
     special = F.coalesce(first.isin(*SPECIAL), F.lit(False))
-    other = lambda c: F.concat(F.lit("8000"), F.lpad(F.lower(F.hex(F.ascii(c) + 1)), 4, "0"), F.lit("|00010001"))
-    elements = F.transform(F.filter(F.split(name, ""), lambda c: c != ""), lambda c: F.coalesce(F.element_at(table, c), other(c)))
-    part = lambda i: F.array_join(F.transform(elements, lambda e: F.split_part(e, F.lit("|"), F.lit(i))), "")
-    return [F.when(special, 0).otherwise(1), F.when(special, first).otherwise(""), F.when(special, "").otherwise(part(1)), F.when(special, "").otherwise(part(2))]
+    odd = F.translate(name, c.simple, "") != ""
+    if c.pairs:
+        odd = odd | name.rlike("|".join(c.pairs))
+    tokens = F.regexp_extract_all(name, F.lit("(?s)" + "|".join([*c.pairs, "."])), F.lit(0))
+
+    def key(k: int) -> Column:
+        table = F.from_json(F.lit(json.dumps(c.expansions[k])), "map<string,string>")
+        other = lambda t: F.when(F.translate(t, c.simple, "") != "", F.lit(c.plain)).otherwise(t) if k else t
+        whole = F.array_join(F.transform(tokens, lambda t: F.coalesce(F.element_at(table, t), other(t))), "")
+        return F.translate(F.when(odd, whole).otherwise(name), *c.tables[k])
+
+    return [F.when(special, 0).otherwise(1), F.when(special, first).otherwise(""), F.when(special, "").otherwise(key(0)), F.when(special, "").otherwise(key(1))]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.files import archive_ordinal
+from ..functions.tables import materialize
 
 GAME = ["dat_ord", "game_ord"]
 #: The keys in their order; a sha256 counts only where asked, and before all others.
@@ -42,8 +43,7 @@ def match_roms(roms: DataFrame, scan: DataFrame, sha256_first: bool = False) ->
     scan: archive_type, path, archive_path, unheadered_size, crc, md5, sha1, sha256. Null keys never match; digests compare
     without case. First the level that counts is found among distinct keys, then one join makes the rows of that level.
     """
-    copies = _keyed(scan.withColumn("size", F.col("unheadered_size")), ["archive_type", "path", "archive_path"], sha256_first)
-    return match_levels(roms, scan, sha256_first).join(copies, ["level", "key"]).select(*roms.columns, "archive_type", "path", "archive_path")
+    return match_levels(roms, scan, sha256_first).join(_copies(scan, sha256_first), ["level", "key"]).select(*roms.columns, "archive_type", "path", "archive_path")
 
 
 def seen_first() -> Column:
@@ -58,6 +58,19 @@ def first_matches(matches: DataFrame) -> DataFrame:
     return least.select(*GAME, "rom_ord", *(f"m.{c}" for c in rest))
 
 
+def _copies(scan: DataFrame, sha256_first: bool) -> DataFrame:
+    return _keyed(scan.withColumn("size", F.col("unheadered_size")), ["archive_type", "path", "archive_path"], sha256_first)
+
+
+def first_sources(roms: DataFrame, scan: DataFrame, sha256_first: bool = False, levels: DataFrame | None = None) -> DataFrame:
+    """As first_matches(match_roms(roms, scan)), but the copies of each key are summed up to the first one before the join, so there
+    are rows for files plus copies, not for their products. `loose` is the first loose copy, if there is one."""
+    loose = F.when(F.col("archive_type").isNull(), F.struct("path", "archive_path"))
+    least = _copies(scan, sha256_first).groupBy("level", "key").agg(F.min(F.struct(seen_first().alias("_seen"), "archive_type", "path", "archive_path")).alias("m"), F.min(loose).alias("loose"))
+    found = match_levels(roms, scan, sha256_first) if levels is None else levels
+    return found.join(least, ["level", "key"]).select(*roms.columns, "m.archive_type", "m.path", "m.archive_path", "loose")
+
+
 def match_order(matches: DataFrame) -> DataFrame:
     """matches with match_ord (1: first). This sorts all copies of a file; `first_matches` needs no sort."""
     order = Window.partitionBy(*GAME, "rom_ord").orderBy(archive_ordinal(F.col("archive_type")), "path", F.col("archive_path").asc_nulls_first())
@@ -108,5 +121,31 @@ def cover(packed: DataFrame) -> DataFrame:
     return best.select(*GAME, "b.path")
 
 
+def choose(roms: DataFrame, scan: DataFrame, to_archive: bool, sha256_first: bool = False) -> DataFrame:
+    """As choose_sources(match_roms(roms, scan), to_archive), without all matches: loose files come from each key's first loose copy,
+    and an archive can only cover a game if it holds the one of the game's files that the fewest archives hold, so only
+    those archives are looked at. A digest that very many files and copies share makes no product, unless all of a game's files
+    have such ones (or, without an output archive, all archive matches are the result)."""
+    levels = materialize(match_levels(roms, scan, sha256_first), "levels")
+    firsts = materialize(first_sources(roms, scan, sha256_first, levels), "firsts")
+    per_game = firsts.groupBy(*GAME).agg(F.count(F.lit(1)).alias("n"), F.count("loose").alias("n_loose"), F.first("n_roms").alias("n_roms"))
+    complete = materialize(per_game.where("n = n_roms").select(*GAME, (F.col("n_loose") == F.col("n_roms")).alias("all_loose")), "complete")
+    taken = firsts.where("loose is not null").join(complete.where("all_loose") if to_archive else complete, GAME)
+    none = F.lit(None).cast("string").alias("archive_type")
+    first = taken.select(*GAME, "rom_ord", "n_roms", "loose.path", "loose.archive_path", "rom_name", none, F.when(F.col("all_loose"), "loose").otherwise("mixed").alias("choice"))
+    rest = levels.join(complete.where("not all_loose").select(*GAME), GAME, "left_semi").select(*GAME, "rom_ord", "n_roms", "rom_name", "level", "key")
+    packed = _copies(scan, sha256_first).where("archive_type is not null")
+    if to_archive:
+        rest, packed = materialize(rest, "rest"), materialize(packed, "packed")
+        spread = packed.groupBy("level", "key").agg(F.count_distinct("path").alias("n_archives"))
+        rarest = rest.join(spread, ["level", "key"]).groupBy(*GAME).agg(F.min(F.struct("n_archives", "level", "key")).alias("r")).select(*GAME, "r.level", "r.key")
+        looked = materialize(rarest.join(packed.select("level", "key", "path").distinct(), ["level", "key"]).select(*GAME, "path"), "looked")
+        made = materialize(rest.join(looked, GAME).join(packed, ["level", "key", "path"]), "in-archives")
+        made = made.join(cover(made), [*GAME, "path"], "left_semi")
+    else:
+        made = rest.join(packed, ["level", "key"])
+    return first.unionByName(made.select(*GAME, "rom_ord", "n_roms", "path", "archive_path", "rom_name", "archive_type", F.lit("archive" if to_archive else "mixed").alias("choice")))
+
+
 def present_games(games: DataFrame, matched: DataFrame) -> DataFrame:
     return games.join(complete_games(matched), GAME, "left_semi")

@@ -320,3 +320,17 @@ def test_name_order_is_the_collators(spark):
     key = lambda n: (0, n[0], b"") if n[0] in "[{(#" else (1, "", bytes(collator.getCollationKey(n).toByteArray()))
     rows = spark.createDataFrame([(n, 0, i) for i, n in enumerate(names)], "name string, dat_ord int, game_ord int")
     assert name_list(rows) == sorted(names, key=key)
+
+
+@pytest.mark.parametrize("locale", ["cs", "da", "es", "hr"])
+def test_name_order_of_a_language(spark, locale):
+    """Letters that are one element together, and elements of other languages, against the JVM's collator."""
+    rng = random.Random(5)
+    parts = ["ch", "Ch", "CH", "c", "h", "aa", "Aa", "a", "ll", "l", "dž", "lj", "nj", "č", "ñ", "å", "ø", "æ", "ß", " ", "-", "z", "Z", "日", "½", "é", "´"]
+    names = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) for _ in range(300)]
+    jvm = spark.sparkContext._jvm
+    collator = jvm.java.text.Collator.getInstance(jvm.java.util.Locale.forLanguageTag(locale))
+    collator.setStrength(1)
+    rows = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, i int")
+    got = [r["name"] for r in rows.orderBy(*N.name_order(F.col("name"), locale), "i").collect()]
+    assert got == sorted(names, key=lambda n: bytes(collator.getCollationKey(n).toByteArray()))

@@ -330,6 +330,26 @@ def test_cascade_and_choice(spark):
     assert {x for x in pick(False) if x[0] == 7} == {(7, 0, "l1", "mixed"), (7, 0, "z0", "mixed"), (7, 1, "z1", "mixed")}
 
 
+def test_sources_without_all_matches(spark):
+    """The factorised choice against the one from all matches, on files of few digests: hot ones, copies in one archive, gaps."""
+    import random
+
+    rng = random.Random(8)
+    pick = lambda k: rng.choice(["hot"] * 3 + [f"k{i}" for i in range(k)])
+    games = [(0, g, f"g{g}", [(f"r{i}", 1, None, None, pick(12), None, None) for i in range(rng.randint(1, 4))]) for g in range(60)]
+    copies = [(kind, f"{kind or 'f'}{rng.randrange(25)}", None if kind is None else f"e{j}", 1, "c", None, pick(10).upper(), None) for j in range(160) for kind in [rng.choice([None, "zip", "tar"])]]
+    roms, scanned = M.rom_rows(spark.createDataFrame(games, ROM)), spark.createDataFrame(copies, SCAN).cache()
+    matches = M.match_roms(roms, scanned).cache()
+    cols = ["game_ord", "rom_ord", "n_roms", "rom_name", "archive_type", "path", "archive_path"]
+    rows = lambda df, *more: sorted(map(str, df.select(*cols, *more).collect()))
+    assert rows(M.first_sources(roms, scanned)) == rows(M.first_matches(matches))
+    for to_archive in (True, False):
+        assert rows(M.choose(roms, scanned, to_archive), "choice") == rows(M.choose_sources(matches, to_archive), "choice")
+    hot = spark.range(3000).select(F.lit(0).alias("dat_ord"), F.col("id").cast("int").alias("game_ord"), F.expr("array(named_struct('name', 'r', 'size', 0L, 'crc', 'c', 'md5', 'm', 'sha1', 's', 'sha256', 'x', 'status', ''))").alias("rom"))
+    seen = spark.range(3000).select(F.lit("zip").alias("archive_type"), F.concat(F.lit("z"), F.col("id").cast("string")).alias("path"), F.lit("e").alias("archive_path"), F.lit(0).cast("long").alias("unheadered_size"), F.lit("c").alias("crc"), F.lit("m").alias("md5"), F.lit("s").alias("sha1"), F.lit("x").alias("sha256"))
+    assert M.first_sources(M.rom_rows(hot), seen).agg(F.count("path"), F.min("path"), F.max("path")).first()[:] == (3000, "z0", "z0")
+
+
 XML = """<datafile><header><name>S</name><description>S</description><version>1</version><author>a</author><clrmamepro header="nes.xml"/></header>
 {games}</datafile>"""
 
