@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Filter, InvalidCatalog, PostFilter
 from ..functions.names import BUILT_IN, any_match, quote
+from .patterns import MANY, counted
 
 
 def patterns_of(strings: list[str] = (), regexes: list[str] = ()) -> tuple[str, ...]:
@@ -23,8 +26,9 @@ def overlaps(values: Column, wanted: tuple[str, ...]) -> Column:
     return F.arrays_overlap(values, F.array(*map(F.lit, wanted)))
 
 
-def predicate(f: Filter) -> Column:
-    """The conjunction of all row filters; cheap flags first. Includes rescue from excludes only."""
+def predicate(f: Filter, excluded: Column | None = None, included: Column | None = None) -> Column:
+    """The conjunction of all row filters; cheap flags first. Includes rescue from excludes only. excluded, included: where the
+    pattern lists are long, columns that say so already."""
     out = F.lit(True)
     if not f.allow_bios:
         out = out & ~F.col("is_bios")
@@ -40,12 +44,17 @@ def predicate(f: Filter) -> Column:
     if f.exclude_languages:
         out = out & ~overlaps(F.col("eff_languages"), f.exclude_languages)
     if f.excludes:
-        out = out & (~any_match(F.col("name"), list(f.excludes)) | any_match(F.col("name"), list(f.includes)))
+        hit = any_match(F.col("name"), list(f.excludes)) if excluded is None else excluded
+        out = out & (~hit | (any_match(F.col("name"), list(f.includes)) if included is None else included))
     return out
 
 
 def apply_filter(games: DataFrame, f: Filter) -> DataFrame:
-    return games.where(predicate(f))
+    if max(len(f.excludes), len(f.includes)) <= MANY:
+        return games.where(predicate(f))
+    rows = games.where(predicate(replace(f, excludes=(), includes=())))  # the cheap ones first
+    rows, of = counted(rows, excludes=f.excludes, includes=f.includes)
+    return rows.where(predicate(f, of["excludes"] > 0, of["includes"] > 0)).select(games.columns)
 
 
 def post_filter(games: DataFrame, f: PostFilter) -> DataFrame:
@@ -53,7 +62,8 @@ def post_filter(games: DataFrame, f: PostFilter) -> DataFrame:
     name is a family of its own."""
     if not f.excludes:
         return games
-    hit = games.where(any_match(F.col("name"), list(f.excludes))).select(F.col("parent_name").alias("_family")).distinct()
+    rows, of = counted(games.select("name", "parent_name"), excludes=f.excludes)
+    hit = rows.where(of["excludes"] > 0).select(F.col("parent_name").alias("_family")).distinct()
     return games.join(hit, F.col("parent_name").eqNullSafe(F.col("_family")), "left_anti")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Preference
 from ..functions.names import count_matches
+from .patterns import counted
 
 NO_INDEX = 2147483647
 
@@ -24,9 +25,12 @@ def selected_count(values: Column, wanted: tuple[str, ...]) -> Column:
     return F.size(F.array_intersect(values, F.array(*map(F.lit, wanted)))) if wanted else F.lit(0)
 
 
-def rank_columns(p: Preference) -> list[Column]:
-    """The ordering of a family, best first. Arrays must not be null; ties end with the input order (dat_ord, game_ord)."""
+def rank_columns(p: Preference, avoided: Column | None = None, preferred: Column | None = None) -> list[Column]:
+    """The ordering of a family, best first. Arrays must not be null; ties end with the input order (dat_ord, game_ord). avoided,
+    preferred: where the pattern lists are long, columns with how many match."""
     name = F.col("name")
+    avoided = count_matches(name, list(p.avoids)) if avoided is None else avoided
+    preferred = count_matches(name, list(p.prefers)) if preferred is None else preferred
 
     def late(col: str, early: bool) -> Column:
         return F.col(col).asc() if early else F.col(col).desc()
@@ -35,10 +39,10 @@ def rank_columns(p: Preference) -> list[Column]:
     language = smallest_index(F.col("eff_languages"), p.languages).asc()
     out = [F.col("is_bad").asc()]
     out += [F.col("is_prerelease").desc()] if p.prefer_prereleases else []
-    out += [count_matches(name, list(p.avoids)).asc()]
+    out += [avoided.asc()]
     out += [language, region] if p.prioritize_languages else [region, language]
     out += [F.col("is_parent").desc()] if p.prefer_parents else []
-    out += [count_matches(name, list(p.prefers)).desc(), late("revision", p.early_revisions), late("version", p.early_versions), F.col("is_prerelease").asc()]
+    out += [preferred.desc(), late("revision", p.early_revisions), late("version", p.early_versions), F.col("is_prerelease").asc()]
     out += [late(c, p.early_prereleases) for c in ("sample", "demo", "beta", "proto")]
     out += [selected_count(F.col("eff_languages"), p.languages).desc(), F.size(F.array_distinct("eff_languages")).desc(), F.col("is_parent").desc()]
     return [*out, F.col("dat_ord").asc(), F.col("game_ord").asc()]
@@ -46,7 +50,9 @@ def rank_columns(p: Preference) -> list[Column]:
 
 def rank(games: DataFrame, p: Preference) -> DataFrame:
     """games with `rank`, 1 for the best of each family."""
-    return games.withColumn("rank", F.row_number().over(Window.partitionBy("parent_name").orderBy(*rank_columns(p))))
+    rows, of = counted(games, avoids=p.avoids, prefers=p.prefers)
+    order = rank_columns(p, of["avoids"], of["prefers"])
+    return rows.select(*games.columns, F.row_number().over(Window.partitionBy("parent_name").orderBy(*order)).alias("rank"))
 
 
 def pick_best(games: DataFrame, p: Preference) -> DataFrame:

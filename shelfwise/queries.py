@@ -29,6 +29,8 @@ VARIANTS = {
     "rank_prefer_prereleases": Preference(languages=("en",), prefer_prereleases=True),
     "rank_prefer_avoid": Preference(prefers=(r"(?i)rev", N.quote("(World)")), avoids=(r"Beta", r"\(Unl\)")),
 }
+#: A list of ten thousand literals and a few expressions.
+MANY_PATTERNS = (*(N.quote(f"Item {12 * k} (") for k in range(10_000)), r"(?i)item \d*7\d* .*\(JAPAN\)", r"^Item 4\d+ \(Wor(?:ld|k)\) \(en", r"\(v1\.0\)$|\[b\]")
 FILTERED = Filter(include_regions=("USA", "EUR"), allow_bios=False, allow_proto=False, allow_beta=False, excludes=(N.BUILT_IN["bad"], N.BUILT_IN["unlicensed"]))
 
 
@@ -158,6 +160,8 @@ def queries() -> dict:
         "filter_exclude_regions": exclude(exclude_regions=("EUR",)),
         "filter_exclude_languages": exclude(exclude_languages=("es", "pt")),
         "filter_name_regex": exclude(excludes=(r"Rev 1", N.quote("(Demo)")), includes=(r"Item \d*4 ",)),
+        "filter_many_patterns": exclude(excludes=MANY_PATTERNS, includes=(r"\(Rev B\)",)),
+        "rank_many_patterns": _ranked(Preference(regions=("USA",), prefers=MANY_PATTERNS)),
         "filter_builtin_patterns": exclude(excludes=tuple(N.BUILT_IN.values())),
         "post_filter_families": lambda s, d: W.post_filter(_parsed(s, d), PostFilter((r"\(Beta 2\)",))).select(*_ord(), "parent_name"),
         "family_sizes": lambda s, d: _parsed(s, d).groupBy("parent_name").agg(F.count(F.lit(1)).alias("n"), F.min("game_ord").alias("first_ord")),
@@ -290,6 +294,7 @@ def _rank_sql(p: Preference) -> str:
     return ", ".join(f"({k[:-5]}) DESC" if k.endswith(" DESC") else f"({k})" for k in keys)
 
 
+_MANY = r"(CASE WHEN regexp_extract(name, '^Item (\d+) \(', 1)::BIGINT % 12 = 0 AND regexp_extract(name, '^Item (\d+) \(', 1)::BIGINT < 120000 THEN 1 ELSE 0 END + regexp_matches(name, '(?i)item \d*7\d* .*\(JAPAN\)')::INT + regexp_matches(name, '^Item 4\d+ \(Wor(?:ld|k)\) \(en')::INT + regexp_matches(name, '\(v1\.0\)$|\[b\]')::INT)"
 _NAME_ORDER = r"regexp_replace(lower(translate(name, '(),[].', chr(18) || chr(19) || chr(2) || chr(20) || chr(21) || chr(9))), '[\s\-]', '', 'g'), lower(name)"
 _BEST = f"row_number() OVER (PARTITION BY parent_name ORDER BY {_rank_sql(PREFERENCE)}, ord)"
 _MATCHES = f"""{{}}, {_sql(views.ROMS)}, {_sql(views.SCAN)},
@@ -344,6 +349,8 @@ def oracle_sql() -> dict[str, str]:
         "filter_exclude_regions": where("NOT list_has_any(regions, ['EUR'])"),
         "filter_exclude_languages": where("NOT list_has_any(eff_languages, ['es', 'pt'])"),
         "filter_name_regex": where(r"NOT (contains(name, 'Rev 1') OR contains(name, '(Demo)')) OR regexp_matches(name, 'Item \d*4 ')"),
+        "filter_many_patterns": where(f"NOT ({_MANY} > 0) OR contains(name, '(Rev B)')"),
+        "rank_many_patterns": f"{_PARSED} SELECT ord, parent_name, row_number() OVER (PARTITION BY parent_name ORDER BY {_rank_sql(Preference(regions=('USA',))).replace('((0)) DESC', f'({_MANY}) DESC', 1)}, ord) AS rank FROM parsed",
         "filter_builtin_patterns": where("NOT (" + " OR ".join(map(has, N.BUILT_IN.values())) + ")"),
         "post_filter_families": f"{_PARSED} SELECT ord, parent_name FROM parsed WHERE parent_name NOT IN (SELECT parent_name FROM parsed WHERE contains(name, '(Beta 2)'))",
         "family_sizes": f"{_PARSED} SELECT parent_name, count(*) AS n, min(ord) AS first_ord FROM parsed GROUP BY 1",

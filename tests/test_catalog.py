@@ -10,6 +10,7 @@ from shelfwise.config import Filter, InvalidCatalog, PostFilter, Preference, all
 from shelfwise.functions import files as FF
 from shelfwise.functions import names as N
 from shelfwise.operators.derive import derive, divergence
+from shelfwise.operators import patterns
 from shelfwise.operators.filters import apply_filter, post_filter, validate
 from shelfwise.operators.ranking import pick_best, rank
 from shelfwise.plans.render import MODES, catalog_text, name_list, rebuild, render
@@ -334,3 +335,30 @@ def test_name_order_of_a_language(spark, locale):
     rows = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, i int")
     got = [r["name"] for r in rows.orderBy(*N.name_order(F.col("name"), locale), "i").collect()]
     assert got == sorted(names, key=lambda n: bytes(collator.getCollationKey(n).toByteArray()))
+
+
+def test_required_literals():
+    want = {r"\QA.b\E": "a.b", r"(?i)\(Rev 1\)": "(rev 1)", "abc?def": "def", "ab+cd": "ab", "a|b": "", "(abc|d)efg": "efg", "[abc]xyz[^]]": "xyz", r"ab\d+cde": "cde", "x{2}yz": "yz", r"\Qab\E?cde": "cde",
+            "é-abc": "-abc", "a.*b": "a", "(?x) a b c": "", "(abc": "", r"(\)abc)def": "def", r"\Qab": "ab", "abc*?de": "ab", "": "", r"[\]x]abc": "abc"}
+    assert {p: patterns.required(p) for p in want} == want
+
+
+def test_many_patterns_are_as_each(spark):
+    """Long lists of literals and expressions against the plain form, in filters, family filters and ranks."""
+    rng = random.Random(6)
+    names = [" ".join(rng.choice(["Alpha", "beta", "Gamma 2", "(USA)", "(Rev 1)", "é", "x", "[b]"]) for _ in range(rng.randint(1, 5))) for _ in range(150)] + ["", "ab", None]
+    pool = ["alph", "Alpha", "ta Ga", "2 (U", "(Rev 1)", "x", "é x", "a beta", "[b] [b]"]
+    made = [N.quote(rng.choice(pool)) for _ in range(30)] + [rng.choice([r"(?i)ALPHA\s+BETA", r"^x", r"\[b\]$", "Gam+a", "be?ta (?:x|é)", "(?i)usa|rev", "[A-G]amma"]) for _ in range(30)]
+    made += [N.quote(f"none {i}") for i in range(300)]
+    df = derive(table(spark, [(n, "P" if i % 2 else f"Q{i % 9}") for i, n in enumerate(names)]))
+    plain = df.select("game_ord", F.coalesce(N.count_matches(F.col("name"), made), F.lit(0)).alias("n"))
+    got = patterns.with_counts(df, tuple(made), "n").select("game_ord", "n")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and got.count() == len(names)
+    excludes, includes = tuple(made[10:14] + made[100:]), tuple(made[31:33])
+    f = Filter(excludes=excludes, includes=includes)
+    few = Filter(excludes=excludes[:4], includes=includes)
+    ids = lambda rows: sorted(r["game_ord"] for r in rows.collect())
+    assert ids(apply_filter(df, f)) == ids(apply_filter(df, few)) and apply_filter(df, f).columns == df.columns
+    assert ids(post_filter(df, PostFilter(excludes))) == ids(post_filter(df, PostFilter(excludes[:4])))
+    ranks = lambda p: sorted((r["game_ord"], r["rank"]) for r in rank(df, p).collect())
+    assert ranks(Preference(prefers=excludes, avoids=includes)) == ranks(Preference(prefers=excludes[:4], avoids=includes))
