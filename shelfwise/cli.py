@@ -151,7 +151,7 @@ def run(spark: SparkSession, a: argparse.Namespace, show=print) -> int:
         with Progress(spark, "scan").shown(_status) as seen:
             files = schedule(list_files(spark, a.in_dir, bounds), threads or 4 * spark.sparkContext.defaultParallelism)
             scanned = scan(files, bounds, detectors, also_scanned(roms), tools, int(buffer.in_bytes()) if buffer else PIECE, progress=seen)
-            scanned = materialize(scanned, "scan")  # hashed once, though matching reads it several times
+            scanned = materialize(seen.observed(scanned, "size"), "scan")  # hashed once, though matching reads it several times
     text_catalog = a.out_mode is not None
     best = materialize(select_best(catalog, f, p, post, scanned, regions, text_catalog), "best")  # used more than once below
     if a.out_dir:
@@ -160,7 +160,7 @@ def run(spark: SparkSession, a: argparse.Namespace, show=print) -> int:
         plan, threads = plan_files(best, chosen, out), a.copy_threads or app.copier.threads
         plan = plan.repartition(threads, "to_path") if threads else plan
         with Progress(spark, "copy").shown(_status) as copied:
-            done = materialize(run_plan(plan, raw_zip, tools, copied), "copied")  # once: reading the rows again must not copy again
+            done = materialize(copied.observed(run_plan(plan, raw_zip, tools, copied)), "copied")  # once: reading the rows again must not copy again
         for r in done.where("status <> 'OK'").toLocalIterator():
             print(f"{r['from_path']} -> {r['to_path']}: {r['message']}", file=sys.stderr)
         return 0

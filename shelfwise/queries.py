@@ -54,6 +54,12 @@ def _ranked(p: Preference):
     return lambda s, d: R.rank(_parsed(s, d), p).select(*_ord(), "parent_name", F.col("rank").cast("long").alias("rank"))
 
 
+def _huge_family(s: SparkSession, d: str) -> DataFrame:
+    """Ranks where one family has a third of all games."""
+    games = _parsed(s, d).withColumn("parent_name", F.when(F.col("game_ord") % 3 == 0, "huge").otherwise(F.col("parent_name")))
+    return R.rank_by_ranges(games, PREFERENCE).select(*_ord(), "parent_name", F.col("rank").cast("long").alias("rank"))
+
+
 def _documents(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{d}/documents.parquet")
 
@@ -161,6 +167,7 @@ def queries() -> dict:
         "filter_exclude_languages": exclude(exclude_languages=("es", "pt")),
         "filter_name_regex": exclude(excludes=(r"Rev 1", N.quote("(Demo)")), includes=(r"Item \d*4 ",)),
         "filter_many_patterns": exclude(excludes=MANY_PATTERNS, includes=(r"\(Rev B\)",)),
+        "rank_huge_family": _huge_family,
         "rank_many_patterns": _ranked(Preference(regions=("USA",), prefers=MANY_PATTERNS)),
         "filter_builtin_patterns": exclude(excludes=tuple(N.BUILT_IN.values())),
         "post_filter_families": lambda s, d: W.post_filter(_parsed(s, d), PostFilter((r"\(Beta 2\)",))).select(*_ord(), "parent_name"),
@@ -350,6 +357,7 @@ def oracle_sql() -> dict[str, str]:
         "filter_exclude_languages": where("NOT list_has_any(eff_languages, ['es', 'pt'])"),
         "filter_name_regex": where(r"NOT (contains(name, 'Rev 1') OR contains(name, '(Demo)')) OR regexp_matches(name, 'Item \d*4 ')"),
         "filter_many_patterns": where(f"NOT ({_MANY} > 0) OR contains(name, '(Rev B)')"),
+        "rank_huge_family": f"{_PARSED}, h AS (SELECT * REPLACE (CASE WHEN ord % 3 = 0 THEN 'huge' ELSE parent_name END AS parent_name) FROM parsed) SELECT ord, parent_name, row_number() OVER (PARTITION BY parent_name ORDER BY {_rank_sql(PREFERENCE)}, ord) AS rank FROM h",
         "rank_many_patterns": f"{_PARSED} SELECT ord, parent_name, row_number() OVER (PARTITION BY parent_name ORDER BY {_rank_sql(Preference(regions=('USA',))).replace('((0)) DESC', f'({_MANY}) DESC', 1)}, ord) AS rank FROM parsed",
         "filter_builtin_patterns": where("NOT (" + " OR ".join(map(has, N.BUILT_IN.values())) + ")"),
         "post_filter_families": f"{_PARSED} SELECT ord, parent_name FROM parsed WHERE parent_name NOT IN (SELECT parent_name FROM parsed WHERE contains(name, '(Beta 2)'))",

@@ -12,7 +12,7 @@ from shelfwise.functions import names as N
 from shelfwise.operators.derive import derive, divergence
 from shelfwise.operators import patterns
 from shelfwise.operators.filters import apply_filter, post_filter, validate
-from shelfwise.operators.ranking import pick_best, rank
+from shelfwise.operators.ranking import pick_best, rank, rank_by_ranges
 from shelfwise.plans.render import MODES, catalog_text, name_list, rebuild, render
 from shelfwise.plans.sink import text_rows, write_catalog, write_names
 from shelfwise.plans.selection import select_best
@@ -153,6 +153,18 @@ def test_ranking_against_model(spark):
         assert own == sorted(own, key=key)
 
 
+def test_ranks_by_ranges(spark):
+    """One family of most rows, small ones and a null family, against the window."""
+    rng = random.Random(9)
+    rows = [(f"A {i % 50} " + rng.choice(["(USA)", "(Europe)", "(Rev 1)", "[b]", ""]), "huge" if i % 4 else f"P{i % 5}") for i in range(400)]
+    df = derive(table(spark, rows)).withColumn("parent_name", F.when(F.col("parent_name") != "P4", F.col("parent_name"))).repartition(6)
+    pref = Preference(regions=("EUR", "USA"))
+    ranks = lambda r: sorted((x["game_ord"], x["rank"]) for x in r.select("game_ord", "rank").collect())
+    ranked = rank_by_ranges(df, pref)
+    assert ranks(ranked) == ranks(rank(df, pref)) and ranked.schema["rank"].dataType.simpleString() == "int"
+    assert rank_by_ranges(df.limit(0), pref).count() == 0
+
+
 def test_sizes_and_types(spark):
     shown = lambda n: spark.range(1).select(FF.format_size(F.lit(n)), FF.format_size(F.lit(n), True)).first()
     assert tuple(shown(1536)) == ("1.50 KB", "   1.50 KB") and shown(5)[0] == "5.00 B" and shown(1 << 40)[0] == "1.00 TB"

@@ -296,6 +296,37 @@ def test_progress(spark):
     assert lines[-1].startswith("scan: 10 items, 10.00 KB, ") and lines[-1].endswith(" 0 failed")
 
 
+def test_observed_figures_of_retried_tasks(tmp_path):
+    """Tasks that fail once and run again: the result's own figures count every row once."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys; sys.path.insert(0, {str(Path(__file__).parent.parent)!r})
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2, 4]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}").getOrCreate()
+from shelfwise.functions.tables import materialize
+from shelfwise.plans.progress import Progress
+from shelfwise.workers import ship
+ship(spark)
+p, lines = Progress(spark, "scan"), []
+def run(frames):
+    for pdf in frames:
+        p.add(len(pdf), int(pdf["id"].sum()))
+        yield pd.DataFrame({{"size": pdf["id"], "status": ["OK" if i % 5 else "FAILED" for i in pdf["id"]]}})
+    if TaskContext.get().attemptNumber() == 0 and TaskContext.get().partitionId() % 2:
+        raise ValueError("once")
+with p.shown(lines.append):
+    out = materialize(p.observed(spark.range(100).repartition(4).mapInPandas(run, "size long, status string"), "size"), "out")
+print("FIGURES", p.figures(), out.count(), lines[-1].split("/s")[0].split(",")[0], lines[-1].split(", ")[-1])
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=200)
+    assert "FIGURES (100, 4950, 20) 100 scan: 100 items 20 failed" in out.stdout, out.stdout + out.stderr[-2000:]
+
+
 def test_shared_folder_is_needed_on_a_cluster():
     from types import SimpleNamespace as N
 
