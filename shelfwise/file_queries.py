@@ -37,6 +37,7 @@ from .sources.catalog import load_catalogs
 from .sources.config import load_patterns, load_regions
 from .sources.files import list_files, scan, scan_order, schedule
 from .sources.storage import local, write_file
+from .streaming.completeness import complete_as_seen
 from .streaming.files import scan_stream
 
 # Archive types that the standard library reads and writes; a document's place in a group of games decides which one it is in.
@@ -290,6 +291,17 @@ def _streamed(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{base}/rows").select(_file_id("path").alias("doc_id"), *_digest_columns())
 
 
+def _completed(s: SparkSession, d: str) -> DataFrame:
+    """The scan view in four parts, which a stream sees one after the other; the games that it finds complete."""
+    base = scratch(s, "completed")
+    views.scan(s, d).repartition(4).write.parquet(f"{base}/scan")
+    rows = s.readStream.schema(s.read.parquet(f"{base}/scan").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/scan")
+    done = complete_as_seen(rows, materialize(M.rom_rows(views.games(s, d)), "roms"))
+    q = done.writeStream.format("parquet").option("path", f"{base}/games").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.read.parquet(f"{base}/games").select(F.col("game_ord").alias("ord"))
+
+
 def _options(s: SparkSession, d: str) -> DataFrame:
     """A selection whose filter and preference come from command-line options."""
     a = cli.parser().parse_args(["1g1r", "c.xml", "--no-all", "--bios", "--demo", "--bad", "--promo", "--sort-regions", "jpn, usa", "--sort-languages", "Ja,En", "--exclude", "(Rev 1)", "--include-regex", r"Item \d*8 ", "--post-exclude-regex", r"\(v1\.0\)", "--early-revisions"])
@@ -392,6 +404,7 @@ def queries() -> dict:
         "scan_streamed": _streamed,
         "scan_order": _scan_order,
         "header_strip": _header_strip,
+        "games_complete_streamed": _completed,
         "catalog_xml": _catalog("xml"),
         "catalog_json": _catalog("json"),
         "catalog_yaml": _catalog("yaml"),
@@ -432,6 +445,7 @@ FROM placed JOIN (SELECT {rom_cols} FROM roms) r USING (ord)"""
         "scan_streamed": plain,
         "scan_order": "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, row_number() OVER (ORDER BY strlen(coalesce(text, '')) DESC, doc_id) - 1 AS before FROM documents",
         "header_strip": _HEADER_SQL,
+        "games_complete_streamed": f"{Q._ONLY_GAMES} SELECT ord FROM complete",
         "catalog_xml": catalog,
         "catalog_json": catalog,
         "catalog_yaml": catalog,

@@ -19,7 +19,7 @@ def rom_rows(games: DataFrame) -> DataFrame:
     return rows.select(*GAME, "rom_ord", "n_roms", F.col("r.name").alias("rom_name"), F.col("r.size").alias("size"), *(F.lower(F.col(f"r.{k}")).alias(k) for k in ("crc", "md5", "sha1", "sha256")))
 
 
-def _keyed(rows: DataFrame, keep: list[str], sha256_first: bool) -> DataFrame:
+def key_rows(rows: DataFrame, keep: list[str], sha256_first: bool) -> DataFrame:
     """keep, level and key: one row per key that a file has. Null parts make no key; digests compare without case."""
     keys = [F.concat(*(F.concat(F.lit(":"), F.lower(F.col(c).cast("string"))) for c in level)) for level in LEVELS]  # null with a null part
     levels = [F.struct(F.lit(i).alias("level"), k.alias("key")) for i, k in enumerate(keys) if i or sha256_first]
@@ -29,8 +29,8 @@ def _keyed(rows: DataFrame, keep: list[str], sha256_first: bool) -> DataFrame:
 def match_levels(roms: DataFrame, scan: DataFrame, sha256_first: bool = False) -> DataFrame:
     """rom_rows that some scanned file matches, with the first level at which one does and its key. Only the scan's distinct
     keys are read, so a file that was scanned many times counts once."""
-    there = _keyed(scan.withColumn("size", F.col("unheadered_size")), [], sha256_first).distinct()
-    mine = _keyed(roms, roms.columns, sha256_first).join(there, ["level", "key"], "left_semi")
+    there = key_rows(scan.withColumn("size", F.col("unheadered_size")), [], sha256_first).distinct()
+    mine = key_rows(roms, roms.columns, sha256_first).join(there, ["level", "key"], "left_semi")
     rest = [c for c in roms.columns if c not in (*GAME, "rom_ord")]
     least = mine.groupBy(*GAME, "rom_ord").agg(F.min(F.struct("level", "key", *rest)).alias("m"))
     return least.select(*GAME, "rom_ord", "m.level", "m.key", *(f"m.{c}" for c in rest))
@@ -59,7 +59,7 @@ def first_matches(matches: DataFrame) -> DataFrame:
 
 
 def _copies(scan: DataFrame, sha256_first: bool) -> DataFrame:
-    return _keyed(scan.withColumn("size", F.col("unheadered_size")), ["archive_type", "path", "archive_path"], sha256_first)
+    return key_rows(scan.withColumn("size", F.col("unheadered_size")), ["archive_type", "path", "archive_path"], sha256_first)
 
 
 def first_sources(roms: DataFrame, scan: DataFrame, sha256_first: bool = False, levels: DataFrame | None = None) -> DataFrame:

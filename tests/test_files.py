@@ -20,6 +20,7 @@ from shelfwise.plans.files import plan_files
 from shelfwise.sources import archives as A
 from shelfwise.sources.config import load_app_config, load_patterns, load_regions
 from shelfwise.sources.files import list_files, scan, schedule
+from shelfwise.streaming.completeness import complete_as_seen
 from shelfwise.streaming.files import scan_stream
 
 KINDS = ["zip", "tar", "tar.bz2", "tar.gz", "tar.xz", "tar.lzma", *["tar.lz4"] * bool(shutil.which("lz4")), *["7z"] * bool(shutil.which("bsdtar"))]
@@ -473,3 +474,25 @@ def test_stream_of_old_files(spark, tmp_path):
     assert [run(f"{d}.bin", d) for d in (0, 1, 3, 30, 9000)] == [["0.bin"], ["1.bin"], ["3.bin"], ["30.bin"], ["9000.bin"]]
     os.utime(base / "3.bin", (now - 3 * 86400,) * 2)
     assert run("1.bin", 1) == []
+
+
+def test_completeness_as_files_arrive(spark, tmp_path):
+    """After each batch the stream's games are those of all rows so far, each once; copies, late files and over 64 files of a game."""
+    rom = lambda k: (f"r{k}", 1, None, None, f"s{k}", None, None)
+    games = [(0, g, f"g{g}", [rom(g), rom(g + 1)]) for g in range(8)] + [(0, 8, "many", [rom(k) for k in range(70)]), (0, 9, "none", [])]
+    roms = M.rom_rows(spark.createDataFrame(games, ROM)).cache()
+    batches = [[0, 1, 1], [3, 3], [2, 0], [*range(3, 40)], [*range(40, 70)], [5, 69]]
+    folder, found, so_far = tmp_path / "in", [], []
+    folder.mkdir()
+    rows = spark.readStream.schema(SCAN).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    for k, batch in enumerate(batches):
+        part = spark.createDataFrame([(None, f"p{k}-{i}", None, 1, None, None, f"S{i}", None) for i in batch] + [(None, "bad", None, None, None, None, None, None)], SCAN)
+        part.coalesce(1).write.mode("append").parquet(str(folder))
+        so_far += batch
+        new = []
+        q = complete_as_seen(rows, roms).writeStream.foreachBatch(lambda df, _: new.extend(r["game_ord"] for r in df.collect())).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        found += new
+        seen = spark.createDataFrame([(None, "p", None, 1, None, None, f"s{i}", None) for i in so_far], SCAN)
+        assert sorted(found) == sorted(r["game_ord"] for r in M.complete_games(M.match_levels(roms, seen)).collect())
+    assert sorted(found) == list(range(9))
