@@ -237,11 +237,21 @@ def _catalog_by_game(s: SparkSession, d: str) -> DataFrame:
 NAME_FORMS = ("_a{}", ".b{}", "_sub/k{}", ".h/m{}", "x{}._COPYING_", "x#{}.bin", "q?{}.bin", "y%20z{}", "p q{}", "é{}", "a*b{}", "[c]{}", "{{d,e}}{}", "f\\g{}", "deep/er/h{}", "n{}.bin")
 
 
+def _of_all_forms(s: SparkSession, d: str) -> DataFrame:
+    """doc_id, name, content: a file of one of NAME_FORMS for each document."""
+    forms = F.array(*(F.concat(*(x for p in zip([F.lit(x.replace("{{", "{").replace("}}", "}")) for x in form.replace("{}", "\0").split("\0")], [F.col("doc_id").cast("string"), F.lit("")]) for x in p)) for form in NAME_FORMS))
+    return _contents(s, d).select("doc_id", F.element_at(forms, (F.col("doc_id") % len(NAME_FORMS) + 1).cast("int")).alias("name"), "content")
+
+
+def _below(to: str) -> F.Column:
+    """The name of a file of the column path, below the folder `to`."""
+    return F.substring_index(F.col("path"), f"/{to.rsplit('/', 1)[1]}/", -1)
+
+
 def _listing_names(s: SparkSession, d: str) -> DataFrame:
     """Files of names of every form, with links to some of them and to a folder, listed and scanned."""
     to = scratch(s, "named")
-    forms = F.array(*(F.concat(*(x for p in zip([F.lit(x.replace("{{", "{").replace("}}", "}")) for x in form.replace("{}", "\0").split("\0")], [F.col("doc_id").cast("string"), F.lit("")]) for x in p)) for form in NAME_FORMS))
-    named = _contents(s, d).select(F.element_at(forms, (F.col("doc_id") % len(NAME_FORMS) + 1).cast("int")).alias("name"), "content", "doc_id")
+    named = _of_all_forms(s, d)
     write_loose(named, to)
 
     def link(frames):
@@ -253,8 +263,7 @@ def _listing_names(s: SparkSession, d: str) -> DataFrame:
     if local(to) is not None:
         named.where("doc_id % 10 = 0").select("name").mapInPandas(link, "n long").agg(F.sum("n")).first()
         os.symlink(local(to), f"{local(to)}/deep/round")
-    here = F.substring_index(F.col("path"), f"/{to.rsplit('/', 1)[1]}/", -1)
-    return scan(list_files(s, [to])).select(here.alias("name"), "size", "md5", "status")
+    return scan(list_files(s, [to])).select(_below(to).alias("name"), "size", "md5", "status")
 
 
 TASKS = 16
@@ -291,6 +300,16 @@ def _streamed(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{base}/rows").select(_file_id("path").alias("doc_id"), *_digest_columns())
 
 
+def _streamed_names(s: SparkSession, d: str) -> DataFrame:
+    """The same files as those of `_listing_names`, arriving in two parts: the stream runs after each, and has each file once."""
+    to, base = scratch(s, "arriving"), scratch(s, "arrived")
+    for part in (F.col("doc_id") % 2 == 0, F.col("doc_id") % 2 != 0):
+        write_loose(_of_all_forms(s, d).where(part), to)
+        q = scan_stream(s, to).writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return s.read.parquet(f"{base}/rows").select(_below(to).alias("name"), "size", "md5", "status")
+
+
 def _completed(s: SparkSession, d: str) -> DataFrame:
     """The scan view in four parts, which a stream sees one after the other; the games that it finds complete."""
     base = scratch(s, "completed")
@@ -411,6 +430,7 @@ def queries() -> dict:
         "names_file": _names_file,
         "catalog_by_game": _catalog_by_game,
         "listing_names": _listing_names,
+        "listing_streamed": _streamed_names,
         "scan_schedule": _scan_schedule,
         "targets_once": _targets_once,
         "files_extracted": lambda s, d: _run(s, d, None),
@@ -436,6 +456,7 @@ def oracle_sql() -> dict[str, str]:
 FROM placed JOIN (SELECT {rom_cols} FROM roms) r USING (ord)"""
     rank = Q._rank_sql(OPTIONS_PREFERENCE)
     built_in = " OR ".join(f"regexp_matches(name, {Q._quoted(p)})" for k, p in N.BUILT_IN.items() if k not in ("bad", "promo"))
+    names = f"SELECT replace(({Q._list(NAME_FORMS)})[CAST(doc_id % {len(NAME_FORMS)} AS INT) + 1].replace('{{{{', '{{').replace('}}}}', '}}'), '{{}}', doc_id::VARCHAR) AS name, {size} AS size, md5({CONTENT_SQL}) AS md5, 'OK' AS status FROM documents"
     pick = lambda xs, col: f"([{', '.join(repr(x) for x in xs)}])[CAST(o_orderkey % {len(xs)} AS INT) + 1] AS {col}"
     regions = "list_filter(list_transform(tokens, lambda t: CASE WHEN regexp_full_match(t, '(?i)usa|brazil') THEN 'AMERICA' WHEN regexp_full_match(t, 'Japan') THEN 'ASIA' END), lambda x: x IS NOT NULL)"
     return {
@@ -451,7 +472,8 @@ FROM placed JOIN (SELECT {rom_cols} FROM roms) r USING (ord)"""
         "catalog_yaml": catalog,
         "names_file": f"{best} SELECT place AS line, name FROM placed",
         "catalog_by_game": f"WITH {Q._GAMES}, {Q._sql(views.ROMS)} SELECT CAST(row_number() OVER (ORDER BY g.ord) - 1 AS BIGINT) AS game_ord, name, cloneof, name || ' & <more>' AS description, 'nes.xml' AS detector, CAST(g.n_roms AS INTEGER) AS n_roms, r.bytes, r.sha1, true AS many_splits FROM games g JOIN (SELECT ord, CAST(sum(size) AS BIGINT) AS bytes, max(sha1) FILTER (rom_ord = 0) AS sha1 FROM roms GROUP BY ord) r USING (ord)",
-        "listing_names": f"SELECT replace(({Q._list(NAME_FORMS)})[CAST(doc_id % {len(NAME_FORMS)} AS INT) + 1].replace('{{{{', '{{').replace('}}}}', '}}'), '{{}}', doc_id::VARCHAR) AS name, {size} AS size, md5({CONTENT_SQL}) AS md5, 'OK' AS status FROM documents",
+        "listing_names": names,
+        "listing_streamed": names,
         "scan_schedule": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS length, true AS fits FROM documents",
         "targets_once": f"SELECT doc_id, CASE WHEN doc_id = min(doc_id) OVER w THEN 'OK' ELSE 'FAILED' END AS status, first(md5({CONTENT_SQL})) OVER (PARTITION BY doc_id // 2 ORDER BY doc_id) AS md5 FROM documents WINDOW w AS (PARTITION BY doc_id // 2)",
         "files_extracted": _run_sql(False),

@@ -6,15 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.headers import EOF, Detector
 from ..sources.files import scan
-
-
-#: The file source leaves out files of a modification time older than this before the newest seen; by default a week.
-MAX_AGE = "1000000d"
+from ..sources.listing import arriving_files
 
 
 def scan_stream(spark: SparkSession, folder: str, bounds: tuple[int, int] = (0, EOF), detectors: list[Detector] = ()) -> DataFrame:
-    """A streaming DataFrame of scan rows. Files count whatever their modification time; a file that comes again with its time
-    unchanged counts once, one of a later time again; the source passes over a known path with an earlier time. Its log in the
-    checkpoint holds all paths and times."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("maxFileAge", MAX_AGE).load(folder)
-    return scan(files, bounds, detectors)
+    """A streaming DataFrame of the scan rows of all files below a folder, whatever their names and age, and of no links. A file
+    counts once for each time of modification; what cannot be looked at is one FAILED row (see `arriving_files`)."""
+    return scan(arriving_files(spark, [folder], bounds), bounds, detectors)

@@ -476,6 +476,58 @@ def test_stream_of_old_files(spark, tmp_path):
     assert run("1.bin", 1) == []
 
 
+def test_stream_of_all_names(spark, tmp_path):
+    """Names of every form, moved files and folders, rewritten files, and links, over runs of one stream."""
+    base, out, done = tmp_path / "in", tmp_path / "out", str(tmp_path / "checkpoint")
+    base.mkdir()
+
+    def run():
+        rows = []
+        q = scan_stream(spark, str(base), (0, 30)).select("path", "size", "status").writeStream.foreachBatch(lambda df, _: rows.extend(df.collect())).option("checkpointLocation", done).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+        return {r["path"].removeprefix(f"file:{base}/"): (r["size"], r["status"]) for r in rows}
+
+    assert run() == {}
+    for n in NAMES:
+        for root in (base, out):
+            (root / n).parent.mkdir(parents=True, exist_ok=True)
+            (root / n).write_bytes(n.encode())
+    os.symlink(base / "_a.bin", base / "link.bin")
+    os.symlink(base, base / "_sub" / "round")
+    assert run() == {n: (len(n.encode()), "FAILED" if n.endswith(".zip") else "OK") for n in NAMES}
+    assert run() == {}
+    os.rename(out / "_a.bin", base / "moved")
+    os.rename(out / "_sub", base / "moved folder")
+    (base / ".b.bin").write_bytes(b"again")
+    (base / "too large").write_bytes(b"x" * 31)
+    os.chmod(base / "x#1.bin", 0o600)
+    inside = {n.replace("_sub", "moved folder", 1): (len(n.encode()), "OK") for n in NAMES if n.startswith("_sub/")}
+    assert inside and run() == {"moved": (6, "OK"), ".b.bin": (5, "OK")} | inside
+    os.rename(base / "moved", out / "moved")
+    assert run() == {}
+
+
+def test_offsets_of_arrivals(tmp_path):
+    """An offset stays while nothing changes; a listing up to it never has what changed later."""
+    from shelfwise.sources import listing
+
+    reader = listing.ArrivalReader(listing.ListingReader([f"file:{tmp_path}"], None, True))
+    listed = lambda end: sorted(os.path.basename(x) for p in reader.partitions({}, end) for b in reader.read(p) for x in b.column("path").to_pylist())
+    assert reader.latestOffset() == reader.initialOffset()
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a").write_bytes(b"1")
+    first = reader.latestOffset()
+    assert first == reader.latestOffset() != reader.initialOffset() and listed(first) == ["a"]
+    time.sleep(0.05)
+    (tmp_path / "b").write_bytes(b"2")
+    os.utime(tmp_path / "b", (1, 1))
+    second = reader.latestOffset()
+    assert second != first and listed(first) == ["a"] and listed(second) == ["a", "b"]
+    (tmp_path / "b").unlink()
+    assert reader.latestOffset() == first
+
+
 def test_completeness_as_files_arrive(spark, tmp_path):
     """After each batch the stream's games are those of all rows so far, each once; copies, late files and over 64 files of a game."""
     rom = lambda k: (f"r{k}", 1, None, None, f"s{k}", None, None)

@@ -49,7 +49,7 @@ def test_every_query_runs(spark, tables):
 
 
 def test_workers_of_a_session_from_another_folder(tmp_path):
-    """Python workers find the package though neither their folder nor PYTHONPATH leads to it."""
+    """Python workers and the process of a stream's source find the package though neither their folder nor PYTHONPATH leads to it."""
     code = f"""
 import sys; sys.path.insert(0, {str(ROOT)!r})
 from pyspark.sql import SparkSession
@@ -63,9 +63,13 @@ def run(batches):
         assert len(h.BUNDLED) == {13}
         yield b
 print("rows", spark.range(10).mapInArrow(run, "id long").count())
+from shelfwise.sources.listing import arriving_files
+open("a", "w").write("1")
+q = arriving_files(spark, ["."]).writeStream.foreachBatch(lambda df, _: print("arrived", df.count())).trigger(availableNow=True).start()
+q.awaitTermination()
 """
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
-    assert "rows 10" in out.stdout, out.stderr[-2000:]
+    assert "rows 10" in out.stdout and "arrived 1" in out.stdout, out.stderr[-2000:]
 
 
 def test_entry_without_corpus_operators(tmp_path):
