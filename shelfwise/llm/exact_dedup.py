@@ -57,7 +57,8 @@ def exact_dedup(docs: DataFrame, in_snapshot: F.Column, id_col: str = "doc_id",
     Rows where in_snapshot holds are the immutable snapshot, the others, null included, the incoming batch. Null texts count as empty and
     are one group with empty and all-white texts' own form (a single space stays a space). Of equal texts the smallest id
     stays; rows that repeat the id of the row that stays carry it as keep_id too; null ids stay only among themselves.
-    Other columns are not read, so their names cannot clash. An empty table gives no rows.
+    Other columns are not read, so their names cannot clash. An empty table gives no rows. Texts of any length that Spark holds in
+    a row count whole; for the byte check a text is one grouping key, so a task holds a few at a time.
     """
     norm = norm_text(F.col(text_col))
     digested = docs.select(F.col(id_col).alias("id"), norm.alias("norm"), F.coalesce(in_snapshot, F.lit(False)).alias("old"))

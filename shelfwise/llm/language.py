@@ -132,7 +132,9 @@ def train(df: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col: str
 
 def predict(df: DataFrame, classes: list[str], net: ByteCNN | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, lang_pred, score for each row. `und` with score 0 for texts that are null, empty or without a letter, and for
-    all rows if nothing could be learned; with one class, that class with score 1. Every window of a text counts."""
+    all rows if nothing could be learned; with one class, that class with score 1. Every window of a text counts,
+    however long it is. Of equally likely classes the first in order is taken; repeated rows and null ids are rows like others; an
+    empty table gives no rows. Columns but these two are not read, so their names cannot clash."""
 
     def run(batches):
         for batch in batches:

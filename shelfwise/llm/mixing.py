@@ -73,7 +73,8 @@ def mix(docs: DataFrame, domains: dict[str, list[str]], weights: dict[str, dict[
     epochs_taken is how many times the row is selected, 0 for not. Null languages and sources are names of their own
     ("?"); sources in no domain are in domain "other"; names without a weight get `other`. Rows without words are selected
     with their leaf's whole epochs and where the prefix passes them. Rows of equal id are ordered by size, then by `keep`. Other columns
-    are not read. An empty table gives no rows.
+    are not read. An empty table gives no rows. Of a text only the number of its words is used, counted over the whole, so
+    length does not matter; a text that does not fit into what is left of the quota ends the prefix.
     """
     origin = F.coalesce(F.col(source_col), F.lit("?"))
     domain = F.lit("other")

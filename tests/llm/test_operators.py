@@ -97,6 +97,25 @@ def test_exact_dedup_unknown_snapshot(spark):
     assert got == {1: (1, 3), 2: (1, 3), 3: (1, 3), 4: (4, 2), 5: (4, 2), 6: (6, 2), 7: (6, 2)}
 
 
+class FirstLetterDigests:
+    """pyspark's functions with a SHA-256 that sees a text's first byte only."""
+
+    def __getattr__(self, name):
+        return (lambda col, bits: F.sha2(F.substring(col, 1, 1) if bits == 256 else col, bits)) if name == "sha2" else getattr(F, name)
+
+
+def test_exact_dedup_with_equal_digests(spark, monkeypatch):
+    """Different texts of one digest are told apart by their bytes, in the snapshot, in the batch and across both."""
+    monkeypatch.setattr(exact_dedup, "F", FirstLetterDigests())
+    texts = ["apple", "avocado", "apple", "bear", "bear", "cat", "cow", "dog", "avocado", "apple  tree", "apple tree", None, "", "eel"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    norm = [re.sub(SPACE, " ", t or "") for t in texts]
+    want = {i: (norm.index(t), norm.count(t)) for i, t in enumerate(norm)}
+    for old in (F.col("doc_id") % 2 == 0, F.col("doc_id") < 3, F.lit(True), F.lit(False)):
+        got = exact_dedup.exact_dedup(df, old).collect()
+        assert len(got) == len(texts) and {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in got} == want
+
+
 def brute_repeats(texts, span):
     count = Counter(b[i : i + span] for b in texts for i in range(len(b) - span + 1))
     out = []
@@ -453,6 +472,34 @@ def test_language(spark):
     assert {(r["lang_pred"], r["score"]) for r in language.predict(df.limit(5), ["en"], None).collect()} == {("en", 1.0)}
 
 
+def test_language_of_whole_texts(spark, monkeypatch):
+    """Predictions window by window: the mean of all windows' log probabilities by bytes, over chunks and long texts."""
+    rng = random.Random(4)
+    kinds = {"x": "abcdef", "y": "mnopqr", "z": "\u00e9\u00e8stuv"}
+    text = lambda k, n: " ".join("".join(rng.choices(kinds[k], k=rng.randint(1, 7))) for _ in range(n))
+    rows = [(i, text(k, rng.choice([1, 3, 30, 200])), k) for i, k in enumerate("xyz" * 20)]
+    rows += [(100, text("x", 300) + " " + text("y", 310), None), (101, text("z", 20000), None), (102, None, "x"), (103, "", "y"), (104, "12 34 --", "z"), (105, "a" * language.WINDOW, None), (7, rows[7][1], "y"), (None, text("y", 9), "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    classes, net = language.train(df, F.lit(True))
+    assert classes == ["x", "y", "z"]
+
+    def plain(t):
+        b = (t or "").encode()
+        if not any(c.isalpha() for c in t or ""):
+            return "und", 0.0
+        total = np.zeros(len(classes))
+        for i in range(0, len(b), language.WINDOW):
+            part = b[i : i + language.WINDOW]
+            total += len(part) * net.log_probs(np.frombuffer(part.ljust(language.WINDOW, b"\0"), np.uint8)[None])[0].astype(float)
+        q = np.exp(total / len(b))
+        return classes[int(q.argmax())], float(q.max() / q.sum())
+
+    got = sorted(((str(r["doc_id"]), r["lang_pred"], r["score"]) for r in language.predict(df, classes, net).collect()))
+    want = sorted((str(i), *plain(t)) for i, t, _ in rows)
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want], atol=1e-4)
+    assert language.predict(df.limit(0), classes, net).count() == 0
+
+
 def test_network_gradients():
     rng = np.random.default_rng(1)
     net = language.ByteCNN(3)

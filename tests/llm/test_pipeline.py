@@ -1,11 +1,13 @@
 """The pipeline's stages, one by one and together, over a small set of tables."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
+LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 @pytest.fixture(scope="module")
@@ -54,6 +56,69 @@ def test_run(spark, tables):
     assert max(sizes) - min(sizes) <= 1
 
 
+def shingles(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def kept_by_hand(rows):
+    """Ids of rows (id, text) that stay: the least of each component of links of similarity 0.8 or more."""
+    rows = sorted(rows)
+    sets, top = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0:
+                x, y = sorted((root(a), root(b)))
+                top[y] = x
+    return {rows[i][0] for i in range(len(rows)) if root(i) == i}
+
+
+def grams(t):
+    w = "".join(c for c in (t or "").lower() if c.isalnum())
+    return {w[i : i + 8] for i in range(len(w) - 7)}
+
+
+def test_whole_run_by_hand(spark, tables):
+    """The rows after each stage of run(), from plain forms of the stages over what the stage before kept: near copies with one to
+    four words in ten changed, leaks with the q-gram bound that a leak cannot miss, and shares of leaves."""
+    d, *_ = tables
+    leak = spark.read.parquet(f"{d}/benchmark.parquet").first()["text"]
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rng, f = random.Random(5), dict(corpus_pipeline.STAGES)
+    near = []
+    for i, r in enumerate(docs.where("doc_id < 120").orderBy("doc_id").collect()):
+        w = r["text"].split()
+        for at in rng.sample(range(len(w)), len(w) * (i % 5) // 100 + i % 3):
+            w[at] = "changed"
+        near.append((5000 + i, " ".join(w), r["lang"], r["source"], 0))
+    docs = docs.unionByName(spark.createDataFrame(near, docs.schema)).repartition(3)
+    text = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
+
+    now = f["near_dedup"](spark, docs, d)
+    kept = ids(now)
+    assert kept == kept_by_hand(text.items()) and 0 < len({i for i in kept if i is not None and i >= 5000}) < 120
+    now = f["decontaminate"](spark, now, d)
+    least = 120 - 7 - 12 * 8  # q-grams that a window within its edits shares
+    surely, never = {i for i in kept if leak.lower() in (text[i] or "").lower()}, {i for i in kept if len(grams(text[i]) & grams(leak)) < least}
+    assert surely | never == kept and surely and ids(now) == kept - surely
+    kept -= surely
+    now = f["mixing"](spark, now, d)
+    mixed, words = ids(now), lambda some: sum(len((text[i] or "").split()) for i in some)
+    assert mixed <= kept and 0.7 * words(kept) < words(mixed) <= 0.8 * words(kept)
+    out = f["sharding"](spark, now, d).collect()
+    assert {r["doc_id"] for r in out} == mixed and len(out) == len(mixed) and all(r["text"] == text[r["doc_id"]] for r in out)
+    for s in range(corpus_pipeline.SHARDS):
+        slots = sorted(r["slot"] for r in out if r["shard"] == s)
+        assert slots == list(range(len(slots))) and len(slots) in (len(out) // corpus_pipeline.SHARDS, len(out) // corpus_pipeline.SHARDS + 1)
+
+
 def test_repeated_rows_and_null_ids(spark):
     """Decisions are rows', not ids': repeated rows, one id with several texts, and null ids."""
     rng = random.Random(2)
