@@ -9,7 +9,6 @@ from __future__ import annotations
 import os
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +23,8 @@ from .operators import derive as D
 from .operators import filters as W
 from .operators import matching as M
 from .operators import ranking as R
-from .operators.headers import DataTest, Detector, FileTest, Rule, strip_header
+from .operators.header_columns import scan_contents, with_content
+from .operators.headers import DataTest, Detector, FileTest, Rule
 from .plans import views
 from .plans.execute import run_plan
 from .plans.files import plan_files
@@ -123,7 +123,7 @@ def _scan_order(s: SparkSession, d: str) -> DataFrame:
     return numbered(scan_order(made), "before").select("doc_id", "size", "before")
 
 
-#: Detectors whose rules use most kinds of tests and operations; the tests have the others.
+#: Detectors of three kinds of rules.
 HEADERS = [
     Detector("skip", (Rule(0x10, tests=(DataTest(0, b"The"),)),)),
     Detector("words", (Rule(0, operation="wordswap", tests=(FileTest(0x200, "greater"), DataTest(-1, b".", False), DataTest(0, b"A", kind="and", mask=b"\xdf"))),)),
@@ -131,17 +131,14 @@ HEADERS = [
 ]
 
 
-def _header_strip(s: SparkSession, d: str) -> DataFrame:
-    """The content of every document's bytes by HEADERS: how long it is, its digest, and whether a rule failed."""
+def _as_content(s: SparkSession, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("text").cast("binary").alias("content"))
 
-    def run(batches):
-        for batch in batches:
-            got = [strip_header(x.as_py() or b"", HEADERS) for x in batch.column(1)]
-            hexes = [c.hex().upper() for c, _ in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(c) for c, _ in got], pa.int64()), pa.array(hexes), pa.array([e is not None for _, e in got])], names=["doc_id", "unheadered_size", "hex", "failed"])
 
-    rows = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("text").cast("binary").alias("content"))
-    return rows.mapInArrow(run, "doc_id long, unheadered_size long, hex string, failed boolean").select("doc_id", "unheadered_size", F.md5("hex").alias("md5_of_hex"), "failed")
+def _header_strip(s: SparkSession, d: str) -> DataFrame:
+    """The content of every document's bytes by HEADERS: how long it is, its digest, and whether a rule failed."""
+    rows = with_content(_as_content(s, d), HEADERS)
+    return rows.select("doc_id", F.length("content").cast("long").alias("unheadered_size"), F.md5(F.hex("content")).alias("md5_of_hex"), F.col("header.message").isNotNull().alias("failed"))
 
 
 _HEADER_SQL = r"""WITH a AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents), b AS (SELECT *, length(h) // 2 AS n FROM a),
@@ -151,6 +148,46 @@ w AS (SELECT *, CASE WHEN skip THEN substr(h, 33) WHEN words AND n % 4 = 0 THEN
 SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS unheadered_size, md5(x) AS md5_of_hex, NOT skip AND (words AND n % 4 <> 0 OR pairs AND n % 2 <> 0) AS failed FROM w"""
 
 
+#: Detectors that use every kind of test and operation, offsets from both ends, wanted results of both kinds, and rules that fail.
+PROGRAMS = [
+    Detector("sizes", (Rule(operation="bitswap", tests=(FileTest(None),)), Rule(1, -1, tests=(FileTest(0x200, "less"), FileTest(0x180, "less", False))), Rule(5, tests=(FileTest(0x14D, "equal"),)))),
+    Detector("unequal", (Rule(tests=(FileTest(0x600, "greater"), DataTest(0, b"ab", kind="or", mask=b"a"))),)),
+    Detector("backwards", (Rule(0x20, 0x10, tests=(DataTest(-1, b"."), DataTest(0, b"\x40", kind="and", mask=b"\x63"))),)),
+    Detector("cased", (Rule(-0x40, operation="byteswap", tests=(DataTest(0, b"t", kind="or", mask=b" "),)), Rule(3, operation="wordswap", tests=(DataTest(0, b"\x08", kind="xor", mask=b"A"),)))),
+    Detector("words", (Rule(0, -4, "wordbyteswap", (DataTest(1, b"n", False), FileTest(None, result=False), DataTest(-2, b"\x20", False, "and", b"\xe0"))),)),
+]
+
+
+def _header_programs(s: SparkSession, d: str) -> DataFrame:
+    """What PROGRAMS find in every document's bytes: the detector and rule, the content's length and digest, and the last failure before."""
+    rows = with_content(_as_content(s, d), PROGRAMS)
+    return rows.select("doc_id", F.col("header.detector").alias("detector"), F.col("header.rule").alias("rule"), F.length("content").cast("long").alias("unheadered_size"), F.md5(F.hex("content")).alias("md5_of_hex"), F.col("header.message").alias("message"))
+
+
+_SWAPPED_NIBBLES = "translate(regexp_replace({}, '(.)(.)', '\\2\\1', 'g'), '0123456789ABCDEF', '084C2A6E195D3B7F')"
+_PROGRAMS_SQL = rf"""WITH a AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents), b AS (SELECT *, length(h) // 2 AS n FROM a),
+c AS (SELECT *, CASE WHEN n > 0 THEN CAST('0x' || substr(h, 1, 2) AS INT) END AS f, right(h, 2) AS z, CASE WHEN n > 1 THEN CAST('0x' || left(right(h, 4), 2) AS INT) END AS y, n > 0 AND n & (n - 1) = 0 AS po2 FROM b),
+d AS (SELECT *, po2 AS s0, NOT po2 AND n < 512 AND n >= 384 AS s1, NOT po2 AND n = 333 AS s2, n > 1536 AS uneven, n > 0 AND z = '2E' AND f & 99 = 64 AS back, f | 32 = 116 AS t, f = 73 AS i FROM c),
+e AS (SELECT *, s0 OR s1 OR s2 AS sized, n > 1 AND substr(h, 3, 2) <> '6E' AND NOT po2 AND y & 224 <> 32 AS w FROM d),
+g AS (SELECT *, least(n, 64) AS m, greatest(n - 3, 0) AS r, greatest(n - 4, 0) AS k FROM e),
+p AS (SELECT *, CASE WHEN s0 THEN 0 WHEN s1 THEN 1 WHEN s2 THEN 2 WHEN back AND n <= 16 THEN 3 WHEN t AND m % 2 = 0 THEN 4 WHEN NOT coalesce(t, false) AND i AND r % 4 = 0 THEN 5 WHEN w AND k % 4 = 0 THEN 6 END AS way FROM g),
+x AS (SELECT *, CASE way WHEN 0 THEN {_SWAPPED_NIBBLES.format("h")} WHEN 1 THEN substr(h, 3, length(h) - 4) WHEN 2 THEN substr(h, 11) WHEN 3 THEN ''
+  WHEN 4 THEN regexp_replace(right(h, 2 * m), '(..)(..)', '\2\1', 'g') WHEN 5 THEN regexp_replace(substr(h, 7), '(..)(..)(..)(..)', '\4\3\2\1', 'g') WHEN 6 THEN regexp_replace(left(h, 2 * k), '(..)(..)(..)(..)', '\3\4\1\2', 'g') ELSE h END AS x FROM p)
+SELECT doc_id, (['sizes', 'sizes', 'sizes', 'backwards', 'cased', 'cased', 'words'])[way + 1] AS detector, ([0, 1, 2, 0, 0, 1, 0])[way + 1] AS rule, CAST(length(x) // 2 AS BIGINT) AS unheadered_size, md5(x) AS md5_of_hex,
+  CASE WHEN sized THEN NULL WHEN way IS NULL AND w THEN 'words: ' || k || ' bytes are no multiple of 4'
+  WHEN coalesce(way, 9) > 3 AND t AND m % 2 <> 0 THEN 'cased: ' || m || ' bytes are no multiple of 2' WHEN coalesce(way, 9) > 3 AND NOT coalesce(t, false) AND i AND r % 4 <> 0 THEN 'cased: ' || r || ' bytes are no multiple of 4'
+  WHEN back AND n > 16 THEN 'backwards: the slice ends before it starts' WHEN uneven THEN 'unequal: mask and value differ in length' END AS message FROM x"""
+
+
+def _scan_contents(s: SparkSession, d: str) -> DataFrame:
+    """Documents as loose files, half of them with a header, read by Spark's own source and scanned by column expressions only."""
+    to, head = scratch(s, "contents"), F.lit(b"HEAD" + bytes(508))
+    write_loose(_contents(s, d).select(_named().alias("name"), F.when(F.col("doc_id") % 2 == 0, F.concat(head, "content")).otherwise(F.col("content")).alias("content")), to)
+    read = s.read.format("binaryFile").option("recursiveFileLookup", True).load(to).select("path", "content")
+    empty = list_files(s, [to]).where("length = 0").select("path", F.lit(None).cast("binary").alias("content"))  # Spark's source passes over them
+    return scan_contents(read.unionByName(empty), [Q.HEADERED]).select(_file_id("path").alias("doc_id"), *_digest_columns())
+
+
 def _scan_headered(s: SparkSession, d: str) -> DataFrame:
     """Files with a header that a detector knows and files without, half of them in archives; digests are of the content."""
     to, head = scratch(s, "headered"), F.lit(b"HEAD" + bytes(508))
@@ -423,6 +460,8 @@ def queries() -> dict:
         "scan_streamed": _streamed,
         "scan_order": _scan_order,
         "header_strip": _header_strip,
+        "header_programs": _header_programs,
+        "scan_contents": _scan_contents,
         "games_complete_streamed": _completed,
         "catalog_xml": _catalog("xml"),
         "catalog_json": _catalog("json"),
@@ -463,9 +502,11 @@ FROM placed JOIN (SELECT {rom_cols} FROM roms) r USING (ord)"""
         "scan_loose_files": plain,
         "scan_archives": f"SELECT doc_id, {_KIND_SQL} AS archive_type, {size} AS size, {size} AS unheadered_size, {digests} FROM documents",
         "scan_headered": f"SELECT doc_id, doc_id % 4 >= 2 AS packed, {size} + CASE WHEN doc_id % 2 = 0 THEN 512 ELSE 0 END AS size, {size} AS unheadered_size, {digests} FROM documents",
+        "scan_contents": f"SELECT doc_id, {size} + CASE WHEN doc_id % 2 = 0 THEN 512 ELSE 0 END AS size, {size} AS unheadered_size, {digests} FROM documents",
         "scan_streamed": plain,
         "scan_order": "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, row_number() OVER (ORDER BY strlen(coalesce(text, '')) DESC, doc_id) - 1 AS before FROM documents",
         "header_strip": _HEADER_SQL,
+        "header_programs": _PROGRAMS_SQL,
         "games_complete_streamed": f"{Q._ONLY_GAMES} SELECT ord FROM complete",
         "catalog_xml": catalog,
         "catalog_json": catalog,
