@@ -159,9 +159,9 @@ PROGRAMS = [
 
 
 def _header_programs(s: SparkSession, d: str) -> DataFrame:
-    """What PROGRAMS find in every document's bytes: the detector and rule, the content's length and digest, and the last failure before."""
+    """What PROGRAMS find in every document's bytes: the detector and rule (-1 without one), the content's length and digest, and the last failure before."""
     rows = with_content(_as_content(s, d), PROGRAMS)
-    return rows.select("doc_id", F.col("header.detector").alias("detector"), F.col("header.rule").alias("rule"), F.length("content").cast("long").alias("unheadered_size"), F.md5(F.hex("content")).alias("md5_of_hex"), F.col("header.message").alias("message"))
+    return rows.select("doc_id", F.col("header.detector").alias("detector"), F.coalesce("header.rule", F.lit(-1)).alias("rule"), F.length("content").cast("long").alias("unheadered_size"), F.md5(F.hex("content")).alias("md5_of_hex"), F.col("header.message").alias("message"))
 
 
 _SWAPPED_NIBBLES = "translate(regexp_replace({}, '(.)(.)', '\\2\\1', 'g'), '0123456789ABCDEF', '084C2A6E195D3B7F')"
@@ -173,7 +173,7 @@ g AS (SELECT *, least(n, 64) AS m, greatest(n - 3, 0) AS r, greatest(n - 4, 0) A
 p AS (SELECT *, CASE WHEN s0 THEN 0 WHEN s1 THEN 1 WHEN s2 THEN 2 WHEN back AND n <= 16 THEN 3 WHEN t AND m % 2 = 0 THEN 4 WHEN NOT coalesce(t, false) AND i AND r % 4 = 0 THEN 5 WHEN w AND k % 4 = 0 THEN 6 END AS way FROM g),
 x AS (SELECT *, CASE way WHEN 0 THEN {_SWAPPED_NIBBLES.format("h")} WHEN 1 THEN substr(h, 3, length(h) - 4) WHEN 2 THEN substr(h, 11) WHEN 3 THEN ''
   WHEN 4 THEN regexp_replace(right(h, 2 * m), '(..)(..)', '\2\1', 'g') WHEN 5 THEN regexp_replace(substr(h, 7), '(..)(..)(..)(..)', '\4\3\2\1', 'g') WHEN 6 THEN regexp_replace(left(h, 2 * k), '(..)(..)(..)(..)', '\3\4\1\2', 'g') ELSE h END AS x FROM p)
-SELECT doc_id, (['sizes', 'sizes', 'sizes', 'backwards', 'cased', 'cased', 'words'])[way + 1] AS detector, ([0, 1, 2, 0, 0, 1, 0])[way + 1] AS rule, CAST(length(x) // 2 AS BIGINT) AS unheadered_size, md5(x) AS md5_of_hex,
+SELECT doc_id, (['sizes', 'sizes', 'sizes', 'backwards', 'cased', 'cased', 'words'])[way + 1] AS detector, coalesce(([0, 1, 2, 0, 0, 1, 0])[way + 1], -1) AS rule, CAST(length(x) // 2 AS BIGINT) AS unheadered_size, md5(x) AS md5_of_hex,
   CASE WHEN sized THEN NULL WHEN way IS NULL AND w THEN 'words: ' || k || ' bytes are no multiple of 4'
   WHEN coalesce(way, 9) > 3 AND t AND m % 2 <> 0 THEN 'cased: ' || m || ' bytes are no multiple of 2' WHEN coalesce(way, 9) > 3 AND NOT coalesce(t, false) AND i AND r % 4 <> 0 THEN 'cased: ' || r || ' bytes are no multiple of 4'
   WHEN back AND n > 16 THEN 'backwards: the slice ends before it starts' WHEN uneven THEN 'unequal: mask and value differ in length' END AS message FROM x"""
