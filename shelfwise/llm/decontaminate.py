@@ -3,18 +3,24 @@
 Texts are reduced to their lower-case letters and digits. Long items are looked for whole and in overlapping windows, so that a
 part of an item is found too. A window of m characters that occurs with at most k edits shares at least m - Q + 1 - k * Q of its q-grams with the text on at most k + 1 neighbouring diagonals. Shared q-grams are counted
 in overlapping bands of 2 * (k + 1) diagonals, bands that reach the bound are kept, and each is verified by an alignment
-confined to the band. The items are a stated query set: they are sent to the executors in slices of bounded size, one pass
-over the documents for each slice, so nothing limits their number.
+confined to the band. The items are a stated query set, in slices of bounded size: a task goes through the slices for each block
+of its documents and holds one slice's index at a time, so what their number costs is time and disk, not memory.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+from functools import lru_cache
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import scratch
+from ..sources.storage import open_input, write_file
 from .common import documents, free_name, text_chunks
 from .repeats import gram_hashes
 
@@ -24,8 +30,9 @@ EDITS = 0.1
 #: With a stride within the edits of a window, a verbatim part is found wherever it starts if a window's edits can make up for
 #: what it lacks: from 108 letters on, and with e edits from 108 + 2 e.
 WINDOW, STRIDE = 120, 12
-#: Bytes of item texts in one pass.
+#: Bytes of item texts in one slice, and of documents for which a task goes through several slices at once.
 SLICE_BYTES = 4 << 20
+BLOCK_BYTES = 32 << 20
 #: Letters and digits of a long text that are searched at a time.
 PIECE = 1 << 20
 #: Pairs (place in a text, place in an item) of shared q-grams that are made at a time.
@@ -50,11 +57,12 @@ def edit_budget(m: int, edits: float = EDITS, q: int = Q) -> int:
     return max(0, min(int(edits * m), (m - q) // q))
 
 
-def windows(codes: np.ndarray) -> list[tuple[int, np.ndarray]]:
+def windows(codes: np.ndarray, window: int | None = None, stride: int | None = None) -> list[tuple[int, np.ndarray]]:
     """(start, codes) of each window, and last of the whole item."""
-    if len(codes) <= WINDOW:
+    window, stride = window or WINDOW, stride or STRIDE
+    if len(codes) <= window:
         return [(0, codes)]
-    return [*((a, codes[a : a + WINDOW]) for a in sorted({*range(0, len(codes) - WINDOW, STRIDE), len(codes) - WINDOW})), (0, codes)]
+    return [*((a, codes[a : a + window]) for a in sorted({*range(0, len(codes) - window, stride), len(codes) - window})), (0, codes)]
 
 
 class Sums:
@@ -82,8 +90,8 @@ class ItemIndex:
     """q-grams of a slice of items: sorted distinct hashes, a bitmap before them, the (item, place) pairs of each, and the
     items' windows with their edit budgets and least numbers of shared q-grams. Long items as wholes come after all windows."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], edits: float = EDITS, q: int = Q):
-        self.q, self.ids, self.window = q, [i for i, _ in items], WINDOW
+    def __init__(self, items: list[tuple[int, np.ndarray]], edits: float = EDITS, q: int = Q, window: int | None = None, stride: int | None = None):
+        self.q, self.ids, self.window = q, [i for i, _ in items], window or WINDOW
         grams = [gram_hashes(c, q) for _, c in items]
         flat = np.concatenate(grams) if grams else np.zeros(0, U)
         item = np.repeat(np.arange(len(items)), [len(g) for g in grams])
@@ -95,12 +103,12 @@ class ItemIndex:
         self.bits = max(16, min(24, int(4 + np.log2(len(self.keys) + 1))))
         self.bitmap = np.zeros(1 << self.bits, bool)
         self.bitmap[self.keys >> U(64 - self.bits)] = True
-        parts = sorted(((i, a, w) for i, (_, c) in enumerate(items) for a, w in windows(c)), key=lambda x: len(x[2]) > WINDOW)
+        parts = sorted(((i, a, w) for i, (_, c) in enumerate(items) for a, w in windows(c, window, stride)), key=lambda x: len(x[2]) > self.window)
         self.codes, self.owner = [w for *_, w in parts], np.array([i for i, *_ in parts], np.int64)
         self.start, self.length = np.array([a for _, a, _ in parts], np.int64), np.array([len(w) for *_, w in parts], np.int64)
         self.budget = np.array([edit_budget(len(w), edits, q) for *_, w in parts], np.int64)
         self.least = np.maximum(1, self.length - q + 1 - self.budget * q)
-        self.n_windows = int((self.length <= WINDOW).sum())
+        self.n_windows = int((self.length <= self.window).sum())
         self.spots = self.owner[: self.n_windows] << 32 | self.start[: self.n_windows]  # sorted
         self.whole = np.full(len(items), -1)
         self.whole[self.owner[self.n_windows :]] = np.arange(self.n_windows, len(parts))
@@ -227,36 +235,71 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """
     usable = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = usable.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    slices = max(1, -(-total // SLICE_BYTES))
+    numbers, index_of = item_slices(usable, max(1, -(-total // SLICE_BYTES)), edits, q)
     keep = [c for c in docs.columns if c not in (text_col, "leaks")]
     head = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    sc = docs.sparkSession.sparkContext
     hidden = free_name(docs, "_text")
-    frame = docs.select(*keep, F.col(text_col).alias(hidden), F.expr("cast(array() as array<struct<item_id:long,edits:int>>)").alias("leaks"))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32())]))
-    for s in range(slices):
-        rows = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == s).distinct().collect()  # about SLICE_BYTES
-        items = [(r["item_id"], c) for r in sorted(rows) if len(c := reduced(r["text"].encode())) >= q]
-        index = sc.broadcast(ItemIndex(items, edits, q))
-
-        def run(batches, index=index):
-            for batch in batches:
-                old = batch.column(batch.schema.get_field_index("leaks"))
-                out = []
-                for first, texts in text_chunks(batch.select([hidden]), hidden):
-                    codes = [reduced(b) for b in texts]
-                    short = index.value.search([c if len(c) <= PIECE else c[:0] for c in codes])
-                    for i, got in enumerate(index.value.find(c) if len(c) > PIECE else x for c, x in zip(codes, short)):
-                        best = {x["item_id"]: x["edits"] for x in old[first + i].as_py()}
-                        for x, e in got:
-                            best[index.value.ids[x]] = min(e, best.get(index.value.ids[x], e))
-                        out.append([{"item_id": x, "edits": e} for x, e in sorted(best.items())])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, kind)], names=batch.schema.names)
-
-        frame = frame.mapInArrow(run, head + f"`{hidden}` string, leaks array<struct<item_id:long,edits:int>>")
+
+    def run(batches):
+        get = lru_cache(1)(index_of)  # one index at a time; a single one stays for the task
+        for block in gathered(batches, BLOCK_BYTES if len(numbers) > 1 else 0):
+            found = [[{} for _ in range(batch.num_rows)] for batch in block]
+            for s in numbers:
+                index = get(s)
+                for batch, leaks in zip(block, found):
+                    for first, texts in text_chunks(batch.select([hidden]), hidden):
+                        codes = [reduced(b) for b in texts]
+                        short = index.search([c if len(c) <= PIECE else c[:0] for c in codes])
+                        for i, got in enumerate(index.find(c) if len(c) > PIECE else x for c, x in zip(codes, short)):
+                            best = leaks[first + i]
+                            for x, e in got:
+                                best[index.ids[x]] = min(e, best.get(index.ids[x], e))
+            for batch, leaks in zip(block, found):
+                out = [[{"item_id": x, "edits": e} for x, e in sorted(best.items())] for best in leaks]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, "leaks"])
+
+    frame = docs.select(*keep, F.col(text_col).alias(hidden)).mapInArrow(run, head + f"`{hidden}` string, leaks array<struct<item_id:long,edits:int>>")
     return frame.select(*keep, F.col(hidden).alias(text_col), "leaks")
 
 
+def item_slices(items: DataFrame, slices: int, edits: float, q: int):
+    """(slice numbers, function that gives a slice's index in a task) of items (item_id, text) dealt by hash.
+
+    One slice, about SLICE_BYTES of text, is broadcast. Several are built by tasks and written in the shared folder, from which
+    each task reads one at a time, so neither the driver nor a task holds more of the items than a slice."""
+    dealt = items.distinct().withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)))
+    window, stride = WINDOW, STRIDE
+    indexed = lambda rows: ItemIndex([(i, c) for i, t in sorted(rows) if len(c := reduced(t.encode())) >= q], edits, q, window, stride)
+    if slices == 1:
+        held = items.sparkSession.sparkContext.broadcast(indexed(map(tuple, dealt.select("item_id", "text").collect())))
+        return [0], lambda s: held.value
+    folder = scratch(items.sparkSession, "item-slices")
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        index = indexed(zip(pdf["item_id"].tolist(), pdf["text"]))
+        write_file(f"{folder}/{pdf['slice'].iloc[0]}", lambda out: pickle.dump(index, out, pickle.HIGHEST_PROTOCOL))
+        return pdf[["slice"]].head(1)
+
+    def read(s: int) -> ItemIndex:
+        with open_input(f"{folder}/{s}") as f:
+            return pickle.load(f)
+
+    return sorted(r[0] for r in dealt.groupBy("slice").applyInPandas(build, "slice long").collect()), read
+
+
+def gathered(batches, size: int):
+    """Lists of batches in order, each but the last of at least `size` bytes."""
+    block: list[pa.RecordBatch] = []
+    for batch in batches:
+        block.append(batch)
+        if sum(b.nbytes for b in block) >= size:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     out = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -256,10 +256,11 @@ def sellers(item, text):
     return min(row)
 
 
-@pytest.mark.parametrize("piece", [1 << 20, 50])
-def test_decontaminate(spark, monkeypatch, piece):
+@pytest.mark.parametrize("piece,slice_bytes,block", [(1 << 20, 1 << 20, 1 << 20), (1 << 20, 600, 1 << 20), (50, 600, 1)])
+def test_decontaminate(spark, monkeypatch, piece, slice_bytes, block):
     monkeypatch.setattr(decontaminate, "PIECE", piece)
-    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 600)  # several passes
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", slice_bytes)  # one slice or several
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
     monkeypatch.setattr(decontaminate, "WINDOW", 60)
     monkeypatch.setattr(decontaminate, "STRIDE", 30)
     rng = random.Random(9)
