@@ -6,11 +6,13 @@ import os
 import shutil
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import spread
 from ..sources.archives import Entry, Tools, raw_zip_copy, read_archive, write_entries
 from ..sources.storage import PIECE, local, modified, open_input, write_file
 from .progress import Progress
@@ -136,8 +138,8 @@ def run_plan(plan: DataFrame, raw_zip: bool = False, tools: Tools = Tools(), pro
     unique = unique.join(_contested(unique.where("refused is null")), "_spec", "left").drop("_spec", "owner")
     key = F.when(F.col("to_type").isNotNull(), F.concat(F.lit("to|"), "to_path")).when(F.col("kind") == "extract", F.concat(F.lit("from|"), "from_path")).otherwise(F.concat_ws("|", "kind", "from_path", "to_path"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        specs = [r | {"entries": list(r["entries"])} for r in pdf.to_dict("records")]
+    def statuses(specs: list[dict]) -> list[dict]:
+        specs = [s | {"entries": list(s["entries"])} for s in specs]
         specs = [{k: None if isinstance(v, float) else v for k, v in s.items()} for s in specs]
         errors, able = [], []
         for s in specs:
@@ -153,6 +155,17 @@ def run_plan(plan: DataFrame, raw_zip: bool = False, tools: Tools = Tools(), pro
         errors = ["; ".join(filter(None, (e, next(done) if ok else None))) or None for e, ok in zip(errors, able)]
         if progress:
             progress.add(len(specs), 0, sum(e is not None for e in errors))
-        return pd.DataFrame([{"kind": s["kind"], "from_path": s["from_path"], "to_path": s["to_path"], "status": "OK" if e is None else "FAILED", "message": e} for s, e in zip(specs, errors)])
-
-    return unique.withColumn("_key", key).groupBy("_key").applyInPandas(run, RESULT)
+        return [{"kind": s["kind"], "from_path": s["from_path"], "to_path": s["to_path"], "status": "OK" if e is None else "FAILED", "message": e} for s, e in zip(specs, errors)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for _, specs in groupby((s for pdf in frames for s in pdf.to_dict("records")), lambda s: s["_key"]):
+            out += statuses(list(specs))
+            if len(out) >= 1000:
+                yield pd.DataFrame(out)
+                out = []
+        if out:
+            yield pd.DataFrame(out)
+
+    # specs of one key meet in one task, next to each other
+    return spread(unique.withColumn("_key", key), "_key").sortWithinPartitions("_key").mapInPandas(run, RESULT)
