@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.files import archive_ordinal, archive_type, archive_type_of
-from ..functions.tables import materialize, running_sum, small
+from ..functions.tables import materialize, running_sum, small, spread
 from ..operators.headers import EOF, Detector, find_rule, scan_bounds
 from ..plans.progress import Progress
 from ..schema import SCAN
@@ -104,6 +104,7 @@ def scan(files: DataFrame, bounds: tuple[int, int] = (0, EOF), detectors: list[D
     detectors, also, listed = list(detectors), set(also), "message" in files.columns
 
     def run(frames):
+        done = []  # rows of many files go out together
         for pdf in frames:
             none = [None] * len(pdf)
             for path, content, unlisted in zip(pdf["path"], pdf["content"] if by_content else none, pdf["message"] if listed else none):
@@ -121,10 +122,17 @@ def scan(files: DataFrame, bounds: tuple[int, int] = (0, EOF), detectors: list[D
                     rows.append(dict.fromkeys(COLUMNS) | {"path": path, "status": "FAILED", "message": f"{type(e).__name__}: {e}"})
                 if progress:
                     progress.add(1, sum(r["size"] or 0 for r in rows), sum(r["status"] != "OK" for r in rows))
-                if rows:
-                    yield pd.DataFrame(rows, columns=COLUMNS)
-
-    return worth_reading(files, bounds).select("path", *["content"] * by_content, *["message"] * listed).mapInPandas(run, SCAN)
+                done += rows
+                if len(done) >= 1000:
+                    yield pd.DataFrame(done, columns=COLUMNS)
+                    done = []
+        if done:
+            yield pd.DataFrame(done, columns=COLUMNS)
+
+    todo = worth_reading(files, bounds).select("path", *["content"] * by_content, *["message"] * listed)
+    if listed and not by_content and not files.isStreaming:
+        todo = spread(todo, "path")  # a folder of any number of files is one partition of its listing
+    return todo.mapInPandas(run, SCAN)
 
 
 def scan_order(rows: DataFrame) -> DataFrame:
