@@ -4,10 +4,13 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from shelfwise import queries as Q
+from shelfwise.operators import matching as M
 from shelfwise.plans.execute import run_plan
 from shelfwise.sources import listing
 from shelfwise.sources.files import list_files, scan
+from shelfwise.streaming.completeness import complete_as_seen
 
+ROM = "dat_ord int, game_ord long, name string, rom array<struct<name:string,size:long,crc:string,md5:string,sha1:string,sha256:string,status:string>>"
 SPEC = "kind string, from_path string, from_type string, to_path string, to_type string, entries array<struct<from_name:string,to_name:string>>"
 
 
@@ -46,3 +49,10 @@ def test_specs_are_run_by_many_tasks(spark, tmp_path):
     rows = done.collect()
     assert {r["status"] for r in rows} == {"OK"} and len(rows) == 100
     assert len({r["task"] for r in rows}) > 1
+
+
+def test_games_share_the_state_of_completeness(spark):
+    """The keys of the state are ranges of games, not games."""
+    roms = M.rom_rows(spark.createDataFrame([(0, g, f"g{g}", [(f"r{g}", 1, None, None, f"s{g}", None, None)]) for g in range(3)], ROM))
+    scans = spark.readStream.format("rate").load().selectExpr("cast(null as string) archive_type", "'p' path", "1L unheadered_size", "cast(null as string) crc", "cast(null as string) md5", "concat('s', value) sha1", "cast(null as string) sha256")
+    assert "_range" in complete_as_seen(scans, roms)._jdf.queryExecution().logical().toString()
