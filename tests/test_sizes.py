@@ -56,3 +56,14 @@ def test_games_share_the_state_of_completeness(spark):
     roms = M.rom_rows(spark.createDataFrame([(0, g, f"g{g}", [(f"r{g}", 1, None, None, f"s{g}", None, None)]) for g in range(3)], ROM))
     scans = spark.readStream.format("rate").load().selectExpr("cast(null as string) archive_type", "'p' path", "1L unheadered_size", "cast(null as string) crc", "cast(null as string) md5", "concat('s', value) sha1", "cast(null as string) sha256")
     assert "_range" in complete_as_seen(scans, roms)._jdf.queryExecution().logical().toString()
+
+
+def test_first_sources_shuffle_the_copies_once(spark):
+    roms = M.rom_rows(spark.createDataFrame([(0, g, f"g{g}", [(f"r{g}", 1, None, f"m{g}", f"s{g}", None, None)]) for g in range(3)], ROM))
+    scans = spark.createDataFrame([("zip", "a", "e", 1, None, "m0", "s9", None), (None, "b", None, 1, None, "m1", "s1", None)], "archive_type string, path string, archive_path string, unheadered_size long, crc string, md5 string, sha1 string, sha256 string")
+    found = M.first_sources(roms, scans, keep=["n_roms"])
+    assert sorted((r["game_ord"], r["path"], r["level"]) for r in found.collect()) == [(0, "a", 2), (1, "b", 1)]
+    logical = found._jdf.queryExecution().analyzed().toString()
+    assert logical.count("LogicalRDD") == 2  # the catalog and the scan, each read once
+    kept = {tuple(r) for r in M.choose(roms, scans, False).select("game_ord", "path", "choice").collect()}
+    assert kept == {tuple(r) for r in M.choose(roms, scans, False, firsts=M.first_sources(roms, scans, keep=["n_roms", "rom_name"])).select("game_ord", "path", "choice").collect()} == {(0, "a", "mixed"), (1, "b", "loose")}
