@@ -36,3 +36,14 @@ def test_scan_plan(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(length), GreaterThanOrEqual(length,1), LessThanOrEqual(length,10)]" in details_of(listing) and listing.count() == 1
     wider = list_files(spark, [str(tmp_path)], (1, 10), archives=False).where(F.col("length").between(1, 9))
     assert "LessThanOrEqual(length,9)" not in details_of(wider).split("(2)")[0].split("PushedFilters")[-1] and "content" not in details_of(wider)
+
+
+def test_games_of_one_split_are_dealt(spark, tmp_path):
+    """A table of one split gives games in many tasks, neighbours together and each game once."""
+    from shelfwise.plans import views
+
+    spark.range(5000).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    rows = views.games(spark, str(tmp_path)).select("game_ord", F.spark_partition_id().alias("task"))
+    tasks = [r["n"] for r in rows.groupBy("task").agg(F.count("*").alias("n")).collect()]
+    assert len(tasks) > 4 and max(tasks) < 2500 and sum(tasks) == 5000
+    assert rows.groupBy((F.col("game_ord") / 256).cast("int")).agg(F.count_distinct("task").alias("n")).where("n > 1").isEmpty()
