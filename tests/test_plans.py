@@ -47,3 +47,21 @@ def test_games_of_one_split_are_dealt(spark, tmp_path):
     tasks = [r["n"] for r in rows.groupBy("task").agg(F.count("*").alias("n")).collect()]
     assert len(tasks) > 4 and max(tasks) < 2500 and sum(tasks) == 5000
     assert rows.groupBy((F.col("game_ord") / 256).cast("int")).agg(F.count_distinct("task").alias("n")).where("n > 1").isEmpty()
+
+
+def test_ranks_by_ranges_work_on_games_once(spark, tmp_path):
+    """The sort's sample and the sort itself read written rows: what makes the games runs once a row."""
+    from shelfwise.operators.ranking import rank_by_ranges
+    from shelfwise.plans import views
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(k):
+        seen.add(1)
+        return k
+
+    spark.range(1000).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    games = derive(views.games(spark, str(tmp_path))).withColumn("made", counted("game_ord"))
+    assert rank_by_ranges(games, Preference(regions=("USA",))).agg(F.sum("made"), F.count("rank")).first()[:] == (499500, 1000)
+    assert seen.value == 1000
