@@ -2,7 +2,8 @@
 
 XML catalogs are read game by game: the end tag of a game is the record separator of Spark's text source, so a document of any
 size is split over tasks, and each record is parsed and checked by itself. Where a game stands in its document follows from the
-first byte of its split and from its place in it; the splits' counts, one row each, give the offsets.
+first byte of its split and from its place in it; the splits' counts, one row each, give the offsets. JSON and YAML documents are
+cut into games by `structured`.
 
 Nothing is passed over: a document that cannot be read to its end, a value of the wrong type, an unknown value of an attribute
 with fixed values, a missing name, and in XML an unknown element or attribute raise InvalidCatalog with the place.
@@ -10,7 +11,6 @@ with fixed values, a missing name, and in XML an unknown element or attribute ra
 
 from __future__ import annotations
 
-import json
 import re
 from contextlib import contextmanager
 from functools import reduce
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import InvalidCatalog
-from ..functions.tables import materialize
-from ..schema import CHOICES, DATAFILE, GAME, HEADER, REQUIRED
-from .config import load_structured
+from ..functions.tables import materialize, spread
+from ..schema import CHOICES, GAME, HEADER, REQUIRED
+from .structured import whole_pieces, yaml_pieces
 
 BAD = "_unread"
 END = "</game>"
@@ -185,36 +185,41 @@ def _checked(parts: DataFrame, path: str) -> DataFrame:
 def _load_xml(spark: SparkSession, path: str, split_bytes: int | None) -> tuple[DataFrame, DataFrame]:
     with _splits(spark, split_bytes):
         parts = _checked(materialize(_parsed_xml(spark, path), "catalog"), path)
-    games = parts.where("game is not null")
+    return parts.where("root").select("head.*"), _placed(parts.where("game is not null"))
+
+
+def _placed(games: DataFrame) -> DataFrame:
+    """game_ord, game, split of games (block, at, game): a block's first byte and the games before it give their places."""
     blocks = games.groupBy("block").agg(F.count(F.lit(1)).alias("_n"))
     before = blocks.select("block", (F.sum("_n").over(Window.orderBy("block")) - F.col("_n")).alias("_before"))  # a row for each split
     within = F.row_number().over(Window.partitionBy("block").orderBy("at")) - 1
-    games = games.withColumn("_within", within).join(F.broadcast(before), "block").select((F.col("_before") + F.col("_within")).cast("long").alias("game_ord"), "game", F.col("block").alias("split"))
-    return parts.where("root").select("head.*"), games
+    games = games.withColumn("_within", within).join(F.broadcast(before), "block")
+    return games.select((F.col("_before") + F.col("_within")).cast("long").alias("game_ord"), "game", F.col("block").alias("split"))
 
 
 # ---- JSON and YAML
 
-def _load_structured(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
-    schema = T.StructType([*DATAFILE.fields, _TEXT])
-    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD)
-    if kind in ("json", "js"):
-        docs = reader.option("multiLine", True).json(_glob_free(path))
-    else:
-        docs = reader.json(spark.sparkContext.parallelize([json.dumps(load_structured(path))]))
-    docs = materialize(docs, "catalog")
-    rows = docs.select(BAD).limit(2).collect()
-    if len(rows) != 1 or rows[0][BAD] is not None:
-        raise InvalidCatalog(f"{path} cannot be read: " + (" ".join(rows[0][BAD][:300].split()) if rows and rows[0][BAD] else f"{len(rows)} documents"))
-    games = docs.select(F.posexplode("game").alias("game_ord", "game")).withColumn("game_ord", F.col("game_ord").cast("long"))
-    bad = games.select("game_ord", "game._name", problem_of(F.col("game")).alias("problem")).where("problem is not null").orderBy("game_ord").first()
-    if bad:
-        raise InvalidCatalog(f"{path}, game {bad['game_ord'] + 1} ({bad['_name']}): {bad['problem']}")
-    head = docs.select("header", "_build", "_debug")
-    bad = head.select(_header_problem(F.struct("*")).alias("problem")).first()["problem"]
-    if bad:
-        raise InvalidCatalog(f"{path}: {bad}")
-    return head, games.withColumn("split", F.lit(0).cast("long"))
+def _load_structured(spark: SparkSession, path: str, kind: str, split_bytes: int | None) -> tuple[DataFrame, DataFrame]:
+    """The games' texts leave `structured` one by one and are parsed and checked in tasks, each by itself."""
+    with _splits(spark, split_bytes):
+        pieces = None if kind in ("json", "js") else yaml_pieces(spark, path)
+    pieces = spread(whole_pieces(spark, path, kind), "at") if pieces is None else pieces
+    read = lambda of: F.from_json("text", T.StructType([*of.fields, _TEXT]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
+    is_game = F.col("kind") == F.lit("game")
+    rows = pieces.withColumns({"game": F.when(is_game, read(GAME)), "head": F.when(F.col("kind") == "head", read(_ROOT))})
+    cut = F.when(F.col("kind") == "error", F.col("text")).when(~F.coalesce(F.col("game").isNotNull() & F.col(f"game.{BAD}").isNull() | F.col("head").isNotNull() & F.col(f"head.{BAD}").isNull(), F.lit(False)),
+                                                               _said("cannot be read: ", F.substring(F.regexp_replace("text", r"\s+", " "), 1, 300)))
+    bare = lambda c, of: F.when(F.col(c).isNotNull(), F.struct(*(F.col(f"{c}.{f.name}").alias(f.name) for f in of)))
+    wrong = F.coalesce(cut, F.when(is_game, problem_of(F.col("game"))).otherwise(_header_problem(F.col("head"))))
+    parts = materialize(rows.select("kind", "block", "at", bare("head", _ROOT).alias("head"), bare("game", GAME).alias("game"), wrong.alias("problem")), "catalog")
+    place = F.struct("block", "at")
+    r = parts.agg(F.min(F.when(F.col("problem").isNotNull(), F.struct("block", "at", "problem", "kind", "game._name"))).alias("bad"), F.count_if(F.col("kind") == "head").alias("heads")).first()
+    if r["bad"] is not None and r["bad"]["kind"] == "game":
+        n = parts.where(is_game).where(place < F.struct(F.lit(r["bad"]["block"]).alias("block"), F.lit(r["bad"]["at"]).alias("at"))).count()
+        raise InvalidCatalog(f"{path}, game {n + 1} ({r['bad']['_name']}): {r['bad']['problem']}")
+    if r["bad"] is not None or r["heads"] != 1:
+        raise InvalidCatalog(f"{path} cannot be read: " + (r["bad"]["problem"] if r["bad"] else f"{r['heads']} documents"))
+    return parts.where("kind = 'head'").select("head.*"), _placed(parts.where(is_game))
 
 
 # ---- all kinds
@@ -230,7 +235,7 @@ def load_catalogs(spark: SparkSession, paths: list[str], split_bytes: int | None
     for i, path in enumerate(paths):
         kind = path.lower().rsplit(".", 1)[-1]
         try:
-            head, found = _load_structured(spark, path, kind) if kind in ("json", "js", "yaml", "yml") else _load_xml(spark, path, split_bytes)
+            head, found = _load_structured(spark, path, kind, split_bytes) if kind in ("json", "js", "yaml", "yml") else _load_xml(spark, path, split_bytes)
         except InvalidCatalog:
             raise
         except (PySparkException, OSError, ValueError) as e:
