@@ -203,7 +203,8 @@ def _load_structured(spark: SparkSession, path: str, kind: str, split_bytes: int
     """The games' texts leave `structured` one by one and are parsed and checked in tasks, each by itself."""
     with _splits(spark, split_bytes):
         pieces = None if kind in ("json", "js") else yaml_pieces(spark, path)
-    pieces = spread(whole_pieces(spark, path, kind), "at") if pieces is None else pieces
+    streamed = pieces is None
+    pieces = spread(whole_pieces(spark, path, kind), "at") if streamed else pieces
     read = lambda of: F.from_json("text", T.StructType([*of.fields, _TEXT]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
     is_game = F.col("kind") == F.lit("game")
     rows = pieces.withColumns({"game": F.when(is_game, read(GAME)), "head": F.when(F.col("kind") == "head", read(_ROOT))})
@@ -219,7 +220,9 @@ def _load_structured(spark: SparkSession, path: str, kind: str, split_bytes: int
         raise InvalidCatalog(f"{path}, game {n + 1} ({r['bad']['_name']}): {r['bad']['problem']}")
     if r["bad"] is not None or r["heads"] != 1:
         raise InvalidCatalog(f"{path} cannot be read: " + (r["bad"]["problem"] if r["bad"] else f"{r['heads']} documents"))
-    return parts.where("kind = 'head'").select("head.*"), _placed(parts.where(is_game))
+    games = parts.where(is_game)
+    games = games.select(F.col("at").alias("game_ord"), "game", F.col("block").alias("split")) if streamed else _placed(games)  # a stream's games are numbered as they come
+    return parts.where("kind = 'head'").select("head.*"), games
 
 
 # ---- all kinds
