@@ -154,6 +154,39 @@ def test_repeats_of_repeated_rows(spark):
     assert sorted((r["n_removed"], bytes(r["kept_text"])) for r in got) == [(0, b""), (450, b""), (600, b""), (600, b"")]
 
 
+def test_repeats_of_runs():
+    rng = random.Random(5)
+    texts = [("Hg" * 200 + " ".join(str(rng.random()) for _ in range(25))).encode() for _ in range(50)] + [b"a" * n for n in (5000, 5003)]
+    rows = repeats.context_rows(texts, 400, 64)
+    assert len(rows[0]) < sum(map(len, texts)) / 80  # not a context for each start
+    who, s1, own, h, reps, dig = rows
+    buf = np.frombuffer(b"x" + b"ab" * 40 + b"y" + b"c" * 63, np.uint8)
+    assert np.flatnonzero(repeats.periodic(buf, 64)).tolist() == list(range(1, 18))
+    starts = sorted((w, s + k) for w, s, n, r in zip(who.tolist(), s1.tolist(), own.tolist(), reps.tolist()) for k in range(n * r))
+    assert starts == [(w, s) for w, t in enumerate(texts) for s in range(len(t) - 399)]
+
+
+@pytest.mark.parametrize("send", [1 << 20, 1])
+def test_repeats_among_runs(spark, monkeypatch, send):
+    monkeypatch.setattr(repeats, "SEND_BYTES", send)
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    line = noise(37)
+    texts = ["a" * 2000, "a" * 451, "b" * 399, "b" * 400, "Hg" * 203, "gH" * 201 + noise(500), noise(300) + "Hg" * 450 + noise(300), line * 20, line[9:] + line * 12 + noise(90), *("Hg" * 199 + noise(400) for _ in range(6))]
+    got = repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == dict(enumerate(brute_repeats([t.encode() for t in texts], 400)))
+
+
+@pytest.mark.parametrize("chunk", [1000, 1])
+def test_repeats_where_none_is_found(spark, monkeypatch, chunk):
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdefgh ", k=390))  # starts of several texts share an anchor, but no 400 bytes
+    texts = ["".join(rng.choices("abcdefgh ", k=300)) + x + passage + y + "".join(rng.choices("abcdefgh ", k=300)) for x, y in ("12", "34", "56")]
+    got = repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]).collect()
+    assert sorted((r["n_bytes"], r["n_removed"]) for r in got) == [(992, 0)] * 3
+
+
 def test_suffix_array():
     rng = random.Random(7)
     for text in [b"", b"a", b"aaaa", b"banana\xff", b"abab\xffabab\xff", bytes(rng.choices(b"ab\xff", k=500)), bytes(rng.choices(range(256), k=700))]:
